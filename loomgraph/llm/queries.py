@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii, secrets
 from .decontam import contamination
+from .html import main_text
+from .language import identify
+from .licenses import find_licenses
+from .lm import pseudo_likelihood
 from .mixing import entropy_mix
 from .quality import quality_rules
 from .simhash import simhash_groups
@@ -27,6 +32,28 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def _digest(spans: str):
+    """The digest of an array of (start, end, kind)."""
+    return F.sha2(pii.joined(spans), 256)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, _digest("base").alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document."""
+    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document in a mix of sources."""
     return entropy_mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
@@ -37,8 +64,30 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "n_links")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    found = pii.find_personal(_table(spark, sf_dir, "documents"))
+    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, _digest("base").alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of every document."""
+    found = find_licenses(_table(spark, sf_dir, "documents"))
+    hits = F.transform("hits", lambda h: F.concat_ws(":", h["license"], h["at"].cast("string"), h["changed"].cast("string")))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"), F.array_join(hits, ",").alias("hits"))
+
+
+OPERATORS = [op1_decontaminate, op2_quality_rules, op3_html_consensus, op4_secrets, op5_pseudo_likelihood, op6_entropy_mix, op7_simhash, op8_language, op9_personal_data, op10_licenses]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op6_entropy_mix, op7_simhash)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
