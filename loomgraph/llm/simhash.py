@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import over_batches, settle, small, utf8
@@ -76,25 +77,36 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return left.join(right, "key").filter((F.col("a") < F.col("b")) & met & near).select("a", "b").distinct()
 
 
-def components(edges: DataFrame, start: DataFrame, most: int = 60) -> DataFrame:
-    """``node, label``: the smallest starting label reachable over ``edges`` (a, b), for the nodes that have any.
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Hang each node's larger neighbours on the smallest node around it."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = F.least("a", F.min("b").over(W.partitionBy("a")))
+    return both.select("a", "b", least.alias("m")).filter("b > a").select(F.col("m").alias("a"), "b").distinct()
 
-    Labels spread by neighbours' minima; each round then also jumps to the best label known to any node that holds the same
-    label, so that rounds grow with the logarithm of a chain's length. Labels live in settled tables, never on the driver.
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Hang each node and its smaller neighbours on the smallest of these. Edges come as a < b, and leave so."""
+    lowest = edges.select("a", "b", F.min("a").over(W.partitionBy("b")).alias("m"))
+    moved = F.when(F.col("a") == F.col("m"), F.struct(F.col("m").alias("a"), F.col("b").alias("b"))).otherwise(F.struct(F.col("m").alias("a"), F.col("a").alias("b")))
+    # (b, m) comes from the row whose a is m, which each b has.
+    return lowest.select(moved.alias("e")).select("e.a", "e.b").distinct()
+
+
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """``node, root``: the smallest node reachable over ``edges`` (a < b), for every node that has any.
+
+    Alternating large and small stars shrink the graph to one star a component, in rounds that grow with the logarithm of
+    its size; no round holds more edges than the one before, and nothing but a checksum comes to the driver.
     """
-    both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    nodes = both.select(F.col("a").alias("node")).distinct()
-    labels = settle(nodes.join(start.select("node", "label"), "node"))
+    now, seen = edges.select("a", "b"), None
     for _ in range(most):
-        seen = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("seen"))
-        spread = labels.join(seen, F.col("node") == F.col("a")).select("node", "label", F.least("label", "seen").alias("next"))
-        spread = settle(spread)
-        if spread.filter("next < label").isEmpty():
+        now = settle(_small_star(_large_star(now)))
+        sums = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if sums == seen:
             break
-        best = spread.groupBy("label").agg(F.min("next").alias("best"))
-        jumped = spread.join(small(best), "label").select("node", F.least("next", "best").alias("label"))
-        labels = settle(jumped)
-    return labels
+        seen = sums
+    roots = now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots)
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", words: int = 4, distance: int = DISTANCE) -> DataFrame:
@@ -107,9 +119,11 @@ def simhash_groups(docs: DataFrame, text: str = "text", words: int = 4, distance
     prints = settle(fingerprints(docs, text, words))
     nodes = settle(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("label")))
     edges = settle(links(nodes.select(F.col("node").alias("fp")), distance))
-    joined = components(edges, nodes.filter(F.col("label").isNotNull()))
+    roots = settle(components(edges))
+    least = roots.join(nodes, "node").groupBy("root").agg(F.min("label").alias("joined"))
+    joined = roots.join(small(least), "root").select("node", "joined")
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = nodes.join(small(joined.withColumnRenamed("label", "joined")), "node", "left").join(small(degree), "node", "left")
+    known = nodes.join(small(joined), "node", "left").join(small(degree), "node", "left")
     known = known.select(F.col("node").alias("fp"), F.coalesce("joined", "label").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     # A hot fingerprint is split by adaptive execution: this side of the left join may be cut at will.
     found = prints.join(known, "fp", "left")
