@@ -87,7 +87,9 @@ OPERATORS = [op1_decontaminate, op2_quality_rules, op3_html_consensus, op4_secre
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in OPERATORS}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
