@@ -89,9 +89,9 @@ def check_literals(triples: DataFrame, sides: DataFrame) -> DataFrame:
 
 
 def dangling(triples: DataFrame, prefix: str) -> DataFrame:
-    """Links to nodes below ``prefix`` that are the subject of nothing."""
+    """Links to nodes below ``prefix`` that have no type: their table isn't there, or lacks them."""
     links = triples.filter((F.col("o_kind") == "iri") & F.col("o").startswith(prefix) & (F.col("p") != RDF_TYPE))
-    return links.join(triples.select(F.col("s").alias("known")).distinct(), F.col("o") == F.col("known"), "left_anti").select("s", "p", "o")
+    return links.join(asserted(triples).select(F.col("s").alias("known")).distinct(), F.col("o") == F.col("known"), "left_anti").select("s", "p", "o")
 
 
 def disjoint_violations(triples: DataFrame, disjoint: DataFrame, closed: DataFrame) -> DataFrame:

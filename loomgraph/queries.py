@@ -268,7 +268,7 @@ def typed_view(spark: SparkSession, d: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("text"), number.alias("number"))
 
 
-@query(g("nation", "customer", "orders") + f"SELECT s, p, o FROM g WHERE o_kind = 'iri' AND p <> '{RDF_TYPE}' AND o LIKE '{DATA}%' AND o NOT IN (SELECT s FROM g)")
+@query(g("nation", "customer", "orders") + f"SELECT s, p, o FROM g WHERE o_kind = 'iri' AND p <> '{RDF_TYPE}' AND o LIKE '{DATA}%' AND o NOT IN (SELECT s FROM g WHERE p = '{RDF_TYPE}')")
 def dangling_links(spark: SparkSession, d: str) -> DataFrame:
     return reasoning.dangling(kg(spark, d, "nation", "customer", "orders"), DATA)
 
