@@ -168,7 +168,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Drop contaminated documents; the table's columns stay as they are. A row with null doc_id is kept."""
-    bad = contamination(docs, items).filter("contaminated").select("doc_id").distinct()
-    return docs.join(small(bad), "doc_id", "left_anti")
+    bad = settle(contamination(docs, items).filter("contaminated").select("doc_id").distinct())
+    return docs.join(small(bad), "doc_id", "left_anti").select(docs.columns)
 
 

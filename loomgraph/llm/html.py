@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, small
+from .common import over_batches, settle, small
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -61,7 +61,7 @@ class Node:
 def blocks_of(html: str) -> list[tuple[str, list[Node], int]]:
     """The page's blocks outside what is set apart: text, open elements from the root, and characters within links."""
     blocks: list[tuple[str, list[Node], int]] = []
-    stack: list[Node] = [Node("", "", False)]
+    stack: list[Node] = [Node("body", "/", False)]
     text: list[str] = []
     linked = 0
 
@@ -114,7 +114,7 @@ def blocks_of(html: str) -> list[tuple[str, list[Node], int]]:
         if m["rest"].endswith("/") and tag not in CONTAINERS:
             continue
         above = stack[-1]
-        stack.append(Node(tag, f"{above.path}/{step_of(tag, classes)}" if tag in CONTAINERS else above.path, above.apart or tag in APART or (apart and tag not in ("body", "html", "article", "main"))))
+        stack.append(Node(tag, f"{above.path.rstrip('/')}/{step_of(tag, classes)}" if tag in CONTAINERS else above.path, above.apart or tag in APART or (apart and tag not in ("body", "html", "article", "main"))))
     add(html[at:])
     flush()
     return blocks
@@ -166,7 +166,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     one by one; they vote each.
     """
     hosted = pages.select("page_id", "url", "html").withColumn("_host", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")))
-    winners = consensus_paths(hosted)
+    winners = settle(consensus_paths(hosted))
     joined = hosted.join(small(winners.withColumnRenamed("host", "_host")), "_host", "left")
 
     def make():

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chain import Chain, emissions, posteriors, train
-from .common import over_batches
+from .common import over_batches, settle, small
 
 #: Bounds of the labelled sample the model is fitted on: rows of each language, and characters in all.
 SAMPLE_ROWS = 600
@@ -221,5 +221,5 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Drop documents in no known language: ``und``, or a score below ``least``. Other columns stay."""
     found = identify(docs).filter((F.col("lang_pred") == "und") | (F.col("score") < least))
-    bad = found.select("doc_id").distinct()
+    bad = small(settle(found.select("doc_id").distinct()))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")

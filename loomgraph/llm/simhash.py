@@ -131,6 +131,14 @@ def simhash_groups(docs: DataFrame, text: str = "text", words: int = 4, distance
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Keep of each group the document whose doc_id is the smallest; repeated rows of that id are kept once."""
-    groups = simhash_groups(docs, text).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keep of each group the document whose doc_id is the smallest; repeated rows of that id are kept once.
+
+    Rows with a null doc_id can't be named as copies and stay. Texts are shuffled only where an id repeats, or where the
+    ids to drop are too many to broadcast.
+    """
+    groups = settle(simhash_groups(docs.filter(F.col("doc_id").isNotNull()), text).select("doc_id", "component_id"))
+    copies = settle(groups.filter("doc_id <> component_id").select("doc_id").distinct())
+    again = settle(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    left = docs.join(small(copies), "doc_id", "left_anti").select(docs.columns)
+    once = left.join(small(again), "doc_id", "left_anti").select(docs.columns)
+    return once.union(left.join(small(again), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))

@@ -1,0 +1,87 @@
+"""Entropy mixing against its definition, and the pipeline."""
+
+import numpy as np
+import pytest
+
+from loomgraph.llm import mixing
+
+SCHEMA = "doc_id long, text string, source string, size string, target int, q double"
+
+
+def docs_of(spark, counts, seed=1):
+    rng = np.random.default_rng(seed)
+    rows, k = [], 0
+    for source, n in counts:
+        for _ in range(n):
+            rows.append((k, "w " * int(rng.integers(0, 60)), source, "clash", 1, float(rng.integers(1, 4))))
+            k += 1
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def reshared(sizes, cap=3):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, total, full = {s: i % 3 + 1 for i, s in enumerate(names)}, sum(sizes.values()), set()
+    while True:
+        rest, w = total - sum(cap * sizes[s] for s in full), sum(weight[s] for s in names if s not in full)
+        target = {s: cap * sizes[s] if s in full else rest * weight[s] / w for s in names}
+        new = {s for s in names if s not in full and target[s] > cap * sizes[s]}
+        if not new:
+            return target
+        full |= new
+
+
+@pytest.mark.parametrize("counts", [[("a", 300), ("b", 30), ("c", 3), (None, 60), ("é", 1)], [("x", 50)], [("a", 2), ("b", 2), ("c", 200), ("d", 1)]])
+def test_mix_meets_targets(spark, counts):
+    df = docs_of(spark, counts)
+    got = mixing.entropy_mix(df).collect()
+    assert len(got) == sum(n for _, n in counts)
+    sizes = {}
+    for r in got:
+        sizes[r.source] = sizes.get(r.source, 0) + r["size"]
+    want = reshared(sizes)
+    for source, target in want.items():
+        own = [r for r in got if r.source == source]
+        assert all(abs(r.target - target) < 1e-6 and r.source_size == sizes[source] for r in own)
+        longest = max(r["size"] for r in own)
+        assert abs(sum(r.taken for r in own) - target) <= max(2, 0.02 * target, longest / 2)
+    assert all(r.taken == r.copies * r["size"] <= 3 * r["size"] for r in got)
+    assert sorted(map(tuple, mixing.entropy_mix(df.repartition(7)).collect())) == sorted(map(tuple, got))
+
+
+def test_newton_solves_the_dual_with_priors_and_caps(spark):
+    cells = spark.createDataFrame([("0a", 1.0, 100), ("0a", 4.0, 50), ("0b", 0.5, 10)], "_key string, prior double, size long")
+    targets = spark.createDataFrame([("0a", 200.0), ("0b", 15.0)], "_key string, target double")
+    lam = dict(map(tuple, mixing.newton(cells, targets, 3.0).collect()))
+    assert abs(100 * min(3, np.exp(lam["0a"])) + 50 * min(3, 4 * np.exp(lam["0a"])) - 200) < 1e-6
+    assert abs(10 * min(3, 0.5 * np.exp(lam["0b"])) - 15) < 1e-6
+
+
+def test_mix_of_odd_tables(spark):
+    rows = [(1, None, None, "", 0, None), (2, "", "a", "", 0, None), (3, "a b", "a", "", 0, None), (3, "a b", "a", "", 0, None), (None, "x", "b", "", 0, None)]
+    got = mixing.entropy_mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 5 and all(0 <= r.taken <= 3 * r["size"] for r in got)
+    assert mixing.entropy_mix(spark.createDataFrame(rows[:2], SCHEMA)).count() == 2
+    assert mixing.entropy_mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_mix_with_priors_comes_near(spark):
+    df = docs_of(spark, [("a", 400), ("b", 100)])
+    got = mixing.entropy_mix(df, prior="q").collect()
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.05 * own[0].target
+
+
+def test_pipeline_stages_hand_documents_on(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts, names = [docs.count()], docs.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = pipeline.settle(stage(spark, docs, sf_dir))
+        assert docs.columns == names, name
+        counts.append(docs.count())
+    language, near, clean, secret = counts[1:]
+    assert counts[0] * 0.9 < language <= counts[0] and near < language and clean < near and secret == clean
+    mixed = pipeline.mix(spark, docs, sf_dir)
+    assert set(names) < set(mixed.columns) and mixed.filter("copies < 1 or copies > 3").count() == 0
