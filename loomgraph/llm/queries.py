@@ -12,7 +12,7 @@ from .language import identify
 from .licenses import find_licenses
 from .lm import pseudo_likelihood
 from .mixing import entropy_mix
-from .quality import quality_rules
+from .quality import RULES, STOP_WORDS, quality_rules
 from .simhash import simhash_groups
 
 
@@ -92,5 +92,49 @@ def queries() -> dict:
     return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS w FROM benchmark),
+starts AS (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, 1 + greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM starts),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n),
+hits AS (SELECT doc_id, i, n, item FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM places) JOIN windows USING (n, win)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_STOPS = ", ".join(f"'{w}'" for w in sorted({w for words in STOP_WORDS.values() for w in words}))
+_BROKEN = {
+    "mean_word_chars": "word_chars / CAST(nullif(n_words, 0) AS DOUBLE)",
+    "symbol_ratio": "n_symbols / CAST(nullif(n_words, 0) AS DOUBLE)",
+    "stop_ratio": "n_stop / CAST(nullif(n_words, 0) AS DOUBLE)",
+    "dup_line_ratio": "n_dup_lines / CAST(nullif(n_lines, 0) AS DOUBLE)",
+}
+_KEPT = " AND ".join(f"coalesce({_BROKEN[metric]} {sign} {bound}, TRUE)" for _, metric, least, most in RULES for sign, bound in ((">=", least), ("<=", most)) if bound is not None)
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(DISTINCT line) AS n_distinct FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS n FROM places),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_lines - n_distinct, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+  len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS n_stop
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_KEPT} AS kept FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; the others are tested against brute force or held-out accuracy."""
+    return {"op1_decontaminate": OP1_SQL, "op2_quality_rules": OP2_SQL}
