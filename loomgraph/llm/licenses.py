@@ -91,7 +91,7 @@ class Compressor:
         options = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(**options)
         self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for _, t, _ in PLAIN]
-        self.match = lru_cache(1 << 14)(self._match)
+        self.match = lru_cache(1 << 12)(self._match)
 
     def _match(self, block: str) -> tuple[tuple[str, float, int], ...]:
         """Confirmed templates of a block: (license, share of its compressed size saved, words changed).

@@ -14,8 +14,10 @@ from .chain import Chain, emissions, train, viterbi
 from .common import over_batches
 
 KINDS = ["email", "ip", "card", "phone"]
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# A match can only start where a run of digits does; saying so keeps long runs from being tried digit by digit.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NO_DIGIT = re.compile(r"[^0-9]+")
@@ -34,12 +36,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Matches of [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+, leftmost first, found from each @.
+
+    The part before an @ can't hold another, so all that precedes it back to a foreign character, or to the last match,
+    belongs to the leftmost match; long words without an @ cost nothing.
+    """
+    found, after, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > after and text[start - 1] in LOCAL:
+            start -= 1
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            found.append((start, m.end()))
+            after = m.end()
+        at = text.find("@", max(at + 1, after))
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """The fixed patterns' spans (start, end, kind), sorted by start, then by kind as listed."""
     found = []
-    if "@" in text:
-        # Without a part before it, an @ can't start a match; texts with no @ skip the pattern.
-        found += [(m.start(), m.end(), 0) for m in EMAIL.finditer(text)]
+    found += [(s, e, 0) for s, e in emails(text)]
     found += [(m.start(), m.end(), 1) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = NO_DIGIT.sub("", m[0])

@@ -113,6 +113,19 @@ def test_personal_base_spans(text, want):
     assert [f"{k}:{s}:{e}" for s, e, k in pii.base_spans(text or "")] == want
 
 
+def test_emails_and_addresses_equal_their_patterns_and_stay_linear():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+    rng = np.random.default_rng(8)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("ab.@- é1"), int(rng.integers(0, 30))))
+        assert pii.emails(text) == [m.span() for m in email.finditer(text)]
+        text = "".join(rng.choice(list("12..  "), int(rng.integers(0, 30))))
+        assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in ip.finditer(text)]
+    for long in ("a" * 300_000 + " x@y.z", "1" * 300_000 + "@", "<a " * 100_000, "f" * 300_000):
+        pii.base_spans(long), secrets.base_spans(long), html.blocks_of(long)
+
+
 def test_personal_data_adds_learned_spans_and_leaves_prose_alone(spark, sf_dir):
     texts = ["Please ask Mr. Carlos Weber about it", "call (555) 123-4567 today", None, "", "Then the House of Lords met.", "In 2024-01-02 v1.2.3 cost $100.", "ü " * 50000 + "+1 (234) 555-0199"]
     got = pii.find_personal(table(spark, texts)).orderBy("doc_id").collect()
