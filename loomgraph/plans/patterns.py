@@ -111,3 +111,14 @@ def instances(triples: DataFrame, cls: str, closed: DataFrame) -> DataFrame:
 def number(variable: str) -> Column:
     """A variable's value as a number, null where it has none."""
     return F.col(variable).try_cast("decimal(38,10)")
+
+
+def property_table(triples: DataFrame, predicates: dict[str, str], first_only: bool = False) -> DataFrame:
+    """One row a subject, with a column for each named predicate: all its values, sorted, or the smallest alone.
+
+    The predicates are given, so that the grouping is one pass and needs no look at the data for its columns.
+    """
+    wanted = triples.filter(F.col("p").isin(sorted(predicates.values())))
+    value = lambda p: F.when(F.col("p") == p, F.col("o"))
+    columns = [(F.min(value(p)) if first_only else F.sort_array(F.collect_set(value(p)))).alias(name) for name, p in predicates.items()]
+    return wanted.groupBy("s").agg(*columns)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import trade
+from .functions import values
 from .functions.terms import RDF_TYPE, XSD, local_name, typed
 from .operators import analytics, graph, reasoning
 from .plans import patterns
@@ -460,6 +461,40 @@ def weighted_mixture(spark: SparkSession, d: str) -> DataFrame:
     return trade.tables(spark, d, ["lineitem"])["lineitem"].groupBy(F.col("l_partkey").alias("part")).agg(F.round(mean).cast("long").alias("weighted"))
 
 
+@query(f"SELECT {iri('supplier', 's_suppkey')} AS s, s_name AS name, {MONEY.format('s_acctbal')} AS balance, {iri('nation', 's_nationkey')} AS nation FROM supplier")
+def property_table(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.property_table(kg(spark, d, "supplier"), {"name": ONT + "supplierName", "balance": ONT + "balance", "nation": ONT + "inNation"}, first_only=True)
+
+
+@query("SELECT event_type, CAST(count(value) AS BIGINT) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS low, max(value) AS high, round(sum(pow(value - m, 3)) / count(*) / pow(stddev_pop(value), 3), 6) AS skewness FROM (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY event_type")
+def moments_by_group(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(*values.moments(F.col("value")))
+    return e.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "low", "high", F.round("skewness", 6).alias("skewness"))
+
+
+@query("SELECT p_brand, round(avg(abs(l_extendedprice - p)), 4) AS mae, round(sqrt(avg((l_extendedprice - p) * (l_extendedprice - p))), 4) AS rmse, round(avg(p - l_extendedprice), 4) AS bias, round(avg(CASE WHEN l_extendedprice > 50000 THEN 1.0 ELSE 0.0 END), 8) AS exceedance FROM (SELECT p_brand, l_extendedprice, l_quantity * p_retailprice AS p FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY p_brand")
+def error_metrics(spark: SparkSession, d: str) -> DataFrame:
+    t = trade.tables(spark, d, ["lineitem", "part"])
+    joined = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")).withColumn("predicted", F.col("l_quantity") * F.col("p_retailprice"))
+    found = joined.groupBy("p_brand").agg(*values.errors(F.col("predicted"), F.col("l_extendedprice")), values.exceedance(F.col("l_extendedprice"), 50000))
+    return found.select("p_brand", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "bias")], F.round("exceedance", 8).alias("exceedance"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN CAST(p_size AS DECIMAL(38,10)) WHEN p_size < 30 THEN CAST(p_size AS DECIMAL(38,10)) END AS low, CASE WHEN p_size < 10 THEN CAST(p_size AS DECIMAL(38,10)) WHEN p_size < 30 THEN CAST(p_size + 5 AS DECIMAL(38,10)) ELSE CAST(p_size AS DECIMAL(38,10)) END AS high FROM part")
+def text_ranges(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    text = F.when(F.col("p_size") < 10, size).when(F.col("p_size") < 30, F.concat(size, F.lit("\u2013"), (F.col("p_size") + 5).cast("string"))).otherwise(F.concat(F.lit("<= "), size))
+    return trade.tables(spark, d, ["part"])["part"].select("p_partkey", values.text_range(text).alias("r")).select("p_partkey", "r.low", "r.high")
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN o_totalprice > 100000 WHEN 'F' THEN o_totalprice <= 100000 ELSE o_totalprice BETWEEN 50000 AND 150000 END AS holds FROM orders")
+def stored_conditions(spark: SparkSession, d: str) -> DataFrame:
+    status = F.col("o_orderstatus")
+    operator = F.when(status == "O", ">").when(status == "F", "at most").otherwise("between")
+    bound = F.when(status.isin("O", "F"), "100000").otherwise("50000-150000")
+    return trade.tables(spark, d, ["orders"])["orders"].select("o_orderkey", values.condition_holds(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), operator, bound).alias("holds"))
+
+
 # Alignments.
 
 #: Nations as nodes that other vocabularies know, with a match each by rule.

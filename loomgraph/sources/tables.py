@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class MissingSource(FileNotFoundError):
@@ -32,3 +33,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever file system Spark reads it from."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def read_listed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """One CSV file's rows with ``listed``, their order in the file: graphs are sets, so what depends on order is settled before.
+
+    Ids grow along a file, in and between the parts that Spark cuts it into.
+    """
+    return read_csv(spark, path, columns).withColumn("listed", F.monotonically_increasing_id())
+
+
+def first_listed(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """For each key the value listed first."""
+    return rows.groupBy(key).agg(F.min_by(value, "listed").alias(value))

@@ -120,3 +120,15 @@ def test_stream_windows_close_after_lateness(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
     assert [r["n"] for r in spark.table("w").collect()] == [2]
     assert sorted(r["n"] for r in spark.table("s").collect()) == [1, 1]
+
+
+def test_text_ranges_and_conditions(spark):
+    from loomgraph.functions.values import condition_holds, errors, text_range
+
+    rows = spark.createDataFrame([("250\u2013300",), (">400",), (" 5 ",), ("-1 - 2.5",), ("about 7",), (None,)], "t string")
+    got = [(None if r.low is None else float(r.low), None if r.high is None else float(r.high)) for r in rows.select(text_range(F.col("t")).alias("r")).select("r.*").collect()]
+    assert got == [(250, 300), (400, None), (5, 5), (-1, 2.5), (None, None), (None, None)]
+    rows = spark.createDataFrame([("5", ">", "4"), ("5", "between", "1-4"), ("a", "=", "a"), ("a", ">", "4"), ("5.0", "=", "5"), ("5", "odd", "5")], "v string, o string, b string")
+    assert [r[0] for r in rows.select(condition_holds(F.col("v"), F.col("o"), F.col("b"))).collect()] == [True, False, True, None, True, None]
+    rows = spark.createDataFrame([(1.0, 2.0), (4.0, 4.0)], "p double, o double").agg(*errors(F.col("p"), F.col("o"))).first()
+    assert (rows.mae, round(rows.rmse, 4), rows.bias, rows.r2) == (0.5, 0.7071, -0.5, 0.5)

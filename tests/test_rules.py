@@ -5,8 +5,9 @@ import pytest
 from loomgraph.functions.terms import RDF_TYPE, XSD
 from loomgraph.plans.compiler import build_csv, dedupe, is_relation, store
 from loomgraph.sources.config import read_config
+from loomgraph.sources.ntriples import diff, read_ntriples
 from loomgraph.sources.rules import UnsupportedRule, read_rules
-from loomgraph.sources.tables import MissingSource
+from loomgraph.sources.tables import MissingSource, first_listed, read_listed
 from loomgraph.sources.turtle import Iri, Literal, TurtleError, parse
 
 HEAD = """@prefix rr: <http://www.w3.org/ns/r2rml#> .
@@ -121,3 +122,25 @@ def test_config():
     assert (got.mappings, got.output_folder, got.remove_duplicate, got.recorded) == (("./m.ttl",), "./out", True, (("ordered", "no"),))
     with pytest.raises(ValueError):
         read_config(text.replace("datasets: 1", "datasets: 2"))
+
+
+def test_build_from_options_writes_lines_once(spark, base, tmp_path):
+    from loomgraph.build import build
+
+    (tmp_path / "rml").mkdir()
+    (tmp_path / "rml" / "m.ttl").write_text(HEAD + UNITS + TYPES + LINK + ALIGN + GONE)
+    (tmp_path / "rml" / "c.ini").write_text("[datasets]\nnumber_of_datasets: 1\noutput_folder: ./kg\nremove_duplicate: yes\nall_in_one_file: yes\nname: g\n[dataset1]\nmapping: ./rml/m.ttl\n")
+    for part in ("e", "r", "a"):
+        (tmp_path / part).symlink_to(f"{base}/{part}")
+    report = build(spark, str(tmp_path / "rml" / "c.ini"), parquet=str(tmp_path / "stored"))
+    again = read_ntriples(spark, report.path)
+    assert report.missing == ("e/gone.csv",) and report.triples == again.count() == again.distinct().count()
+    assert diff(again, spark.read.parquet(str(tmp_path / "stored"))).count() == 0
+    with pytest.raises(MissingSource):
+        build(spark, str(tmp_path / "rml" / "c.ini"), strict=True)
+
+
+def test_first_listed_follows_the_file(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("k,v\n" + "".join(f"{i % 50},{i}\n" for i in range(5000)))
+    got = first_listed(read_listed(spark, str(tmp_path / "l.csv"), ["k", "v"]), "k", "v")
+    assert {int(r.k): int(r.v) for r in got.collect()} == {k: k for k in range(50)}
