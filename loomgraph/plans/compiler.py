@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +43,16 @@ def generate(table: DataFrame, rules: list[Rule]) -> DataFrame:
     return rows.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
 
 
+def prune(rules: list[Rule], predicates: set[str] | None = None, iris: bool = False) -> list[Rule]:
+    """The parts of rules that a query can use: objects of some predicates, or objects that are IRIs.
+
+    Triples come from arrays, which no filter reaches into; pruning rules first keeps other triples from being made, and
+    their columns from being read.
+    """
+    kept = [(r, tuple(o for o in r.objects if (predicates is None or o.predicate in predicates) and (o.iri or not iris))) for r in rules]
+    return [replace(r, objects=objects) for r, objects in kept if objects]
+
+
 def is_relation(rule: Rule) -> bool:
     """A table of two columns that states one IRI of each subject."""
     single = len(rule.objects) == 1 and rule.objects[0].iri and rule.objects[0].constant is None
@@ -116,7 +126,10 @@ def build_tables(rules: list[Rule], tables: dict[str, DataFrame]) -> Build:
     by = defaultdict(list)
     for r in rules:
         by[r.source].append(r)
-    return Build(reduce(DataFrame.unionByName, [generate(tables[s], own) for s, own in by.items() if s in tables]), sorted(s for s in by if s not in tables))
+    parts = [generate(tables[s], own) for s, own in by.items() if s in tables]
+    if not parts:
+        raise MissingSource(", ".join(sorted(by)) or "no rules")
+    return Build(reduce(DataFrame.unionByName, parts), sorted(s for s in by if s not in tables))
 
 
 def store(triples: DataFrame, path: str) -> None:

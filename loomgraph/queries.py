@@ -13,7 +13,7 @@ from .functions import values
 from .functions.terms import RDF_TYPE, XSD, local_name, typed
 from .operators import analytics, graph, reasoning
 from .plans import patterns
-from .plans.compiler import build_tables, dedupe
+from .plans.compiler import build_tables, dedupe, prune
 from .sources.ntriples import diff, line
 from .sources.rules import ObjectMap, Rule, constant, link, literal
 from .trade import BY_NAME, CLASS_EDGES, DATA, LITERAL_RANGES, ONT, SIDES, TERMS, frame
@@ -79,8 +79,10 @@ def bag(spark: SparkSession, d: str, *names: str, rules: list[Rule] | None = Non
     return build_tables(own, trade.tables(spark, d, list(dict.fromkeys(r.source for r in own)))).triples
 
 
-def kg(spark: SparkSession, d: str, *names: str) -> DataFrame:
-    return dedupe(bag(spark, d, *names))
+def kg(spark: SparkSession, d: str, *names: str, only: list[str] | None = None, iris: bool = False) -> DataFrame:
+    """The graph of some rules; ``only`` and ``iris`` name what the query uses of it."""
+    wanted = None if only is None else {p if ":" in p else ONT + p for p in only}
+    return dedupe(bag(spark, d, rules=prune([BY_NAME[n] for n in names], wanted, iris)))
 
 
 def single(source: str, subject: str, o: ObjectMap) -> list[Rule]:
@@ -143,7 +145,7 @@ def null_suppression(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT 'http://example.org/data/nation/' || CAST(n_nationkey AS VARCHAR) AS iri, CAST(n_nationkey AS VARCHAR) AS name FROM nation")
 def iri_local_name(spark: SparkSession, d: str) -> DataFrame:
-    return kg(spark, d, "nation").select(F.col("s").alias("iri"), local_name(F.col("s")).alias("name")).distinct()
+    return kg(spark, d, "nation", only=[RDF_TYPE]).select(F.col("s").alias("iri"), local_name(F.col("s")).alias("name")).distinct()
 
 
 # Building.
@@ -177,7 +179,7 @@ def graph_diff(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT o) AS BIGINT) AS targets FROM (" + sql_triples(*BY_NAME) + f") WHERE o_kind = 'iri' AND p <> '{RDF_TYPE}' GROUP BY p")
 def relation_fk_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.links(kg(spark, d, *BY_NAME)).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("o").alias("targets"))
+    return graph.links(kg(spark, d, *BY_NAME, iris=True)).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("o").alias("targets"))
 
 
 @query("SELECT c_custkey AS a, c_nationkey AS b, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, c_nationkey, 'right' FROM orders JOIN customer ON o_custkey = c_custkey WHERE FALSE")
@@ -205,12 +207,12 @@ def gc(*names: str) -> str:
 
 @query(gc("customer", "customer_types", "supplier") + "SELECT s, class FROM ent")
 def type_entailment(spark: SparkSession, d: str) -> DataFrame:
-    return reasoning.entailed(kg(spark, d, "customer", "customer_types", "supplier"), closed(spark))
+    return reasoning.entailed(kg(spark, d, "customer", "customer_types", "supplier", only=[RDF_TYPE]), closed(spark))
 
 
 @query(gc(*BY_NAME) + f"SELECT class, CAST(coalesce(a.n, 0) AS BIGINT) AS asserted, CAST(e.n AS BIGINT) AS entailed FROM (SELECT class, count(*) AS n FROM ent GROUP BY class) e LEFT JOIN (SELECT o AS class, count(*) AS n FROM g WHERE p = '{RDF_TYPE}' GROUP BY o) a USING (class)")
 def class_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return reasoning.rollup_histogram(kg(spark, d, *BY_NAME), closed(spark))
+    return reasoning.rollup_histogram(kg(spark, d, *BY_NAME, only=[RDF_TYPE]), closed(spark))
 
 
 @query("SELECT r_name, n_name, c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name, c_mktsegment)")
@@ -235,6 +237,7 @@ def _side_sql(names: list[str], side: str) -> str:
 
 
 CHECKED = ["nation", "customer", "customer_types", "supplier", "orders"]
+USED = [RDF_TYPE, *dict.fromkeys(s[0] for s in SIDES)]
 
 
 def sides(spark: SparkSession) -> DataFrame:
@@ -243,13 +246,13 @@ def sides(spark: SparkSession) -> DataFrame:
 
 @query(_side_sql(CHECKED, "domain"))
 def domain_violations(spark: SparkSession, d: str) -> DataFrame:
-    found = reasoning.check_side(kg(spark, d, *CHECKED), sides(spark), closed(spark), "domain")
+    found = reasoning.check_side(kg(spark, d, *CHECKED, only=USED), sides(spark), closed(spark), "domain")
     return found.groupBy("p", "verdict").agg(F.count("*").alias("n"))
 
 
 @query(_side_sql(CHECKED, "range"))
 def range_violations(spark: SparkSession, d: str) -> DataFrame:
-    found = reasoning.check_side(kg(spark, d, *CHECKED), sides(spark), closed(spark), "range")
+    found = reasoning.check_side(kg(spark, d, *CHECKED, only=USED), sides(spark), closed(spark), "range")
     return found.groupBy("p", "verdict").agg(F.count("*").alias("n"))
 
 
@@ -259,7 +262,7 @@ RANGES_SQL = "ranges(property, class) AS (VALUES " + ", ".join(f"('{ONT}{p}', '{
 @query(f"WITH {RANGES_SQL}, g AS ({sql_triples('part', 'supplier', 'orders')}) SELECT p, o_datatype, 'datatype' AS problem, CAST(count(*) AS BIGINT) AS n FROM g JOIN ranges ON p = property WHERE o_kind = 'literal' AND o_datatype <> class GROUP BY 1, 2")
 def datatype_violations(spark: SparkSession, d: str) -> DataFrame:
     ranges = spark.createDataFrame([(ONT + p, "range", 0, XSD + c) for p, c in LITERAL_RANGES], "property string, side string, choice int, class string")
-    return reasoning.check_literals(kg(spark, d, "part", "supplier", "orders"), ranges).groupBy("p", "o_datatype", "problem").agg(F.count("*").alias("n"))
+    return reasoning.check_literals(kg(spark, d, "part", "supplier", "orders", only=[p for p, _ in LITERAL_RANGES]), ranges).groupBy("p", "o_datatype", "problem").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(p_partkey AS BIGINT) AS part, p_brand AS text, TRY_CAST(replace(p_brand, 'Brand#', '') AS DECIMAL(38,10)) AS number FROM part")
@@ -271,13 +274,13 @@ def typed_view(spark: SparkSession, d: str) -> DataFrame:
 
 @query(g("nation", "customer", "orders") + f"SELECT s, p, o FROM g WHERE o_kind = 'iri' AND p <> '{RDF_TYPE}' AND o LIKE '{DATA}%' AND o NOT IN (SELECT s FROM g WHERE p = '{RDF_TYPE}')")
 def dangling_links(spark: SparkSession, d: str) -> DataFrame:
-    return reasoning.dangling(kg(spark, d, "nation", "customer", "orders"), DATA)
+    return reasoning.dangling(kg(spark, d, "nation", "customer", "orders", iris=True), DATA)
 
 
 @query(gc("customer", "customer_types") + f"SELECT s, '{ONT}BUILDING' AS a, '{ONT}Customer' AS b FROM ent WHERE class = '{ONT}BUILDING' AND s IN (SELECT s FROM ent WHERE class = '{ONT}Customer')")
 def disjoint_violations(spark: SparkSession, d: str) -> DataFrame:
     pair = frame(spark, [("BUILDING", "Customer")], "a string, b string", [0, 1])
-    return reasoning.disjoint_violations(kg(spark, d, "customer", "customer_types"), pair, closed(spark))
+    return reasoning.disjoint_violations(kg(spark, d, "customer", "customer_types", only=[RDF_TYPE]), pair, closed(spark))
 
 
 TERMS_SQL = f"terms(iri, kind) AS ({_values(TERMS, [0])})"
@@ -289,7 +292,7 @@ def terms(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {TERMS_SQL}, g AS ({sql_triples(*BY_NAME)}) SELECT o AS class, CAST(count(*) AS BIGINT) AS n FROM g WHERE p = '{RDF_TYPE}' AND o NOT IN (SELECT iri FROM terms WHERE kind = 'class') GROUP BY o")
 def unknown_class(spark: SparkSession, d: str) -> DataFrame:
-    return reasoning.unknown_classes(kg(spark, d, *BY_NAME), terms(spark))
+    return reasoning.unknown_classes(kg(spark, d, *BY_NAME, only=[RDF_TYPE]), terms(spark))
 
 
 @query(f"WITH {TERMS_SQL}, g AS ({sql_triples('region', 'nation', 'customer')}) SELECT iri, kind FROM terms WHERE kind <> 'class' AND iri NOT IN (SELECT p FROM g)")
@@ -318,7 +321,7 @@ def triple_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query(g(*BY_NAME) + f"SELECT CAST(count(DISTINCT s) AS BIGINT) AS entities FROM g WHERE p = '{RDF_TYPE}'")
 def entity_count(spark: SparkSession, d: str) -> DataFrame:
-    return graph.entities(bag(spark, d, *BY_NAME)).agg(F.count("*").alias("entities"))
+    return graph.entities(bag(spark, d, rules=prune(list(BY_NAME.values()), {RDF_TYPE}))).agg(F.count("*").alias("entities"))
 
 
 @query(g(*BY_NAME) + "SELECT p, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT s) AS BIGINT) AS n_subjects FROM g GROUP BY p")
@@ -332,12 +335,12 @@ LINKS_SQL = g(*LINKED)[:-1] + f", l AS (SELECT s, o FROM g WHERE o_kind = 'iri'
 
 @query(LINKS_SQL + "SELECT node, degree FROM deg")
 def degree(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degree(kg(spark, d, *LINKED))
+    return graph.degree(kg(spark, d, *LINKED, iris=True))
 
 
 @query(LINKS_SQL + "SELECT node, degree FROM deg ORDER BY degree DESC, node LIMIT 10")
 def top_degree(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degree(kg(spark, d, *LINKED)).orderBy(F.desc("degree"), "node").limit(10)
+    return graph.degree(kg(spark, d, *LINKED, iris=True)).orderBy(F.desc("degree"), "node").limit(10)
 
 
 PARTLY = ["customer_types", "part", "orders"]
@@ -346,12 +349,12 @@ PARTLY_SQL = LINKS_SQL.replace(sql_triples(*LINKED), sql_triples(*PARTLY))
 
 @query(PARTLY_SQL + "SELECT node FROM e WHERE node NOT IN (SELECT node FROM deg)")
 def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.isolated(kg(spark, d, *PARTLY))
+    return graph.isolated(kg(spark, d, *PARTLY, iris=True))
 
 
 @query(PARTLY_SQL + "SELECT CAST(count(*) AS BIGINT) AS entities, CAST(count(*) FILTER (degree IS NULL) AS BIGINT) AS unlinked, CAST(count(degree) AS DOUBLE) / count(*) AS ratio FROM e LEFT JOIN deg USING (node)")
 def connectivity_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return graph.connectivity(kg(spark, d, *PARTLY))
+    return graph.connectivity(kg(spark, d, *PARTLY, iris=True))
 
 
 @query("SELECT o_custkey, min_by(o_orderpriority, o_orderkey) AS first_priority FROM orders GROUP BY o_custkey")
@@ -365,7 +368,7 @@ PLACES = f"SELECT '{DATA}customer/' || CAST(c_custkey AS VARCHAR) AS a, '{DATA}n
 
 
 def places(spark: SparkSession, d: str) -> DataFrame:
-    return graph.links(bag(spark, d, "customer", "nation")).select(F.col("s").alias("a"), F.col("o").alias("b"))
+    return graph.links(bag(spark, d, rules=prune([BY_NAME["customer"], BY_NAME["nation"]], iris=True))).select(F.col("s").alias("a"), F.col("o").alias("b"))
 
 
 @query(f"WITH e AS ({PLACES}), n AS (SELECT DISTINCT node, r FROM (SELECT a AS node, r FROM e UNION ALL SELECT b, r FROM e)) SELECT node, min(node) OVER (PARTITION BY r) AS component FROM n")
@@ -396,12 +399,12 @@ MONEY = "CAST(CAST({} AS DECIMAL(18,2)) AS VARCHAR)"
 
 @query(f"SELECT {iri('customer', 'c_custkey')} AS c, c_name AS name, {MONEY.format('c_acctbal')} AS balance, {iri('nation', 'c_nationkey')} AS nation FROM customer")
 def bgp_star(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.match(kg(spark, d, "customer"), [("?c", ONT + "customerName", "?name"), ("?c", ONT + "balance", "?balance"), ("?c", ONT + "inNation", "?nation")])
+    return patterns.match(kg(spark, d, "customer", only=["customerName", "balance", "inNation"]), [("?c", ONT + "customerName", "?name"), ("?c", ONT + "balance", "?balance"), ("?c", ONT + "inNation", "?nation")])
 
 
 @query(f"SELECT {iri('order', 'o_orderkey')} AS o, {iri('customer', 'o_custkey')} AS c, {iri('nation', 'c_nationkey')} AS n, {iri('region', 'n_regionkey')} AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def bgp_path(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.match(kg(spark, d, "orders", "customer", "nation"), [("?o", ONT + "orderedBy", "?c"), ("?c", ONT + "inNation", "?n"), ("?n", ONT + "inRegion", "?r")])
+    return patterns.match(kg(spark, d, "orders", "customer", "nation", only=["orderedBy", "inNation", "inRegion"]), [("?o", ONT + "orderedBy", "?c"), ("?c", ONT + "inNation", "?n"), ("?n", ONT + "inRegion", "?r")])
 
 
 #: Lines of one number in an order are one node, so that each property is a set of its own.
@@ -410,41 +413,41 @@ LINE = iri("line", "l_orderkey || '-' || l_linenumber")
 
 @query(f"SELECT x.l, x.o, y.p, y.brand, z.q, x.y FROM (SELECT DISTINCT {LINE} AS l, {iri('order', 'l_orderkey')} AS o, CAST(year(o_orderdate) AS VARCHAR) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x JOIN (SELECT DISTINCT {LINE} AS l, {iri('part', 'l_partkey')} AS p, p_brand AS brand FROM lineitem JOIN part ON l_partkey = p_partkey) y ON x.l = y.l JOIN (SELECT DISTINCT {LINE} AS l, {MONEY.format('l_quantity')} AS q FROM lineitem) z ON x.l = z.l")
 def bgp_snowflake(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.match(kg(spark, d, "lineitem", "orders", "part"), [("?l", ONT + "ofOrder", "?o"), ("?l", ONT + "ofPart", "?p"), ("?l", ONT + "quantity", "?q"), ("?o", ONT + "orderYear", "?y"), ("?p", ONT + "brand", "?brand")])
+    return patterns.match(kg(spark, d, "lineitem", "orders", "part", only=["ofOrder", "ofPart", "quantity", "orderYear", "brand"]), [("?l", ONT + "ofOrder", "?o"), ("?l", ONT + "ofPart", "?p"), ("?l", ONT + "quantity", "?q"), ("?o", ONT + "orderYear", "?y"), ("?p", ONT + "brand", "?brand")])
 
 
 @query(f"SELECT {iri('customer', 'c_custkey')} AS c, c_name AS name, CASE WHEN o_orderkey IS NULL THEN NULL ELSE {iri('order', 'o_orderkey')} END AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 def bgp_optional(spark: SparkSession, d: str) -> DataFrame:
-    t = kg(spark, d, "customer", "orders")
+    t = kg(spark, d, "customer", "orders", only=["customerName", "orderedBy"])
     return patterns.optional(patterns.match(t, [("?c", ONT + "customerName", "?name")]), patterns.match(t, [("?o", ONT + "orderedBy", "?c")])).select("c", "name", "o")
 
 
 @query(f"SELECT {iri('customer', 'c_custkey')} AS x, c_name AS name, NULL AS nation FROM customer UNION ALL SELECT {iri('supplier', 's_suppkey')}, s_name, {iri('nation', 's_nationkey')} FROM supplier")
 def bgp_union(spark: SparkSession, d: str) -> DataFrame:
-    t = kg(spark, d, "customer", "supplier")
+    t = kg(spark, d, "customer", "supplier", only=["customerName", "supplierName", "inNation"])
     return patterns.union(patterns.match(t, [("?x", ONT + "customerName", "?name")]), patterns.match(t, [("?x", ONT + "supplierName", "?name"), ("?x", ONT + "inNation", "?nation")])).select("x", "name", "nation")
 
 
 @query(f"SELECT {iri('customer', 'c_custkey')} AS c, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def bgp_minus(spark: SparkSession, d: str) -> DataFrame:
-    t = kg(spark, d, "customer", "orders")
+    t = kg(spark, d, "customer", "orders", only=["customerName", "orderedBy"])
     return patterns.minus(patterns.match(t, [("?c", ONT + "customerName", "?name")]), patterns.match(t, [("?o", ONT + "orderedBy", "?c")]))
 
 
 @query(f"SELECT {iri('order', 'o_orderkey')} AS o, {MONEY.format('o_totalprice')} AS total FROM orders WHERE CAST(o_totalprice AS DECIMAL(18,2)) BETWEEN 100000 AND 200000")
 def bgp_filter_typed(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.match(kg(spark, d, "orders"), [("?o", ONT + "totalPrice", "?total")]).filter(patterns.number("total").between(100000, 200000))
+    return patterns.match(kg(spark, d, "orders", only=["totalPrice"]), [("?o", ONT + "totalPrice", "?total")]).filter(patterns.number("total").between(100000, 200000))
 
 
 @query(f"SELECT {iri('nation', 'c_nationkey')} AS n, CAST(count(*) AS BIGINT) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def bgp_group_agg(spark: SparkSession, d: str) -> DataFrame:
-    found = patterns.match(kg(spark, d, "orders", "customer"), [("?o", ONT + "orderedBy", "?c"), ("?o", ONT + "totalPrice", "?t"), ("?c", ONT + "inNation", "?n")])
+    found = patterns.match(kg(spark, d, "orders", "customer", only=["orderedBy", "totalPrice", "inNation"]), [("?o", ONT + "orderedBy", "?c"), ("?o", ONT + "totalPrice", "?t"), ("?c", ONT + "inNation", "?n")])
     return found.groupBy("n").agg(F.count("*").alias("n_orders"), F.sum(F.col("t").try_cast("decimal(18,2)")).cast("decimal(38,2)").alias("total"))
 
 
 @query(f"SELECT {iri('customer', 'c_custkey')} AS x, {iri('nation', 'c_nationkey')} AS n FROM customer UNION ALL SELECT {iri('supplier', 's_suppkey')}, {iri('nation', 's_nationkey')} FROM supplier")
 def bgp_type_inferred(spark: SparkSession, d: str) -> DataFrame:
-    t = kg(spark, d, "customer", "customer_types", "supplier")
+    t = kg(spark, d, "customer", "customer_types", "supplier", only=[RDF_TYPE, "inNation"])
     return patterns.instances(t, ONT + "Party", closed(spark)).join(patterns.match(t, [("?x", ONT + "inNation", "?n")]), "x")
 
 
@@ -463,7 +466,7 @@ def weighted_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT {iri('supplier', 's_suppkey')} AS s, s_name AS name, {MONEY.format('s_acctbal')} AS balance, {iri('nation', 's_nationkey')} AS nation FROM supplier")
 def property_table(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.property_table(kg(spark, d, "supplier"), {"name": ONT + "supplierName", "balance": ONT + "balance", "nation": ONT + "inNation"}, first_only=True)
+    return patterns.property_table(kg(spark, d, "supplier", only=["supplierName", "balance", "inNation"]), {"name": ONT + "supplierName", "balance": ONT + "balance", "nation": ONT + "inNation"}, first_only=True)
 
 
 @query("SELECT event_type, CAST(count(value) AS BIGINT) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS low, max(value) AS high, round(sum(pow(value - m, 3)) / count(*) / pow(stddev_pop(value), 3), 6) AS skewness FROM (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY event_type")

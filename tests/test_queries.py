@@ -41,6 +41,11 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
 
 
+def test_patterns_read_the_columns_they_use(spark, sf_dir):
+    plan = Q.QUERIES["bgp_path"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan and "o_orderdate" not in plan
+
+
 def test_entry_without_the_training_operators():
     import __spark_entry__
 
