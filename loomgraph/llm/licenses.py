@@ -96,22 +96,23 @@ class Compressor:
     def _match(self, block: str) -> tuple[tuple[str, float, int], ...]:
         """Confirmed templates of a block: (license, share of its compressed size saved, words changed).
 
-        All templates are ranked by the bytes they save. Those that save enough are held against the block word by word;
-        where places overlap, fewer changes win, then more words, then the larger saving.
+        All templates are ranked by the bytes they save; those that save enough are held against the block word by word,
+        in that order. A confirmed one keeps its place from those after it. Equal savings go by fewer changes, then by length.
         """
         data, words = block.encode("utf-8", "replace"), words_of(block)
         size = len(self.alone.compress(data))
         confirmed = []
         for i, given in enumerate(self.given):
             name, text, own = PLAIN[i]
-            gain = (size - len(given.compress(data))) / size
+            saved = size - len(given.compress(data))
+            gain = saved / size
             if gain >= LEAST_GAIN * min(1.0, len(text) / max(1, len(block))) and (place := difference(own, words)) and 100 * place[2] <= CHANGES * len(own):
-                confirmed.append((place[2], -len(own), -gain, name, place))
+                confirmed.append((-saved, place[2], -len(own), name, place))
         found, taken = [], []
-        for changed, _, loss, name, (start, end, _) in sorted(confirmed):
+        for loss, changed, _, name, (start, end, _) in sorted(confirmed):
             if all(end <= s or e <= start for s, e in taken):
                 taken.append((start, end))
-                found.append((name, round(-loss, 4), changed))
+                found.append((name, round(-loss / size, 4), changed))
         return tuple(found)
 
 
