@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE
@@ -55,16 +54,18 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """``node, component`` for all nodes of ``edges`` (a, b): the smallest node reachable.
 
     Alternating stars: each node hangs its larger neighbours, then its smaller ones, on the smallest node around it. No
-    round has more edges than the one before, and rounds grow with the logarithm of the longest path.
+    round has more edges than the one before. Smallest nodes are partial aggregates, joined back; a node with very many
+    neighbours is skew that adaptive execution splits.
     """
     loops = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
     now = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     seen = None
     for _ in range(most):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.select("b", "a", F.least("a", F.min("b").over(W.partitionBy("a"))).alias("m")).filter("b > a").select(F.col("m").alias("a"), "b").distinct()
-        lowest = large.select("a", "b", F.min("a").over(W.partitionBy("b")).alias("m"))
-        now = settle(lowest.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct())
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.least("a", "m").alias("a"), "b").distinct()
+        lowest = large.groupBy("b").agg(F.min("a").alias("m"))
+        now = settle(large.join(lowest, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct())
         sums = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if sums == seen:
             break
