@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import over_batches, settle, small, utf8
@@ -78,18 +77,21 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang each node's larger neighbours on the smallest node around it."""
+    """Hang each node's larger neighbours on the smallest node around it.
+
+    The smallest is a partial aggregate, and comes back by a join whose long side adaptive execution may split: a node
+    with very many neighbours is no task of its own.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = F.least("a", F.min("b").over(W.partitionBy("a")))
-    return both.select("a", "b", least.alias("m")).filter("b > a").select(F.col("m").alias("a"), "b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    return both.join(least, "a").filter("b > a").select(F.least("a", "m").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Hang each node and its smaller neighbours on the smallest of these. Edges come as a < b, and leave so."""
-    lowest = edges.select("a", "b", F.min("a").over(W.partitionBy("b")).alias("m"))
-    moved = F.when(F.col("a") == F.col("m"), F.struct(F.col("m").alias("a"), F.col("b").alias("b"))).otherwise(F.struct(F.col("m").alias("a"), F.col("a").alias("b")))
-    # (b, m) comes from the row whose a is m, which each b has.
-    return lowest.select(moved.alias("e")).select("e.a", "e.b").distinct()
+    lowest = edges.groupBy("b").agg(F.min("a").alias("m"))
+    # The row whose a is m, which each b has, stands for (m, b); the others hang a itself on m.
+    return edges.join(lowest, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
