@@ -17,7 +17,7 @@ DIMENSION_ROWS = 100_000
 
 def dimension(table: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
     """Mark an ontology table for broadcast if it has at most ``rows`` rows; beyond, Spark shuffles the join."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
