@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table may be broadcast; beyond it Spark plans a shuffled join.
 BROADCAST_ROWS = 200_000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,7 +35,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a table for broadcast if a count shows it has at most ``rows`` rows; otherwise leave the join to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def utf8(column: str = "text"):
@@ -72,4 +73,7 @@ def over_batches(df: DataFrame, schema: str, column: str, make: Callable[[], Cal
     from pyspark.sql.types import StructType
 
     wanted = to_arrow_schema(StructType.fromDDL(schema))
+    # Whole texts travel in these batches: Spark's default of 10,000 rows is made for short ones. A session's own choice stays.
+    if df.sparkSession.conf.get(BATCH, "10000") == "10000":
+        df.sparkSession.conf.set(BATCH, "1000")
     return df.mapInArrow(run, schema)

@@ -14,8 +14,8 @@ from .chain import Chain, emissions, posteriors, train
 from .common import over_batches, settle, small
 
 #: Bounds of the labelled sample the model is fitted on: rows of each language, and characters in all.
-SAMPLE_ROWS = 600
-SAMPLE_CHARS = 12_000_000
+SAMPLE_ROWS = 400
+SAMPLE_CHARS = 8_000_000
 #: Buckets of hashed features, and how many of a language's commonest words its lexicon holds.
 BUCKETS = 1 << 17
 LEXICON = 400
@@ -148,7 +148,8 @@ def fit(labelled: list[tuple[str, str]], seed: int = 11) -> Model:
             w = words_of([p[0] for p in parts])
             n_words = np.bincount(w.text, minlength=len(parts))
             at = np.cumsum([len(seq) for seq in batch]) - [len(seq) for seq in batch]
-            data.append((*features(w, lexicon, flags), np.add.reduceat(n_words, at), np.array([p[1] for p in parts])[w.text]))
+            flat, counts = features(w, lexicon, flags)
+            data.append((flat.astype(np.int32), counts, np.add.reduceat(n_words, at), np.array([p[1] for p in parts])[w.text]))
             batch = []
     return Model(langs, train(data, BUCKETS, len(langs)), lexicon, flags)
 
@@ -215,7 +216,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return apply
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return over_batches(docs.select("doc_id", held_out().alias("held_out"), "text"), f"doc_id {kind}, held_out boolean, lang_pred string, score double", "text", make, 2 << 20)
+    return over_batches(docs.select("doc_id", held_out().alias("held_out"), "text"), f"doc_id {kind}, held_out boolean, lang_pred string, score double", "text", make, 1 << 20)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
