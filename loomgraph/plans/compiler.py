@@ -21,12 +21,8 @@ def _object(o: ObjectMap, schema: T.StructType) -> Column:
     return template(o.template, schema) if o.template is not None else lexical(o.reference, schema[o.reference].dataType)
 
 
-def generate(table: DataFrame, rules: list[Rule]) -> DataFrame:
-    """All triples of the rules over one table, from one scan: a row becomes an array of triples, which is inlined.
-
-    Objects that are null give no triple; neither do subjects.
-    """
-    schema = table.schema
+def triples_of(rules: list[Rule], schema: T.StructType) -> Column:
+    """All triples that the rules make of a row, as one array."""
 
     def triple(rule: Rule, o: ObjectMap) -> Column:
         return F.struct(
@@ -39,7 +35,15 @@ def generate(table: DataFrame, rules: list[Rule]) -> DataFrame:
             F.lit(rule.name).alias("src"),
         )
 
-    rows = table.select(F.inline(F.array(*[triple(r, o) for r in rules for o in r.objects])))
+    return F.array(*[triple(r, o) for r in rules for o in r.objects])
+
+
+def generate(table: DataFrame, rules: list[Rule]) -> DataFrame:
+    """All triples of the rules over one table, from one scan: each row's array is inlined.
+
+    Objects that are null give no triple; neither do subjects.
+    """
+    rows = table.select(F.inline(triples_of(rules, table.schema)))
     return rows.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.terms import IDENTITY
-from ..plans.compiler import generate
+from ..plans.compiler import generate, triples_of
 from ..sources.rules import Rule
 
 
@@ -20,14 +20,7 @@ def stream_triples(rows: DataFrame, rules: list[Rule], time: str | None = None,
     if time is None:
         return generate(rows, rules).dropDuplicates(IDENTITY)
     marked = rows.withWatermark(time, late)
-    schema = marked.schema
-    from ..plans.compiler import _object
-    from ..functions.terms import template
-
-    def triple(rule, o):
-        return F.struct(template(rule.subject, schema).alias("s"), F.lit(o.predicate).alias("p"), _object(o, schema).alias("o"), F.lit("iri" if o.iri else "literal").alias("o_kind"), F.lit(None if o.iri else o.datatype).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"), F.lit(rule.name).alias("src"))
-
-    flat = marked.select(F.col(time).alias("seen_at"), F.explode(F.array(*[triple(r, o) for r in rules for o in r.objects])).alias("t")).select("seen_at", "t.*")
+    flat = marked.select(F.col(time).alias("seen_at"), F.explode(triples_of(rules, marked.schema)).alias("t")).select("seen_at", "t.*")
     return flat.filter("s is not null and o is not null").dropDuplicatesWithinWatermark(IDENTITY)
 
 

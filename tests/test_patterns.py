@@ -132,3 +132,13 @@ def test_text_ranges_and_conditions(spark):
     assert [r[0] for r in rows.select(condition_holds(F.col("v"), F.col("o"), F.col("b"))).collect()] == [True, False, True, None, True, None]
     rows = spark.createDataFrame([(1.0, 2.0), (4.0, 4.0)], "p double, o double").agg(*errors(F.col("p"), F.col("o"))).first()
     assert (rows.mae, round(rows.rmse, 4), rows.bias, rows.r2) == (0.5, 0.7071, -0.5, 0.5)
+
+
+def test_stream_with_a_watermark_drops_what_comes_again(spark, tmp_path):
+    rules = [Rule("r", "t", "http://d/{id}", (constant("a", "http://o/T"), literal("n", "name", XSD + "string")))]
+    rows = [("1", "x", "2024-01-01 00:00:00"), ("1", "x", "2024-01-01 00:05:00"), ("2", None, "2024-01-01 00:06:00")]
+    source = spark.createDataFrame(rows, "id string, name string, t string").withColumn("t", F.col("t").cast("timestamp"))
+    source.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = stream_triples(spark.readStream.schema(source.schema).parquet(str(tmp_path / "in")), rules, "t", "1 hour")
+    stream.writeStream.format("memory").queryName("marked").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    assert sorted((r.s[-1], r.p) for r in spark.table("marked").collect()) == [("1", "a"), ("1", "n"), ("2", "a")]
