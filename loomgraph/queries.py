@@ -451,10 +451,10 @@ def bgp_type_inferred(spark: SparkSession, d: str) -> DataFrame:
     return patterns.instances(t, ONT + "Party", closed(spark)).join(patterns.match(t, [("?x", ONT + "inNation", "?n")]), "x")
 
 
-@query("WITH b AS (SELECT c_nationkey AS k, CAST(c_acctbal AS DECIMAL(18,2)) AS v FROM customer) SELECT k AS nation, CAST(count(*) AS BIGINT) AS n, CAST(avg(v) AS DOUBLE) AS mean, CAST(min(v) AS DECIMAL(18,2)) AS low, CAST(max(v) AS DECIMAL(18,2)) AS high FROM b GROUP BY k")
+@query("WITH b AS (SELECT c_nationkey AS k, CAST(c_acctbal AS DECIMAL(18,2)) AS v FROM customer) SELECT k AS nation, CAST(count(*) AS BIGINT) AS n, round(CAST(sum(v) AS DOUBLE) / count(*), 4) AS mean, CAST(min(v) AS DECIMAL(18,2)) AS low, CAST(max(v) AS DECIMAL(18,2)) AS high FROM b GROUP BY k")
 def stats_by_group(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("c_acctbal").cast("decimal(18,2)")
-    return trade.tables(spark, d, ["customer"])["customer"].groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"), F.avg(v).cast("double").alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"))
+    return trade.tables(spark, d, ["customer"])["customer"].groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"), F.round(F.sum(v).cast("double") / F.count("*"), 4).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"))
 
 
 @query("SELECT l_partkey AS part, CAST(round(sum(CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2))) * 10000 / sum(CAST(l_quantity AS DECIMAL(18,2)))) AS BIGINT) AS weighted FROM lineitem GROUP BY l_partkey")
