@@ -219,7 +219,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return over_batches(docs.select("doc_id", held_out().alias("held_out"), "text"), f"doc_id {kind}, held_out boolean, lang_pred string, score double", "text", make, 1 << 20)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """Drop documents in no known language: ``und``, or a score below ``least``. Other columns stay."""
     found = identify(docs).filter((F.col("lang_pred") == "und") | (F.col("score") < least))
     bad = small(settle(found.select("doc_id").distinct()))
