@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches
+from .common import over_batches, settle
 from .language import words_of
 
 #: Words are predicted as one of CLASSES classes, then as one of CLASSES members: two small softmaxes, exactly normalised.
@@ -24,8 +24,12 @@ PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 SHARE, ROUNDS, STEP, PIECES = 0.04, 2, 4096, 16
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the commonest words, most frequent first, by counts over every word of the corpus."""
+#: Counts of words with at least one in FREQUENT of all tokens, so of at most FREQUENT words, go to every task; those of the rest are joined.
+FREQUENT = 1 << 20
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``hash, n``: how often the corpus holds each of its words."""
 
     def make():
         def apply(batch: pa.RecordBatch) -> dict:
@@ -34,11 +38,27 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
 
         return apply
 
-    counts = over_batches(docs.select("text"), "hash bigint, n bigint", "text", make, 1 << 20).groupBy("hash").agg(F.sum("n").alias("n"))
+    return over_batches(docs.select("text"), "hash bigint, n bigint", "text", make, 1 << 20).groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame) -> np.ndarray:
+    """Hashes of the commonest words, most frequent first."""
     top = counts.orderBy(F.desc("n"), "hash").limit(VOCABULARY).collect()
     return np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
 
 
+def rare_words(counts: DataFrame, words: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """``hash, n`` of all words outside the vocabulary, and how many tokens each bucket stands for."""
+    known = counts.sparkSession.createDataFrame([(h,) for h in words.view(np.int64).tolist()], "hash bigint")
+    rest = counts.join(F.broadcast(known), "hash", "left_anti")
+    # Hashes are unsigned: 2 ** 64 leaves 16 when divided by RARE.
+    bucket = F.pmod(F.pmod("hash", F.lit(RARE)) + F.when(F.col("hash") < 0, (1 << 64) % RARE).otherwise(0), F.lit(RARE)).cast("int")
+    held = np.zeros(RARE)
+    for r in rest.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        held[r["bucket"]] = r["n"]
+    return rest, held
+
+
 class Coder:
     """Words to token numbers: the rank of a known word, a bucket of the rest."""
 
@@ -46,8 +66,8 @@ class Coder:
         self.order = np.argsort(words)
         self.sorted = words[self.order]
 
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' tokens with SIDE edges before, between and after, and the text of each (-1 at edges)."""
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``tokens``, then the hash and the text of each word outside the vocabulary."""
         w = words_of(texts)
         at = np.minimum(np.searchsorted(self.sorted, w.hashes), max(0, len(self.sorted) - 1))
         known = self.sorted[at] == w.hashes if len(self.sorted) else np.zeros(len(w.hashes), bool)
@@ -55,7 +75,11 @@ class Coder:
         place = np.arange(len(code)) + SIDE * (w.text + 1)
         tokens, owner = np.full(len(code) + SIDE * (len(texts) + 1), EDGE), np.full(len(code) + SIDE * (len(texts) + 1), -1)
         tokens[place], owner[place] = code, w.text
-        return tokens, owner
+        return tokens, owner, w.hashes[~known], w.text[~known]
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' tokens with SIDE edges before, between and after, and the text of each (-1 at edges)."""
+        return self.coded(texts)[:2]
 
 
 class Network:
@@ -194,9 +218,9 @@ def _round(docs: DataFrame, words, net, number: int, share: float) -> Network:
     return Network.shaped(np.concatenate([np.frombuffer(r["weights"], "<f4") for r in rows])) if rows else Network()
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> tuple[np.ndarray, Network]:
+def train(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE, counts: DataFrame | None = None) -> tuple[np.ndarray, Network]:
     """The vocabulary by counts over all words, and the network after ``rounds`` of distributed training over all texts."""
-    words = vocabulary(docs)
+    words = vocabulary(word_counts(docs) if counts is None else counts)
     context, net = docs.sparkSession.sparkContext, Network()
     shared = context.broadcast(words)
     for k in range(rounds):
@@ -208,27 +232,46 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, share: float = SHAR
     """``doc_id, n_tokens, log_likelihood, mean_log_likelihood, perplexity`` for each row of ``docs`` (doc_id, text).
 
     A token is a run of letters. ``log_likelihood`` sums over all tokens of the whole text the log-probability of the token
-    given two words on either side. Null texts and texts without letters have no tokens: sum 0, and no mean. Repeated rows
-    score alike. An empty table trains nothing and scores nothing.
+    given two words on either side. The network predicts the commonest words (VOCABULARY) and buckets of all others; a word
+    in a bucket has the bucket's probability times its share of the bucket's tokens in the corpus. Null texts and texts
+    without letters have no tokens: sum 0, and no mean. Repeated rows score alike. An empty table trains nothing and scores
+    nothing.
     """
-    words, net = train(docs, rounds, share)
+    counts = settle(word_counts(docs))
+    words, net = train(docs, rounds, share, counts)
+    rest, held = rare_words(counts, words)
+    least = max(1, (counts.agg(F.sum("n")).first()[0] or 0) / FREQUENT)
+    often = rest.filter(F.col("n") >= least).toArrow().sort_by("hash")
     context = docs.sparkSession.sparkContext
     shared, weights = context.broadcast(words), context.broadcast(net.flat())
+    often = context.broadcast((often["hash"].to_numpy(), np.log(often["n"].to_numpy()), np.log(np.maximum(held, 1))))
 
     def make():
         coder, own = Coder(shared.value), Network.shaped(weights.value)
+        frequent, logs_of, bucket_logs = often.value
 
         def apply(batch: pa.RecordBatch) -> dict:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            tokens, owner = coder.tokens(texts)
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            tokens, owner, hashes, text = coder.coded(texts)
             at = np.flatnonzero(owner >= 0)
             logs = own.scores(tokens, at)
-            n = np.bincount(owner[at], minlength=len(texts))
             total = np.bincount(owner[at], weights=logs, minlength=len(texts))
-            mean = [float(t / k) if k else None for t, k in zip(total, n, strict=True)]
-            return {"doc_id": batch.column(0), "n_tokens": n, "log_likelihood": total, "mean_log_likelihood": mean, "perplexity": [None if m is None else float(np.exp(-m)) for m in mean]}
+            total -= np.bincount(text, weights=bucket_logs[(hashes % np.uint64(RARE)).astype(np.int64)], minlength=len(texts))
+            hashes = hashes.view(np.int64)
+            where = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
+            found = frequent[where] == hashes if len(frequent) else np.zeros(len(hashes), bool)
+            total += np.bincount(text[found], weights=logs_of[where[found]], minlength=len(texts))
+            left = np.bincount(text[~found], minlength=len(texts))
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32()), pa.array(hashes[~found]))
+            return {"row": batch.column(0), "doc_id": batch.column(1), "n_tokens": np.bincount(owner[at], minlength=len(texts)), "total": total, "rare": rare}
 
         return apply
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return over_batches(docs.select("doc_id", "text"), f"doc_id {kind}, n_tokens bigint, log_likelihood double, mean_log_likelihood double, perplexity double", "text", make, 1 << 20)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    # Rows keep their numbers once they are written.
+    scored = settle(over_batches(numbered, f"row bigint, doc_id {kind}, n_tokens bigint, total double, rare array<bigint>", "text", make, 1 << 20))
+    terms = scored.select("row", F.explode("rare").alias("hash")).join(rest.filter(F.col("n") < least), "hash").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    whole = scored.join(terms, "row", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return whole.select("doc_id", "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"), F.exp(-mean).alias("perplexity"))

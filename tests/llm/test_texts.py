@@ -243,3 +243,29 @@ def test_pseudo_likelihood_tells_order(spark):
     assert [(r.n_tokens, r.log_likelihood, r.perplexity) for r in got[401:]] == [(0, 0.0, None)] * 3
     assert all(abs(r.log_likelihood - r.n_tokens * r.mean_log_likelihood) < 1e-3 for r in got[:400])
     assert lm.pseudo_likelihood(table(spark, []).limit(0)).count() == 0
+
+
+def test_rare_words_have_probabilities_of_their_own(spark, monkeypatch):
+    # More words than the vocabulary holds; the tail is joined, its commonest part broadcast.
+    names = ["".join("abcdefghij"[int(c)] for c in str(10000 + i)) for i in range(6000)]
+    common = " ".join(names[: lm.VOCABULARY]) + " "
+    rare = [x for i, x in enumerate(names[lm.VOCABULARY :]) for _ in range(1 + i % 4)]
+    texts = [common * 9, " ".join(rare), names[-1], names[-2], names[-1] + " " + names[-2], names[-3], None]
+    seen = Counter(" ".join(t or "" for t in texts).split())
+    bucket = lambda x: int(language.words_of([x]).hashes[0] % np.uint64(lm.RARE))
+    held, tail = Counter(), set(names[lm.VOCABULARY :])
+    for x in tail:
+        held[bucket(x)] += seen[x]
+    docs = table(spark, texts)
+    _, sums = lm.rare_words(lm.word_counts(docs), lm.vocabulary(lm.word_counts(docs)))
+    assert sums.tolist() == [held[b] for b in range(lm.RARE)]
+    for most in (1 << 20, 6000, 1):
+        monkeypatch.setattr(lm, "FREQUENT", most)
+        words, net = lm.train(docs, 0)
+        coder = lm.Coder(words)
+        got = lm.pseudo_likelihood(docs, rounds=0).orderBy("doc_id").collect()
+        for r, t in zip(got, texts, strict=True):
+            tokens, owner = coder.tokens([t or ""])
+            plain = float(net.scores(tokens, np.flatnonzero(owner >= 0)).astype(float).sum())
+            own = sum(np.log(seen[x] / held[bucket(x)]) for x in (t or "").split() if x in tail)
+            assert r.n_tokens == len((t or "").split()) and abs(r.log_likelihood - plain - own) < 1e-3 * max(1, r.n_tokens)
