@@ -20,8 +20,8 @@ VOCABULARY = CLASSES * CLASSES - RARE - 1
 #: Neighbours seen on either side, and the size of the hidden layer.
 SIDE, HIDDEN = 2, 24
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
-#: Share of all positions that a round of training draws, from every text alike; rounds; words of a step; pieces of the weights.
-SHARE, ROUNDS, STEP, PIECES = 0.04, 2, 4096, 16
+#: Share of all positions that a round of training draws (all), from every text alike; rounds; words of a step; pieces of the weights.
+SHARE, ROUNDS, STEP, PIECES = 1.0, 1, 4096, 16
 
 
 #: Counts of words with at least one in FREQUENT of all tokens, so of at most FREQUENT words, go to every task; those of the rest are joined.
@@ -89,6 +89,7 @@ class Network:
         rng = np.random.default_rng(seed)
         make = lambda *s: (0.1 * rng.standard_normal(s)).astype(np.float32)
         self.sums: dict[str, np.ndarray] = {}
+        self.seen = 0  # targets of the training rounds
         self.w = weights or {"near": make(len(PLACES), CLASSES * CLASSES, HIDDEN), "class": make(HIDDEN, CLASSES), "class_bias": np.zeros(CLASSES, np.float32), "word": make(CLASSES, HIDDEN, CLASSES), "word_bias": np.zeros((CLASSES, CLASSES), np.float32)}
 
     def hidden(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -173,7 +174,7 @@ class Network:
 
 
 def _round(docs: DataFrame, words, net, number: int, share: float) -> Network:
-    """Every task trains a copy on a random share of the positions of all its texts; the copies' mean, by words seen, is next.
+    """Every task trains a copy on a random share (1: all) of the positions of all its texts; the copies' mean, by words seen, is next.
 
     Weights go out in pieces. Each piece's copies are added up as they stream by, so no task holds more than its sums.
     """
@@ -215,7 +216,11 @@ def _round(docs: DataFrame, words, net, number: int, share: float) -> Network:
     # Two levels: first some copies of a piece each, then these means.
     once = copies.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(8))).repartition(PIECES * 4, "piece", "lot").drop("lot").mapInArrow(add, columns)
     rows = once.repartition(PIECES, "piece").mapInArrow(add, columns).orderBy("piece").collect()
-    return Network.shaped(np.concatenate([np.frombuffer(r["weights"], "<f4") for r in rows])) if rows else Network()
+    if not rows:
+        return Network()
+    mean = Network.shaped(np.concatenate([np.frombuffer(r["weights"], "<f4") for r in rows]))
+    mean.seen = int(rows[0]["seen"])
+    return mean
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE, counts: DataFrame | None = None) -> tuple[np.ndarray, Network]:
@@ -224,7 +229,9 @@ def train(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE, counts: D
     context, net = docs.sparkSession.sparkContext, Network()
     shared = context.broadcast(words)
     for k in range(rounds):
+        seen = net.seen
         net = _round(docs, shared, context.broadcast(net.flat()), k, share)
+        net.seen += seen
     return words, net
 
 

@@ -269,3 +269,15 @@ def test_rare_words_have_probabilities_of_their_own(spark, monkeypatch):
             plain = float(net.scores(tokens, np.flatnonzero(owner >= 0)).astype(float).sum())
             own = sum(np.log(seen[x] / held[bucket(x)]) for x in (t or "").split() if x in tail)
             assert r.n_tokens == len((t or "").split()) and abs(r.log_likelihood - plain - own) < 1e-3 * max(1, r.n_tokens)
+
+
+def test_registered_training_sees_every_position_and_tells_order(spark):
+    rng = np.random.default_rng(7)
+    line = lambda: " ".join(f"{a} {a}{b} {b}" for a, b in zip(rng.choice(list("abcd"), 40), rng.choice(list("xyz"), 40)))
+    texts = [line() for _ in range(1200)]
+    mixed = " ".join(rng.permutation(" ".join(texts[:20]).split(" ")))
+    docs = table(spark, texts + [mixed, None])
+    _, net = lm.train(docs)
+    assert net.seen == sum(len((t or "").split()) for t in [*texts, mixed])
+    got = lm.pseudo_likelihood(docs).orderBy("doc_id").collect()
+    assert np.mean([r.mean_log_likelihood for r in got[:1200]]) > got[1200].mean_log_likelihood + 0.3
