@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -28,7 +30,7 @@ TEMPLATES = {
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License", "SPDX-License-Identifier: ISC"],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
-    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
+    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -47,13 +49,12 @@ TEMPLATES = {
     "proprietary": ["All rights reserved"],
 }
 
-#: Every template has one of these words; blocks without any are no candidates.
-CUE = r"(?i)licen[cs]e|redistribut|permission|public domain|rights reserved|waived all|released under|free software"
+#: Every template has one of these cues, on one line or two; texts without any hold no candidates.
+CUE = r"(?i)licen[cs]e|redistribut|permission|public[\W_]+domain|rights[\W_]+reserved|waived[\W_]+all|released[\W_]+under|free[\W_]+software"
+SEARCH = re.compile(CUE)
 WORD = re.compile(r"[^\W_]+|\*")
-#: A template must save so much of a block's compressed size to be held against it word by word.
-LEAST_GAIN = 0.15
-#: Words of a template that a block may change, of a hundred.
-CHANGES = 10
+#: Words of a template that a passage may change, of a hundred, and words that a "*" may stand for.
+CHANGES, STAR = 10, 8
 
 
 def words_of(text: str) -> list[str]:
@@ -76,7 +77,7 @@ def difference(template: list[str], words: list[str]) -> tuple[int, int, int] |
         if not blocks:
             return None
         start, end = at + blocks[0].b, at + blocks[-1].b + blocks[-1].size
-        if n and start - at > 8:
+        if n and start - at > STAR:
             return None
         changed += len(part) - sum(b.size for b in blocks) + max(0, (end - start) - len(part))
         first = start if first is None else first
@@ -84,74 +85,75 @@ def difference(template: list[str], words: list[str]) -> tuple[int, int, int] |
     return first, at, changed
 
 
+def cues_of(text: str, starts: list[int]) -> list[int]:
+    """The words, by number, at which cues begin, given where words start."""
+    return sorted({bisect_right(starts, m.start()) - 1 for m in SEARCH.finditer(text)})
+
+
+#: Of each template: its words without "*", the cues' places among them, how many words may change, and how many more "*" may take.
+SHAPES = []
+for _, _, _own in PLAIN:
+    _said = [w for w in _own if w != "*"]
+    _starts = [sum(len(w) + 1 for w in _said[:k]) for k in range(len(_said))]
+    SHAPES.append((frozenset(_said), Counter(_said), cues_of(" ".join(_said), _starts), CHANGES * len(_own) // 100, STAR * _own.count("*")))
+
+
 class Compressor:
-    """Compresses blocks alone and with each template as raw dictionary; made once a task."""
+    """Compresses passages alone and with each template as raw dictionary; made once a task."""
 
     def __init__(self) -> None:
         options = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(**options)
-        self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for _, t, _ in PLAIN]
-        self.match = lru_cache(1 << 12)(self._match)
+        self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for _, _, own in PLAIN]
+        self.saved = lru_cache(1 << 12)(self._saved)
+        self.place = lru_cache(1 << 12)(self._place)
 
-    def _match(self, block: str) -> tuple[tuple[str, float, int], ...]:
-        """Confirmed templates of a block: (license, share of its compressed size saved, words changed).
-
-        All templates are ranked by the bytes they save; those that save enough are held against the block word by word,
-        in that order. A confirmed one keeps its place from those after it. Equal savings go by fewer changes, then by length.
-        """
-        data, words = block.encode("utf-8", "replace"), words_of(block)
+    def _saved(self, i: int, passage: str) -> tuple[int, int]:
+        """Bytes that a template saves of a passage, and the passage's compressed size without it."""
+        data = passage.encode("utf-8", "replace")
         size = len(self.alone.compress(data))
-        confirmed = []
-        for i, given in enumerate(self.given):
-            name, text, own = PLAIN[i]
-            saved = size - len(given.compress(data))
-            gain = saved / size
-            if gain >= LEAST_GAIN * min(1.0, len(text) / max(1, len(block))) and (place := difference(own, words)) and 100 * place[2] <= CHANGES * len(own):
-                confirmed.append((-saved, place[2], -len(own), name, place))
-        found, taken = [], []
-        for loss, changed, _, name, (start, end, _) in sorted(confirmed):
-            if all(end <= s or e <= start for s, e in taken):
-                taken.append((start, end))
-                found.append((name, round(-loss / size, 4), changed))
-        return tuple(found)
-
-
-def blocks_of(text: str) -> list[tuple[int, str]]:
-    """Candidate blocks: each paragraph (lines without an empty one between) that has a cue, from its first line with one to
-    the last line after it that a license could reach; a line on its own where the next lines have no part in it."""
-    blocks, lines, at = [], [], 0
-    for line in text.split("\n"):
-        lines.append((at, line))
-        at += len(line) + 1
-    i = 0
-    while i < len(lines):
-        if SEARCH.search(lines[i][1]):
-            j = i + 1
-            # Wrapped text goes on while its lines use words of licenses alone.
-            while j < len(lines) and lines[j][1].strip() and not NEW.match(lines[j][1]) and _of_licenses(lines[j][1]):
-                j += 1
-            blocks.append((lines[i][0], "\n".join(x for _, x in lines[i:j])))
-            i = j
-        else:
-            i += 1
-    return blocks
+        return size - len(self.given[i].compress(data)), size
 
+    def _place(self, i: int, window: tuple[str, ...]) -> tuple[int, int, int] | None:
+        place, own = difference(PLAIN[i][2], list(window)), PLAIN[i][2]
+        return place if place and 100 * place[2] <= CHANGES * len(own) else None
 
-SEARCH = re.compile(CUE)
-#: A line that starts a notice of its own.
-NEW = re.compile(r"(?i)\s*(?:licensed|released|this work|this program|this library|spdx|permission is|all rights)")
-VOCABULARY = frozenset(w for _, _, own in PLAIN for w in own)
+    def match(self, text: str) -> list[tuple[str, int, float, int]]:
+        """Confirmed templates of a text by place: (license, where it starts, share of its compressed size saved, words changed).
 
-
-def _of_licenses(line: str) -> bool:
-    words = words_of(line)
-    return bool(words) and 5 * sum(w in VOCABULARY for w in words) >= 4 * len(words)
+        Each cue of the text is laid on each cue of a template. The window around them reaches as far as the template can
+        with the changes it may have, over line ends and empty lines. Windows that lack more of its words than may change
+        go; the others are held against it word by word. Confirmed passages are ranked by the bytes that the template
+        saves, each compressed by itself; one keeps its place from those after it. Equal savings go by fewer changes, then
+        by length.
+        """
+        found = [m for m in WORD.finditer(text) if m[0] != "*"]
+        starts, words = [m.start() for m in found], [m[0].lower() for m in found]
+        cues = cues_of(text, starts)
+        confirmed = set()
+        for i, (kinds, counts, own_cues, most, stars) in enumerate(SHAPES):
+            n = counts.total()
+            for first in sorted({p - q for p in cues for q in own_cues}):
+                low = max(0, first - most - stars)
+                window = words[low : max(0, first + n + most + stars)]
+                if len(kinds.difference(window)) > most or (counts - Counter(window)).total() > most:
+                    continue
+                if place := self.place(i, tuple(window)):
+                    start, end, changed = low + place[0], low + place[1], place[2]
+                    saved, size = self.saved(i, " ".join(words[start : max(end, start + n)]))
+                    confirmed.add((-saved, changed, -n, PLAIN[i][0], start, end, round(saved / size, 4)))
+        taken, kept = bytearray(len(words)), []
+        for _, changed, _, name, start, end, gain in sorted(confirmed):
+            if not any(taken[start:end]):
+                taken[start:end] = b"\1" * (end - start)
+                kept.append((name, starts[start], gain, changed))
+        return sorted(kept, key=lambda x: x[1])
 
 
 def find_licenses(docs: DataFrame) -> DataFrame:
     """``doc_id, licenses, hits`` for each row of ``docs`` (doc_id, text).
 
-    ``hits`` has (license, at, gain, changed) by place: where its block starts in code points, the share of the block's
+    ``hits`` has (license, at, gain, changed) by place: where its passage starts in code points, the share of the passage's
     compressed size that the template saved, and the words that differ (0: exact wording). ``licenses`` lists the names,
     sorted, once each. Null and empty texts have none; texts without a cue word never leave Spark's filter for Python.
     """
@@ -163,7 +165,7 @@ def find_licenses(docs: DataFrame) -> DataFrame:
         def apply(batch: pa.RecordBatch) -> dict:
             hits = []
             for text in batch.column(1).to_pylist():
-                hits.append([{"license": n, "at": at, "gain": g, "changed": c} for at, block in blocks_of(text or "") for n, g, c in tool.match(block)])
+                hits.append([{"license": n, "at": at, "gain": g, "changed": c} for n, at, g, c in tool.match(text or "")])
             return {"doc_id": batch.column(0), "hits": hits}
 
         return apply

@@ -281,3 +281,23 @@ def test_registered_training_sees_every_position_and_tells_order(spark):
     assert net.seen == sum(len((t or "").split()) for t in [*texts, mixed])
     got = lm.pseudo_likelihood(docs).orderBy("doc_id").collect()
     assert np.mean([r.mean_log_likelihood for r in got[:1200]]) > got[1200].mean_log_likelihood + 0.3
+
+
+def test_licenses_in_long_lines_and_over_empty_lines(spark):
+    full = {name: max(licenses.TEMPLATES[name], key=len) for name in ("MIT", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause")}
+    wrap = lambda t, n: "\n".join(" ".join(w) for w in (t.split()[i : i + n] for i in range(0, len(t.split()), n)))
+    prose = "the cat is in the house and it was with them there when they came home " * 9000
+    notice = "This work is licensed under a Creative Commons Attribution 4.0 International License"
+    texts = [
+        prose + notice + ". " + prose,
+        full["MIT"].replace("conditions: The", "conditions:\n\nThe"),
+        wrap(full["MPL-2.0"], 5),
+        full["BSD-2-Clause"].replace("met: ", "met:\n\n1. ").replace("disclaimer. ", "disclaimer.\n\n2. "),
+        "\n".join(" * " + x for x in wrap(full["BSD-3-Clause"], 9).split("\n")),
+        "ALL RIGHTS\nRESERVED",
+        "license " * 2000,
+    ]
+    got = licenses.find_licenses(table(spark, texts)).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [["CC-BY-4.0"], ["MIT"], ["MPL-2.0"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["proprietary"], []]
+    assert got[0].hits[0]["at"] == len(prose) and [len(r.hits) for r in got] == [1] * 6 + [0]
+    assert [r.hits[0]["changed"] for r in got[:6]] == [0, 0, 0, 2, 0, 0]
