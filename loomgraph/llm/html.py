@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -137,6 +138,32 @@ def text_at(blocks: list[tuple[str, list[Node], int]], path: str) -> str:
     return " ".join(text for text, chain, _ in blocks if any(n.path == path for n in chain))
 
 
+def whole_path(blocks: list[tuple[str, list[Node], int]], path: str) -> str:
+    """The path from which the whole article is read: ``path``, or one above it.
+
+    That is the nearest article or main element above, else the nearest container but body that has blocks of its own, if
+    what it adds isn't mostly links.
+    """
+    above = next((chain[:k] for _, chain, _ in blocks for k, n in enumerate(chain) if n.path == path), [])
+    own = next((n for _, chain, _ in blocks for n in chain if n.path == path), None)
+    if own is None or own.tag == "article":
+        return path
+    named = [n.path for n in reversed(above) if n.tag in ("article", "main")]
+    others = [n.path for n in reversed(above) if n.tag not in ("article", "main", "body")]
+    text_of, linked_of, direct = Counter(), Counter(), set()
+    for text, chain, linked in blocks:
+        paths = {n.path for n in chain}
+        if path not in paths:
+            direct.add(chain[-1].path)
+            for up in paths:
+                text_of[up] += len(text)
+                linked_of[up] += linked
+    for up in [*named, *([] if own.tag == "main" else others)]:
+        if text_of[up] and 2 * linked_of[up] <= text_of[up] and (up in named or up in direct):
+            return up
+    return path
+
+
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -161,7 +188,8 @@ def consensus_paths(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars, path`` for each row of ``pages`` (page_id, url, html).
 
-    A page that lacks its host's winning path, or has nothing there, is read at its own best container. Null or empty html,
+    A page that lacks its host's winning path, or has nothing there, is read at its own best container. From
+    either, each page is read from the article around it (``whole_path``). Null or empty html,
     and pages without text, give an empty text. A null url has a host of its own, the empty one. Repeated rows are read
     one by one; they vote each.
     """
@@ -174,11 +202,10 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts, used = [], []
             for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 blocks = blocks_of(html or "")
-                text = text_at(blocks, path) if path else ""
-                if not text:
+                if not (path and text_at(blocks, path)):
                     path = best_path(blocks)[0]
-                    text = text_at(blocks, path)
-                texts.append(text)
+                path = whole_path(blocks, path)
+                texts.append(text_at(blocks, path))
                 used.append(path)
             return {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts], "path": used}
 

@@ -301,3 +301,18 @@ def test_licenses_in_long_lines_and_over_empty_lines(spark):
     assert [r.licenses for r in got] == [["CC-BY-4.0"], ["MIT"], ["MPL-2.0"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["proprietary"], []]
     assert got[0].hits[0]["at"] == len(prose) and [len(r.hits) for r in got] == [1] * 6 + [0]
     assert [r.hits[0]["changed"] for r in got[:6]] == [0, 0, 0, 2, 0, 0]
+
+
+def test_whole_articles_are_read(spark):
+    inner = "<p>" + "The story goes on, and on, with a good many words in every line of it. " * 12 + "</p>"
+    said = " ".join(re.sub("<[^>]*>", "", inner).split())
+    links = '<div class="more">' + '<a href="/x">another story of the day</a> ' * 20 + "</div>"
+    pages = [
+        ("a", f"<body><article><h1>Title</h1><p>Lead.</p><div class=content>{inner}</div><p>End.</p></article></body>", f"Title Lead. {said} End."),
+        ("b", f"<body><main><article><h1>Title</h1><section class=s>{inner}</section><section class=s>{inner}</section></article><div>{inner}</div></main></body>", f"Title {said} {said}"),
+        ("c", f"<body><div class=post><h1>Title</h1><div class=content>{inner}</div><p>End.</p></div><div class=other>Other words</div></body>", f"Title {said} End."),
+        ("d", f"<body><main><div class=content>{inner}</div>{links}</main></body>", said),
+    ]
+    df = spark.createDataFrame([(i, f"http://{h}.org/{n}", x, h) for i, (h, x, _) in enumerate(pages) for n in range(2)], "page_id long, url string, html string, host string")
+    got = html.main_text(df).orderBy("page_id").collect()
+    assert [r.text for r in got] == [want for _, _, want in pages for _ in range(2)]
