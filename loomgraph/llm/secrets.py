@@ -41,7 +41,7 @@ WIDTH, SIZE, FILTERS, HIDDEN = 5, 10, 24, 16
 
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of a candidate between its contexts. Of one longer than INSIDE both ends are shown to the net; it stays one span."""
+    """Codes of a candidate, or of a window in it, between its contexts. Of one longer than INSIDE both ends are shown to the net."""
     body = text[start:end]
     if len(body) > INSIDE:
         body = body[: INSIDE // 2] + body[-INSIDE // 2 :]
@@ -49,6 +49,13 @@ def encode(text: str, start: int, end: int) -> np.ndarray:
     return np.array([ALPHABET.get(c, 0 if c == "\0" else 1) for c in "".join(pieces)], dtype=np.int64)
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Windows over a whole candidate: of INSIDE characters, each half over the last; a shorter one is its own."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(k, k + INSIDE) for k in [*range(start, end - INSIDE, INSIDE // 2), end - INSIDE]]
+
+
 LENGTH = LEFT + INSIDE + RIGHT
 ZONE = np.repeat(np.array([0, 1, 2]), [LEFT, INSIDE, RIGHT])
 
@@ -150,6 +157,16 @@ def labelled_findings(rows: int = 2400, seed: int = 17) -> list[tuple[str, int,
     return found
 
 
+def judged(net: Net, texts: list[str], spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """For each span (text, start, end) the highest probability of its windows."""
+    parts = [(n, i, s, e) for n, (i, start, end) in enumerate(spans) for s, e in windows(start, end)]
+    likely = np.zeros(len(spans))
+    for k in range(0, len(parts), 512):
+        some = parts[k : k + 512]
+        np.maximum.at(likely, [x[0] for x in some], net.probability(np.stack([encode(texts[i], s, e) for _, i, s, e in some])))
+    return likely
+
+
 @cache
 def model(recall: float = 0.97, seed: int = 23) -> Net:
     """Train by Adam, calibrate by Platt's scaling on findings held out, and take the highest threshold whose recall there is ``recall`` or more."""
@@ -175,8 +192,8 @@ def model(recall: float = 0.97, seed: int = 23) -> Net:
         scale -= 0.1 * float(((p - y) * logit).mean())
         shift -= 0.1 * float((p - y).mean())
     net.scale, net.shift = scale, shift
-    net.threshold = float(np.quantile(net.probability(codes[held])[y == 1], 1 - recall, method="lower"))
-    net.threshold = max(net.threshold, 0.5)
+    likely = judged(net, [x[0] for x in table[held]], [(i, x[1], x[2]) for i, x in enumerate(table[held])])
+    net.threshold = float(np.quantile(likely[y == 1], 1 - recall, method="lower"))
     return net
 
 
@@ -188,7 +205,7 @@ def scan(texts: list[str], net: Net) -> list[tuple[list, list]]:
         base.append(found)
         jobs += [(i, s, e, kind) for s, e, kind in found]
         jobs += [(i, m.start(), m.end(), "learned") for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in found)]
-    likely = np.concatenate([net.probability(np.stack([encode(texts[i], s, e) for i, s, e, _ in jobs[k : k + 512]])) for k in range(0, len(jobs), 512)]) if jobs else []
+    likely = judged(net, texts, [(i, s, e) for i, s, e, _ in jobs])
     spans: list[list] = [[] for _ in texts]
     for (i, s, e, kind), p in zip(jobs, likely, strict=True):
         if kind != "learned" or p >= net.threshold:

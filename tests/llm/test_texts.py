@@ -316,3 +316,22 @@ def test_whole_articles_are_read(spark):
     df = spark.createDataFrame([(i, f"http://{h}.org/{n}", x, h) for i, (h, x, _) in enumerate(pages) for n in range(2)], "page_id long, url string, html string, host string")
     got = html.main_text(df).orderBy("page_id").collect()
     assert [r.text for r in got] == [want for _, _, want in pages for _ in range(2)]
+
+
+def test_keys_in_the_middle_of_long_runs_are_found():
+    net, key = secrets.model(), "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"
+    lead, tail = "assets/pages/of/the/garden/in/spring/" * 2, "/and/the/other/pages/of/the/summer/house/garden"
+    for text in (f"see {lead}{key}{tail} there", f"see {lead * 3}{key}{tail * 3} there"):
+        (_, found), = secrets.scan([text], net)
+        assert [k for *_, k, _ in found] == ["learned"] and key in text[found[0][0] : found[0][1]]
+    (_, found), = secrets.scan([f"see {lead}house2{tail} there"], net)
+    assert found == []
+    assert [x for s, e in secrets.windows(3, 200) for x in (s, e)][:4] == [3, 51, 27, 75] and secrets.windows(3, 200)[-1] == (152, 200)
+
+
+def test_secret_recall_holds_at_the_threshold():
+    for recall in (0.97, 1.0):
+        net, table_ = secrets.model(recall), secrets.labelled_findings()
+        held = [x for x in table_[len(table_) * 3 // 4 :] if x[3]]
+        likely = secrets.judged(net, [x[0] for x in held], [(i, x[1], x[2]) for i, x in enumerate(held)])
+        assert (likely >= net.threshold).mean() >= recall
