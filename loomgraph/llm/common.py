@@ -2,40 +2,99 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: White space as the operators mean it: blank and \t \n \v \f \r, nothing else.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a table may be broadcast; beyond it Spark plans a shuffled join.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a table may be broadcast; beyond either Spark plans a shuffled join.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a folder of its own; on a cluster that would lie on one machine's disk, so
+    it raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.loomgraph.shared", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.loomgraph.shared", folder)
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
+#: Where tables that this process has settled lie.
+SETTLED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def settle(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends here, and lost executors lose nothing.
+
+    ``instead`` is a settled table that the new one replaces, as a round of a loop does the last; its files go.
+    """
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    SETTLED[out] = path
+    if instead is not None and instead in SETTLED:
+        remove(df.sparkSession, SETTLED.pop(instead))
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all settled tables of this session; results that still read them must have been written before."""
+    for path in list(SETTLED.values()):
+        remove(spark, path)
+    SETTLED.clear()
+
+
+def width(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory."""
+
+    def of(column: Column, kind: DataType) -> Column:
+        if isinstance(kind, StringType | BinaryType):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        if isinstance(kind, ArrayType):
+            return 16 + F.aggregate(F.coalesce(column, F.array().cast(kind)), F.lit(0), lambda a, x: a + of(x, kind.elementType).cast("int"))
+        if isinstance(kind, StructType):
+            return sum((of(column[f.name], f.dataType) for f in kind.fields), F.lit(8))
+        return F.lit(8)
+
+    return sum((of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a settled table may be broadcast: it has at most ``rows`` rows and about ``size`` bytes, as Spark counts."""
+    n, held = df.agg(F.count("*"), F.sum(width(df))).first()
+    return n <= rows and (held or 0) <= size
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a settled table for broadcast if it ``is_small``; otherwise leave the join to Spark."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a table for broadcast if a count shows it has at most ``rows`` rows; otherwise leave the join to Spark."""
-    return F.broadcast(df) if df.count() <= rows else df
+def digest(column: str = "text") -> Column:
+    """What tells a text from others, as a key for joins: 128 bits. Null has none."""
+    return F.md5(F.col(column).cast("binary"))
 
 
 def utf8(column: str = "text"):
@@ -70,7 +129,6 @@ def over_batches(df: DataFrame, schema: str, column: str, make: Callable[[], Cal
                 yield pa.RecordBatch.from_pydict(apply(part), schema=wanted)
 
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     wanted = to_arrow_schema(StructType.fromDDL(schema))
     # Whole texts travel in these batches: Spark's default of 10,000 rows is made for short ones. A session's own choice stays.

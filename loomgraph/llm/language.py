@@ -8,18 +8,24 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chain import Chain, emissions, posteriors, train
-from .common import over_batches, settle, small
+from .common import over_batches
 
-#: Bounds of the labelled sample the model is fitted on: rows of each language, and characters in all.
+#: Bounds of the labelled sample the model is fitted on: rows of each language, characters in all, and languages (the commonest).
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 8_000_000
+SAMPLE_LANGS = 1_000
+#: Characters that a sampled text should be allowed at least; with many languages fewer rows of each are taken instead.
+EXCERPT = 1_000
 #: Buckets of hashed features, and how many of a language's commonest words its lexicon holds.
 BUCKETS = 1 << 17
 LEXICON = 400
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Letters of a word at most; longer runs are taken for codes when a text is judged.
+LONGEST = 20
 
 
 @cache
@@ -46,6 +52,7 @@ class Words:
     hashes: np.ndarray
     text: np.ndarray  # of each word
     line: np.ndarray  # of each word, over all texts
+    code: np.ndarray  # whether the run is part of a code: next to a digit, or over LONGEST letters
 
     def picked(self, which: np.ndarray) -> Words:
         """Some of the words, their letters alone."""
@@ -54,7 +61,7 @@ class Words:
         chars = np.repeat(first - begin, length) + (at := np.arange(int(length.sum())) + np.repeat(np.arange(1, len(which) + 1), length))
         codes = np.zeros(int(length.sum()) + len(which) + 1, np.uint32)
         codes[at] = self.codes[chars]
-        return Words(codes, begin, length, self.hashes[which], self.text[which], self.line[which])
+        return Words(codes, begin, length, self.hashes[which], self.text[which], self.line[which], self.code[which])
 
 
 def words_of(texts: list[str]) -> Words:
@@ -72,7 +79,9 @@ def words_of(texts: list[str]) -> Words:
     hashes = np.add.reduceat(mixed, np.cumsum(length) - length) if len(length) else np.zeros(0, np.uint64)
     ends = np.cumsum([len(t) + 1 for t in texts])
     breaks = np.flatnonzero(raw == 10)
-    return Words(codes, first, length, hashes ^ (hashes >> np.uint64(31)), np.searchsorted(ends, first - 1, side="right"), np.searchsorted(breaks, first - 1))
+    digit = np.concatenate([[False], (raw >= 48) & (raw <= 57), [False]])
+    code = digit[first - 1] | digit[first + length] | (length > LONGEST)
+    return Words(codes, first, length, hashes ^ (hashes >> np.uint64(31)), np.searchsorted(ends, first - 1, side="right"), np.searchsorted(breaks, first - 1), code)
 
 
 def _bucket(kind: int, *codes: np.ndarray) -> np.ndarray:
@@ -110,12 +119,63 @@ def features(w: Words, lexicon: np.ndarray, flags: np.ndarray) -> tuple[np.ndarr
     return flat, counts
 
 
+#: A text is in no known language if words that fit none hold more than this share of its letters.
+STRANGE = 0.5
+
+
+@dataclass
+class Background:
+    """Which words fit any of the learned languages, by the letter trigrams of these, whatever the number of languages.
+
+    ``logs`` holds trigrams' log-probabilities (trigrams x languages). A word is strange if the mean of its trigrams' is
+    below ``least`` in every language: hardly a word is, of known texts that the trigrams weren't counted on.
+    """
+
+    logs: np.ndarray
+    least: float = -np.inf
+
+    def scores(self, w: Words) -> np.ndarray:
+        """For each word, the mean log-probability of its trigrams in the language that it fits best."""
+        if not len(w.first):
+            return np.zeros(0)
+        chars = np.flatnonzero(w.codes != 0)
+        each = self.logs[_bucket(3, w.codes[chars - 1], w.codes[chars], w.codes[chars + 1])]
+        return (np.add.reduceat(each, np.cumsum(w.length) - w.length, axis=0) / w.length[:, None]).max(axis=1)
+
+    def strange(self, w: Words, scores: np.ndarray, texts: int) -> np.ndarray:
+        """The share of each text's letters that lies in strange words; codes don't count, and a text without words has 1."""
+        weight = w.length * ~w.code
+        letters_ = np.bincount(w.text, weights=weight, minlength=texts)
+        odd = np.bincount(w.text, weights=weight * (scores < self.least), minlength=texts)
+        return np.where(letters_ > 0, odd / np.maximum(letters_, 1), 1.0)
+
+
+def _background(labelled: list[tuple[str, str]], langs: list[str]) -> Background:
+    """Trigrams are counted on three of four texts; the fourth says how words of known text score: the bound lies a standard
+    deviation below the score that one word in a thousand doesn't reach."""
+    logs = np.empty((BUCKETS, len(langs)), np.float32)
+    held = []
+    for k, lang in enumerate(langs):
+        own = [t for t, x in labelled if x == lang]
+        held += own[3::4]
+        w = words_of([t for i, t in enumerate(own) if i % 4 != 3])
+        chars = np.flatnonzero(w.codes != 0)
+        counts = np.bincount(_bucket(3, w.codes[chars - 1], w.codes[chars], w.codes[chars + 1]), minlength=BUCKETS)
+        logs[:, k] = np.log((counts + 0.1) / (counts.sum() + 0.1 * BUCKETS))
+    out = Background(logs)
+    scores = out.scores(words_of(held or [t for t, _ in labelled]))
+    if len(scores):
+        out.least = float(np.quantile(scores, 0.001) - scores.std())
+    return out
+
+
 @dataclass
 class Model:
     langs: list[str]
     chain: Chain
     lexicon: np.ndarray
     flags: np.ndarray
+    background: Background
 
 
 def _lexicons(labelled: list[tuple[str, str]], langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,22 +211,26 @@ def fit(labelled: list[tuple[str, str]], seed: int = 11) -> Model:
             flat, counts = features(w, lexicon, flags)
             data.append((flat.astype(np.int32), counts, np.add.reduceat(n_words, at), np.array([p[1] for p in parts])[w.text]))
             batch = []
-    return Model(langs, train(data, BUCKETS, len(langs)), lexicon, flags)
+    return Model(langs, train(data, BUCKETS, len(langs)), lexicon, flags, _background(labelled, langs))
 
 
-def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
-    """Each text's language: of the most words, as forward-backward expects; the score is its share of the words."""
+def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+    """Each text's language: of the most words, as forward-backward expects; the score is its share of the words. Then
+    whether the text fits any learned language at all."""
     w = words_of(texts)
     # Score each distinct word once.
     _, one, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-    scores = emissions(model.chain, *features(w.picked(one), model.lexicon, model.flags))[back]
+    distinct = w.picked(one)
+    scores = emissions(model.chain, *features(distinct, model.lexicon, model.flags))[back]
+    fit_ = model.background.scores(distinct)[back]
     _, lengths = np.unique(w.line, return_counts=True)
     likely, _ = posteriors(scores, lengths, model.chain)
     total = np.stack([np.bincount(w.text, weights=likely[:, k], minlength=len(texts)) for k in range(len(model.langs))], axis=1)
     n = np.bincount(w.text, minlength=len(texts))
+    known = model.background.strange(w, fit_, len(texts)) <= STRANGE
     best = total.argmax(axis=1)
     share = total[np.arange(len(texts)), best] / np.maximum(n, 1)
-    return [model.langs[b] if k else "und" for b, k in zip(best, n, strict=True)], [float(min(1.0, s)) if k else 0.0 for s, k in zip(share, n, strict=True)]
+    return [model.langs[b] if k else "und" for b, k in zip(best, n, strict=True)], [float(min(1.0, s)) if k else 0.0 for s, k in zip(share, n, strict=True)], known.tolist()
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -174,53 +238,75 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows that are not held out: about ``rows`` of each language, those of the smallest hashes.
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, langs: int = SAMPLE_LANGS) -> list[tuple[str, str]]:
+    """A bounded sample of labelled rows that are not held out: at most ``rows`` of each language, those of the smallest hashes.
 
-    A first look counts each language's rows without reading texts; the second reads the share of texts wanted. Texts
-    longer than a fair share of ``chars`` are not learned from, so the sample is bounded in size as well.
+    A first look counts each language's rows; the second takes the smallest hashes of id and text, in their order. A text
+    longer than a fair share of ``chars`` is learned from by its beginning, so languages of long texts have rows as well.
+    With very many languages there are fewer rows of each.
     """
-    known = docs.filter(~held_out() & F.col("lang").isNotNull()).withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1 << 30)))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
     if not counts:
         return []
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * rows / n))]), F.col("lang"))
+    rows = max(1, min(rows, chars // (EXCERPT * len(counts))))
     most = max(1, chars // (rows * len(counts)))
-    texts = known.filter((F.col("h") < share * float(1 << 30)) & F.col("text").isNotNull() & (F.length("text") <= most))
-    found: dict[str, list] = {lang: [] for lang in counts}
-    for r in texts.select("lang", "h", "text").limit(2 * rows * len(counts)).collect():
-        found[r["lang"]].append((r["h"], r["text"]))
-    return [(text, lang) for lang in sorted(found) for _, text in sorted(found[lang])[:rows]]
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * rows / n))]), F.col("lang"))
+    cut = F.substring("text", 1, most)
+    excerpt = F.when(F.length("text") <= most, F.col("text")).otherwise(F.coalesce(F.nullif(F.regexp_replace(cut, r"\S+$", ""), F.lit("")), cut))
+    hashed = known.withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(5)), F.lit(1 << 30)))
+    some = hashed.filter(F.col("h") < share * float(1 << 30)).select("lang", "h", excerpt.alias("text")).dropDuplicates(["lang", "h"])
+    first = some.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= rows)
+    return [(r["text"], r["lang"]) for r in sorted(first.collect(), key=lambda r: (r["lang"], r["n"]))]
+
+
+def learned(docs: DataFrame) -> Model | None:
+    """A model of the labelled rows, if there are any."""
+    labelled = sample(docs.select("doc_id", "text", "lang"))
+    return fit(labelled) if labelled else None
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for each row of ``docs`` (doc_id, text, lang).
+    """``doc_id, held_out, lang_pred, score, known`` for each row of ``docs`` (doc_id, text, lang).
 
-    ``lang`` is used to learn, never to predict. Null texts and texts without a letter are ``und`` with score 0. Repeated
+    ``lang`` is used to learn, never to predict. Null texts and texts without a letter are ``und`` with score 0. ``known`` says
+    whether the text fits any learned language; ``lang_pred`` is the nearest one either way. Repeated
     rows are predicted alike. Without any labelled row, as in an empty table, all texts are ``und``.
     """
     docs = docs.select("doc_id", "text", "lang")
-    labelled = sample(docs) if model is None else None
-    if model is None and labelled:
-        model = fit(labelled)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model or learned(docs))
 
     def make():
         own = shared.value
 
         def apply(batch: pa.RecordBatch) -> dict:
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            langs, scores = predict(own, texts) if own else (["und"] * len(texts), [0.0] * len(texts))
-            return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": langs, "score": scores}
+            langs, scores, known = predict(own, texts) if own else (["und"] * len(texts), [0.0] * len(texts), [False] * len(texts))
+            return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": langs, "score": scores, "known": known}
 
         return apply
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return over_batches(docs.select("doc_id", held_out().alias("held_out"), "text"), f"doc_id {kind}, held_out boolean, lang_pred string, score double", "text", make, 1 << 20)
+    return over_batches(docs.select("doc_id", held_out().alias("held_out"), "text"), f"doc_id {kind}, held_out boolean, lang_pred string, score double, known boolean", "text", make, 1 << 20)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """Drop documents in no known language: ``und``, or a score below ``least``. Other columns stay."""
-    found = identify(docs).filter((F.col("lang_pred") == "und") | (F.col("score") < least))
-    bad = small(settle(found.select("doc_id").distinct()))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """Keep rows in a known language; drop those that are ``und``, and those whose words fit no learned language.
+
+    Each row is judged by its own text in the pass that reads it, so ids may be null or repeated. Columns stay as they are.
+    Without any labelled row nothing is known, and nothing kept.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model or learned(docs))
+
+    def make():
+        own = shared.value
+
+        def apply(batch: pa.RecordBatch) -> dict:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            kept = batch.filter(pa.array(predict(own, texts)[2] if own else [False] * len(texts), pa.bool_()))
+            return dict(zip(kept.schema.names, kept.columns, strict=True))
+
+        return apply
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return over_batches(docs, schema, "text", make, 1 << 20)

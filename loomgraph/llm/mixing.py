@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, small
+from .common import is_small, settle, small
 
-SALTS = 256
-ROUNDS = 4
+#: Bins of the rounding's draws, for each source and power of two of the size.
+BINS = 256
+#: Choices that rounding keeps on its way through a source's sizes.
+TRIED = 64
+DRAWS = 1 << 40
 
 
 def source_key(source: str | Column) -> Column:
@@ -19,96 +24,144 @@ def source_key(source: str | Column) -> Column:
 
 
 def cycled_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Give the sources, in order of ``_key``, weights that repeat ``cycle``. One row a source."""
-    turn = (F.row_number().over(W.orderBy("_key")) - 1) % len(cycle)
-    return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in cycle]), (turn + 1).cast("int")))
+    """Give the sources, in order of ``_key``, weights that repeat ``cycle``. One row a source.
+
+    Keys are dealt out by ranges and numbered within; the ranges' counts, a row each, say how many come before.
+    """
+    dealt = settle(sources.repartitionByRange("_key").withColumn("_part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy("_key")) + F.col("_before") - 1
+    turn = F.pmod(place, F.lit(len(cycle))).cast("int")
+    return dealt.join(F.broadcast(parts), "_part").withColumn("weight", F.get(F.array(*[F.lit(float(x)) for x in cycle]), turn)).drop("_part", "_before")
 
 
 def filled_targets(sources: DataFrame, cap: float) -> DataFrame:
     """Share all sizes among the sources by ``weight``, none above ``cap`` times its own size.
 
-    Resharing the excess until none is above ends at one water level L with targets min(cap * size, L * weight). Sorted by
-    the level at which a source fills up, L is found where the sources below it are full and those from it on are not.
+    Each round shares what full sources leave among the others, until no more become full: targets are then
+    min(cap * size, level * weight). A round is one sum over the sources.
     """
-    everything, below = W.partitionBy(), W.orderBy("_fills", "_key").rowsBetween(W.unboundedPreceding, -1)
-    ranked = sources.withColumns({"_cap": cap * F.col("source_size"), "_fills": cap * F.col("source_size") / F.col("weight"), "_all": F.sum("source_size").over(everything), "_weights": F.sum("weight").over(everything)})
-    level = (F.col("_all") - F.coalesce(F.sum("_cap").over(below), F.lit(0.0))) / (F.col("_weights") - F.coalesce(F.sum("weight").over(below), F.lit(0.0)))
-    ranked = ranked.withColumn("_level", level)
-    first = F.min(F.when(F.col("_level") <= F.col("_fills"), F.struct("_fills", "_key", "_level"))).over(everything)
-    ranked = ranked.withColumn("_level", first["_level"])
-    return ranked.withColumn("target", F.least("_cap", F.coalesce(F.col("_level") * F.col("weight"), F.col("_cap"))).cast("double")).drop("_cap", "_fills", "_all", "_weights", "_level")
-
-
-def newton(cells: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-10, most: int = 60) -> DataFrame:
-    """Solve the dual of entropy balancing: one multiplier for each source.
-
-    Minimising sum(size * rate * (log(rate / prior) - 1)) under sum(size * rate) = target for each source and
-    rate <= cap gives rate = min(cap, prior * exp(lambda)). The dual is convex and its Hessian diagonal (each document
-    has one source); a Newton step needs for each source the tokens taken now and those of documents below the cap,
-    which Spark sums over ``cells`` (_key, prior, size: documents of equal tilt added up).
+    most, level, full = cap * F.col("source_size"), 0.0, -1
+    total, weights = sources.agg(F.sum("source_size"), F.sum("weight")).first()
+    held, heavy, n = 0.0, 0.0, 0
+    while n > full and weights and weights > heavy:
+        full, level = n, (total - held) / (weights - heavy)
+        over = most < level * F.col("weight")
+        held, heavy, n = sources.agg(F.coalesce(F.sum(F.when(over, most)), F.lit(0.0)), F.coalesce(F.sum(F.when(over, F.col("weight"))), F.lit(0.0)), F.count_if(over)).first()
+    return sources.withColumn("target", F.least(most, level * F.col("weight")).cast("double"))
+
+
+def rate_of(cap: float, size: str = "_size", prior: str = "_prior") -> Column:
+    """The tilted rate of a document, given its source's multiplier ``lam``; documents without words keep their prior."""
+    tilted = F.least(F.lit(cap), F.col(prior) * F.exp(F.col("lam") * F.col(size)))
+    return F.when(F.col(prior) <= 0, 0.0).when(F.col(size) == 0, F.least(F.lit(cap), F.col(prior))).when(F.col("target") <= 0, 0.0).otherwise(tilted)
+
+
+def newton(cells: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-8, most: int = 200) -> DataFrame:
+    """Solve the dual of entropy balancing: ``_key, target, lam``, one multiplier for each source.
+
+    Minimising sum(rate * (log(rate / prior) - 1)) under sum(size * rate) = target for each source and rate <= cap gives
+    rate = min(cap, prior * exp(lam * size)). The dual is convex, its Hessian diagonal, as each document has one source. A
+    step needs for each source the tokens taken now and their slope, which Spark sums over ``cells`` (_key, _prior, _size, n:
+    documents of equal tilt, counted). Steps are Newton's on the logarithm of the tokens taken, inside a
+    bracket that each sum narrows: a step that leaves it is replaced by its middle. A source whose target is all it can
+    give has an infinite multiplier. Multipliers are rounded to eleven digits, so that the order in which Spark adds doesn't
+    show. Unfinished after ``most`` rounds, it raises.
     """
-    at = settle(targets.select("_key", "target", F.lit(0.0).alias("lam"), F.lit(False).alias("done")))
+    rounded = lambda c: F.format_string("%.10e", c).cast("double")
+    room = cells.groupBy("_key").agg(F.sum(cap * F.col("n") * F.col("_size")).alias("_room"))
+    none, inf = F.lit(None).cast("double"), F.lit(float("inf"))
+    known = targets.select("_key", "target").join(room, "_key", "left").withColumn("_room", F.coalesce("_room", F.lit(0.0)))
+    spent = (F.col("target") <= 0) | (F.col("target") >= (1 - tolerance) * F.col("_room"))
+    state = settle(known.select("_key", "target", F.when(F.col("target") <= 0, 0.0).when(spent, inf).otherwise(0.0).alias("lam"), none.alias("low"), none.alias("high"), spent.alias("done")).repartition(1))
+    few = is_small(state)
     for _ in range(most):
-        rate = F.col("prior") * F.exp("lam")
-        sums = cells.join(small(at), "_key").groupBy("_key").agg(F.sum(F.col("size") * F.least(rate, F.lit(cap))).alias("now"), F.sum(F.when(rate < cap, F.col("size") * rate).otherwise(0.0)).alias("slope"))
-        gap = F.coalesce("now", F.lit(0.0)) - F.col("target")
-        ended = (F.abs(gap) <= tolerance * F.greatest("target", F.lit(1.0))) | (F.col("target") <= 0)
-        step = F.when(F.col("slope") > 0, F.least(F.greatest(gap / F.col("slope"), F.lit(-2.0)), F.lit(2.0))).otherwise(F.lit(1.0) * F.signum(gap))
-        at = settle(at.join(sums, "_key", "left").select("_key", "target", F.when(F.col("done") | ended, F.col("lam")).otherwise(F.col("lam") - step).alias("lam"), (F.col("done") | ended).alias("done")).repartition(1))
-        if at.filter(~F.col("done")).isEmpty():
-            break
-    return at.select("_key", "lam")
-
+        at = state.filter(~F.col("done"))
+        rate = F.col("_prior") * F.exp(F.col("lam") * F.col("_size"))
+        taken = F.col("n") * F.col("_size") * F.least(rate, F.lit(cap))
+        sums = cells.join(F.broadcast(at) if few else at, "_key").groupBy("_key").agg(F.sum(taken).alias("now"), F.sum(F.when(rate < cap, taken * F.col("_size")).otherwise(0.0)).alias("slope"))
+        over = F.col("now") > F.col("target")
+        moved = state.join(F.broadcast(sums) if few else sums, "_key", "left")
+        moved = moved.withColumn("low", F.when(F.col("now").isNotNull() & ~over, F.col("lam")).otherwise(F.col("low"))).withColumn("high", F.when(over, F.col("lam")).otherwise(F.col("high")))
+        step = F.when((F.col("now") > 0) & (F.col("slope") > 0), F.col("lam") - F.log(F.col("now") / F.col("target")) * F.col("now") / F.col("slope"))
+        inside = step.isNotNull() & (F.col("low").isNull() | (step > F.col("low"))) & (F.col("high").isNull() | (step < F.col("high")))
+        outward = F.greatest(F.abs("lam") * 2, F.lit(1e-3))
+        middle = F.coalesce((F.col("low") + F.col("high")) / 2, F.when(F.col("low").isNull(), F.col("lam") - outward).otherwise(F.col("lam") + outward))
+        shut = F.coalesce(F.col("high") - F.col("low") <= 1e-15 * F.greatest(F.abs("low"), F.abs("high")), F.lit(False))
+        ended = F.col("done") | F.coalesce(F.abs(F.col("now") - F.col("target")) <= tolerance * F.greatest("target", F.lit(1.0)), F.lit(True)) | shut
+        state = settle(moved.select("_key", "target", F.when(ended, F.col("lam")).otherwise(rounded(F.when(inside, step).otherwise(middle))).alias("lam"), "low", "high", ended.alias("done")).repartition(1), state)
+        if state.filter(~F.col("done")).isEmpty():
+            return state.select("_key", "target", "lam")
+    raise RuntimeError(f"entropy balancing did not end after {most} rounds")
+
+
+def _walk(cells: pd.DataFrame) -> pd.DataFrame:
+    """One source's cuts, from its longest documents down: what rounding leaves over passes on to shorter ones.
+
+    At each power of two the cuts next to what is needed are tried on the best few choices so far; the choice that ends
+    nearest to the source's target counts.
+    """
+    kinds, states = [], [(0.0, ())]
+    for kind, own in sorted(cells.groupby("_class"), key=lambda x: -x[0]):
+        mass = np.zeros(BINS + 1)
+        np.add.at(mass, own["_bin"].to_numpy() + 1, own["_open"].to_numpy())
+        given, need = np.cumsum(mass), round(own["_want"].sum() - own["_sure"].sum(), 4)
+        steps = np.flatnonzero(np.diff(given, prepend=-1.0))  # bins without documents change nothing
+        tried: dict[float, tuple[int, ...]] = {}
+        for left, cuts in states:
+            near = int(np.searchsorted(given[steps], left + need))
+            for cut in steps[max(0, near - 3) : near + 3].tolist():
+                tried.setdefault(round(left + need - given[cut], 6), (*cuts, cut))
+        kinds.append(kind)
+        states = sorted(tried.items(), key=lambda x: (abs(x[0]), x[1]))[:TRIED]
+    return pd.DataFrame({"_key": cells["_key"].iloc[0], "_class": kinds, "_cut": states[0][1]})
+
+
+def _rounding(cap: float) -> dict[str, Column]:
+    """Where a document's draw falls: its size's power of two, and the bin of its draw less its rate's fraction."""
+    below = (F.col("_draw") / float(DRAWS) - (F.col("_rate") - F.floor("_rate")) + 1) * (BINS / 2)
+    return {"_class": F.floor(F.log2(F.greatest(F.col("_size"), F.lit(1)))).cast("int"), "_bin": F.least(F.greatest(F.floor(below), F.lit(0)), F.lit(BINS - 1)).cast("int")}
+
+
+def _measured(docs: DataFrame, source: str, text: str, prior: str | None) -> dict[str, Column]:
+    base = F.lit(1.0) if prior is None else F.coalesce(F.col(prior).cast("double"), F.lit(0.0))
+    words = F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
+    return {"_key": source_key(source), "_size": words, "_prior": base, "_draw": F.pmod(F.xxhash64(F.col("doc_id"), F.col(source), F.col(text)), F.lit(DRAWS))}
 
-def _placed(rated: DataFrame) -> DataFrame:
-    """Each document's place among those of its source, longest first; no window sees more than one salt of one size.
 
-    Places come from three levels of counts: sizes within a source, salts within a size, rows within a salt.
-    """
-    salted = rated.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("_key", "size", "_salt").agg(F.count("*").alias("_n"))
-    sizes = counts.groupBy("_key", "size").agg(F.sum("_n").alias("_n"))
-    before = lambda *order: W.rowsBetween(W.unboundedPreceding, -1).orderBy(*order)
-    sizes = sizes.select("_key", "size", F.coalesce(F.sum("_n").over(before(F.desc("size")).partitionBy("_key")), F.lit(0)).alias("_a"))
-    salts = counts.select("_key", "size", "_salt", F.coalesce(F.sum("_n").over(before("_salt").partitionBy("_key", "size")), F.lit(0)).alias("_b"))
-    offsets = salts.join(sizes, ["_key", "size"]).select("_key", "size", "_salt", (F.col("_a") + F.col("_b")).alias("_offset"))
-    within = F.row_number().over(W.partitionBy("_key", "size", "_salt").orderBy("doc_id"))
-    return salted.withColumn("_place", within).join(offsets, ["_key", "size", "_salt"]).withColumn("_place", F.col("_place") + F.col("_offset")).drop("_salt", "_offset")
+ADDED = ["size", "source_size", "target", "rate", "copies", "taken"]
 
 
-def entropy_mix(docs: DataFrame, cap: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3), source: str = "source", text: str = "text", prior: str | None = None) -> DataFrame:
-    """Return ``doc_id, source, size, source_size, target, rate, copies, taken``: how often a mix takes each document.
+def entropy_mix(docs: DataFrame, cap: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3), source: str = "source", text: str = "text", prior: str | None = None, whole: bool = False) -> DataFrame:
+    """Return ``doc_id, source, size, source_size, target, rate, copies, taken``: how often a mix takes each row.
 
     ``size`` counts words of the whole text (null: 0); a null source is a source, the last. ``prior``, if given, names a
-    column of positive base rates. Rates are the exponentially tilted priors, rounded into copies by systematic rounding
-    along falling size, so that each source's error is less than its longest document; ROUNDS steps then
-    add or remove the largest document that fits in what is missing. A source of size 0 has target 0. Rows that repeat a
-    doc_id are rows like others. An empty table gives an empty result.
+    column of positive base rates (null or less: 0, never taken). Rates are the priors tilted by exp(lam * size), with one
+    multiplier a source: below its size a source gives up long documents first, above it they come more often. Copies are
+    rates rounded by a draw from the row's id, source and text, under a cut for each source and power of two of the size that makes
+    sums meet what the rates say; what is left over passes on to shorter documents. Copies depend on the row alone, so ids
+    may be null, repeated, or of any type, and rows that agree in id, source and text are taken alike. A source of size 0 has
+    target 0. An empty table gives an empty result. With ``whole``, all columns of ``docs`` come back beside the new ones,
+    and replace none but those of the same names.
     """
-    base = F.lit(1.0) if prior is None else F.coalesce(F.col(prior).cast("double"), F.lit(0.0))
-    words = F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
-    sizes = settle(docs.select("doc_id", F.col(source).alias("source"), source_key(source).alias("_key"), words.alias("size"), base.alias("prior")))
-    cells = settle(sizes.groupBy("_key", "prior").agg(F.sum("size").alias("size")))
-    sources = cells.groupBy("_key").agg(F.sum("size").alias("source_size"))
-    targets = settle(filled_targets(cycled_weights(sources, cycle), cap))
-    solved = settle(targets.join(newton(cells, targets, cap), "_key"))
-    rate = F.when(F.col("target") > 0, F.least(F.lit(cap), F.col("prior") * F.exp("lam"))).otherwise(0.0)
-    rated = sizes.join(small(solved.select("_key", "source_size", "target", "lam")), "_key").withColumn("rate", rate).drop("lam")
-    # Every n-th document gets one more copy. With a prior the fractions differ within a source; then a hash decides.
-    part = F.col("rate") - F.floor("rate")
-    more = (F.floor(F.col("_place") * part + 0.5) - F.floor((F.col("_place") - 1) * part + 0.5)) if prior is None else (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20) < part).cast("long")
-    copies = F.least(F.floor("rate") + more, F.lit(int(cap))).cast("long")
-    mixed = settle(_placed(rated).withColumn("copies", copies).drop("_place", "prior"))
-    for _ in range(ROUNDS):
-        mixed = settle(_nudged(mixed, int(cap)))
-    return mixed.withColumn("taken", F.col("copies") * F.col("size")).drop("_key")
-
-
-def _nudged(mixed: DataFrame, cap: int) -> DataFrame:
-    """Change one document of each source by one copy: the largest that fits in what is missing, or is too much."""
-    gaps = mixed.groupBy("_key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("_gap"))
-    near = mixed.join(small(gaps), "_key").filter((F.col("size") > 0) & (F.col("size") <= F.abs("_gap")) & F.when(F.col("_gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0))
-    best = near.groupBy("_key").agg(F.max(F.struct(F.col("size").alias("s"), (-F.col("doc_id")).alias("d"), F.signum("_gap").cast("long").alias("by"))).alias("_best"))
-    picked = best.select("_key", (-F.col("_best.d")).alias("_doc"), F.col("_best.by").alias("_by"))
-    hit = F.coalesce((F.col("doc_id") == F.col("_doc")), F.lit(False))
-    return mixed.join(small(picked), "_key", "left").withColumn("copies", F.when(hit, F.greatest(F.lit(0), F.least(F.lit(cap), F.col("copies") + F.col("_by")))).otherwise(F.col("copies"))).drop("_doc", "_by")
+    columns = _measured(docs, source, text, prior)
+    slim = settle(docs.select("doc_id", F.col(source).alias("source"), *[c.alias(k) for k, c in columns.items()]))
+    cells = settle(slim.filter("_size > 0").groupBy("_key", "_prior", "_size").agg(F.count("*").alias("n")))
+    names = slim.groupBy("_key").agg(F.sum("_size").alias("source_size"))
+    targets = settle(filled_targets(settle(cycled_weights(names, cycle)), cap))
+    solved = settle(targets.select("_key", "source_size").join(newton(cells.filter("_prior > 0"), targets, cap), "_key"))
+    solved = small(solved)
+    rated = slim.join(solved, "_key").withColumn("_rate", rate_of(cap)).withColumns(_rounding(cap))
+    open_ = F.floor("_rate") + 1 <= cap
+    counted = rated.filter("_size > 0").groupBy("_key", "_class", "_bin").agg(F.sum(F.when(open_, F.col("_size")).otherwise(0)).cast("double").alias("_open"), F.sum(F.floor("_rate") * F.col("_size")).cast("double").alias("_sure"), F.sum(F.col("_rate") * F.col("_size")).alias("_want"))
+    cuts = small(settle(counted.groupBy("_key").applyInPandas(_walk, "_key string, _class int, _cut int")))
+    if whole:
+        kept = [c for c in docs.columns if c not in ADDED]
+        rated = docs.select(F.struct(*kept).alias("_row"), *[c.alias(k) for k, c in columns.items()]).join(solved, "_key").withColumn("_rate", rate_of(cap)).withColumns(_rounding(cap))
+        first = [F.col(f"_row.`{c}`").alias(c) for c in kept]
+    else:
+        first = [F.col("doc_id"), F.col("source")]
+    chosen = rated.join(cuts, ["_key", "_class"], "left")
+    copies = (F.floor("_rate") + F.when(open_ & (F.col("_bin") < F.coalesce("_cut", F.lit(0))), 1).otherwise(0)).cast("long")
+    return chosen.select(*first, F.col("_size").alias("size"), "source_size", "target", F.col("_rate").alias("rate"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"))

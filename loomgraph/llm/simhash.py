@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, settle, small, utf8
+from .common import digest, over_batches, settle, small, utf8
 
 SEED = 42
 #: Links at so many differing bits or fewer: one half of two such fingerprints then differs in at most two.
@@ -94,53 +94,65 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return edges.join(lowest, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int = 200) -> DataFrame:
     """``node, root``: the smallest node reachable over ``edges`` (a < b), for every node that has any.
 
     Alternating large and small stars shrink the graph to one star a component, in rounds that grow with the logarithm of
-    its size; no round holds more edges than the one before, and nothing but a checksum comes to the driver.
+    its size; no round holds more edges than the one before, and nothing but a checksum comes to the driver. Unfinished after
+    ``most`` rounds, it raises.
     """
     now, seen = edges.select("a", "b"), None
     for _ in range(most):
-        now = settle(_small_star(_large_star(now)))
+        now = settle(_small_star(_large_star(now)), now)
         sums = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if sums == seen:
             break
         seen = sums
+    else:
+        raise RuntimeError(f"the components did not settle after {most} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots)
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", words: int = 4, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id, fp, fingerprint, component_id, n_links`` for each row of ``docs``.
+    """``doc_id, fp, fingerprint, component_id, n_links`` for each row of ``docs``; ``root`` numbers components.
 
     Exact copies share a fingerprint and meet as one node, so a group of copies costs one row. Null or empty texts have
     fingerprint 0 and are linked like others. ``component_id`` is the smallest doc_id reachable; ``n_links`` counts other
     fingerprints linked directly. Repeated rows each get a row; a null doc_id is grouped but never names a group.
     """
     prints = settle(fingerprints(docs, text, words))
+    known = _grouped(prints, distance)
+    # A hot fingerprint is split by adaptive execution: this side of the left join may be cut at will.
+    found = prints.join(known, "fp", "left")
+    return found.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def _grouped(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``fp, root, component_id, n_links`` of each fingerprint: ``root`` is the smallest one reachable."""
     nodes = settle(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("label")))
     edges = settle(links(nodes.select(F.col("node").alias("fp")), distance))
     roots = settle(components(edges))
-    least = roots.join(nodes, "node").groupBy("root").agg(F.min("label").alias("joined"))
-    joined = roots.join(small(least), "root").select("node", "joined")
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    least = settle(roots.join(nodes, "node").groupBy("root").agg(F.min("label").alias("joined")))
+    joined = settle(roots.join(small(least), "root").select("node", "root", "joined"))
+    degree = settle(edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links")))
     known = nodes.join(small(joined), "node", "left").join(small(degree), "node", "left")
-    known = known.select(F.col("node").alias("fp"), F.coalesce("joined", "label").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    # A hot fingerprint is split by adaptive execution: this side of the left join may be cut at will.
-    found = prints.join(known, "fp", "left")
-    return found.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return known.select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("root"), F.coalesce("joined", "label").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Keep of each group the document whose doc_id is the smallest; repeated rows of that id are kept once.
+    """Keep of each group the row of the smallest doc_id, of these the one whose text has the smallest digest.
 
-    Rows with a null doc_id can't be named as copies and stay. Texts are shuffled only where an id repeats, or where the
-    ids to drop are too many to broadcast.
+    Rows are told apart by id and text, so texts that share an id are judged each by itself; of rows that agree in
+    both, one is kept. Rows with a null doc_id can't be named as copies and stay. Texts are shuffled only where kept rows repeat,
+    or where those to drop are too many to broadcast.
     """
-    groups = settle(simhash_groups(docs.filter(F.col("doc_id").isNotNull()), text).select("doc_id", "component_id"))
-    copies = settle(groups.filter("doc_id <> component_id").select("doc_id").distinct())
-    again = settle(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
-    left = docs.join(small(copies), "doc_id", "left_anti").select(docs.columns)
-    once = left.join(small(again), "doc_id", "left_anti").select(docs.columns)
-    return once.union(left.join(small(again), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), F.coalesce(digest(text), F.lit("")).alias("digest")))
+    marked = docs.withColumn("_key", key)
+    prints = settle(fingerprints(marked.filter("_key is not null").select(F.col("_key").alias("doc_id"), F.col(text).alias("text"))))
+    groups = prints.join(_grouped(prints).select("fp", "component_id"), "fp", "left")
+    each = settle(groups.groupBy(F.col("doc_id").alias("_key"), (F.col("doc_id") == F.col("component_id")).alias("first")).agg(F.count("*").alias("n")))
+    copies, again = small(settle(each.filter("not first").select("_key"))), small(settle(each.filter("first and n > 1").select("_key")))
+    left = marked.join(copies, "_key", "left_anti")
+    once = left.join(again, "_key", "left_anti").select(docs.columns)
+    return once.union(left.join(again, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns))

@@ -136,3 +136,43 @@ def test_contamination_of_empty_tables(spark):
     assert [tuple(r)[1:4] for r in decontam.contamination(df, bench.limit(0)).collect()] == [(2, 0, 0)]
     assert decontam.contamination(df.limit(0), bench).count() == 0
     assert decontam.decontaminate(df, bench).count() == 0
+
+
+def test_rows_without_ids_or_with_repeated_ones_are_judged_one_by_one(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    clean = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, item), (1, clean), (None, item), (None, clean), (None, clean), (1, item), (None, None), (2, "")]
+    bench = spark.createDataFrame([(5, item), (6, item), (6, "x " + item), (None, clean + " and more words")], "item_id long, text string")
+    found = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in found.collect()), key=str)
+    assert got == sorted([(1, 13, 13, 2, "5,6", True)] * 2 + [(1, 13, 13, 0, "", True), (None, 13, 13, 2, "5,6", True)] + [(None, 13, 13, 0, "", True)] * 2 + [(None, 0, 0, 0, "", False), (2, 0, 0, 0, "", False)], key=str)
+    bench = bench.filter("item_id < 6")
+    df = spark.createDataFrame([(i, t, str(k), 0) for k, (i, t) in enumerate(rows)], DOCS)
+    left = decontam.decontaminate(df, bench)
+    assert left.columns == df.columns and sorted(r.fp for r in left.collect()) == ["1", "3", "4", "6", "7"]
+
+
+def test_maps_of_any_size_find_all(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(rng.choice(list("abcdefgh"), 20))) for i in range(300)]
+    docs = [(i, t + " " + " ".join(rng.choice(list("abcdefgh"), 30))) for i, t in items[:40]]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = [r[:4] for r in plain_hits(docs, items)]
+    for most in (6, 27):  # a full map, and a wide one
+        monkeypatch.setattr(decontam, "LEAST_BITS", 6)
+        monkeypatch.setattr(decontam, "MOST_BITS", most)
+        assert sorted(tuple(r)[:4] for r in decontam.contamination(df, bench).collect()) == want
+
+
+def test_dropping_judges_texts_that_share_an_id(spark):
+    long, other = "a b c d e f g h i j k l", "other words stand here all alone in this one"
+    df = spark.createDataFrame([("b", long, "1", 1), ("b", other, "2", 1), ("a", long + " m", "3", 1), ("b", other, "4", 1), ("c", other, "5", 1), ("c", None, "6", 1), ("c", "", "7", 1)], DOCS.replace("doc_id long", "doc_id string"))
+    left = sorted((r.doc_id, r.text or "") for r in simhash.drop_near_duplicates(df).collect())
+    near = bin(plain_print(long) ^ plain_print(long + " m")).count("1") <= 4
+    assert left == sorted([("a", long + " m"), ("b", other), ("c", "")] + ([] if near else [("b", long)]))
+
+
+def test_unfinished_components_raise(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(70)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, most=1)

@@ -100,6 +100,39 @@ def test_language_of_switched_null_and_empty_texts(spark):
     assert language.keep_identified(rows).count() == 0
 
 
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+]
+
+
+def test_language_stage_drops_what_fits_no_language_and_keeps_the_rest(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    rng = np.random.default_rng(3)
+    noise = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 9)))) for _ in range(60))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = docs.orderBy("doc_id").limit(3).collect()
+    bad = [*FOREIGN, noise(), noise(), None, "", "12 + 34 = 46"]
+    # Ids are null, or repeat those of other rows.
+    planted = [(None if i % 2 else good[0].doc_id, t, None, "x", 0) for i, t in enumerate(bad)]
+    planted += [(None, good[1].text, None, "kept", 1), (good[0].doc_id, good[2].text, "en", "kept", 2), (None, good[1].text + " " + noise()[:60], None, "kept", 3)]
+    left = pipeline.language(spark, docs.union(spark.createDataFrame(planted, docs.schema)), sf_dir).collect()
+    clean = [tuple(r) for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert sorted(map(str, left)) == sorted(map(str, [spark.createDataFrame([r], docs.schema).first() for r in planted[len(bad) :]] + [r for r in docs.collect() if tuple(r) in set(clean)]))
+
+
+def test_language_sample_is_bounded_ordered_and_leaves_no_language_out(spark):
+    rows = [(i, "the cat is in the house " * 3, "en") for i in range(300)] + [(i, "le chat est dans la maison\n" * 4000, "fr") for i in range(300, 320)] + [(None, None, "de"), (7, "die katze " * 9, None), (None, "x" * 9000, "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.sample(df, 10, 100_000)
+    assert got == language.sample(df.repartition(5), 10, 100_000)
+    seen = Counter(x for _, x in got)
+    assert seen["en"] == 10 and 5 <= seen["fr"] <= 10 and seen["zz"] == 1 and set(seen) == {"en", "fr", "zz"}
+    assert all(len(t) <= 100_000 // 30 for t, _ in got) and all(t.endswith(("\n", " ")) for t, x in got if x == "fr")
+
+
 @pytest.mark.parametrize("text, want", [
     ("mail a.b+c@ex-1.org. x@y @z.com q@.com", ["email:5:19"]),
     ("1.2.3.4 and 256.1.1.1 then 10.0.0.255.7", ["ip:0:7", "ip:27:37"]),
