@@ -368,3 +368,50 @@ def test_secret_recall_holds_at_the_threshold():
         held = [x for x in table_[len(table_) * 3 // 4 :] if x[3]]
         likely = secrets.judged(net, [x[0] for x in held], [(i, x[1], x[2]) for i, x in enumerate(held)])
         assert (likely >= net.threshold).mean() >= recall
+
+
+LINE_ = "The river runs by the mill, and in the morning the fog lies over it until the sun is high. "
+
+
+@pytest.mark.parametrize("body, want", [
+    ('<article><p>One <svg class="i"/>two.</p><p>Three.</p></article>', "One two. Three."),
+    ("<article><p>One</p><video-player></video-player><svg-icon name=x></svg-icon><p>two.</p></article><p>x</p>", "One two."),
+    ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>", "So x=2 holds."),
+    ("<article><p>One</p><svg><title>t</title><text>no</text></svg><iframe src=x><p>two</p><button>no</button></article>", "One two"),
+    ("<article><p>One<script>var a = '<p>no</p>';</script> two</p><style>p{}</style></article>", "One two"),
+    ("<article><p>One</p><script>never closed <p>no</p></article>", "One"),
+    (f'<div class="body-search"><p>{LINE_ * 4}</p><div class="search"><p>Find it here.</p></div></div>', (LINE_ * 4).strip()),
+    (f'<article><p>{LINE_}</p><blockquote class="reply">He said so.</blockquote></article>', LINE_ + "He said so."),
+    (f'<div class="text"><p>{LINE_}</p></div><div class="comments"><p>{LINE_ * 5}</p></div>', LINE_.strip()),
+    (f'<div class="intro"><p>{LINE_}</p></div><div class="text"><p>{LINE_ * 5}</p></div><div class="links">{"<a>More of this.</a> " * 9}</div>', (LINE_ * 6).strip()),
+])
+def test_markup_of_single_pages(spark, body, want):
+    df = spark.createDataFrame([(1, "http://a.org/1", f"<html><head><title>t</title></head><body>{body}</body></html>")], "page_id long, url string, html string")
+    assert html.main_text(df).first().text == want
+
+
+def test_hosts_tell_articles_from_what_repeats(spark):
+    def page(n, intro=True):
+        lead = f'<div class="intro"><p>Story {n} begins here, on a day that was like no other day in that year.</p></div>' if intro else ""
+        return f'<body><div class="foot"><p>All of this site is ours alone, and nobody else may copy any part of it.</p></div>{lead}<div class="text"><p>{LINE_ * 3}And it was number {n}.</p><div class="box"><p>Subscribe to our letter, and never miss a story.</p></div><div class="own"><p>Only story {n} has these words in it, I think.</p></div><p>End.</p></div></body>'
+
+    want = lambda n: f"Story {n} begins here, on a day that was like no other day in that year. {LINE_ * 3}And it was number {n}. Only story {n} has these words in it, I think. End."
+    # Copies of a page are one page: they don't make its own words look repeated.
+    pages = [("http://a.org/", n) for n in range(5)] + [("http://a.org/", 0)] * 20
+    df = spark.createDataFrame([(i, u, page(n)) for i, (u, n) in enumerate(pages)], "page_id long, url string, html string")
+    assert [r.text for r in html.main_text(df).orderBy("page_id").collect()] == [want(n) for _, n in pages]
+    same = spark.createDataFrame([(i, "http://b.org", page(7)) for i in range(6)], "page_id long, url string, html string")
+    assert len({r.text for r in html.main_text(same).collect()}) == 1 and "Only story 7" in html.main_text(same).first().text
+
+
+def test_deep_and_broken_pages_take_time_in_proportion():
+    import time
+
+    deep = lambda n: "<div class=a>" * n + "words " + "</b></p></x>" * n + "<svg>" * n + "<li>" * n
+    took = []
+    for n in (30_000, 300_000):  # the larger has 10 MB
+        began = time.perf_counter()
+        votes = html.votes_of(html.blocks_of(deep(n)))
+        took.append(time.perf_counter() - began)
+        assert votes[0][0] == "best" and votes[0][1].count("/") == n
+    assert took[1] < 30 * took[0]
