@@ -17,8 +17,9 @@ KINDS = ["assign", "access", "hex", "learned"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What the network looks at besides the fixed patterns' spans: long runs of token characters with a digit and a letter.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+#: What the network looks at besides the fixed patterns' spans: runs of twelve token characters or more with a digit and a
+#: letter, or with a capital after a small letter. No part of it goes back, so long runs cost their length.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])|(?=[A-Z0-9+/_-]*+[a-z][a-z0-9+/_-]*+[A-Z]))[A-Za-z0-9+/_-]{12,}+={0,2}")
 HINTS = ("passw", "secret", "token", "api")
 
 
@@ -67,7 +68,7 @@ class Net:
     weights: dict[str, np.ndarray]
     scale: float = 1.0
     shift: float = 0.0
-    threshold: float = 0.5
+    thresholds: tuple[float, ...] = (0.5,) * 5
 
     def forward(self, codes: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
@@ -112,25 +113,46 @@ class Net:
         return g
 
 
-def labelled_findings(rows: int = 2400, seed: int = 17) -> list[tuple[str, int, int, int]]:
-    """Labelled findings (text, start, end, secret or not), made by a seeded rule from public formats and look-alikes."""
+#: What a candidate is made of; each kind has a threshold of its own.
+MADE_OF = ["hex", "alphanumeric", "joined", "base64", "path"]
+
+
+def made_of(value: str) -> int:
+    if re.fullmatch(r"[0-9a-fA-F-]+", value):
+        return 0
+    if value.isalnum():
+        return 1
+    return 3 if re.search(r"[+=]", value) else 4 if "/" in value else 2
+
+
+def labelled_findings(rows: int = 6000, seed: int = 17, other: bool = False) -> list[tuple[str, int, int, int]]:
+    """Labelled candidates (text, start, end, secret or not), made by a seeded rule from public formats and look-alikes.
+
+    With ``other``, formats, look-alikes and contexts are others: what a model of the first ones hasn't seen.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     run = lambda chars, n: "".join(chars[i] for i in rng.integers(0, len(chars), n))
     low, up, num, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
     mixed = low + up + num
-    word = lambda: run(low, int(rng.integers(3, 9)))
+    syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "i", "o", "u", "en", "or", "is")]
+    word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 4)))) if rng.random() < 0.7 else run(low, int(rng.integers(3, 9)))
     secret = [
         lambda: "AKIA" + run(up + num, 16),
         lambda: "ghp_" + run(mixed, 36),
         lambda: "sk-" + run(mixed, 40),
         lambda: "xoxb-" + run(num, 11) + "-" + run(mixed, 24),
         lambda: "AIza" + run(mixed + "_-", 35),
-        lambda: run(hexa, int(pick([32, 40, 64]))),
+        lambda: run(hexa, int(pick([20, 32, 40, 64]))),
         lambda: run(mixed + "+/", 40),
-        lambda: run(mixed, int(rng.integers(20, 48))),
+        lambda: run(mixed, int(rng.integers(14, 48))),
         lambda: run(mixed + "+/", 42) + "==",
+        lambda: run(low + num, int(rng.integers(20, 40))),
+        lambda: run(up + num, int(rng.integers(20, 40))),
+        lambda: word() + "_" + run(mixed, int(rng.integers(20, 40))),
     ]
+    sets = [hexa, low + num, up + num, mixed, mixed + "_-", mixed + "+/", low + up]
+    secret += [lambda: pick(["", "", run(low, 2) + "_", run(up, 2), run(low, 3) + "-", word()[:5] + "-", f"{word()[:4]}_{word()[:4]}_"]) + run(pick(sets), int(rng.integers(18, 70)))] * 8
     plain = [
         lambda: f"{word()}_{word()}_{word()}_{run(num, 2)}",
         lambda: f"{word()}-{word()}-{word()}-{run(num, 4)}",
@@ -138,22 +160,59 @@ def labelled_findings(rows: int = 2400, seed: int = 17) -> list[tuple[str, int,
         lambda: "-".join(run(hexa, n) for n in (8, 4, 4, 4, 12)),
         lambda: f"{run(num, 4)}-{run(num, 2)}-{run(num, 2)}T{run(num, 6)}Z",
         lambda: word() + word() + word() + run(num, int(rng.integers(1, 4))),
-        lambda: f"{word().capitalize()}{word().capitalize()}{word().capitalize()}{run(num, 2)}",
+        lambda: "".join(word().capitalize() for _ in range(int(rng.integers(2, 6)))) + run(num, int(rng.integers(0, 3))),
+        lambda: word() + "".join(word().capitalize() for _ in range(int(rng.integers(1, 5)))),
         lambda: "x" * int(rng.integers(10, 20)) + run(num, 6),
         lambda: "=" * 12 + word() + run(num, 2) + "=" * 8,
         lambda: word() * 4 + run(num, 1),
         lambda: f"ISBN{run(num, 13)}",
         lambda: run(num, 14) + pick(["px", "ms", "km", "kb"]),
+        lambda: "/".join([*(word() for _ in range(int(rng.integers(2, 7)))), pick(["v", "page", "img"]) + run(num, 2)]),
+        lambda: f"{word().upper()}-{run(num, 5)}-{word().upper()}",
     ]
+    piece = lambda: pick([word, word, word, lambda: word().capitalize(), lambda: word().upper(), lambda: run(num, int(rng.integers(1, 9))), lambda: word() + run(num, int(rng.integers(1, 4)))])()
+    plain += [lambda: pick(["-", "_", "/", "=", "--", ""]).join(piece() for _ in range(int(rng.integers(2, 8))))] * 10
     near = ['key = "', "secret: ", "export TOKEN=", 'auth="', "Bearer ", "aws ", "credentials ", "password=", "api_key: "]
     far = ["see ", "in the file ", "version ", "at ", "the ", "https://example.org/", "uuid ", "part ", "id ", "|", "### "]
+    if other:
+        secret = [
+            lambda: "glpat-" + run(mixed, 20),
+            lambda: "npm_" + run(mixed, 36),
+            lambda: "dop_v1_" + run(hexa, 64),
+            lambda: "hf_" + run(low + up, 34),
+            lambda: "AC" + run(hexa, 32),
+            lambda: "pk_live_" + run(mixed, 24),
+            lambda: "ya29-" + run(mixed + "_-", 60),
+            lambda: run(hexa, 16) + "-" + pick(["us1", "eu2", "us14"]),
+            lambda: run(mixed, int(rng.integers(16, 64))),
+            lambda: run(mixed + "/+", 64) + "==",
+            lambda: run(low + num, 30),
+        ]
+        plain = [
+            lambda: f"IMG_{run(num, 8)}_{run(num, 6)}",
+            lambda: f"SKU-{run(num, 5)}-{word().upper()}",
+            lambda: f"{word()}Of{word().capitalize()}And{word().capitalize()}",
+            lambda: f"{word()}-{word()}-{word()}-{word()}-{run(num, 1)}",
+            lambda: "/".join(word() for _ in range(4)) + "/" + run(num, 4),
+            lambda: "-".join(run(hexa.upper(), n) for n in (8, 4, 4, 4, 12)),
+            lambda: f"{run(num, 4)}{run(num, 2)}{run(num, 2)}-{word()}-{word()}",
+            lambda: f"{word()}={run(num, 3)}/{word()}={run(num, 3)}",
+            lambda: f"the_{word()}_in_the_{word()}2",
+            lambda: "_" * 10 + word() + run(num, 1) + "_" * 10,
+        ]
+        near = ["PAT: ", "key is ", "'credential': '", "TOKEN=", "login ", "x-api-key: "]
+        far = ["photo ", "of ", "www.example.net/", "as ", "item ", "file=", "* ", "under "]
     found = []
     for _ in range(rows):
         gold = int(rng.random() < 0.5)
         value = pick(secret if gold else plain)()
-        lead = pick(near) if rng.random() < (0.7 if gold else 0.15) else pick(far)
+        lead = pick(near) if rng.random() < (0.6 if gold else 0.15) else pick(far)
         left = " ".join(word() for _ in range(int(rng.integers(0, 6)))) + " " + lead
-        found.append((left + value + pick(['"', " ", "\n", ", ", ";"]) + word(), len(left), len(left) + len(value), gold))
+        text = left + value + pick(['"', " ", "\n", ", ", ";"]) + word()
+        # The span is that of the candidate which the value makes with what stands before it, as a scan finds it.
+        run_ = next((m.span() for m in CANDIDATE.finditer(text) if m.start() < len(left) + len(value) and m.end() > len(left)), None)
+        if run_:
+            found.append((text, *run_, gold))
     return found
 
 
@@ -167,36 +226,53 @@ def judged(net: Net, texts: list[str], spans: list[tuple[int, int, int]]) -> np.
     return likely
 
 
+def scored(net: Net, table: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of labelled findings the probabilities, what they are made of, and the labels."""
+    likely = judged(net, [x[0] for x in table], [(i, x[1], x[2]) for i, x in enumerate(table)])
+    return likely, np.array([made_of(t[s:e]) for t, s, e, _ in table]), np.array([x[3] for x in table])
+
+
 @cache
 def model(recall: float = 0.97, seed: int = 23) -> Net:
-    """Train by Adam, calibrate by Platt's scaling on findings held out, and take the highest threshold whose recall there is ``recall`` or more."""
+    """Train by Adam on findings of the first formats; calibrate by Platt's scaling, and set for each kind the highest
+    threshold whose recall is ``recall`` or more, on findings held out and on ones of other formats."""
     rng = np.random.default_rng(seed)
-    table = labelled_findings()
+    table, held = labelled_findings(), labelled_findings(900, seed=18) + labelled_findings(1800, seed=19, other=True)
     codes, gold = np.stack([encode(t, s, e) for t, s, e, _ in table]), np.array([x[3] for x in table], np.float32)
-    fit, held = slice(0, len(table) * 3 // 4), slice(len(table) * 3 // 4, None)
     shape = {"embed": (len(ALPHABET) + 2, SIZE), "conv": (WIDTH * SIZE, FILTERS), "bias": (FILTERS,), "dense": (4 * FILTERS, HIDDEN), "dense_bias": (HIDDEN,), "out": (HIDDEN,), "out_bias": (1,)}
     net = Net({k: (rng.standard_normal(s) * (0.0 if "bias" in k else np.sqrt(2 / max(s[0], 8)))).astype(np.float32) for k, s in shape.items()})
     first, second = ({k: np.zeros_like(v) for k, v in net.weights.items()} for _ in range(2))
     t = 0
-    for _ in range(4):
-        for part in np.array_split(rng.permutation(fit.stop), fit.stop // 64):
+    for _ in range(5):
+        for part in np.array_split(rng.permutation(len(table)), len(table) // 64):
             t += 1
             for k, g in net.gradients(codes[part], gold[part]).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 net.weights[k] -= (0.01 * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    logit, y = net.forward(codes[held])["logit"].astype(np.float64), gold[held]
-    scale, shift = 1.0, 0.0
-    for _ in range(200):  # Newton would do; plain steps on two numbers are enough
-        p = 1 / (1 + np.exp(-(scale * logit + shift)))
-        scale -= 0.1 * float(((p - y) * logit).mean())
-        shift -= 0.1 * float((p - y).mean())
-    net.scale, net.shift = scale, shift
-    likely = judged(net, [x[0] for x in table[held]], [(i, x[1], x[2]) for i, x in enumerate(table[held])])
-    net.threshold = float(np.quantile(likely[y == 1], 1 - recall, method="lower"))
+    logit, y = net.forward(np.stack([encode(t, s, e) for t, s, e, _ in held]))["logit"].astype(np.float64), np.array([x[3] for x in held])
+    spread, scale, shift = float(logit.std()), 1.0, 0.0
+    for _ in range(1000):  # Newton would do; plain steps on two numbers are enough
+        p = 1 / (1 + np.exp(-(scale * logit / spread + shift)))
+        scale -= float(((p - y) * logit / spread).mean())
+        shift -= float((p - y).mean())
+    net.scale, net.shift = scale / spread, shift
+    likely, kind, y = scored(net, held)
+    net.thresholds = tuple(float(np.quantile(likely[(y == 1) & (kind == k)], 1 - recall, method="lower")) for k in range(len(MADE_OF)))
     return net
 
 
+def touching(spans: list[tuple], others: list[tuple]) -> list[bool]:
+    """Of spans by start, which touch one of ``others`` (start, end, ...); those are sorted by start as well."""
+    out, at, reach = [], 0, -1
+    for s, e, *_ in spans:
+        while at < len(others) and others[at][0] < e:
+            reach = max(reach, others[at][1])
+            at += 1
+        out.append(reach > s)
+    return out
+
+
 def scan(texts: list[str], net: Net) -> list[tuple[list, list]]:
     """For each text the base spans and all spans (start, end, kind, probability)."""
     jobs, base = [], []
@@ -204,11 +280,12 @@ def scan(texts: list[str], net: Net) -> list[tuple[list, list]]:
         found = base_spans(text)
         base.append(found)
         jobs += [(i, s, e, kind) for s, e, kind in found]
-        jobs += [(i, m.start(), m.end(), "learned") for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in found)]
+        more = [m.span() for m in CANDIDATE.finditer(text)]
+        jobs += [(i, s, e, "learned") for (s, e), taken in zip(more, touching(more, found), strict=True) if not taken]
     likely = judged(net, texts, [(i, s, e) for i, s, e, _ in jobs])
     spans: list[list] = [[] for _ in texts]
     for (i, s, e, kind), p in zip(jobs, likely, strict=True):
-        if kind != "learned" or p >= net.threshold:
+        if kind != "learned" or p >= net.thresholds[made_of(texts[i][s:e])]:
             spans[i].append((s, e, kind, float(p)))
     return [(b, sorted(x, key=lambda y: (y[0], KINDS.index(y[2])))) for b, x in zip(base, spans, strict=True)]
 
@@ -217,7 +294,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """``doc_id, base, spans`` for each row of ``docs`` (doc_id, text): arrays of (start, end, kind, probability) in code points.
 
     Null texts are empty and hold none. Base spans stay whatever the network says; it gives them a probability, and adds
-    candidates above its threshold that touch no base span. Repeated rows are scanned one by one.
+    candidates above their kind's threshold that touch no base span. Repeated rows are scanned one by one.
     """
     net = docs.sparkSession.sparkContext.broadcast(model())
 

@@ -196,10 +196,36 @@ def test_secret_base_spans(text, want):
 
 
 def test_secret_network_recall_on_findings_held_out():
-    net, table_ = secrets.model(), secrets.labelled_findings(600, seed=99)
-    gold = np.array([x[3] for x in table_])
-    said = net.probability(np.stack([secrets.encode(t, s, e) for t, s, e, _ in table_])) >= net.threshold
-    assert said[gold == 1].mean() >= 0.9 and said[gold == 0].mean() <= 0.03
+    net = secrets.model()
+    for other in (False, True):  # formats trained on, and others
+        likely, kind, gold = secrets.scored(net, secrets.labelled_findings(1200, seed=99, other=other))
+        said = likely >= np.array(net.thresholds)[kind]
+        assert said[gold == 1].mean() >= 0.93 and said[gold == 0].mean() <= 0.03
+
+
+def test_secrets_of_unseen_formats_are_found_in_documents(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    planted = [(t, s, e) for t, s, e, gold in secrets.labelled_findings(400, seed=77, other=True) if gold]
+    docs = [f"{x}\n{t}" for x, (t, _, _) in zip(texts * 3, planted)]
+    found = secrets.scan(docs, secrets.model())
+    near = [any(a < len(d) - len(t) + e and len(d) - len(t) + s < b for a, b, *_ in spans) for d, (t, s, e), (_, spans) in zip(docs, planted, found)]
+    assert np.mean(near) >= 0.9
+    added = sum(k == "learned" for _, spans in secrets.scan([t or "" for t in texts], secrets.model()) for *_, k, _ in spans)
+    assert added <= 0.02 * len(texts)
+
+
+def test_many_spans_in_one_text_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (2_000, 20_000):
+        text = "a1b2c3d4e5f6g7h8i9 token = 0123456789abcdef " * n + "aB" * n + "+a" * n
+        began = time.perf_counter()
+        secrets.touching([m.span() for m in secrets.CANDIDATE.finditer(text)], secrets.base_spans(text))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
+    spans, others = [(0, 3), (4, 6), (7, 9), (20, 21)], [(2, 5), (9, 10), (12, 30)]
+    assert secrets.touching(spans, others) == [any(a < e and s < b for a, b in others) for s, e in spans]
 
 
 def test_secrets_found_and_redacted(spark):
@@ -362,12 +388,13 @@ def test_keys_in_the_middle_of_long_runs_are_found():
     assert [x for s, e in secrets.windows(3, 200) for x in (s, e)][:4] == [3, 51, 27, 75] and secrets.windows(3, 200)[-1] == (152, 200)
 
 
-def test_secret_recall_holds_at_the_threshold():
+def test_secret_recall_holds_at_the_thresholds():
     for recall in (0.97, 1.0):
-        net, table_ = secrets.model(recall), secrets.labelled_findings()
-        held = [x for x in table_[len(table_) * 3 // 4 :] if x[3]]
-        likely = secrets.judged(net, [x[0] for x in held], [(i, x[1], x[2]) for i, x in enumerate(held)])
-        assert (likely >= net.threshold).mean() >= recall
+        net = secrets.model(recall)
+        likely, kind, gold = secrets.scored(net, secrets.labelled_findings(900, seed=18) + secrets.labelled_findings(1800, seed=19, other=True))
+        for k in range(len(secrets.MADE_OF)):
+            own = (gold == 1) & (kind == k)
+            assert (likely[own] >= net.thresholds[k]).mean() >= recall
 
 
 LINE_ = "The river runs by the mill, and in the morning the fog lies over it until the sun is high. "
