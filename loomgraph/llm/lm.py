@@ -20,8 +20,11 @@ VOCABULARY = CLASSES * CLASSES - RARE - 1
 #: Neighbours seen on either side, and the size of the hidden layer.
 SIDE, HIDDEN = 2, 24
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
-#: Share of all positions that a round of training draws (all), from every text alike; rounds; words of a step; pieces of the weights.
-SHARE, ROUNDS, STEP, PIECES = 1.0, 1, 4096, 16
+#: Rounds of training over all positions; words of a step, words that steps are drawn from at a time, and pieces of the weights.
+ROUNDS, STEP, SHUFFLED, PIECES = 1, 4096, 1 << 17, 16
+#: Words that one copy of the network learns from, about: the corpus is dealt out to copies by its rows' hashes, whatever its
+#: partitions, and copies are added up a FAN at a time.
+COPY_WORDS, FAN = 1_000_000, 32
 
 
 #: Counts of words with at least one in FREQUENT of all tokens, so of at most FREQUENT words, go to every task; those of the rest are joined.
@@ -67,19 +70,25 @@ class Coder:
         self.sorted = words[self.order]
 
     def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """As ``tokens``, then the hash and the text of each word outside the vocabulary."""
+        """All texts' tokens and the text of each, then the hash and the text of each word outside the vocabulary."""
         w = words_of(texts)
         at = np.minimum(np.searchsorted(self.sorted, w.hashes), max(0, len(self.sorted) - 1))
         known = self.sorted[at] == w.hashes if len(self.sorted) else np.zeros(len(w.hashes), bool)
         code = np.where(known, self.order[at] if len(self.sorted) else 0, VOCABULARY + (w.hashes % np.uint64(RARE)).astype(np.int64))
-        place = np.arange(len(code)) + SIDE * (w.text + 1)
-        tokens, owner = np.full(len(code) + SIDE * (len(texts) + 1), EDGE), np.full(len(code) + SIDE * (len(texts) + 1), -1)
-        tokens[place], owner[place] = code, w.text
-        return tokens, owner, w.hashes[~known], w.text[~known]
+        return code, w.text, w.hashes[~known], w.text[~known]
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' tokens with SIDE edges before, between and after, and the text of each (-1 at edges)."""
-        return self.coded(texts)[:2]
+        """All texts' tokens ``laid`` out."""
+        code, text, _, _ = self.coded(texts)
+        return laid(code, text, len(texts))
+
+
+def laid(code: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens with SIDE edges before, between and after texts, and the text of each (-1 at edges)."""
+    place = np.arange(len(code)) + SIDE * (text + 1)
+    tokens, owner = np.full(len(code) + SIDE * (texts + 1), EDGE), np.full(len(code) + SIDE * (texts + 1), -1)
+    tokens[place], owner[place] = code, text
+    return tokens, owner
 
 
 class Network:
@@ -173,111 +182,151 @@ class Network:
         return net
 
 
-def _round(docs: DataFrame, words, net, number: int, share: float) -> Network:
-    """Every task trains a copy on a random share (1: all) of the positions of all its texts; the copies' mean, by words seen, is next.
+def coded(docs: DataFrame, words) -> DataFrame:
+    """``row, doc_id, draw, n_tokens, tokens, rare``: each text's tokens as two bytes each, and the hashes of its words outside
+    the vocabulary (broadcast ``words``). ``draw`` is a hash of id and text."""
+
+    def make():
+        coder = Coder(words.value)
+
+        def apply(batch: pa.RecordBatch) -> dict:
+            texts = [t or "" for t in batch.column(3).to_pylist()]
+            code, text, hashes, owner = coder.coded(texts)
+            ends = np.cumsum(np.bincount(text, minlength=len(texts)))
+            left = np.bincount(owner, minlength=len(texts))
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32()), pa.array(hashes.view(np.int64)))
+            tokens = [x.tobytes() for x in np.split(code.astype("<u2"), ends[:-1])]
+            return {"row": batch.column(0), "doc_id": batch.column(1), "draw": batch.column(2), "n_tokens": np.diff(ends, prepend=0), "tokens": pa.array(tokens, pa.binary()), "rare": rare}
+
+        return apply
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("draw"), "text")
+    return over_batches(numbered, f"row bigint, doc_id {kind}, draw bigint, n_tokens bigint, tokens binary, rare array<bigint>", "text", make, 1 << 20)
+
+
+def _steps(own: Network, parts: list[np.ndarray], rng: np.random.Generator) -> int:
+    """Learn from every position of some texts, in random order."""
+    tokens, owner = laid(np.concatenate(parts).astype(np.int64), np.repeat(np.arange(len(parts)), list(map(len, parts))), len(parts))
+    at = np.flatnonzero(owner >= 0)
+    rng.shuffle(at)
+    for i in range(0, len(at), STEP):
+        own.learn(tokens, at[i : i + STEP])
+    return len(at)
+
+
+def _round(table: DataFrame, copies: int, net, number: int) -> Network:
+    """Copies of the network each learn from all positions of the texts that hashes deal to them, in the order of these; the
+    copies' mean, by words seen, is next.
 
-    Weights go out in pieces. Each piece's copies are added up as they stream by, so no task holds more than its sums.
+    What a copy sees depends on the rows alone, so partitions don't show in the result. Weights go out in pieces, and are
+    added up a FAN of copies at a time; each piece's copies are added up as they stream by, so no task holds more than its sums.
     """
-    columns = "piece int, seen double, weights binary"
+    columns = "copy int, piece int, seen double, weights binary"
 
     def learn(batches):
-        coder, own = Coder(words.value), Network.shaped(net.value)
-        rng, seen = np.random.default_rng(1000 + number), 0
+        now, own, rng, parts, held, seen = None, None, None, [], 0, 0
+
+        def ended():
+            n = seen + (_steps(own, parts, rng) if held else 0)
+            if n:
+                pieces = np.array_split(own.flat().astype("<f8"), PIECES)
+                yield pa.RecordBatch.from_pydict({"copy": pa.array([now] * PIECES, pa.int32()), "piece": pa.array(range(PIECES), pa.int32()), "seen": [float(n)] * PIECES, "weights": [p.tobytes() for p in pieces]})
+
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            held, part = 0, []
-            for text in [*texts, None]:
-                if text is None or held > 1 << 20:
-                    tokens, owner = coder.tokens(part)
-                    at = np.flatnonzero((owner >= 0) & (rng.random(len(owner)) < share))
-                    rng.shuffle(at)
-                    for i in range(0, len(at), STEP):
-                        own.learn(tokens, at[i : i + STEP])
-                        seen += len(at[i : i + STEP])
-                    held, part = 0, []
-                if text is not None:
-                    part.append(text)
-                    held += len(text)
-        if seen:
-            pieces = np.array_split(own.flat(), PIECES)
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "seen": [float(seen)] * PIECES, "weights": [p.astype("<f4").tobytes() for p in pieces]})
+            for copy, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if copy != now:
+                    if now is not None:
+                        yield from ended()
+                    now, own, rng, parts, held, seen = copy, Network.shaped(net.value), np.random.default_rng([number, copy]), [], 0, 0
+                parts.append(np.frombuffer(tokens.as_buffer(), "<u2"))
+                held += len(parts[-1])
+                if held >= SHUFFLED:
+                    seen += _steps(own, parts, rng)
+                    parts, held = [], 0
+        if now is not None:
+            yield from ended()
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        totals: Counter[int] = Counter()
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        totals: Counter[tuple[int, int]] = Counter()
         for batch in batches:
-            for piece, seen, weights in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                sums[piece] = sums.get(piece, 0.0) + seen * np.frombuffer(weights, "<f4").astype(np.float64)
-                totals[piece] += seen
-        for piece in sums:
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "seen": [totals[piece]], "weights": [(sums[piece] / totals[piece]).astype("<f4").tobytes()]})
-
-    copies = docs.select("text").mapInArrow(learn, columns)
-    # Two levels: first some copies of a piece each, then these means.
-    once = copies.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(8))).repartition(PIECES * 4, "piece", "lot").drop("lot").mapInArrow(add, columns)
-    rows = once.repartition(PIECES, "piece").mapInArrow(add, columns).orderBy("piece").collect()
-    if not rows:
+            for copy, piece, seen, weights in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                key = copy, piece
+                sums[key] = sums.get(key, 0.0) + seen * np.frombuffer(weights, "<f8")
+                totals[key] += seen
+        for key in sums:
+            yield pa.RecordBatch.from_pydict({"copy": pa.array([key[0]], pa.int32()), "piece": pa.array([key[1]], pa.int32()), "seen": [totals[key]], "weights": [(sums[key] / totals[key]).tobytes()]})
+
+    dealt = table.filter("n_tokens > 0").select(F.pmod("draw", F.lit(copies)).cast("int").alias("copy"), "tokens", "draw")
+    rows = dealt.repartitionByRange(copies, "copy").sortWithinPartitions("copy", "draw").select("copy", "tokens").mapInArrow(learn, columns)
+    left = copies
+    while left > 1:
+        left = -(-left // FAN)
+        rows = rows.withColumn("copy", F.pmod("copy", F.lit(left))).repartition(left * PIECES, "copy", "piece").mapInArrow(add, columns)
+    found = rows.orderBy("piece").collect()
+    if not found:
         return Network()
-    mean = Network.shaped(np.concatenate([np.frombuffer(r["weights"], "<f4") for r in rows]))
-    mean.seen = int(rows[0]["seen"])
+    mean = Network.shaped(np.concatenate([np.frombuffer(r["weights"], "<f8") for r in found]))
+    mean.seen = int(found[0]["seen"])
     return mean
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE, counts: DataFrame | None = None) -> tuple[np.ndarray, Network]:
-    """The vocabulary by counts over all words, and the network after ``rounds`` of distributed training over all texts."""
-    words = vocabulary(word_counts(docs) if counts is None else counts)
-    context, net = docs.sparkSession.sparkContext, Network()
-    shared = context.broadcast(words)
-    for k in range(rounds):
+def train(table: DataFrame, rounds: int = ROUNDS, copy_words: int = COPY_WORDS) -> Network:
+    """The network after ``rounds`` of distributed training over all positions of all texts of ``table`` (``coded``, settled)."""
+    context, net = table.sparkSession.sparkContext, Network()
+    words = table.agg(F.sum("n_tokens")).first()[0] or 0
+    for k in range(rounds if words else 0):
         seen = net.seen
-        net = _round(docs, shared, context.broadcast(net.flat()), k, share)
+        net = _round(table, -(-words // copy_words), context.broadcast(net.flat()), k)
         net.seen += seen
-    return words, net
+    return net
 
 
-def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, copy_words: int = COPY_WORDS) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_likelihood, perplexity`` for each row of ``docs`` (doc_id, text).
 
     A token is a run of letters. ``log_likelihood`` sums over all tokens of the whole text the log-probability of the token
     given two words on either side. The network predicts the commonest words (VOCABULARY) and buckets of all others; a word
     in a bucket has the bucket's probability times its share of the bucket's tokens in the corpus. Null texts and texts
-    without letters have no tokens: sum 0, and no mean. Repeated rows score alike. An empty table trains nothing and scores
-    nothing.
+    without letters have no tokens: sum 0, and no mean. Repeated rows score alike. The result doesn't depend on how the table
+    is partitioned. An empty table trains nothing and scores nothing.
     """
+    context = docs.sparkSession.sparkContext
     counts = settle(word_counts(docs))
-    words, net = train(docs, rounds, share, counts)
+    words = vocabulary(counts)
+    # Rows keep their numbers once they are written; texts are read twice, to count and to code them.
+    table = settle(coded(docs, context.broadcast(words)))
+    net = train(table, rounds, copy_words)
     rest, held = rare_words(counts, words)
     least = max(1, (counts.agg(F.sum("n")).first()[0] or 0) / FREQUENT)
     often = rest.filter(F.col("n") >= least).toArrow().sort_by("hash")
-    context = docs.sparkSession.sparkContext
-    shared, weights = context.broadcast(words), context.broadcast(net.flat())
+    weights = context.broadcast(net.flat())
     often = context.broadcast((often["hash"].to_numpy(), np.log(often["n"].to_numpy()), np.log(np.maximum(held, 1))))
 
     def make():
-        coder, own = Coder(shared.value), Network.shaped(weights.value)
+        own = Network.shaped(weights.value)
         frequent, logs_of, bucket_logs = often.value
 
         def apply(batch: pa.RecordBatch) -> dict:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            tokens, owner, hashes, text = coder.coded(texts)
+            n = batch.column(2).to_numpy()
+            code = np.concatenate([np.frombuffer(t.as_buffer(), "<u2") for t in batch.column(3)]).astype(np.int64)
+            tokens, owner = laid(code, np.repeat(np.arange(len(n)), n), len(n))
             at = np.flatnonzero(owner >= 0)
-            logs = own.scores(tokens, at)
-            total = np.bincount(owner[at], weights=logs, minlength=len(texts))
-            total -= np.bincount(text, weights=bucket_logs[(hashes % np.uint64(RARE)).astype(np.int64)], minlength=len(texts))
-            hashes = hashes.view(np.int64)
+            total = np.bincount(owner[at], weights=own.scores(tokens, at), minlength=len(n))
+            rare = batch.column(4)
+            hashes, text = rare.flatten().to_numpy(), np.repeat(np.arange(len(n)), rare.value_lengths().to_numpy())
+            total -= np.bincount(text, weights=bucket_logs[(hashes.view(np.uint64) % np.uint64(RARE)).astype(np.int64)], minlength=len(n))
             where = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
             found = frequent[where] == hashes if len(frequent) else np.zeros(len(hashes), bool)
-            total += np.bincount(text[found], weights=logs_of[where[found]], minlength=len(texts))
-            left = np.bincount(text[~found], minlength=len(texts))
-            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32()), pa.array(hashes[~found]))
-            return {"row": batch.column(0), "doc_id": batch.column(1), "n_tokens": np.bincount(owner[at], minlength=len(texts)), "total": total, "rare": rare}
+            total += np.bincount(text[found], weights=logs_of[where[found]], minlength=len(n))
+            left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(text[~found], minlength=len(n)))]), pa.int32()), pa.array(hashes[~found]))
+            return {"row": batch.column(0), "doc_id": batch.column(1), "n_tokens": n, "total": total, "rare": left}
 
         return apply
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    # Rows keep their numbers once they are written.
-    scored = settle(over_batches(numbered, f"row bigint, doc_id {kind}, n_tokens bigint, total double, rare array<bigint>", "text", make, 1 << 20))
+    scored = settle(over_batches(table.select("row", "doc_id", "n_tokens", "tokens", "rare"), f"row bigint, doc_id {kind}, n_tokens bigint, total double, rare array<bigint>", "tokens", make, 1 << 19), table)
     terms = scored.select("row", F.explode("rare").alias("hash")).join(rest.filter(F.col("n") < least), "hash").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
     whole = scored.join(terms, "row", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("more", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))

@@ -352,7 +352,7 @@ def test_pseudo_likelihood_tells_order(spark):
     line = lambda: " ".join(f"{a} {a}{b} {b}" for a, b in zip(rng.choice(list("abcd"), 12), rng.choice(list("xyz"), 12)))
     texts = [line() for _ in range(400)]
     mixed = " ".join(rng.permutation(" ".join(texts[:20]).split(" ")))
-    got = lm.pseudo_likelihood(table(spark, texts + [mixed, None, "", "12 3"]), rounds=2, share=1.0).orderBy("doc_id").collect()
+    got = lm.pseudo_likelihood(table(spark, texts + [mixed, None, "", "12 3"]), rounds=2).orderBy("doc_id").collect()
     assert np.mean([r.mean_log_likelihood for r in got[:400]]) > got[400].mean_log_likelihood + 0.3
     assert [(r.n_tokens, r.log_likelihood, r.perplexity) for r in got[401:]] == [(0, 0.0, None)] * 3
     assert all(abs(r.log_likelihood - r.n_tokens * r.mean_log_likelihood) < 1e-3 for r in got[:400])
@@ -375,8 +375,7 @@ def test_rare_words_have_probabilities_of_their_own(spark, monkeypatch):
     assert sums.tolist() == [held[b] for b in range(lm.RARE)]
     for most in (1 << 20, 6000, 1):
         monkeypatch.setattr(lm, "FREQUENT", most)
-        words, net = lm.train(docs, 0)
-        coder = lm.Coder(words)
+        net, coder = lm.Network(), lm.Coder(lm.vocabulary(lm.word_counts(docs)))
         got = lm.pseudo_likelihood(docs, rounds=0).orderBy("doc_id").collect()
         for r, t in zip(got, texts, strict=True):
             tokens, owner = coder.tokens([t or ""])
@@ -391,12 +390,44 @@ def test_registered_training_sees_every_position_and_tells_order(spark):
     texts = [line() for _ in range(1200)]
     mixed = " ".join(rng.permutation(" ".join(texts[:20]).split(" ")))
     docs = table(spark, texts + [mixed, None])
-    _, net = lm.train(docs)
+    words = docs.sparkSession.sparkContext.broadcast(lm.vocabulary(lm.word_counts(docs)))
+    net = lm.train(lm.settle(lm.coded(docs, words)))
     assert net.seen == sum(len((t or "").split()) for t in [*texts, mixed])
     got = lm.pseudo_likelihood(docs).orderBy("doc_id").collect()
     assert np.mean([r.mean_log_likelihood for r in got[:1200]]) > got[1200].mean_log_likelihood + 0.3
 
 
+def test_scores_don_t_depend_on_partitions(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(list("abcdefghij"), int(rng.integers(0, 90)))) for _ in range(300)] + ["a b c"] * 40 + [None, "x " * 9000]
+    docs = table(spark, texts).union(table(spark, texts[:3]))
+    runs = []
+    for n in (1, 3, 6):
+        got = lm.pseudo_likelihood(docs.repartition(n), copy_words=2000).collect()
+        runs.append(sorted((r.doc_id, r.n_tokens, r.log_likelihood) for r in got))
+    for other in runs[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in runs[0]]
+        assert all(abs(x[2] - y[2]) <= 1e-6 * max(1, abs(y[2])) for x, y in zip(other, runs[0]))
+
+
+def test_scores_equal_plain_softmaxes(spark):
+    texts = ["the cat sat on the mat and the dog sat on the cat", "the mat", "", None, "dog " * 50]
+    docs = table(spark, texts * 4)
+    words = lm.vocabulary(lm.word_counts(docs))
+    net = lm.train(lm.settle(lm.coded(docs, spark.sparkContext.broadcast(words))), rounds=2)
+    rank = {int(h): i for i, h in enumerate(words)}
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for r in lm.pseudo_likelihood(docs, rounds=2).collect():
+        text, want = texts[r.doc_id % 5] or "", 0.0
+        ids = [lm.EDGE] * 2 + [rank[int(language.words_of([x]).hashes[0])] for x in text.split()] + [lm.EDGE] * 2
+        for i in range(2, len(ids) - 2):
+            h = np.tanh(sum(w["near"][k, ids[i + d]] for k, d in enumerate((-2, -1, 1, 2))))
+            c, m = divmod(ids[i], lm.CLASSES)
+            want += np.log(softmax(h @ w["class"] + w["class_bias"])[c]) + np.log(softmax(h @ w["word"][c] + w["word_bias"][c])[m])
+        assert abs(r.log_likelihood - want) <= 1e-4 * max(1, abs(want))
+
+
 def test_licenses_in_long_lines_and_over_empty_lines(spark):
     full = {name: max(licenses.TEMPLATES[name], key=len) for name in ("MIT", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause")}
     wrap = lambda t, n: "\n".join(" ".join(w) for w in (t.split()[i : i + n] for i in range(0, len(t.split()), n)))
