@@ -50,11 +50,13 @@ TEMPLATES = {
 }
 
 #: Every template has one of these cues, on one line or two; texts without any hold no candidates.
-CUE = r"(?i)licen[cs]e|redistribut|permission|public[\W_]+domain|rights[\W_]+reserved|waived[\W_]+all|released[\W_]+under|free[\W_]+software"
+CUE = r"(?i)licen[cs]e|redistribut|permission|public[\W_]+domain|rights[\W_]+reserved|waived[\W_]+all|released[\W_]+under|free[\W_]+software|unencumbered"
 SEARCH = re.compile(CUE)
 WORD = re.compile(r"[^\W_]+|\*")
 #: Words of a template that a passage may change, of a hundred, and words that a "*" may stand for.
 CHANGES, STAR = 10, 8
+#: Characters of a passage that may be remembered.
+CACHED = 1 << 12
 
 
 def words_of(text: str) -> list[str]:
@@ -105,8 +107,10 @@ class Compressor:
         options = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(**options)
         self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for _, _, own in PLAIN]
-        self.saved = lru_cache(1 << 12)(self._saved)
-        self.place = lru_cache(1 << 12)(self._place)
+        # Passages are as long as templates, so the caches hold some MB; words of any length go past them.
+        saved, place = lru_cache(1 << 12)(self._saved), lru_cache(1 << 12)(self._place)
+        self.saved = lambda i, passage: (saved if len(passage) <= CACHED else self._saved)(i, passage)
+        self.place = lambda i, window: (place if sum(map(len, window)) <= CACHED else self._place)(i, window)
 
     def _saved(self, i: int, passage: str) -> tuple[int, int]:
         """Bytes that a template saves of a passage, and the passage's compressed size without it."""
@@ -118,19 +122,14 @@ class Compressor:
         place, own = difference(PLAIN[i][2], list(window)), PLAIN[i][2]
         return place if place and 100 * place[2] <= CHANGES * len(own) else None
 
-    def match(self, text: str) -> list[tuple[str, int, float, int]]:
-        """Confirmed templates of a text by place: (license, where it starts, share of its compressed size saved, words changed).
+    def confirmed(self, words: list[str], cues: list[int]) -> set[tuple]:
+        """Passages (bytes saved, less; changed; length, less; license; start; end; share saved) that a template's wording confirms.
 
         Each cue of the text is laid on each cue of a template. The window around them reaches as far as the template can
         with the changes it may have, over line ends and empty lines. Windows that lack more of its words than may change
-        go; the others are held against it word by word. Confirmed passages are ranked by the bytes that the template
-        saves, each compressed by itself; one keeps its place from those after it. Equal savings go by fewer changes, then
-        by length.
+        go; the others are held against it word by word.
         """
-        found = [m for m in WORD.finditer(text) if m[0] != "*"]
-        starts, words = [m.start() for m in found], [m[0].lower() for m in found]
-        cues = cues_of(text, starts)
-        confirmed = set()
+        found = set()
         for i, (kinds, counts, own_cues, most, stars) in enumerate(SHAPES):
             n = counts.total()
             for first in sorted({p - q for p in cues for q in own_cues}):
@@ -141,9 +140,19 @@ class Compressor:
                 if place := self.place(i, tuple(window)):
                     start, end, changed = low + place[0], low + place[1], place[2]
                     saved, size = self.saved(i, " ".join(words[start : max(end, start + n)]))
-                    confirmed.add((-saved, changed, -n, PLAIN[i][0], start, end, round(saved / size, 4)))
+                    found.add((-saved, changed, -n, PLAIN[i][0], start, end, round(saved / size, 4)))
+        return found
+
+    def match(self, text: str) -> list[tuple[str, int, float, int]]:
+        """Confirmed templates of a text by place: (license, where it starts, share of its compressed size saved, words changed).
+
+        Confirmed passages are ranked by the bytes that the template saves, each compressed by itself; one keeps its place from
+        those after it. Equal savings go by fewer changes, then by length.
+        """
+        found = [m for m in WORD.finditer(text) if m[0] != "*"]
+        starts, words = [m.start() for m in found], [m[0].lower() for m in found]
         taken, kept = bytearray(len(words)), []
-        for _, changed, _, name, start, end, gain in sorted(confirmed):
+        for _, changed, _, name, start, end, gain in sorted(self.confirmed(words, cues_of(text, starts))):
             if not any(taken[start:end]):
                 taken[start:end] = b"\1" * (end - start)
                 kept.append((name, starts[start], gain, changed))

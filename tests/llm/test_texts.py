@@ -448,6 +448,54 @@ def test_licenses_in_long_lines_and_over_empty_lines(spark):
     assert [r.hits[0]["changed"] for r in got[:6]] == [0, 0, 0, 2, 0, 0]
 
 
+def test_every_template_is_found_however_it_is_wrapped():
+    from textwrap import wrap
+
+    tool = licenses.Compressor()
+    for name, texts in licenses.TEMPLATES.items():
+        for text in (t.replace("* has", "Jane Doe has") for t in texts):
+            for width in (30, 45, 60, 75):
+                for lead in ("", " * ", "# ", "// "):
+                    page = "Some prose stands here, and more of it.\n\n" + "\n".join(lead + x for x in wrap(text, width, break_long_words=False, break_on_hyphens=False)) + "\n\nThe rest is about other things."
+                    (found, at, _, changed), = tool.match(page)
+                    assert (found, changed) == (name, 0) and page[at:].startswith(text.split()[0].strip('"'))
+            assert [x[0] for x in tool.match(text + " " + text)] == [name, name]
+
+
+def test_confirmed_passages_equal_brute_force():
+    rng, tool = np.random.default_rng(12), licenses.Compressor()
+    for _ in range(25):
+        which = int(rng.integers(len(licenses.PLAIN)))
+        name, _, own = licenses.PLAIN[which]
+        said = ["jane doe" if w == "*" else w for w in own]
+        # What announces a license stays: texts without any cue hold no candidates.
+        cues = {c + d for c in licenses.cues_of(" ".join(own), [sum(len(w) + 1 for w in own[:k]) for k in range(len(own))]) for d in (0, 1)}
+        free = [k for k in range(len(said)) if k not in cues]
+        for k in rng.choice(free, min(len(free), int(rng.integers(0, 1 + len(said) // 8))), replace=False):
+            said[k] = "" if rng.random() < 0.5 else "another"
+        text = "some words stand before it and " + " ".join(w for w in said if w) + " and other words stand after it"
+        words = text.split()
+        want = set()
+        for other, _, plain in licenses.PLAIN:
+            for i in range(len(words)):
+                place = licenses.difference(plain, words[i : i + len(plain) + 8 * plain.count("*") + len(plain) // 10])
+                if place and 100 * place[2] <= licenses.CHANGES * len(plain):
+                    want.add(other)
+        starts = [sum(len(w) + 1 for w in words[:k]) for k in range(len(words))]
+        got = {x[3] for x in tool.confirmed(words, licenses.cues_of(text, starts))}
+        assert got == want
+        if not set(said) & {"", "another"}:
+            assert name in want
+
+
+def test_license_cases_of_odd_tables(spark):
+    notice = "Released under the MIT License"
+    rows = [(None, notice, "clash"), (None, None, "x"), (1, "", "y"), (1, notice, "z"), (1, notice, "z"), (2, "license " + "x" * 300_000 + " " + notice, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hits string")
+    got = sorted((str(r.doc_id), ",".join(r.licenses)) for r in licenses.find_licenses(df).collect())
+    assert got == sorted([("None", "MIT"), ("None", ""), ("1", ""), ("1", "MIT"), ("1", "MIT"), ("2", "MIT")])
+
+
 def test_whole_articles_are_read(spark):
     inner = "<p>" + "The story goes on, and on, with a good many words in every line of it. " * 12 + "</p>"
     said = " ".join(re.sub("<[^>]*>", "", inner).split())
