@@ -23,7 +23,15 @@ RULES = [
     ("symbols", "symbol_ratio", None, 0.10),
     ("stop_words", "stop_ratio", 0.02, None),
     ("duplicate_lines", "dup_line_ratio", None, 0.40),
+    ("bullet_lines", "bullet_line_ratio", None, 0.90),
+    ("ellipsis_lines", "ellipsis_line_ratio", None, 0.30),
+    ("short_lines", "short_line_ratio", None, 0.67),
+    ("open_lines", "end_line_ratio", 0.12, None),
 ]
+#: Lines that a text must have for the shares of short and of ended ones to say something.
+FEWEST_LINES = 5
+#: Lines: what begins one of a list, how one ends that breaks off or that ends a sentence, and fewer characters than which are short.
+BULLET, BROKEN_OFF, ENDED, SHORT = r"^[\x20\x09]*[-*\u2022\u2023\u25CF\u25E6]+[\x20\x09]", r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$", r"[.!?\u2026\u3002]['\"\u201D\u2019)]*[\x20\x09-\x0D]*$", 30
 
 WINDOW = 8
 
@@ -64,8 +72,9 @@ def _repeated(hashes: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts the rules need; one projection over each row, no shuffle and no user functions.
 
-    Null text counts as empty. Adds ``n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
-    n_stop``; columns of these names are replaced.
+    Null text counts as empty. Lines are those with a word. Adds ``n_words, word_chars, n_symbols, n_lines, n_dup_lines,
+    n_repeat_words, n_stop``, and the numbers of lines that begin as a list does, break off, are short, or end a
+    sentence (``n_bullet_lines, n_ellipsis_lines, n_short_lines, n_end_lines``); columns of these names are replaced.
     """
     stop = sorted({w for words in STOP_WORDS.values() for w in words})
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -77,7 +86,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         stops = F.size(F.filter(words, lambda w: F.lower(w).isin(stop)))
         return F.struct(F.size(words).alias("n_words"), repeats.alias("n_repeat_words"), stops.alias("n_stop"))
 
-    of_lines = lambda lines: F.struct(F.size(lines).alias("n_lines"), F.size(F.array_distinct(lines)).alias("n_distinct"))
+    like = lambda lines, test: F.size(F.filter(lines, test))
+
+    def of_lines(lines: Column) -> Column:
+        short = like(lines, lambda x: F.length(F.btrim(x, F.lit(" \t\r\x0b\x0c"))) < SHORT)
+        kinds = {"n_bullet_lines": like(lines, lambda x: x.rlike(BULLET)), "n_ellipsis_lines": like(lines, lambda x: x.rlike(BROKEN_OFF)), "n_short_lines": short, "n_end_lines": like(lines, lambda x: x.rlike(ENDED))}
+        return F.struct(F.size(lines).alias("n_lines"), F.size(F.array_distinct(lines)).alias("n_distinct"), *[v.alias(k) for k, v in kinds.items()])
+
     counted = docs.withColumns(
         {
             "_w": _let(F.array_remove(F.split(whole, r"[\x20\x09-\x0D]+"), ""), of_words),
@@ -87,6 +102,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     parts = {c: F.col(f"_w.{c}").cast("long") for c in ("n_words", "n_repeat_words", "n_stop")}
+    parts |= {c: F.col(f"_l.{c}").cast("long") for c in ("n_bullet_lines", "n_ellipsis_lines", "n_short_lines", "n_end_lines")}
     parts |= {"n_lines": F.col("_l.n_lines").cast("long"), "n_dup_lines": (F.col("_l.n_lines") - F.col("_l.n_distinct")).cast("long")}
     return counted.withColumns(parts).drop("_w", "_l")
 
@@ -97,6 +113,10 @@ METRICS = {
     "symbol_ratio": lambda: F.try_divide(F.col("n_symbols"), F.col("n_words")),
     "stop_ratio": lambda: F.try_divide(F.col("n_stop"), F.col("n_words")),
     "dup_line_ratio": lambda: F.try_divide(F.col("n_dup_lines"), F.col("n_lines")),
+    "bullet_line_ratio": lambda: F.try_divide(F.col("n_bullet_lines"), F.col("n_lines")),
+    "ellipsis_line_ratio": lambda: F.try_divide(F.col("n_ellipsis_lines"), F.col("n_lines")),
+    "short_line_ratio": lambda: F.when(F.col("n_lines") >= FEWEST_LINES, F.col("n_short_lines") / F.col("n_lines")),
+    "end_line_ratio": lambda: F.when(F.col("n_lines") >= FEWEST_LINES, F.col("n_end_lines") / F.col("n_lines")),
 }
 
 

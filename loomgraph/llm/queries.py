@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from .language import identify
 from .licenses import find_licenses
 from .lm import pseudo_likelihood
 from .mixing import entropy_mix
-from .quality import RULES, STOP_WORDS, quality_rules
+from .quality import BROKEN_OFF, BULLET, ENDED, FEWEST_LINES, RULES, SHORT, STOP_WORDS, quality_rules
 from .simhash import simhash_groups
 
 
@@ -117,17 +119,29 @@ _BROKEN = {
     "symbol_ratio": "n_symbols / CAST(nullif(n_words, 0) AS DOUBLE)",
     "stop_ratio": "n_stop / CAST(nullif(n_words, 0) AS DOUBLE)",
     "dup_line_ratio": "n_dup_lines / CAST(nullif(n_lines, 0) AS DOUBLE)",
+    "bullet_line_ratio": "n_bullet / CAST(nullif(n_lines, 0) AS DOUBLE)",
+    "ellipsis_line_ratio": "n_ellipsis / CAST(nullif(n_lines, 0) AS DOUBLE)",
+    "short_line_ratio": f"CASE WHEN n_lines >= {FEWEST_LINES} THEN n_short / CAST(n_lines AS DOUBLE) END",
+    "end_line_ratio": f"CASE WHEN n_lines >= {FEWEST_LINES} THEN n_end / CAST(n_lines AS DOUBLE) END",
 }
 _KEPT = " AND ".join(f"coalesce({_BROKEN[metric]} {sign} {bound}, TRUE)" for _, metric, least, most in RULES for sign, bound in ((">=", least), ("<=", most)) if bound is not None)
 
+
+
+def _quoted(pattern: str) -> str:
+    """A Java pattern as an SQL literal that DuckDB reads."""
+    return "'" + re.sub(r"\\u([0-9A-F]{4})", lambda m: chr(int(m[1], 16)), pattern).replace("'", "''") + "'"
+
+
 OP2_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
-lines AS (SELECT doc_id, count(*) AS n_lines, count(DISTINCT line) AS n_distinct FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(DISTINCT line) AS n_distinct, count(*) FILTER (regexp_matches(line, {_quoted(BULLET)})) AS n_bullet, count(*) FILTER (regexp_matches(line, {_quoted(BROKEN_OFF)})) AS n_ellipsis,
+  count(*) FILTER (length(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) < {SHORT}) AS n_short, count(*) FILTER (regexp_matches(line, {_quoted(ENDED)})) AS n_end FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 places AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8),
 again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS n FROM places),
 repeats AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again WHERE n > 1) GROUP BY doc_id),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
-  coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_lines - n_distinct, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_bullet, 0) AS n_bullet, coalesce(n_ellipsis, 0) AS n_ellipsis, coalesce(n_short, 0) AS n_short, coalesce(n_end, 0) AS n_end, CAST(coalesce(n_lines - n_distinct, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
   len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS n_stop
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)

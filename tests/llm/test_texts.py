@@ -46,6 +46,13 @@ def test_quality_rules_keep_prose_and_name_what_is_broken(spark):
     got = quality.quality_rules(table(spark, texts)).orderBy("doc_id").collect()
     assert [r.kept for r in got][:3] == [True, False, False]
     assert [r.broken for r in got][:3] == [[], ["symbols", "stop_words"], ["stop_words"]]
+    lines = [" \u2022 an item of the list in the house", "- one more of them that was there", "and it goes on and on like this...", "the short one", "It was the end of the story for all of them.", "It is 'so.'"]
+    got = quality.measure(table(spark, ["\n".join(lines), "", None])).orderBy("doc_id").collect()
+    assert tuple(got[0][c] for c in ("n_lines", "n_bullet_lines", "n_ellipsis_lines", "n_short_lines", "n_end_lines")) == (6, 2, 1, 2, 3)
+    assert all(r.n_lines == r.n_bullet_lines == r.n_end_lines == 0 for r in got[1:])
+    broken = {"bullet_lines": "- the item of a list\n" * 9, "ellipsis_lines": "\n".join(f"and the story goes on for {i} days in that house..." for i in range(9)), "short_lines": "\n".join(f"the {i} it." for i in range(20)), "open_lines": "\n".join(f"and the story goes on for {i} days in that house" for i in range(9))}
+    for rule, text in broken.items():
+        assert rule in quality.quality_rules(table(spark, [text])).first().broken
     plan = quality.quality_rules(table(spark, texts))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
