@@ -6,55 +6,54 @@ import argparse
 import posixpath
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from .plans.compiler import Build, build_csv, store
 from .sources.config import BuildConfig, read_config
 from .sources.ntriples import write_ntriples
 from .sources.rules import Rule, read_rules
+from .sources.shared import read_text
 
 
 @dataclass(frozen=True)
 class Report:
-    """What a build read, what was missing, and what it wrote."""
+    """What a build read, what was missing, and what it wrote; ``path`` is the first of ``paths``."""
 
     rules: int
     missing: tuple[str, ...]
     triples: int
     path: str
+    paths: tuple[str, ...] = ()
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    """A small file's text, from any file system that Spark reads."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)
-    try:
-        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
-    finally:
-        stream.close()
-
-
-def load(spark: SparkSession, config_path: str, base: str | None = None) -> tuple[BuildConfig, list[Rule], str]:
-    """Options and rules. Paths within are relative to ``base``, by default the folder above the options' own."""
+def load(spark: SparkSession, config_path: str, base: str | None = None) -> tuple[BuildConfig, dict[str, list[Rule]], str]:
+    """Options, and the rules of each data set. Paths within are relative to ``base``, by default the folder above the options' own."""
     base = base or posixpath.dirname(posixpath.dirname(config_path)) or "."
     config = read_config(read_text(spark, config_path))
-    rules = [r for m in config.mappings for r in read_rules(read_text(spark, posixpath.normpath(posixpath.join(base, m)) if "://" not in base else f"{base}/{m.removeprefix('./')}"))]
-    return config, rules, base
+    at = lambda m: posixpath.normpath(posixpath.join(base, m)) if "://" not in base else f"{base}/{m.removeprefix('./')}"
+    return config, {name: read_rules(read_text(spark, at(mapping))) for name, mapping in config.datasets}, base
 
 
 def build(spark: SparkSession, config_path: str, base: str | None = None, output: str | None = None, strict: bool = False, parquet: str | None = None) -> Report:
-    """Run a build: one file of lines named after the data set, each triple once if the options say so.
+    """Run a build: a file of lines for each data set, named after it, or one for all if the options say so; each triple once
+    in a file if they say that.
 
     ``output`` replaces the options' folder; ``parquet`` also stores the graph by predicate there.
     """
     config, rules, base = load(spark, config_path, base)
-    built: Build = build_csv(spark, rules, base, strict)
-    graph: DataFrame = built.graph() if config.remove_duplicate else built.triples
-    path = f"{(output or posixpath.join(base, config.output_folder)).rstrip('/')}/{config.name}.nt"
-    write_ntriples(graph, path, one_file=config.all_in_one_file)
+    together = {config.name: [r for own in rules.values() for r in own]}
+    folder = (output or posixpath.join(base, config.output_folder)).rstrip("/")
+    missing, paths, triples = [], [], 0
+    for name, own in (together if config.all_in_one_file or len(rules) == 1 else rules).items():
+        built: Build = build_csv(spark, own, base, strict)
+        paths.append(f"{folder}/{name}.nt")
+        write_ntriples(built.graph() if config.remove_duplicate else built.triples, paths[-1], one_file=config.all_in_one_file)
+        missing += [m for m in built.missing if m not in missing]
+        triples += spark.read.text(paths[-1]).count()
     if parquet:
-        store(graph, parquet)
-    return Report(len(rules), tuple(built.missing), spark.read.text(path).count(), path)
+        whole = build_csv(spark, together[config.name], base, strict)
+        store(whole.graph() if config.remove_duplicate else whole.triples, parquet)
+    return Report(sum(map(len, rules.values())), tuple(missing), triples, paths[0], tuple(paths))
 
 
 def main() -> None:
@@ -65,7 +64,7 @@ def main() -> None:
     parser.add_argument("--strict", action="store_true", help="fail if a source is missing")
     args = parser.parse_args()
     report = build(SparkSession.builder.appName("loomgraph").getOrCreate(), args.config, args.base, args.output, args.strict)
-    print(f"{report.triples} triples of {report.rules} rules in {report.path}; missing: {', '.join(report.missing) or 'none'}")
+    print(f"{report.triples} triples of {report.rules} rules in {", ".join(report.paths)}; missing: {', '.join(report.missing) or 'none'}")
 
 
 if __name__ == "__main__":

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
-#: One triple a row. ``src`` names the rule a triple comes from and is no part of its identity.
+#: One triple a row. ``o_kind`` is iri, literal or blank; blank nodes are written ``_:name``. ``src`` names the rule a triple
+#: comes from and is no part of its identity.
 TRIPLE = "s string, p string, o string, o_kind string, o_datatype string, o_lang string, src string"
 IDENTITY = ["s", "p", "o", "o_kind", "o_datatype", "o_lang"]
 
@@ -27,11 +28,22 @@ def iri_safe(value: Column) -> Column:
     return F.when(~value.rlike(_ESCAPED), value).otherwise(coded)
 
 
+def plain_number(number: Column) -> Column:
+    """A double's text, with all digits that it takes to read it back and without an exponent; whole numbers end in .0."""
+    text = number.cast("string")
+    part = lambda k: F.regexp_extract(text, r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$", k)
+    digits, power = F.concat(part(2), F.when(part(3) == "0", "").otherwise(part(3))), part(4).try_cast("int")
+    whole = power + 1 - F.length(digits)
+    up = F.when(whole >= 0, F.concat(digits, F.repeat(F.lit("0"), whole), F.lit(".0"))).otherwise(F.concat(digits.substr(F.lit(1), power + 1), F.lit("."), digits.substr(power + 2, F.length(digits))))
+    down = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    return F.when(power.isNotNull(), F.concat(part(1), F.when(power >= 0, up).otherwise(down))).otherwise(text)
+
+
 def lexical(name: str, kind: T.DataType) -> Column:
-    """A column's text as it stands in a literal: strings as they are, doubles with two decimals, times in UTC."""
+    """A column's text as it stands in a literal: strings as they are, doubles with all their digits, times in UTC."""
     c = F.col(f"`{name}`")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return c.cast("decimal(18,2)").cast("string")
+        return plain_number(c)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return c.cast("string")
@@ -53,20 +65,33 @@ def local_name(iri: Column) -> Column:
     return F.regexp_extract(iri, r"([^#/]*)$", 1)
 
 
+#: Characters that literals hold as numbers; those with a letter of their own come apart.
+_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+_PIECE = r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\"
+
+
 def escape(value: Column) -> Column:
     """A literal's text as N-Triples write it."""
     for raw, coded in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         value = F.replace(value, F.lit(raw), F.lit(coded))
-    return value
+    numbered = F.array_join(F.transform(F.split(value, ""), lambda c: F.when(c.rlike(_CONTROL), F.concat(F.lit("\\u00"), F.hex(c.cast("binary")))).otherwise(c)), "")
+    return F.when(value.rlike(_CONTROL), numbered).otherwise(value)
 
 
 def unescape(value: Column) -> Column:
-    """The inverse of ``escape``; a mark that texts can't hold stands for the backslash meanwhile."""
-    hold = F.lit("\x00")
-    value = F.replace(value, F.lit("\\\\"), hold)
-    for raw, coded in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        value = F.replace(value, F.lit(coded), F.lit(raw))
-    return F.replace(value, hold, F.lit("\\"))
+    """What N-Triples text stands for: marks after a backslash, and characters by number, of four digits (pairs of surrogates
+    together) or eight. Most texts hold no backslash and take the first branch."""
+
+    def said(x: Column) -> Column:
+        four = F.decode(F.unhex(F.replace(x, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+        eight = F.decode(F.unhex(x.substr(3, 8)), "UTF-32")
+        out = F.when(x.startswith("\\u") & (F.length(x) > 2), four).when(x.startswith("\\U") & (F.length(x) > 2), eight)
+        for letter, raw in (("n", "\n"), ("r", "\r"), ("t", "\t"), ("b", "\b"), ("f", "\f"), ('"', '"'), ("'", "'"), ("\\", "\\")):
+            out = out.when(x == "\\" + letter, F.lit(raw))
+        return out.otherwise(x)
+
+    pieces = F.regexp_extract_all(value, F.lit(_PIECE), F.lit(0))
+    return F.when(~value.contains("\\"), value).otherwise(F.array_join(F.transform(pieces, said), ""))
 
 
 def typed(value: Column, datatype: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE
+from ..sources.shared import settle
 
 
 def links(triples: DataFrame) -> DataFrame:
@@ -38,24 +38,12 @@ def connectivity(triples: DataFrame) -> DataFrame:
     return counted.select("entities", "unlinked", F.try_divide(F.col("entities") - F.col("unlinked"), F.col("entities")).alias("ratio"))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder (``spark.checkpoint.dir``); a local folder only where none is set."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.loomgraph.shared", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.loomgraph.shared", folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most: int = 200) -> DataFrame:
     """``node, component`` for all nodes of ``edges`` (a, b): the smallest node reachable.
 
     Alternating stars: each node hangs its larger neighbours, then its smaller ones, on the smallest node around it. No
     round has more edges than the one before. Smallest nodes are partial aggregates, joined back; a node with very many
-    neighbours is skew that adaptive execution splits.
+    neighbours is skew that adaptive execution splits. Unfinished after ``most`` rounds, it raises.
     """
     loops = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
     now = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -65,32 +53,66 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.least("a", "m").alias("a"), "b").distinct()
         lowest = large.groupBy("b").agg(F.min("a").alias("m"))
-        now = settle(large.join(lowest, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct())
+        now = settle(large.join(lowest, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct(), now)
         sums = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if sums == seen:
             break
         seen = sums
+    else:
+        raise RuntimeError(f"the components did not settle after {most} rounds")
     found = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     found = found.union(now.select("a", F.col("a").alias("component")).distinct())
     alone = loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
     return found.union(alone)
 
 
+def _reached(edges: DataFrame, first: DataFrame, most: int, source: str) -> list[DataFrame]:
+    """Settled rounds of new pairs (``source``, node, hops) along ``edges`` (a, b), from ``first`` until nothing is new.
+
+    Each round joins the last round's pairs alone, and leaves out what any round has: one plan of as many tables as
+    rounds, whose own plans are cut.
+    """
+    rounds = [settle(first)]
+    onward = edges.select(F.col("a").alias("node"), F.col("b").alias("_next"))
+    for hop in range(1, most + 1):
+        step = rounds[-1].join(onward, "node").select(source, F.col("_next").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
+        known = reduce(DataFrame.union, [r.select(source, "node") for r in rounds])
+        new = settle(step.join(known, [source, "node"], "left_anti"))
+        if new.isEmpty():
+            return rounds
+        rounds.append(new)
+    return rounds
+
+
 def k_hop(edges: DataFrame, start: DataFrame, k: int) -> DataFrame:
     """``start, node, hops``: nodes within ``k`` directed steps of ``start`` (node), at their fewest steps."""
-    reached = start.select(F.col("node").alias("start"), "node").withColumn("hops", F.lit(0))
-    front = reached
-    for hop in range(1, k + 1):
-        step = front.join(edges.select(F.col("a").alias("node"), "b"), "node").select("start", F.col("b").alias("node")).distinct()
-        front = step.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        reached = reached.union(front)
-    return reached
-
-
-def lineage(edges: DataFrame, view: str = "lineage_edges") -> DataFrame:
-    """``node, ancestor, steps`` over a tree of ``edges`` (a derives from b): a recursive query, for graphs without cycles."""
-    edges.createOrReplaceTempView(view)
-    return edges.sparkSession.sql(f"WITH RECURSIVE up(node, ancestor, steps) AS (SELECT a, b, 1 FROM {view} UNION ALL SELECT up.node, e.b, up.steps + 1 FROM up JOIN {view} e ON e.a = up.ancestor) SELECT node, ancestor, steps FROM up")
+    first = start.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"))
+    return reduce(DataFrame.union, _reached(edges, first, k, "start"))
+
+
+def lineage(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """``node, ancestor, steps`` over ``edges`` (a derives from b): every ancestor once, at its fewest steps.
+
+    Nodes may derive from several, by paths of different lengths; a node on a cycle is an ancestor of itself. Rounds are as
+    many as the longest shortest path, and end by themselves; deeper than ``most`` raises.
+    """
+    pairs = settle(edges.select("a", "b").distinct())
+    first = pairs.select(F.col("a").alias("source"), F.col("b").alias("node"), F.lit(1).alias("hops"))
+    rounds = _reached(pairs, first, most, "source")
+    if len(rounds) > most:
+        raise RuntimeError(f"the lineage is deeper than {most} steps")
+    return reduce(DataFrame.union, rounds).select(F.col("source").alias("node"), F.col("node").alias("ancestor"), F.col("hops").alias("steps"))
+
+
+def category_rollup(triples: DataFrame, predicate: str) -> DataFrame:
+    """``category, n, n_links``: how many nodes a link of the same class gathers under a shared node, and the links these have.
+
+    Such a link (a case to the shared case that it is one of) is an ordinary edge, and no type.
+    """
+    cases = triples.filter(F.col("p") == predicate).select(F.col("s").alias("case"), F.col("o").alias("category")).distinct()
+    out = links(triples).filter(F.col("p") != predicate).groupBy(F.col("s").alias("case")).agg(F.count("*").alias("n"))
+    joined = cases.join(out, "case", "left")
+    return joined.groupBy("category").agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_links"))
 
 
 def predicate_histogram(triples: DataFrame) -> DataFrame:

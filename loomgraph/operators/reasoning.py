@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE, valid_lexical
+from ..sources.shared import settle
 
 DIMENSION_ROWS = 100_000
 
@@ -25,11 +26,11 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
 
     Pairs are joined with themselves, so that rounds grow with the logarithm of the depth.
     """
-    pairs = edges.select("sub", "super").filter("sub <> super").distinct().withColumn("depth", F.lit(1))
+    pairs = settle(edges.select("sub", "super").filter("sub <> super").distinct().withColumn("depth", F.lit(1)))
     known = -1
     for _ in range(most):
         longer = pairs.alias("l").join(pairs.alias("r"), F.col("l.super") == F.col("r.sub")).select("l.sub", "r.super", (F.col("l.depth") + F.col("r.depth")).alias("depth"))
-        pairs = pairs.union(longer.filter("sub <> super")).groupBy("sub", "super").agg(F.min("depth").alias("depth")).cache()
+        pairs = settle(pairs.union(longer.filter("sub <> super")).groupBy("sub", "super").agg(F.min("depth").alias("depth")), pairs)
         n = pairs.agg(F.count("*"), F.sum("depth")).first()
         if n == known:
             return pairs
@@ -56,9 +57,13 @@ def entailed(triples: DataFrame, closed: DataFrame) -> DataFrame:
     return types.union(types.join(up, F.col("class") == F.col("sub")).select("s", F.col("super").alias("class"))).distinct()
 
 
-def _types_of(triples: DataFrame, closed: DataFrame) -> DataFrame:
-    """Each typed node with all its classes, as an array: one row a node, for one join."""
-    return entailed(triples, closed).groupBy("s").agg(F.collect_set("class").alias("classes"))
+def _types_of(triples: DataFrame, closed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Each typed node with those of its classes, stated or implied, that ``wanted`` (class) has: one row a node, for one join.
+
+    The closure is cut to those classes first, so that others are neither made nor shuffled.
+    """
+    up = closed.select("sub", "super").union(wanted.select("class", "class")).join(dimension(wanted), F.col("super") == F.col("class"), "left_semi").distinct()
+    return asserted(triples).join(dimension(up), F.col("class") == F.col("sub"), "left").groupBy("s").agg(F.collect_set("super").alias("classes"))
 
 
 def check_side(triples: DataFrame, sides: DataFrame, closed: DataFrame, side: str, strict: bool = False) -> DataFrame:
@@ -73,7 +78,8 @@ def check_side(triples: DataFrame, sides: DataFrame, closed: DataFrame, side: st
     node = "s" if side == "domain" else "o"
     edges = triples.filter(F.col("o_kind") == "iri") if side == "range" else triples
     edges = edges.join(dimension(wanted), F.col("p") == F.col("property")).select("s", "p", "o", F.col(node).alias("node"), "choices")
-    types = _types_of(triples, closed).withColumnRenamed("s", "node")
+    named = sides.filter(F.col("side") == side).select("class").distinct()
+    types = _types_of(triples, closed, named).withColumnRenamed("s", "node")
     fits = F.forall if strict else F.exists
     verdict = F.when(F.col("classes").isNull(), "unknown").when(fits("choices", lambda c: F.arrays_overlap(c, F.col("classes"))), "ok").otherwise("violation")
     return edges.join(types, "node", "left").select("s", "p", "o", "node", verdict.alias("verdict"))
@@ -119,10 +125,17 @@ def missing_notes(terms: DataFrame, notes: DataFrame, wanted: list[str]) -> Data
 
 
 def rollup_histogram(triples: DataFrame, closed: DataFrame) -> DataFrame:
-    """``class, asserted, entailed``: nodes of each class as stated, and with its subclasses' nodes."""
-    stated = asserted(triples).distinct().groupBy("class").agg(F.count("*").alias("asserted"))
-    implied = entailed(triples, closed).groupBy("class").agg(F.count("*").alias("entailed"))
-    return implied.join(stated, "class", "left").select("class", F.coalesce("asserted", F.lit(0)).alias("asserted"), "entailed")
+    """``class, asserted, entailed``: nodes of each class as stated, and with its subclasses' nodes.
+
+    A node's classes are gathered once; nodes of the same classes are counted together, and what these imply is worked out
+    for each such set alone, of which there are few.
+    """
+    sets = asserted(triples).groupBy("s").agg(F.sort_array(F.collect_set("class")).alias("classes")).groupBy("classes").agg(F.count("*").alias("n"))
+    stated = sets.select("classes", "n", F.explode("classes").alias("class"))
+    up = closed.select("sub", "super").union(closed.select(F.col("sub").alias("c")).union(closed.select("super")).distinct().select("c", F.col("c").alias("super")))
+    implied = stated.join(dimension(up), F.col("class") == F.col("sub"), "left").select("classes", "n", F.coalesce("super", "class").alias("class")).distinct()
+    asserted_ = stated.groupBy("class").agg(F.sum("n").alias("asserted"))
+    return implied.groupBy("class").agg(F.sum("n").alias("entailed")).join(asserted_, "class", "left").select("class", F.coalesce("asserted", F.lit(0)).alias("asserted"), "entailed")
 
 
 def all_violations(triples: DataFrame, sides: DataFrame, closed: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions.terms import IDENTITY, lexical, template
 from ..sources.rules import ObjectMap, Rule
-from ..sources.tables import MissingSource, exists, header, read_csv
+from ..sources.shared import exists, is_file
+from ..sources.tables import MissingSource, header, read_csv
 
 
 def _object(o: ObjectMap, schema: T.StructType) -> Column:
@@ -107,11 +108,11 @@ def build_csv(spark: SparkSession, rules: list[Rule], base: str, strict: bool =
     names = defaultdict(list)
     for r in present:
         names[r.source].append(r)
-    # A relation is fused if its file name is unique, no other rule reads it, and its columns are subject, then object.
+    # A relation is fused if it is one file, of a unique name, no other rule reads it, and its columns are subject, then object.
     last = defaultdict(int)
     for s in names:
         last[s.rpartition("/")[2]] += 1
-    fused = [r for r in present if is_relation(r) and len(names[r.source]) == 1 and last[r.source.rpartition("/")[2]] == 1 and r.columns() == header(spark, f"{base}/{r.source}")]
+    fused = [r for r in present if is_relation(r) and len(names[r.source]) == 1 and last[r.source.rpartition("/")[2]] == 1 and is_file(spark, f"{base}/{r.source}") and r.columns() == header(spark, f"{base}/{r.source}")]
     parts = [fuse_relations(spark, base, fused)] if fused else []
     done = {r.name for r in fused}
     for source, own in names.items():

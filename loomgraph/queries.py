@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,8 +15,12 @@ from .functions.terms import RDF_TYPE, XSD, local_name, typed
 from .operators import analytics, graph, reasoning
 from .plans import patterns
 from .plans.compiler import build_tables, dedupe, prune
-from .sources.ntriples import diff, line
+from .sources.ntriples import diff, line, read_ntriples
+from .sources.ontology import read_ontology
 from .sources.rules import ObjectMap, Rule, constant, link, literal
+from .sources.shared import fresh, write_text
+from .sources.tables import first_listed as first_listed_of
+from .sources.tables import read_listed
 from .trade import BY_NAME, CLASS_EDGES, DATA, LITERAL_RANGES, ONT, SIDES, TERMS, frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +40,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 # Triples, on either side.
 
-TEXT = {"decimal": "CAST(CAST({c} AS DECIMAL(18,2)) AS VARCHAR)", "dateTime": "strftime({c}, '%Y-%m-%dT%H:%M:%SZ')"}
+TEXT = {"dateTime": "strftime({c}, '%Y-%m-%dT%H:%M:%SZ')"}
 
 
 def _sql_template(text: str) -> str:
@@ -56,8 +61,12 @@ def _sql_object(o: ObjectMap) -> str:
     return TEXT.get((o.datatype or "").removeprefix(XSD), "CAST({c} AS VARCHAR)").format(c=o.reference)
 
 
+#: Columns that rules read and tables lack: a year, and products with as many digits as a double has.
+_SOURCES = {"orders": "(SELECT *, year(o_orderdate) AS o_year FROM orders)", "lineitem": "(SELECT *, l_extendedprice * l_discount / 3 AS rebate FROM lineitem)"}
+
+
 def _source(name: str) -> str:
-    return "(SELECT *, year(o_orderdate) AS o_year FROM orders)" if name == "orders" else name
+    return _SOURCES.get(name, name)
 
 
 def sql_triples(*names: str, rules: list[Rule] | None = None, distinct: bool = True) -> str:
@@ -70,6 +79,10 @@ def sql_triples(*names: str, rules: list[Rule] | None = None, distinct: bool = T
     return (" UNION " if distinct else " UNION ALL ").join(rows)
 
 
+def iri(kind: str, column: str) -> str:
+    return f"'{DATA}{kind}/' || CAST({column} AS VARCHAR)"
+
+
 def g(*names: str) -> str:
     return f"WITH g AS ({sql_triples(*names)}) "
 
@@ -124,6 +137,7 @@ _terms("link_template", single("nation", DATA + "nation/{n_nationkey}", link(ONT
 _terms("typed_literal_string", single("part", DATA + "part/{p_partkey}", literal(ONT + "brand", "p_brand", XSD + "string")), "literal")
 _terms("typed_literal_integer", single("part", DATA + "part/{p_partkey}", literal(ONT + "partSize", "p_size", XSD + "integer")), "literal")
 _terms("typed_literal_decimal", single("supplier", DATA + "supplier/{s_suppkey}", literal(ONT + "balance", "s_acctbal", XSD + "decimal")), "literal")
+_terms("typed_literal_digits", single("lineitem", DATA + "line/{l_orderkey}-{l_linenumber}", literal(ONT + "rebate", "rebate", XSD + "double")), "literal")
 _terms("typed_literal_gyear", single("orders", DATA + "order/{o_orderkey}", literal(ONT + "orderYear", "o_year", XSD + "gYear")), "literal")
 _terms("typed_literal_datetime", single("orders", DATA + "order/{o_orderkey}", literal(ONT + "orderedAt", "o_orderdate", XSD + "dateTime")), "literal")
 _terms("raw_iri_reference", single("pages", DATA + "page/{page_id}", ObjectMap(ONT + "seenAt", reference="url")))
@@ -182,11 +196,15 @@ def relation_fk_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.links(kg(spark, d, *BY_NAME, iris=True)).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("o").alias("targets"))
 
 
-@query("SELECT c_custkey AS a, c_nationkey AS b, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, c_nationkey, 'right' FROM orders JOIN customer ON o_custkey = c_custkey WHERE FALSE")
+URGENT = "(SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"
+
+
+@query(f"SELECT c_custkey AS a, c_nationkey AS b, CASE WHEN c_acctbal >= 2000 THEN 'left' ELSE 'right' END AS side FROM customer WHERE (c_acctbal >= 2000) <> (c_custkey IN {URGENT})")
 def reciprocal_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of good standing name their nation; nations name customers with an urgent order. Both differ."""
     t = trade.tables(spark, d, ["customer", "orders"])
-    own = t["customer"].select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("b"))
-    back = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("a"), F.col("c_custkey").alias("b"))
+    own = t["customer"].filter("c_acctbal >= 2000").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("b"))
+    back = t["orders"].filter("o_orderpriority = '1-URGENT'").join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("a"), F.col("c_custkey").alias("b"))
     return graph.reciprocal(own, back)
 
 
@@ -265,6 +283,14 @@ def datatype_violations(spark: SparkSession, d: str) -> DataFrame:
     return reasoning.check_literals(kg(spark, d, "part", "supplier", "orders", only=[p for p, _ in LITERAL_RANGES]), ranges).groupBy("p", "o_datatype", "problem").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT {iri('part', 'p_partkey')} AS s, p_brand AS o, 'lexical' AS problem FROM part WHERE p_brand LIKE 'Brand%'")
+def lexical_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Names that a rule calls integers."""
+    rules = single("part", DATA + "part/{p_partkey}", literal(ONT + "partSize", "p_brand", XSD + "integer"))
+    ranges = spark.createDataFrame([(ONT + "partSize", "range", 0, XSD + "integer")], "property string, side string, choice int, class string")
+    return reasoning.check_literals(bag(spark, d, rules=rules), ranges).select("s", "o", "problem")
+
+
 @query("SELECT CAST(p_partkey AS BIGINT) AS part, p_brand AS text, TRY_CAST(replace(p_brand, 'Brand#', '') AS DECIMAL(38,10)) AS number FROM part")
 def typed_view(spark: SparkSession, d: str) -> DataFrame:
     part = trade.tables(spark, d, ["part"])["part"]
@@ -382,6 +408,31 @@ def k_hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.k_hop(edges, edges.select(F.col("a").alias("node")).distinct(), 2)
 
 
+#: Orders derive from customers and, past them, from nations; regions and their first nations derive from each other.
+DERIVED = f"SELECT {iri('order', 'o_orderkey')} AS a, {iri('customer', 'o_custkey')} AS b FROM orders UNION SELECT {iri('order', 'o_orderkey')}, {iri('nation', 'c_nationkey')} FROM orders JOIN customer ON o_custkey = c_custkey UNION SELECT {iri('customer', 'c_custkey')}, {iri('nation', 'c_nationkey')} FROM customer UNION SELECT {iri('nation', 'n_nationkey')}, {iri('region', 'n_regionkey')} FROM nation UNION SELECT {iri('region', 'r_regionkey')}, {iri('nation', 'r_regionkey')} FROM region"
+
+
+@query(f"WITH RECURSIVE e AS ({DERIVED}), up AS (SELECT a, b, 1 AS steps FROM e UNION SELECT up.a, e.b, up.steps + 1 FROM up JOIN e ON up.b = e.a WHERE up.steps < 20) SELECT a AS node, b AS ancestor, min(steps) AS steps FROM up GROUP BY a, b")
+def lineage_of_many_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Ancestors over paths that meet again, and over cycles."""
+    t = trade.tables(spark, d, ["orders", "customer", "nation", "region"])
+    node = lambda kind, c: F.concat(F.lit(f"{DATA}{kind}/"), F.col(c).cast("string"))
+    edge = lambda df, a, b: df.select(node(*a).alias("a"), node(*b).alias("b"))
+    by = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    edges = [edge(t["orders"], ("order", "o_orderkey"), ("customer", "o_custkey")), edge(by, ("order", "o_orderkey"), ("nation", "c_nationkey")), edge(t["customer"], ("customer", "c_custkey"), ("nation", "c_nationkey")), edge(t["nation"], ("nation", "n_nationkey"), ("region", "n_regionkey")), edge(t["region"], ("region", "r_regionkey"), ("nation", "r_regionkey"))]
+    return graph.lineage(reduce(DataFrame.union, edges))
+
+
+@query("SELECT category, CAST(count(*) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS n_links FROM (SELECT c.c_custkey, '" + DATA + "customer/' || CAST(min(x.c_custkey) AS VARCHAR) AS category, 1 AS n FROM customer c JOIN customer x ON x.c_mktsegment = c.c_mktsegment AND x.c_nationkey = c.c_nationkey GROUP BY c.c_custkey) GROUP BY category")
+def category_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Customers whose shared case is the first customer of their segment and nation: links of a class to itself, no types."""
+    customer = trade.tables(spark, d, ["customer"])["customer"]
+    first = customer.groupBy("c_mktsegment", "c_nationkey").agg(F.min("c_custkey").alias("shared"))
+    rules = [Rule("r", "customer", DATA + "customer/{c_custkey}", (link(ONT + "hasCustomerType", DATA + "customer/{shared}"), link(ONT + "inNation", DATA + "nation/{c_nationkey}")))]
+    built = build_tables(rules, {"customer": customer.join(first, ["c_mktsegment", "c_nationkey"])})
+    return graph.category_rollup(built.triples, ONT + "hasCustomerType")
+
+
 @query(f"WITH RECURSIVE {CLOSED_SQL} SELECT sub AS node, super AS ancestor, depth AS steps FROM closed")
 def lineage(spark: SparkSession, d: str) -> DataFrame:
     return graph.lineage(frame(spark, CLASS_EDGES, "a string, b string", [0, 1]))
@@ -390,11 +441,7 @@ def lineage(spark: SparkSession, d: str) -> DataFrame:
 # Patterns. SQL answers them from the tables themselves.
 
 
-def iri(kind: str, column: str) -> str:
-    return f"'{DATA}{kind}/' || CAST({column} AS VARCHAR)"
-
-
-MONEY = "CAST(CAST({} AS DECIMAL(18,2)) AS VARCHAR)"
+MONEY = "CAST({} AS VARCHAR)"
 
 
 @query(f"SELECT {iri('customer', 'c_custkey')} AS c, c_name AS name, {MONEY.format('c_acctbal')} AS balance, {iri('nation', 'c_nationkey')} AS nation FROM customer")
@@ -428,10 +475,10 @@ def bgp_union(spark: SparkSession, d: str) -> DataFrame:
     return patterns.union(patterns.match(t, [("?x", ONT + "customerName", "?name")]), patterns.match(t, [("?x", ONT + "supplierName", "?name"), ("?x", ONT + "inNation", "?nation")])).select("x", "name", "nation")
 
 
-@query(f"SELECT {iri('customer', 'c_custkey')} AS c, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(f"SELECT {iri('customer', 'c_custkey')} AS c, c_name AS name FROM customer WHERE c_custkey NOT IN {URGENT}")
 def bgp_minus(spark: SparkSession, d: str) -> DataFrame:
-    t = kg(spark, d, "customer", "orders", only=["customerName", "orderedBy"])
-    return patterns.minus(patterns.match(t, [("?c", ONT + "customerName", "?name")]), patterns.match(t, [("?o", ONT + "orderedBy", "?c")]))
+    t = kg(spark, d, "customer", "orders", only=["customerName", "orderedBy", "priority"])
+    return patterns.minus(patterns.match(t, [("?c", ONT + "customerName", "?name")]), patterns.match(t, [("?o", ONT + "orderedBy", "?c"), ("?o", ONT + "priority", "1-URGENT")]))
 
 
 @query(f"SELECT {iri('order', 'o_orderkey')} AS o, {MONEY.format('o_totalprice')} AS total FROM orders WHERE CAST(o_totalprice AS DECIMAL(18,2)) BETWEEN 100000 AND 200000")
@@ -584,10 +631,10 @@ def set_intersect(spark: SparkSession, d: str) -> DataFrame:
     return t["customer"].select(F.col("c_nationkey").alias("nation")).intersect(t["supplier"].select("s_nationkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query(f"SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM {URGENT}")
 def set_except(spark: SparkSession, d: str) -> DataFrame:
     t = trade.tables(spark, d, ["customer", "orders"])
-    return t["customer"].select(F.col("c_custkey").alias("k")).subtract(t["orders"].select("o_custkey"))
+    return t["customer"].select(F.col("c_custkey").alias("k")).subtract(t["orders"].filter("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -601,6 +648,12 @@ def json_field(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+@query("SELECT event_id, key, CAST(json_extract_string(props, '$.' || key) AS BIGINT) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
+def json_map(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of a JSON object, by way of a map."""
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.explode(F.from_json("props", "map<string, bigint>"))).select("event_id", "key", "value")
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
 def tumbling_window(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -616,12 +669,9 @@ def session_window(spark: SparkSession, d: str) -> DataFrame:
 @query(g("customer", "customer_types") + "SELECT p, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY p")
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """The customer graph built by a stream of files, then counted."""
-    import uuid
-
     from .streaming.incremental import append_new, stream_triples
 
-    graph.settle(spark.range(1))  # names the shared folder
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.loomgraph.shared')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = fresh(spark, "stream")
     source = spark.read.parquet(f"{d}/customer.parquet")
     rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(_stream_input(spark, source, base))
     append_new(stream_triples(rows, [BY_NAME["customer"], BY_NAME["customer_types"]]), f"{base}/graph", f"{base}/state").awaitTermination()
@@ -634,6 +684,99 @@ def _stream_input(spark: SparkSession, source: DataFrame, base: str) -> str:
     return f"{base}/in"
 
 
+# Sources: tables written out as files, read back by rules, options and an ontology that are files as well.
+
+#: Names with a line break, quotes and a comma in them; supplier nodes are linked to nations by a relation of its own.
+NOTED = "s_name || chr(10) || '\"long\", ' || CAST(s_suppkey AS VARCHAR)"
+SKOS_MATCH = "http://www.w3.org/2004/02/skos/core#exactMatch"
+HEAD = "@prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix rml: <http://semweb.mmlab.be/ns/rml#> . @prefix ql: <http://semweb.mmlab.be/ns/ql#> . @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> . @base <http://example.org/rules> .\n"
+
+
+def _rule(name: str, source: str, key: str, objects: list[tuple[str, str]]) -> str:
+    pairs = " ; ".join(f"rr:predicateObjectMap [ rr:predicate {p} ; rr:objectMap [ {o} ] ]" for p, o in objects)
+    return f'<#{name}> a rr:TriplesMap ; rml:logicalSource [ rml:source "{source}" ; rml:referenceFormulation ql:CSV ] ; rr:subjectMap [ rr:template "{DATA}supplier/{{{key}}}" ] ; {pairs} .\n'
+
+
+ENTITIES = HEAD + _rule("suppliers", "entities/suppliers.csv", "s_suppkey", [("rdf:type", f"rr:constant <{ONT}Supplier>"), (f"<{ONT}note>", 'rml:reference "note"'), (f"<{ONT}balance>", 'rml:reference "s_acctbal" ; rr:datatype <http://www.w3.org/2001/XMLSchema#decimal>')]) + _rule("lost", "entities/lost.csv", "id", [("rdf:type", f"rr:constant <{ONT}Lost>")])
+RELATIONS = HEAD + _rule("in_nation", "relations/in_nation.csv", "s_suppkey", [(f"<{ONT}inNation>", f'rr:template "{DATA}nation/{{s_nationkey}}" ; rr:termType rr:IRI')]) + _rule("aligned", "alignments/exact.csv", "s_suppkey", [(f"<{SKOS_MATCH}>", 'rml:reference "iri" ; rr:termType rr:IRI')])
+OPTIONS = "[default]\nmain_directory: .\n[datasets]\nnumber_of_datasets: 2\noutput_folder: ./kg\nall_in_one_file: no\nremove_duplicate: yes\nenrichment: yes\nname: trade\nordered: no\nlarge_file: false\n[dataset1]\nname: entities\nmapping: ./rml/entities.ttl\n[dataset2]\nname: relations\nmapping: ./rml/relations.ttl\n"
+
+
+def _files(spark: SparkSession, d: str) -> str:
+    """A folder with CSV files of the suppliers, two mapping files and options."""
+    base = fresh(spark, "files")
+    supplier = trade.tables(spark, d, ["supplier"])["supplier"].select(*[F.col(c).cast("string").alias(c) for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")])
+    put = lambda df, path: df.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{base}/{path}")
+    put(supplier.select("s_suppkey", F.expr("s_name || char(10) || '\"long\", ' || s_suppkey").alias("note"), "s_acctbal"), "entities/suppliers.csv")
+    put(supplier.select("s_suppkey", "s_nationkey"), "relations/in_nation.csv")
+    put(supplier.select("s_suppkey", F.concat(F.lit("http://example.net/s?a=1&b="), "s_suppkey").alias("iri")), "alignments/exact.csv")
+    for path, text in (("rml/entities.ttl", ENTITIES), ("rml/relations.ttl", RELATIONS), ("rml/options.ini", OPTIONS)):
+        write_text(spark, f"{base}/{path}", text)
+    return base
+
+
+_BUILT = {
+    "entities": f"SELECT {iri('supplier', 's_suppkey')} AS s, '{RDF_TYPE}' AS p, '{ONT}Supplier' AS o, 'iri' AS o_kind, NULL AS o_datatype FROM supplier UNION ALL SELECT {iri('supplier', 's_suppkey')}, '{ONT}note', {NOTED}, 'literal', '{XSD}string' FROM supplier UNION ALL SELECT {iri('supplier', 's_suppkey')}, '{ONT}balance', CAST(s_acctbal AS VARCHAR), 'literal', '{XSD}decimal' FROM supplier",
+    "relations": f"SELECT {iri('supplier', 's_suppkey')} AS s, '{ONT}inNation' AS p, {iri('nation', 's_nationkey')} AS o, 'iri' AS o_kind, NULL AS o_datatype FROM supplier UNION ALL SELECT {iri('supplier', 's_suppkey')}, '{SKOS_MATCH}', 'http://example.net/s?a=1&b=' || CAST(s_suppkey AS VARCHAR), 'iri', NULL FROM supplier",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS dataset, s, p, o, o_kind, o_datatype FROM ({sql})" for name, sql in _BUILT.items()))
+def build_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """A whole build: options, two data sets of rules, CSV files with line breaks in cells, N-Triples out and in again."""
+    from .build import build
+
+    report = build(spark, f"{_files(spark, d)}/rml/options.ini")
+    read = [read_ntriples(spark, path).select(F.lit(path.rpartition("/")[2].removesuffix(".nt")).alias("dataset"), "s", "p", "o", "o_kind", "o_datatype") for path in report.paths]
+    return reduce(DataFrame.union, read)
+
+
+@query("SELECT 2 AS datasets, 'trade' AS name, 'kg' AS folder, 'entities/lost.csv' AS missing, CAST(count(*) * 5 AS BIGINT) AS triples FROM supplier")
+def build_report(spark: SparkSession, d: str) -> DataFrame:
+    """What the options say, and what a build says of itself."""
+    from .build import build, load
+
+    base = _files(spark, d)
+    config, rules, _ = load(spark, f"{base}/rml/options.ini")
+    report = build(spark, f"{base}/rml/options.ini")
+    return spark.createDataFrame([(len(rules), config.name, report.path.split("/")[-2], ",".join(report.missing), report.triples)], "datasets int, name string, folder string, missing string, triples bigint")
+
+
+#: The N-Triples that a plain writer makes of nations: numbered characters, blank nodes, a language and comments.
+@query(f"SELECT '_:n' || CAST(n_nationkey AS VARCHAR) AS s, '{ONT}nationName' AS p, 'é' || chr(128512) || n_name || chr(9) AS o, 'literal' AS o_kind, 'en' AS o_lang FROM nation UNION ALL SELECT {iri('region', 'n_regionkey')}, '{ONT}has', '_:n' || CAST(n_nationkey AS VARCHAR), 'blank', NULL FROM nation")
+def read_ntriples_escapes(spark: SparkSession, d: str) -> DataFrame:
+    path, key = fresh(spark, "lines"), F.col("n_nationkey").cast("string")
+    name = F.concat(F.lit("_:n"), key, F.lit(f' <{ONT}nationName> "\\u00e9\\uD83D\\uDE00'), F.col("n_name"), F.lit('\\t"@en . # a comment'))
+    has = F.concat(F.lit(f"<{DATA}region/"), F.col("n_regionkey").cast("string"), F.lit(f"> <{ONT}h\\u0061s> _:n"), key, F.lit(" ."))
+    trade.tables(spark, d, ["nation"])["nation"].select(F.explode(F.array(name, has, F.lit("# nothing"))).alias("value")).write.text(path)
+    return read_ntriples(spark, path).select("s", "p", "o", "o_kind", "o_lang")
+
+
+ONTOLOGY = "@prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n" + "".join(f"<{ONT}{a}> a owl:Class ; rdfs:subClassOf <{ONT}{b}> .\n" for a, b in CLASS_EDGES) + "".join(f"<{ONT}{p}> a owl:ObjectProperty ; rdfs:{side} <{ONT}{c}> .\n" for p, side, k, c in SIDES if p == "inRegion")
+
+
+@query(f"SELECT 'subclass' AS what, sub AS a, super AS b FROM ({_values(CLASS_EDGES, [0, 1])}) e(sub, super) UNION ALL SELECT side, property, class FROM ({_values([s for s in SIDES if s[0] == 'inRegion'], [0, 3])}) s(property, side, choice, class)")
+def ontology_source(spark: SparkSession, d: str) -> DataFrame:
+    """An ontology file, read back as tables."""
+    from .sources.shared import read_text
+
+    path = f"{fresh(spark, 'ontology')}/o.ttl"
+    write_text(spark, path, ONTOLOGY)
+    onto = read_ontology(spark, read_text(spark, path))
+    return onto.class_edges.select(F.lit("subclass").alias("what"), F.col("sub").alias("a"), F.col("super").alias("b")).union(onto.sides.select("side", "property", "class"))
+
+
+@query("SELECT first AS name, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_nationkey, min_by(c_mktsegment, c_custkey) AS first FROM customer GROUP BY c_nationkey) GROUP BY first")
+def counts_by_first_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Of each nation the segment that a file lists first; nations counted by it."""
+    path = fresh(spark, "listed") + "/customer.csv"
+    customer = trade.tables(spark, d, ["customer"])["customer"].select("c_nationkey", "c_mktsegment", "c_custkey")
+    # One file, as its rows' order counts: a range sort in as many tasks as it takes, put together by the last.
+    customer.sort("c_custkey").select("c_nationkey", "c_mktsegment").coalesce(1).write.option("header", True).csv(path)
+    rows = read_listed(spark, path, ["c_nationkey", "c_mktsegment"])
+    return first_listed_of(rows, "c_nationkey", "c_mktsegment").groupBy(F.col("c_mktsegment").alias("name")).agg(F.count("*").alias("n"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Build the whole graph, then count its classes with what their trees imply."""
     return class_histogram(spark, d)

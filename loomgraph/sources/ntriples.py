@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import IDENTITY, XSD, escape, unescape
 
-LINE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$'
+NODE = r"(?:<([^>]*)>|(_:[^\s<>\"]+))"
+#: No part goes back, so that long literals need no deep stack.
+LINE = rf'^\s*{NODE}\s+<([^>]*)>\s+(?:{NODE}|"((?:[^"\\]++|\\.)*+)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
 
 
 def line() -> Column:
     """A triple's N-Triples line."""
-    iri = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
+    iri = lambda c: F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(F.concat(F.lit("<"), F.col(c), F.lit(">")))
     text = F.concat(F.lit('"'), escape(F.col("o")), F.lit('"'))
     tail = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), F.col("o_lang"))).when(F.col("o_datatype").isNotNull() & (F.col("o_datatype") != XSD + "string"), F.concat(F.lit("^^"), iri("o_datatype"))).otherwise("")
-    return F.concat_ws(" ", iri("s"), iri("p"), F.when(F.col("o_kind") == "iri", iri("o")).otherwise(F.concat(text, tail)), F.lit("."))
+    return F.concat_ws(" ", iri("s"), iri("p"), F.when(F.col("o_kind") != "literal", iri("o")).otherwise(F.concat(text, tail)), F.lit("."))
 
 
 def write_ntriples(triples: DataFrame, path: str, one_file: bool = False) -> None:
@@ -29,15 +31,16 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#|$)"))
     part = lambda k: F.regexp_extract("value", LINE, k)
     checked = rows.withColumn("value", F.when(F.col("value").rlike(LINE), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a triple: "), F.col("value")))))
-    literal = F.col("value").rlike(r'^\s*<[^>]*>\s+<[^>]*>\s+"')
+    literal = (part(4) == "") & (part(5) == "")
     some = lambda k: F.when(part(k) != "", part(k))
+    node = lambda k: F.when(part(k + 1) != "", part(k + 1)).otherwise(unescape(part(k)))
     return checked.select(
-        part(1).alias("s"),
-        part(2).alias("p"),
-        F.when(literal, unescape(part(4))).otherwise(part(3)).alias("o"),
-        F.when(literal, "literal").otherwise("iri").alias("o_kind"),
-        F.when(literal & (part(6) == ""), F.coalesce(some(5), F.lit(XSD + "string"))).alias("o_datatype"),
-        F.when(literal, some(6)).alias("o_lang"),
+        node(1).alias("s"),
+        unescape(part(3)).alias("p"),
+        F.when(literal, unescape(part(6))).otherwise(node(4)).alias("o"),
+        F.when(literal, "literal").when(part(5) != "", "blank").otherwise("iri").alias("o_kind"),
+        F.when(literal & (part(8) == ""), F.coalesce(some(7), F.lit(XSD + "string"))).alias("o_datatype"),
+        F.when(literal, some(8)).alias("o_lang"),
         F.lit(None).cast("string").alias("src"),
     )
 

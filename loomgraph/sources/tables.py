@@ -12,16 +12,23 @@ class MissingSource(FileNotFoundError):
     """Sources that rules name and that aren't there."""
 
 
-def read_csv(spark: SparkSession, paths: list[str] | str, columns: list[str]) -> DataFrame:
-    """Rows of CSV files with a header. Columns are text: a number keeps its form. Empty cells are null, backslashes mean nothing."""
+def read_csv(spark: SparkSession, paths: list[str] | str, columns: list[str], multi_line: bool = True) -> DataFrame:
+    """Rows of CSV files with a header. Columns are text: a number keeps its form. Empty cells are null, backslashes mean nothing.
+
+    Quoted cells may hold line breaks, so a file is one task's, many files are many tasks'. Where no cell does, ``multi_line``
+    may be false: then Spark cuts large files as well.
+    """
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("encoding", "UTF-8").option("enforceSchema", True).csv(paths)
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("encoding", "UTF-8").option("enforceSchema", True).option("multiLine", multi_line).csv(paths)
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The column names in a CSV file's first line, read on the driver without a job."""
+    """The column names in the first line of a CSV file, or of a folder's first one, read on the driver without a job."""
     jvm, hadoop = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(hadoop).isDirectory():
+        hadoop = min((x.getPath() for x in files.listStatus(hadoop) if x.getPath().getName()[0] not in "_." and x.getLen()), key=lambda x: x.getName())
+    stream = files.open(hadoop)
     try:
         line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
     finally:
@@ -29,12 +36,6 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader([line]), [])
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, in whatever file system Spark reads it from."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def read_listed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """One CSV file's rows with ``listed``, their order in the file: graphs are sets, so what depends on order is settled before.
 

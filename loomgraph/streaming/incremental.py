@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.terms import IDENTITY
 from ..plans.compiler import generate, triples_of
 from ..sources.rules import Rule
+from ..sources.shared import exists, settle
 
 
 def stream_triples(rows: DataFrame, rules: list[Rule], time: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -24,19 +25,23 @@ def stream_triples(rows: DataFrame, rules: list[Rule], time: str | None = None,
     return flat.filter("s is not null and o is not null").dropDuplicatesWithinWatermark(IDENTITY)
 
 
-def append_new(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append to the graph at ``path`` what it lacks, batch by batch. A batch that runs again finds its triples there."""
+def append_new(stream: DataFrame, path: str, checkpoint: str, once: bool = True, buckets: int = 256) -> StreamingQuery:
+    """Append to the graph at ``path`` what it lacks, batch by batch. A batch that runs again finds its triples there.
+
+    The graph lies in ``buckets`` folders (``bucket``) by its subjects' hashes; a batch reads those alone that its own
+    subjects fall into, and of them the columns that tell triples apart.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(IDENTITY)
-        try:
-            old = spark.read.schema(batch.schema).parquet(path)
-            new = new.join(old, [new[c].eqNullSafe(old[c]) for c in IDENTITY], "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.write.mode("append").parquet(path)
+        new = settle(batch.dropDuplicates(IDENTITY).withColumn("bucket", F.pmod(F.xxhash64("s"), F.lit(buckets)).cast("int")))
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]
+        fresh_ = new
+        if touched and exists(spark, path):
+            old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched)).select(*IDENTITY, "bucket")
+            same = [new[c].eqNullSafe(old[c]) for c in IDENTITY]
+            fresh_ = new.join(old, [new["bucket"] == old["bucket"], *same], "left_anti")
+        fresh_.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -37,6 +37,8 @@ def tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, Data
     read = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
     if "orders" in read:
         read["orders"] = read["orders"].withColumn("o_year", F.year("o_orderdate"))
+    if "lineitem" in read:
+        read["lineitem"] = read["lineitem"].withColumn("rebate", F.col("l_extendedprice") * F.col("l_discount") / 3)
     return read
 
 

@@ -38,7 +38,8 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     want = con.execute(Q.SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
-    assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
+    found = rows(got.columns, got.collect())
+    assert found == rows(names, want.fetchall()) and found
 
 
 def test_patterns_read_the_columns_they_use(spark, sf_dir):
