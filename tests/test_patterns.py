@@ -83,6 +83,24 @@ def test_ntriples_round_trip(spark, tmp_path_factory, values):
     assert diff(left, read_ntriples(spark, path)).count() == 0
 
 
+def test_ntriples_of_other_writers(spark, tmp_path):
+    lines = [
+        r"""<http://s> <http://p> "café \U0001F600 😀 \\u0041 \b\f\'"@en . # said""",
+        "_:a1 <http://p\\u0041> _:b-2 .",
+        '<http://s> <http://p> "' + "x\\n" * 200_000 + '" .',
+        '<http://s> <http://p> "" .',
+        '<http://s> <http://p> "5"^^<http://www.w3.org/2001/XMLSchema#integer> .',
+    ]
+    (tmp_path / "x.nt").write_text("\n".join(lines))
+    got = {(r.s, r.p, r.o, r.o_kind, r.o_lang) for r in read_ntriples(spark, str(tmp_path / "x.nt")).collect()}
+    assert got == {("http://s", "http://p", "café 😀 😀 \\u0041 \b\f'", "literal", "en"), ("_:a1", "http://pA", "_:b-2", "blank", None), ("http://s", "http://p", "x\n" * 200_000, "literal", None), ("http://s", "http://p", "", "literal", None), ("http://s", "http://p", "5", "literal", None)}
+    marks = spark.createDataFrame([("_:x", "http://p", "a\x00\x07\x7f\x0b|", "literal", XSD + "string", None, None), ("http://s", "http://p", "_:y", "blank", None, None, None)], TRIPLE)
+    write_ntriples(marks, str(tmp_path / "out"))
+    written = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert written == ["<http://s> <http://p> _:y .", '_:x <http://p> "a\\u0000\\u0007\\u007F\\u000B|" .']
+    assert diff(marks, read_ntriples(spark, str(tmp_path / "out"))).count() == 0
+
+
 def test_ntriples_refuses_other_lines(spark, tmp_path):
     (tmp_path / "x.nt").write_text("# fine\n\n<a> <b> c .\n")
     with pytest.raises(Exception, match="not a triple"):

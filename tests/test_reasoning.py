@@ -104,6 +104,50 @@ def test_k_hop_takes_fewest_steps(spark):
     assert names(G.k_hop(edges, start, 3), "node", "hops") == [("a", 0), ("b", 1), ("c", 1)]
 
 
+def test_k_hop_plans_grow_by_a_table_a_hop(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(12)], "a string, b string")
+    start = spark.createDataFrame([("0",)], "node string")
+    leaves = lambda k: G.k_hop(edges, start, k)._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert [leaves(k) for k in (2, 4, 8)] == [3, 5, 9]
+    assert names(G.k_hop(edges, start, 99), "node", "hops") == sorted((str(i), i) for i in range(13))
+
+
+def test_lineage_over_paths_that_meet_and_cycles(spark):
+    edges = spark.createDataFrame([("d", "b"), ("d", "c"), ("b", "a"), ("c", "x"), ("x", "a"), ("a", "a"), ("p", "q"), ("q", "p"), ("d", "b")], "a string, b string")
+    want = [("a", "a", 1), ("b", "a", 1), ("c", "a", 2), ("c", "x", 1), ("d", "a", 2), ("d", "b", 1), ("d", "c", 1), ("d", "x", 2), ("p", "p", 2), ("p", "q", 1), ("q", "p", 1), ("q", "q", 2), ("x", "a", 1)]
+    assert names(G.lineage(edges), "node", "ancestor", "steps") == want
+    assert G.lineage(edges.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        G.lineage(edges, most=1)
+
+
+def test_category_rollup(spark):
+    rows = [iri("a", "kind", "t"), iri("b", "kind", "t"), iri("b", "kind", "t"), iri("c", "kind", "u"), iri("a", "near", "x"), iri("a", "near", "y"), iri("c", "a", "A")]
+    got = names(G.category_rollup(spark.createDataFrame(rows, TRIPLE), "http://o#kind"), "category", "n", "n_links")
+    assert got == [("t", 2, 2), ("u", 1, 0)]
+
+
+def test_histogram_counts_sets_of_classes(triples, onto):
+    got = {c: (a, e) for c, a, e in names(R.rollup_histogram(triples, closed(onto)), "class", "asserted", "entailed")}
+    assert got == {"AA": (1, 1), "A": (1, 2), "B": (2, 2), "C": (1, 1), "Thing": (0, 3), "Nope": (1, 1)}
+    plan = R.rollup_histogram(triples, closed(onto))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") <= 2
+
+
+def test_unfinished_rounds_raise_and_settled_tables_go(spark):
+    import os
+
+    from loomgraph.sources import shared
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(70)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        G.connected_components(edges, most=1)
+    first = shared.settle(edges)
+    path = shared.SETTLED[first].removeprefix("file://")
+    second = shared.settle(first, first)
+    assert not os.path.exists(path) and second.count() == 70
+
+
 def test_best_match_and_reciprocal(spark):
     m = spark.createDataFrame([("n", "closeMatch", "z"), ("n", "exactMatch", "b"), ("n", "exactMatch", "a"), ("k", "relatedMatch", "q")], "iri string, match string, external_iri string")
     assert names(G.best_match(m), "iri", "match", "external_iri") == [("k", "relatedMatch", "q"), ("n", "exactMatch", "a")]
