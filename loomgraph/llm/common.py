@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from weakref import WeakKeyDictionary
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+from ..sources.shared import settle  # noqa: F401  the operators' own name for it
+
 #: White space as the operators mean it: blank and \t \n \v \f \r, nothing else.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes up to which a table may be broadcast; beyond either Spark plans a shuffled join.
@@ -20,52 +18,6 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session (tests) gets a folder of its own; on a cluster that would lie on one machine's disk, so
-    it raises.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.loomgraph.shared", None)
-    if not folder:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.loomgraph.shared", folder)
-    return folder.rstrip("/")
-
-
-#: Where tables that this process has settled lie.
-SETTLED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def settle(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here, and lost executors lose nothing.
-
-    ``instead`` is a settled table that the new one replaces, as a round of a loop does the last; its files go.
-    """
-    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    SETTLED[out] = path
-    if instead is not None and instead in SETTLED:
-        remove(df.sparkSession, SETTLED.pop(instead))
-    return out
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder on whatever file system it lies."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all settled tables of this session; results that still read them must have been written before."""
-    for path in list(SETTLED.values()):
-        remove(spark, path)
-    SETTLED.clear()
-
-
 def width(df: DataFrame) -> Column:
     """About how many bytes a row takes in memory."""
 
