@@ -7,17 +7,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str, width: int | None = None) -> DataFrame:
     """Each left row with the last right value at or before its time, by key; null where there is none.
 
     Both sides are laid in one stream by key and time, and the last value is carried on: one shuffle and one sort, and no
-    pairs. Of right rows at the same time the largest value counts. Adds ``asof_value``.
+    pairs. Of right rows at the same time the largest value counts. Adds ``asof_value``. With ``width`` (of times as whole
+    numbers: seconds of timestamps) a key's stream is cut into stretches of that width, so that a key with very many rows is
+    many tasks' work; what a stretch starts with comes from the last values of those before it, a row each.
     """
     names = left.columns
     rows = left.select(F.col(by).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.struct(*names).alias("_row"))
     marks = right.select(F.col(by).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_o"), F.col(value).alias("_v"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
-    last = F.last("_v", ignorenulls=True).over(W.partitionBy("_k").orderBy("_t", "_o", F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
-    return rows.union(marks).withColumn("asof_value", last).filter("_o = 1").select(*[F.col(f"_row.{n}").alias(n) for n in names], "asof_value")
+    keys = ["_k"] if width is None else ["_k", "_b"]
+    cut = lambda df: df if width is None else df.withColumn("_b", F.floor(F.col("_t").cast("long") / width))
+    stream, marks = cut(rows.union(marks)), cut(marks)
+    last = F.last("_v", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_t", "_o", F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    found = stream.withColumn("asof_value", last).filter("_o = 1")
+    if width is not None:
+        ends = marks.filter("_v is not null").groupBy("_k", "_b").agg(F.max(F.struct("_t", "_v"))["_v"].alias("_end"))
+        # Every stretch that has left rows or ends, with the last end before it.
+        stretches = ends.unionByName(rows.transform(cut).select("_k", "_b").distinct(), allowMissingColumns=True).groupBy("_k", "_b").agg(F.max("_end").alias("_end"))
+        before = F.last("_end", ignorenulls=True).over(W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+        carried = stretches.select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), before.alias("_before"))
+        found = found.join(carried, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_b") == F.col("_b2")), "left").withColumn("asof_value", F.coalesce("asof_value", "_before"))
+    return found.select(*[F.col(f"_row.{n}").alias(n) for n in names], "asof_value")
 
 
 def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Patterns, N-Triples, joins over tables, and streams."""
 
 import itertools
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -112,6 +113,13 @@ def test_asof_range_topk_salted(spark):
     right = spark.createDataFrame([(1, 2, 10), (1, 5, 7), (1, 5, 8), (3, 1, 1)], "k int, t int, v int")
     got = sorted(map(tuple, analytics.asof_join(left, right, "k", "t", "t", "v").collect()), key=str)
     assert got == sorted([(1, 5, 8), (1, 1, None), (2, 9, None), (None, 3, None)], key=str)
+    rng = random.Random(3)
+    left = spark.createDataFrame([(rng.choice([1, 1, 1, 2, None]), rng.randrange(200)) for _ in range(150)], "k int, t int")
+    right = spark.createDataFrame([(rng.choice([1, 1, 2, 3, None]), rng.randrange(200), rng.choice([None, 1, 2, 3])) for _ in range(40)], "k int, t int, v int")
+    plain = lambda w: sorted(map(str, analytics.asof_join(left, right, "k", "t", "t", "v", w).collect()))
+    marks = right.collect()
+    best = lambda k, t: max(((m.t, m.v) for m in marks if m.k == k and m.t <= t and m.v is not None), default=(0, None))[1]
+    assert plain(None) == plain(16) == plain(1000) == sorted(f"Row(k={r.k}, t={r.t}, asof_value={best(r.k, r.t)})" for r in left.collect())
     points, spans = spark.createDataFrame([(x,) for x in range(20)], "x int"), spark.createDataFrame([(0, 3), (2, 17), (5, 5)], "lo int, hi int")
     got = sorted(map(tuple, analytics.range_join(points, spans, "x", "lo", "hi", 4).select("x", "lo").collect()))
     assert got == sorted((x, lo) for x in range(20) for lo, hi in [(0, 3), (2, 17), (5, 5)] if lo <= x < hi)
