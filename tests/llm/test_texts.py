@@ -107,6 +107,22 @@ def test_language_of_switched_null_and_empty_texts(spark):
     assert language.keep_identified(rows).count() == 0
 
 
+def test_language_scores_equal_enumeration(spark):
+    model = language.fit([(s, k) for k, s in SENTENCES.items()] * 20)
+    texts = ["the chat ist", "katze the", "und", "le chat\nthe cat", ""]
+    got = language.identify(table(spark, texts), model).orderBy("doc_id").collect()
+    for r, text in zip(got, texts, strict=True):
+        sums, n = np.zeros(len(model.langs)), 0
+        for line in filter(None, text.split("\n")):
+            flat, counts = language.features(language.words_of([line]), model.lexicon, model.flags)
+            ends = np.cumsum(counts)
+            scores = np.array([model.chain.emit[flat[e - c : e]].astype(float).sum(axis=0) for e, c in zip(ends, counts)])
+            sums += brute_marginals(scores, model.chain)[0].sum(axis=0)
+            n += len(counts)
+        assert r.lang_pred == (model.langs[int(sums.argmax())] if n else "und")
+        assert abs(r.score - (sums.max() / n if n else 0)) < 1e-5
+
+
 FOREIGN = [
     "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
     "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
