@@ -15,7 +15,7 @@ from .common import digest, over_batches, settle, small, utf8
 
 WINDOW = 13
 SHINGLE = 5
-#: Bits of the map that says which shingles a benchmark has: 16 a shingle, between 2 ** 16 and 2 ** 27 (16 MB). Beyond 2 ** 23
+#: Bits of the map that says which shingles a benchmark has: 256 a shingle, between 2 ** 16 and 2 ** 27 (16 MB). Beyond 2 ** 19
 #: shingles the map lets more positions pass to the join, which decides.
 LEAST_BITS, MOST_BITS = 16, 27
 #: A to Z become small, other ASCII but digits and small letters becomes a blank; all other bytes are parts of words.
@@ -69,7 +69,7 @@ class Map:
     def __init__(self, hashes: DataFrame) -> None:
         """``hashes`` has a column ``hash``."""
         n = hashes.agg(F.approx_count_distinct("hash")).first()[0]
-        self.bits = min(MOST_BITS, max(LEAST_BITS, (16 * n - 1).bit_length()))
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (256 * n - 1).bit_length()))
         top = F.shiftrightunsigned("hash", 64 - self.bits)
         rows = hashes.select(F.shiftright(top, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(hash, {64 - self.bits}), 64) as int))").alias("bit"))
         found = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
