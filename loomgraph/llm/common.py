@@ -44,6 +44,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if is_small(df, rows, size) else df
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that a table doesn't have yet, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def digest(column: str = "text") -> Column:
     """What tells a text from others, as a key for joins: 128 bits. Null has none."""
     return F.md5(F.col(column).cast("binary"))

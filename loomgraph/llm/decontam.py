@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, over_batches, settle, small, utf8
+from .common import digest, over_batches, settle, small, spare, utf8
 
 WINDOW = 13
 SHINGLE = 5
@@ -182,6 +182,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Each row goes or stays by its own text, whatever its id: texts are told apart by their digests. A null text stays.
     """
-    marked = docs.withColumn("_digest", digest())
-    bad = contamination(marked, items, key="_digest").filter("contaminated").select("_digest").distinct()
-    return marked.join(small(settle(bad)), "_digest", "left_anti").select(docs.columns)
+    key = spare(docs, "_digest")
+    marked = docs.withColumn(key, digest())
+    bad = contamination(marked, items, key=key).filter("contaminated").select(key).distinct()
+    return marked.join(small(settle(bad)), key, "left_anti").select(docs.columns)

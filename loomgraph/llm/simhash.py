@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, over_batches, settle, small, utf8
+from .common import digest, over_batches, settle, small, spare, utf8
 
 SEED = 42
 #: Links at so many differing bits or fewer: one half of two such fingerprints then differs in at most two.
@@ -147,12 +147,12 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     both, one is kept. Rows with a null doc_id can't be named as copies and stay. Texts are shuffled only where kept rows repeat,
     or where those to drop are too many to broadcast.
     """
-    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), F.coalesce(digest(text), F.lit("")).alias("digest")))
-    marked = docs.withColumn("_key", key)
-    prints = settle(fingerprints(marked.filter("_key is not null").select(F.col("_key").alias("doc_id"), F.col(text).alias("text"))))
+    name = spare(docs, "_key")
+    marked = docs.withColumn(name, F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), F.coalesce(digest(text), F.lit("")).alias("digest"))))
+    prints = settle(fingerprints(marked.filter(F.col(name).isNotNull()).select(F.col(name).alias("doc_id"), F.col(text).alias("text"))))
     groups = prints.join(_grouped(prints).select("fp", "component_id"), "fp", "left")
-    each = settle(groups.groupBy(F.col("doc_id").alias("_key"), (F.col("doc_id") == F.col("component_id")).alias("first")).agg(F.count("*").alias("n")))
-    copies, again = small(settle(each.filter("not first").select("_key"))), small(settle(each.filter("first and n > 1").select("_key")))
-    left = marked.join(copies, "_key", "left_anti")
-    once = left.join(again, "_key", "left_anti").select(docs.columns)
-    return once.union(left.join(again, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns))
+    each = settle(groups.groupBy(F.col("doc_id").alias(name), (F.col("doc_id") == F.col("component_id")).alias("first")).agg(F.count("*").alias("n")))
+    copies, again = small(settle(each.filter("not first").select(name))), small(settle(each.filter("first and n > 1").select(name)))
+    left = marked.join(copies, name, "left_anti")
+    once = left.join(again, name, "left_anti").select(docs.columns)
+    return once.union(left.join(again, name, "left_semi").dropDuplicates([name]).select(docs.columns))

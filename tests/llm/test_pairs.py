@@ -176,3 +176,13 @@ def test_unfinished_components_raise(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)], "a long, b long")
     with pytest.raises(RuntimeError):
         simhash.components(edges, most=1)
+
+
+def test_columns_that_clash_come_back_as_they_were(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    schema = "doc_id long, text string, _key string, _digest string, row int, n int, first boolean, hits string, words string, fp long"
+    df = spark.createDataFrame([(1, item, "k1", "d1", 1, 1, False, "h", "w", 5), (2, "some other words of a text", "k2", "d2", 2, 2, True, "h", "w", 6), (3, "some other words of a text", "k3", "d3", 3, 3, True, "h", "w", 7)], schema)
+    rows = {r.doc_id: tuple(r) for r in df.collect()}
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    for left, want in ((decontam.decontaminate(df, bench), [2, 3]), (simhash.drop_near_duplicates(df), [1, 2])):
+        assert left.columns == df.columns and sorted(map(tuple, left.collect())) == [rows[i] for i in want]
