@@ -14,7 +14,7 @@ from .functions import values
 from .functions.terms import RDF_TYPE, XSD, local_name, typed
 from .operators import analytics, graph, reasoning
 from .plans import patterns
-from .plans.compiler import build_tables, dedupe, prune
+from .plans.compiler import build_tables, dedupe, prune, store
 from .sources.ntriples import diff, line, read_ntriples
 from .sources.ontology import read_ontology
 from .sources.rules import ObjectMap, Rule, constant, link, literal
@@ -170,6 +170,14 @@ def materialize_customer(spark: SparkSession, d: str) -> DataFrame:
     return kg(spark, d, "customer").select("s", "p", "o", "o_kind", "o_datatype")
 
 
+@query(f"SELECT s, o FROM ({sql_triples('customer', 'supplier')}) WHERE p = '{ONT}inNation'")
+def stored_by_predicate(spark: SparkSession, d: str) -> DataFrame:
+    """A graph kept by predicate, and one predicate's folder read."""
+    path = fresh(spark, "store")
+    store(kg(spark, d, "customer", "supplier"), path)
+    return spark.read.parquet(path).filter(F.col("p") == ONT + "inNation").select("s", "o")
+
+
 @query("SELECT src, p, CAST(count(*) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS src, p FROM ({sql_triples(n, distinct=False)})" for n in BY_NAME) + ") GROUP BY src, p")
 def union_rules(spark: SparkSession, d: str) -> DataFrame:
     return bag(spark, d, *BY_NAME).groupBy("src", "p").agg(F.count("*").alias("n"))
@@ -660,6 +668,19 @@ def tumbling_window(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+@query("SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows counted over a stream of files; the sink holds what the last batch says."""
+    from .streaming.incremental import windowed_counts
+
+    base, events = fresh(spark, "windows"), spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(f"{base}/in")
+    counted = windowed_counts(spark.readStream.schema(events.schema).parquet(f"{base}/in"), "ts", "event_type", "1 hour", "1 day")
+    put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")
+    counted.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("WITH x AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), y AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x) SELECT user_id, min(ts) AS start, CAST(count(*) AS BIGINT) AS n FROM y GROUP BY user_id, k")
 def session_window(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -731,7 +752,7 @@ def build_from_files(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.union, read)
 
 
-@query("SELECT 2 AS datasets, 'trade' AS name, 'kg' AS folder, 'entities/lost.csv' AS missing, CAST(count(*) * 5 AS BIGINT) AS triples FROM supplier")
+@query("SELECT 2 AS datasets, 'trade' AS name, 'kg' AS folder, 'enrichment=yes,large_file=false,ordered=no' AS recorded, 'entities/lost.csv' AS missing, CAST(count(*) * 5 AS BIGINT) AS triples FROM supplier")
 def build_report(spark: SparkSession, d: str) -> DataFrame:
     """What the options say, and what a build says of itself."""
     from .build import build, load
@@ -739,7 +760,8 @@ def build_report(spark: SparkSession, d: str) -> DataFrame:
     base = _files(spark, d)
     config, rules, _ = load(spark, f"{base}/rml/options.ini")
     report = build(spark, f"{base}/rml/options.ini")
-    return spark.createDataFrame([(len(rules), config.name, report.path.split("/")[-2], ",".join(report.missing), report.triples)], "datasets int, name string, folder string, missing string, triples bigint")
+    recorded = ",".join(f"{k}={v}" for k, v in config.recorded)
+    return spark.createDataFrame([(len(rules), config.name, report.path.split("/")[-2], recorded, ",".join(report.missing), report.triples)], "datasets int, name string, folder string, recorded string, missing string, triples bigint")
 
 
 #: The N-Triples that a plain writer makes of nations: numbered characters, blank nodes, a language and comments.
