@@ -25,7 +25,7 @@ def stream_triples(rows: DataFrame, rules: list[Rule], time: str | None = None,
     return flat.filter("s is not null and o is not null").dropDuplicatesWithinWatermark(IDENTITY)
 
 
-def append_new(stream: DataFrame, path: str, checkpoint: str, once: bool = True, buckets: int = 256) -> StreamingQuery:
+def append_new(stream: DataFrame, path: str, checkpoint: str, once: bool = True, buckets: int = 64) -> StreamingQuery:
     """Append to the graph at ``path`` what it lacks, batch by batch. A batch that runs again finds its triples there.
 
     The graph lies in ``buckets`` folders (``bucket``) by its subjects' hashes; a batch reads those alone that its own
