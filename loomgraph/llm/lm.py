@@ -21,10 +21,10 @@ VOCABULARY = CLASSES * CLASSES - RARE - 1
 SIDE, HIDDEN = 2, 24
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 #: Rounds of training over all positions; words of a step, words that steps are drawn from at a time, and pieces of the weights.
-ROUNDS, STEP, SHUFFLED, PIECES = 1, 4096, 1 << 17, 16
+ROUNDS, STEP, SHUFFLED, PIECES = 1, 8192, 1 << 16, 16
 #: Words that one copy of the network learns from, about: the corpus is dealt out to copies by its rows' hashes, whatever its
 #: partitions, and copies are added up a FAN at a time.
-COPY_WORDS, FAN = 1_000_000, 32
+COPY_WORDS, FAN = 2_000_000, 32
 
 
 #: Counts of words with at least one in FREQUENT of all tokens, so of at most FREQUENT words, go to every task; those of the rest are joined.
@@ -41,7 +41,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         return apply
 
-    return over_batches(docs.select("text"), "hash bigint, n bigint", "text", make, 1 << 20).groupBy("hash").agg(F.sum("n").alias("n"))
+    return over_batches(docs.select("text"), "hash bigint, n bigint", "text", make, 1 << 19).groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame) -> np.ndarray:
@@ -105,68 +105,88 @@ class Network:
         return np.tanh(sum(self.w["near"][k, tokens[at + p]] for k, p in enumerate(PLACES)))
 
     @staticmethod
-    def _groups(classes: np.ndarray) -> list[np.ndarray]:
-        """Rows by class, without the empty ones."""
-        order = np.argsort(classes, kind="stable")
-        return np.split(order, np.flatnonzero(np.diff(classes[order])) + 1) if len(order) else []
+    def _grouped(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of rows by class, the classes there are, and where each begins in that order (and the last ends)."""
+        order = np.argsort(classes.astype(np.uint8), kind="stable")
+        begin = np.flatnonzero(np.diff(classes[order], prepend=-1))
+        return order, classes[order][begin], np.append(begin, len(order))
+
+    def _logits(self, h: np.ndarray, found: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Of rows by class, the members' logits within it."""
+        out = np.empty((len(h), CLASSES), np.float32)
+        for c, i, j in zip(found.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            np.matmul(h[i:j], self.w["word"][c], out=out[i:j])
+            out[i:j] += self.w["word_bias"][c]
+        return out
+
+    def _tame(self) -> bool:
+        """Whether no logit can be beyond the reach of an exponential: hidden values lie between -1 and 1."""
+        w = self.w
+        most = [np.abs(w["class"]).sum(axis=0).max() + np.abs(w["class_bias"]).max(), np.abs(w["word"]).sum(axis=1).max() + np.abs(w["word_bias"]).max()]
+        return bool(max(most) < 60)
 
     @staticmethod
-    def _chosen(logits: np.ndarray, gold: np.ndarray) -> np.ndarray:
+    def _chosen(logits: np.ndarray, gold: np.ndarray, tame: bool) -> np.ndarray:
         """Log-softmax at one column of each row."""
-        logits -= logits.max(axis=1, keepdims=True)
+        if not tame:
+            logits -= logits.max(axis=1, keepdims=True)
         picked = logits[np.arange(len(gold)), gold]
         return picked - np.log(np.exp(logits, out=logits).sum(axis=1))
 
     @staticmethod
-    def _wrong(logits: np.ndarray, gold: np.ndarray) -> np.ndarray:
+    def _wrong(logits: np.ndarray, gold: np.ndarray, tame: bool) -> np.ndarray:
         """Gradient of the log-softmax at one column of each row."""
-        logits -= logits.max(axis=1, keepdims=True)
+        if not tame:
+            logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= -logits.sum(axis=1, keepdims=True)
+        logits *= -1 / logits.sum(axis=1, keepdims=True)
         logits[np.arange(len(gold)), gold] += 1
         return logits
 
     def scores(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log-probability of each token at ``at`` given the words on both sides; arrays stay small enough for caches."""
-        out = np.empty(len(at), np.float32)
+        out, tame = np.empty(len(at), np.float32), self._tame()
         for i in range(0, len(at), 8192):
             part = at[i : i + 8192]
-            h, group, member = self.hidden(tokens, part), tokens[part] // CLASSES, tokens[part] % CLASSES
-            now = self._chosen(h @ self.w["class"] + self.w["class_bias"], group)
-            for rows in self._groups(group):
-                c = group[rows[0]]
-                now[rows] += self._chosen(h[rows] @ self.w["word"][c] + self.w["word_bias"][c], member[rows])
-            out[i : i + 8192] = now
+            order, found, begin = self._grouped(tokens[part] // CLASSES)
+            part = part[order]
+            h = self.hidden(tokens, part)
+            now = self._chosen(h @ self.w["class"] + self.w["class_bias"], tokens[part] // CLASSES, tame)
+            out[i + order] = now + self._chosen(self._logits(h, found, begin), tokens[part] % CLASSES, tame)
         return out
 
     def learn(self, tokens: np.ndarray, at: np.ndarray, rate: float = 0.2) -> None:
         """One step of AdaGrad on the tokens at ``at``; rows of ``near`` share a step size each."""
-        w, h = self.w, self.hidden(tokens, at)
+        w, tame = self.w, self._tame()
         if not self.sums:
             self.sums = {k: np.full(v.shape[:2] if k == "near" else v.shape, 1e-3, np.float32) for k, v in w.items()}
-        group, member = tokens[at] // CLASSES, tokens[at] % CLASSES
+        order, found, begin = self._grouped(tokens[at] // CLASSES)
+        at = at[order]
+        h, n = self.hidden(tokens, at), np.float32(len(at))
 
         def move(name: str, where, g: np.ndarray) -> None:
-            g = g / len(at)
+            g /= n
             self.sums[name][where] += g * g
             w[name][where] += rate * g / np.sqrt(self.sums[name][where])
 
-        wrong = self._wrong(h @ w["class"] + w["class_bias"], group)
+        wrong = self._wrong(h @ w["class"] + w["class_bias"], tokens[at] // CLASSES, tame)
         back = wrong @ w["class"].T
         move("class", slice(None), h.T @ wrong)
         move("class_bias", slice(None), wrong.sum(axis=0))
-        for rows in self._groups(group):
-            c, own = group[rows[0]], h[rows]
-            wrong = self._wrong(own @ w["word"][c] + w["word_bias"][c], member[rows])
-            back[rows] += wrong @ w["word"][c].T
-            move("word", c, own.T @ wrong)
-            move("word_bias", c, wrong.sum(axis=0))
-        back *= (1 - h * h) / len(at)
+        wrong = self._wrong(self._logits(h, found, begin), tokens[at] % CLASSES, tame)
+        grads = np.empty((len(found), HIDDEN, CLASSES), np.float32)
+        for k, (c, i, j) in enumerate(zip(found.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+            back[i:j] += wrong[i:j] @ w["word"][c].T
+            np.matmul(h[i:j].T, wrong[i:j], out=grads[k])
+        move("word", found, grads)
+        move("word_bias", found, np.add.reduceat(wrong, begin[:-1], axis=0))
+        back *= (1 - h * h) / n
         for k, p in enumerate(PLACES):
-            ids = tokens[at + p]
+            ids = tokens[at + p].astype(np.uint16)  # two bytes are sorted by counting
             order = np.argsort(ids, kind="stable")
-            begin = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            g, rows = np.add.reduceat(back[order], begin, axis=0), ids[order][begin]
+            ids = ids[order]
+            first = np.flatnonzero(np.diff(ids.astype(np.int32), prepend=-1))
+            g, rows = np.add.reduceat(back[order], first, axis=0), ids[first]
             self.sums["near"][k][rows] += (g * g).mean(axis=1)
             w["near"][k][rows] += rate * g / np.sqrt(self.sums["near"][k][rows])[:, None]
 
@@ -202,7 +222,7 @@ def coded(docs: DataFrame, words) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("draw"), "text")
-    return over_batches(numbered, f"row bigint, doc_id {kind}, draw bigint, n_tokens bigint, tokens binary, rare array<bigint>", "text", make, 1 << 20)
+    return over_batches(numbered, f"row bigint, doc_id {kind}, draw bigint, n_tokens bigint, tokens binary, rare array<bigint>", "text", make, 1 << 19)
 
 
 def _steps(own: Network, parts: list[np.ndarray], rng: np.random.Generator) -> int:
@@ -222,7 +242,7 @@ def _round(table: DataFrame, copies: int, net, number: int) -> Network:
     What a copy sees depends on the rows alone, so partitions don't show in the result. Weights go out in pieces, and are
     added up a FAN of copies at a time; each piece's copies are added up as they stream by, so no task holds more than its sums.
     """
-    columns = "copy int, piece int, seen double, weights binary"
+    columns = "copy int, piece int, seen double, weights binary, wide boolean"
 
     def learn(batches):
         now, own, rng, parts, held, seen = None, None, None, [], 0, 0
@@ -230,8 +250,8 @@ def _round(table: DataFrame, copies: int, net, number: int) -> Network:
         def ended():
             n = seen + (_steps(own, parts, rng) if held else 0)
             if n:
-                pieces = np.array_split(own.flat().astype("<f8"), PIECES)
-                yield pa.RecordBatch.from_pydict({"copy": pa.array([now] * PIECES, pa.int32()), "piece": pa.array(range(PIECES), pa.int32()), "seen": [float(n)] * PIECES, "weights": [p.tobytes() for p in pieces]})
+                pieces = np.array_split(own.flat().astype("<f4"), PIECES)
+                yield pa.RecordBatch.from_pydict({"copy": pa.array([now] * PIECES, pa.int32()), "piece": pa.array(range(PIECES), pa.int32()), "seen": [float(n)] * PIECES, "weights": [p.tobytes() for p in pieces], "wide": [False] * PIECES})
 
         for batch in batches:
             for copy, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -251,12 +271,12 @@ def _round(table: DataFrame, copies: int, net, number: int) -> Network:
         sums: dict[tuple[int, int], np.ndarray] = {}
         totals: Counter[tuple[int, int]] = Counter()
         for batch in batches:
-            for copy, piece, seen, weights in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for copy, piece, seen, weights, wide in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 key = copy, piece
-                sums[key] = sums.get(key, 0.0) + seen * np.frombuffer(weights, "<f8")
+                sums[key] = sums.get(key, 0.0) + seen * np.frombuffer(weights, "<f8" if wide else "<f4").astype(np.float64)
                 totals[key] += seen
         for key in sums:
-            yield pa.RecordBatch.from_pydict({"copy": pa.array([key[0]], pa.int32()), "piece": pa.array([key[1]], pa.int32()), "seen": [totals[key]], "weights": [(sums[key] / totals[key]).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"copy": pa.array([key[0]], pa.int32()), "piece": pa.array([key[1]], pa.int32()), "seen": [totals[key]], "weights": [(sums[key] / totals[key]).tobytes()], "wide": [True]})
 
     dealt = table.filter("n_tokens > 0").select(F.pmod("draw", F.lit(copies)).cast("int").alias("copy"), "tokens", "draw")
     rows = dealt.repartitionByRange(copies, "copy").sortWithinPartitions("copy", "draw").select("copy", "tokens").mapInArrow(learn, columns)
@@ -267,7 +287,7 @@ def _round(table: DataFrame, copies: int, net, number: int) -> Network:
     found = rows.orderBy("piece").collect()
     if not found:
         return Network()
-    mean = Network.shaped(np.concatenate([np.frombuffer(r["weights"], "<f8") for r in found]))
+    mean = Network.shaped(np.concatenate([np.frombuffer(r["weights"], "<f8" if r["wide"] else "<f4").astype(np.float64) for r in found]))
     mean.seen = int(found[0]["seen"])
     return mean
 
@@ -326,7 +346,7 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, copy_words: int = C
         return apply
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = settle(over_batches(table.select("row", "doc_id", "n_tokens", "tokens", "rare"), f"row bigint, doc_id {kind}, n_tokens bigint, total double, rare array<bigint>", "tokens", make, 1 << 19), table)
+    scored = settle(over_batches(table.select("row", "doc_id", "n_tokens", "tokens", "rare"), f"row bigint, doc_id {kind}, n_tokens bigint, total double, rare array<bigint>", "tokens", make, 1 << 18), table)
     terms = scored.select("row", F.explode("rare").alias("hash")).join(rest.filter(F.col("n") < least), "hash").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
     whole = scored.join(terms, "row", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("more", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
