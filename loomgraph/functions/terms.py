@@ -36,7 +36,8 @@ def plain_number(number: Column) -> Column:
     whole = power + 1 - F.length(digits)
     up = F.when(whole >= 0, F.concat(digits, F.repeat(F.lit("0"), whole), F.lit(".0"))).otherwise(F.concat(digits.substr(F.lit(1), power + 1), F.lit("."), digits.substr(power + 2, F.length(digits))))
     down = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    return F.when(power.isNotNull(), F.concat(part(1), F.when(power >= 0, up).otherwise(down))).otherwise(text)
+    # Hardly a number has an exponent; the others take the first branch. Infinity and NaN have no capital E.
+    return F.when(~text.contains("E"), text).otherwise(F.concat(part(1), F.when(power >= 0, up).otherwise(down)))
 
 
 def lexical(name: str, kind: T.DataType) -> Column:
