@@ -71,16 +71,25 @@ def release(spark: SparkSession) -> None:
     SETTLED.clear()
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    """A small file's text, from any file system that Spark reads."""
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file: from any file system that Spark reads where the path names one, else from the driver's disk."""
+    if "://" not in path and not path.startswith("file:"):
+        with open(path, "rb") as file:
+            return file.read()
     files, at = _at(spark, path)
     stream = files.open(at)
     try:
-        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
     finally:
         stream.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text, from any file system that Spark reads."""
+    files, at = _at(spark, path)
+    return read_bytes(spark, files.makeQualified(at).toString()).decode("utf-8")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file."""
     files, at = _at(spark, path)
