@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pii, secrets
+from .align import alignment
+from .codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
 from .decontam import contamination
 from .html import main_text
 from .language import identify
 from .licenses import find_licenses
 from .lm import pseudo_likelihood
 from .mixing import entropy_mix
+from .neighbours import nearest
 from .quality import BROKEN_OFF, BULLET, ENDED, FEWEST_LINES, RULES, SHORT, STOP_WORDS, quality_rules
 from .simhash import simhash_groups
 
@@ -85,7 +88,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"), F.array_join(hits, ",").alias("hits"))
 
 
-OPERATORS = [op1_decontaminate, op2_quality_rules, op3_html_consensus, op4_secrets, op5_pseudo_likelihood, op6_entropy_mix, op7_simhash, op8_language, op9_personal_data, op10_licenses]
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over every document."""
+    return alignment(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every vector."""
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every row whose id is divisible by 20."""
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = [op1_decontaminate, op2_quality_rules, op3_html_consensus, op4_secrets, op5_pseudo_likelihood, op6_entropy_mix, op7_simhash, op8_language, op9_personal_data, op10_licenses, op11_align_tokenizers, op12_vector_codes, op13_nearest]
 
 
 def queries() -> dict:
@@ -149,6 +167,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def _op12_sql() -> str:
+    """Rounds of assigning and averaging, one after another."""
+    gap = "list_sum(list_transform(list_zip(parts.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor({SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c))))",
+        f"parts AS MATERIALIZED (SELECT r, vec_id, label, p, v[p * len(v) // {PARTS} + 1:(p + 1) * len(v) // {PARTS}] AS x FROM kept, range({PARTS}) t(p))",
+        f"firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {ENTRIES})",
+        "b0 AS MATERIALIZED (SELECT p, e, x FROM parts JOIN firsts USING (vec_id))",
+    ]
+    for k in range(ROUNDS + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, p, min(d * {ENTRIES} + e) AS m FROM (SELECT r, p, e, {gap} AS d FROM parts JOIN b{k} b USING (p)) GROUP BY r, p)")
+        if k < ROUNDS:
+            each = f"SELECT p, m % {ENTRIES} AS e, generate_subscripts(x, 1) AS j, unnest(x) AS c FROM parts JOIN a{k} USING (r, p)"
+            means = f"SELECT p, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY j) AS x FROM (SELECT p, e, j, CAST(sum(c) AS DOUBLE) AS total, count(*) AS n FROM ({each}) GROUP BY p, e, j) GROUP BY p, e"
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN ({means}) m ON m.p = b.p AND m.e = b.e)")
+    code = f"SELECT r, string_agg('0' || lower(to_hex(m % {ENTRIES})), '' ORDER BY p) AS code, CAST(sum(m // {ENTRIES}) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY r"
+    book = f"(SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b{ROUNDS})"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, {book} AS codebooks_sha256 FROM kept JOIN ({code}) USING (r)"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express; the others are tested against brute force or held-out accuracy."""
-    return {"op1_decontaminate": OP1_SQL, "op2_quality_rules": OP2_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_quality_rules": OP2_SQL, "op12_vector_codes": _op12_sql()}

@@ -26,6 +26,9 @@ COLUMNS = {
     "op8_language": "doc_id held_out lang_pred score",
     "op9_personal_data": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op10_licenses": "doc_id n_licenses licenses",
+    "op11_align_tokenizers": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op12_vector_codes": "vec_id code error label_error codebooks_sha256",
+    "op13_nearest": "query_id rank vec_id score",
 }
 
 
@@ -64,8 +67,11 @@ def secret(t):
 def test_queries_return_whole_tables(spark, sf_dir, name):
     df = queries.queries()[name](spark, sf_dir).cache()
     assert set(COLUMNS[name].split()) <= set(df.columns)
-    table, key = ("pages", "page_id") if name.startswith("op3") else ("documents", "doc_id")
+    table, key = {"op3_html_consensus": ("pages", "page_id"), "op12_vector_codes": ("embeddings", "vec_id"), "op13_nearest": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if name == "op13_nearest":
+        assert df.count() == 20 * source.filter("vec_id % 20 = 0").count()
+        return
     assert df.count() == source.count() and df.select(key).distinct().count() == source.select(key).distinct().count()
     if name in ("op4_secrets", "op9_personal_data"):
         texts = {r.doc_id: r.text for r in source.collect()}
@@ -77,7 +83,7 @@ def test_queries_return_whole_tables(spark, sf_dir, name):
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_queries_equal_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     want = con.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in want.description]
