@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,13 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 #: comes from and is no part of its identity.
 TRIPLE = "s string, p string, o string, o_kind string, o_datatype string, o_lang string, src string"
 IDENTITY = ["s", "p", "o", "o_kind", "o_datatype", "o_lang"]
+#: A quad's graph, where there are named graphs: null is the default one.
+GRAPH = "g"
+
+
+def identity(columns: list[str]) -> list[str]:
+    """What tells triples apart, or quads where there are graphs."""
+    return [*IDENTITY, GRAPH] if GRAPH in columns else IDENTITY
 
 _ESCAPED = r"[\x00-\x2C\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7D\x7F]"
 
@@ -40,9 +48,8 @@ def plain_number(number: Column) -> Column:
     return F.when(~text.contains("E"), text).otherwise(F.concat(part(1), F.when(power >= 0, up).otherwise(down)))
 
 
-def lexical(name: str, kind: T.DataType) -> Column:
+def lexical(c: Column, kind: T.DataType) -> Column:
     """A column's text as it stands in a literal: strings as they are, doubles with all their digits, times in UTC."""
-    c = F.col(f"`{name}`")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return plain_number(c)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -50,15 +57,20 @@ def lexical(name: str, kind: T.DataType) -> Column:
     return c.cast("string")
 
 
-def template(text: str, schema: T.StructType) -> Column:
-    """``http://x/{a}/{b}`` filled in from columns; null if any of them is."""
+def encoded(c: Column, kind: T.DataType) -> Column:
+    """A column's text as it stands in an IRI. Whole numbers and dates hold nothing to encode."""
+    return lexical(c, kind) if isinstance(kind, (T.IntegralType, T.DateType, T.BooleanType)) else iri_safe(lexical(c, kind))
+
+
+def template(text: str, part: Callable[[str], Column]) -> Column:
+    """``http://x/{a}/{b}`` filled in with what ``part`` gives for each name; null if any of them is."""
     parts = []
     for i, piece in enumerate(re.split(r"(?<!\\)\{([^{}]*)\}", text)):
         if i % 2:
-            parts.append(iri_safe(lexical(piece, schema[piece].dataType)))
+            parts.append(part(piece))
         elif piece:
             parts.append(F.lit(piece.replace("\\{", "{").replace("\\}", "}")))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.lit("")
 
 
 def local_name(iri: Column) -> Column:

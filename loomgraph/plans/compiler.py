@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -10,56 +12,166 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.terms import IDENTITY, lexical, template
-from ..sources.rules import ObjectMap, Rule
+from ..functions.terms import TRIPLE, identity
+from ..sources.rules import RR, Call, ObjectMap, Rule, UnsupportedRule, Value
 from ..sources.shared import exists, is_file
 from ..sources.tables import MissingSource, header, read_csv
+from .fields import Table, fields, shape
 
 
-def _object(o: ObjectMap, schema: T.StructType) -> Column:
-    if o.constant is not None:
-        return F.lit(o.constant)
-    return template(o.template, schema) if o.template is not None else lexical(o.reference, schema[o.reference].dataType)
+def quads(rules: list[Rule]) -> bool:
+    """Whether rules name graphs."""
+    return any(r.graphs or any(o.graphs for o in r.objects) for r in rules)
 
 
-def triples_of(rules: list[Rule], schema: T.StructType) -> Column:
-    """All triples that the rules make of a row, as one array."""
+def _kind(graphs: bool) -> str:
+    return f"array<struct<{TRIPLE.replace(' string', ':string')}{', g:string' if graphs else ''}>>"
 
-    def triple(rule: Rule, o: ObjectMap) -> Column:
-        return F.struct(
-            template(rule.subject, schema).alias("s"),
-            F.lit(o.predicate).alias("p"),
-            _object(o, schema).alias("o"),
-            F.lit("iri" if o.iri else "literal").alias("o_kind"),
-            F.lit(None if o.iri else o.datatype).cast("string").alias("o_datatype"),
-            F.lit(None).cast("string").alias("o_lang"),
-            F.lit(rule.name).alias("src"),
-        )
 
-    return F.array(*[triple(r, o) for r in rules for o in r.objects])
+def _in_graphs(s: Column, named: tuple[Value, ...], row: Table) -> list[tuple[Column, Column]]:
+    """Subject and graph for each graph that is named; where a graph's name is missing, the subject is null and no quad is made."""
+    if not named:
+        return [(s, F.lit(None).cast("string"))]
+    texts = [(v, F.lit(None).cast("string") if v.constant == RR + "defaultGraph" else row.text(v)) for v in named]
+    return [(s if v.constant is not None else F.when(g.isNotNull(), s), g) for v, g in texts]
 
 
-def generate(table: DataFrame, rules: list[Rule]) -> DataFrame:
+def _triple(rule: Rule, o: ObjectMap, s: Column, value: Column, g: Column | None) -> Column:
+    parts = [s.alias("s"), F.lit(o.predicate).alias("p"), value.alias("o"), F.lit("iri" if o.iri else "literal").alias("o_kind"), F.lit(None if o.iri else o.datatype).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"), F.lit(rule.name).alias("src")]
+    return F.struct(*parts, *([g.alias("g")] if g is not None else []))
+
+
+def _made(rule: Rule, row: Table, graphs: bool, known: dict[str, Rule]) -> tuple[list[Column], list[Column]]:
+    """The triples of one rule at one place: single ones, and arrays of those that a list gives. Objects that need a join aren't among them."""
+    single, lists = [], []
+    s = row.text(rule.about)
+    for o in rule.objects:
+        value = o.value if o.parent is None else own_parent(rule, o, known)
+        if value is None:
+            continue
+        for subject, g in _in_graphs(s, (*rule.graphs, *o.graphs), row):
+            named = g if graphs else None
+            if row.several(value):
+                lists.append(F.transform(row.all(value), lambda x: _triple(rule, o, subject, x, named)))  # noqa: B023  called at once
+            else:
+                single.append(_triple(rule, o, subject, row.text(value), named))
+    return single, lists
+
+
+def _together(single: list[Column], lists: list[Column], kind: str) -> Column:
+    parts = ([F.array(*single)] if single else []) + lists
+    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.array().cast(kind)
+
+
+def triples_of(rules: list[Rule], schema: T.StructType, known: dict[str, Rule] | None = None, graphs: bool | None = None) -> Column:
+    """All triples that the rules make of a row, as one array. ``known`` has the rules that objects name as parents."""
+    known = known or {r.name: r for r in rules}
+    graphs = quads(rules) if graphs is None else graphs
+    kind = _kind(graphs)
+    single, lists = [], []
+    for r in rules:
+        if r.formulation == "json":
+            lists.append(fields(r, schema).over(lambda row, r=r: _together(*_made(r, row, graphs, known), kind), kind))
+        else:
+            more = _made(r, fields(r, schema), graphs, known)
+            single, lists = single + more[0], lists + more[1]
+    return _together(single, lists, kind)
+
+
+def generate(table: DataFrame, rules: list[Rule], known: dict[str, Rule] | None = None, graphs: bool | None = None) -> DataFrame:
     """All triples of the rules over one table, from one scan: each row's array is inlined.
 
-    Objects that are null give no triple; neither do subjects.
+    Objects that are null give no triple; neither do subjects. With named graphs there is a column ``g``.
     """
-    rows = table.select(F.inline(triples_of(rules, table.schema)))
+    rows = table.select(F.inline(triples_of(rules, table.schema, known, graphs)))
     return rows.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
 
 
+# Objects that are other rules' subjects.
+
+
+def _renamed(value: Value, names: dict[str, str]) -> Value:
+    """A value that reads other columns in place of its own."""
+    fill = lambda t: re.sub(r"(?<!\\)\{([^{}]*)\}", lambda m: "{" + names[m[1]] + "}", t)
+    call = value.call and Call(value.call.function, tuple((p, _renamed(v, names)) for p, v in value.call.arguments))
+    return Value(value.template and fill(value.template), value.constant, value.reference and names[value.reference], call)
+
+
+def own_parent(rule: Rule, o: ObjectMap, known: dict[str, Rule]) -> Value | None:
+    """What stands for a parent's subject in the row itself, if no join is needed: null if one is.
+
+    That is so where both rules read the same rows, and either no condition is given, or each compares a column with
+    itself and the parent's subject has no other columns: every row that joins has the same subject, and the row is one of them.
+    """
+    parent = known[o.parent]
+    if (rule.source, rule.formulation, rule.iterator) != (parent.source, parent.formulation, parent.iterator):
+        if not o.joins:
+            raise UnsupportedRule(f"{rule.name}: a parent of other rows needs join conditions")
+        return None
+    same = all(child == column for child, column in o.joins) and set(parent.about.references()) <= {column for _, column in o.joins}
+    return parent.about if same or not o.joins else None
+
+
+def needs_join(rule: Rule, known: dict[str, Rule]) -> list[ObjectMap]:
+    return [o for o in rule.objects if o.parent is not None and own_parent(rule, o, known) is None]
+
+
+def _rows(table: DataFrame, rule: Rule, wanted: dict[str, Callable[[Table], Column]]) -> DataFrame:
+    """Columns for each part that a rule iterates over; for a flat table, of its rows, with their types."""
+    if rule.formulation != "json":
+        row = fields(rule, table.schema)
+        return table.select(*[f(row).alias(name) for name, f in wanted.items()])
+    kind = f"array<struct<{', '.join(f'{name}:string' for name in wanted)}>>"
+    return table.select(F.inline(fields(rule, table.schema).over(lambda row: F.array(F.struct(*[f(row).alias(name) for name, f in wanted.items()])), kind)))
+
+
+def join_triples(rule: Rule, o: ObjectMap, child: DataFrame, parent_rule: Rule, parent: DataFrame, graphs: bool = False) -> DataFrame:
+    """Triples of an object that is the subject of the parent's rows whose columns equal the child's.
+
+    Where the conditions fix all columns of the parent's subject, a row has one such object at most: whether there is a parent
+    is all that the join asks (a semi join), and the object is made of the child's own columns. Otherwise the parent's subjects are
+    joined, each once a key. Values of different types are compared as text; nulls join nothing.
+    """
+    named = (*rule.graphs, *o.graphs)
+    native = lambda t, r, c: r.formulation != "json" and isinstance(t.schema[c].dataType, (T.IntegralType, T.DateType, T.StringType)) and t.schema[c].dataType
+    same = [bool(native(child, rule, a)) and native(child, rule, a) == native(parent, parent_rule, b) for a, b in o.joins]
+    key = lambda c, plain: (lambda row: F.col(f"`{c}`") if plain else row.text(Value(reference=c)))
+    fixed = dict((b, a) for a, b in o.joins)
+    semi = set(parent_rule.about.references()) <= set(fixed)
+    left = {"s": lambda row: row.text(rule.about), **{f"k{i}": key(a, same[i]) for i, (a, _) in enumerate(o.joins)}}
+    left |= {f"g{i}": (lambda row, v=v: row.text(v)) for i, v in enumerate(named)}
+    right = {f"k{i}": key(b, same[i]) for i, (_, b) in enumerate(o.joins)}
+    if semi:
+        left["o"] = lambda row: row.text(_renamed(parent_rule.about, fixed))
+    else:
+        right["o"] = lambda row: row.text(parent_rule.about)
+    on = [f"k{i}" for i in range(len(o.joins))]
+    rows, others = _rows(child, rule, left), _rows(parent, parent_rule, right)
+    found = rows.join(others, on, "left_semi") if semi else rows.join(others.distinct(), on)
+    made = []
+    for i, v in enumerate(named or [None]):
+        default = v is None or v.constant == RR + "defaultGraph"
+        g = F.lit(None).cast("string") if default else F.col(f"g{i}")
+        s = F.col("s") if default else F.when(g.isNotNull(), F.col("s"))
+        made.append(_triple(rule, o, s, F.col("o"), g if graphs else None))
+    return found.select(F.inline(F.array(*made))).filter(F.col("s").isNotNull() & F.col("o").isNotNull())
+
+
 def prune(rules: list[Rule], predicates: set[str] | None = None, iris: bool = False) -> list[Rule]:
     """The parts of rules that a query can use: objects of some predicates, or objects that are IRIs.
 
     Triples come from arrays, which no filter reaches into; pruning rules first keeps other triples from being made, and
-    their columns from being read.
+    their columns from being read. Rules that others name as parents stay, without objects.
     """
-    kept = [(r, tuple(o for o in r.objects if (predicates is None or o.predicate in predicates) and (o.iri or not iris))) for r in rules]
-    return [replace(r, objects=objects) for r, objects in kept if objects]
+    kept = [replace(r, objects=tuple(o for o in r.objects if (predicates is None or o.predicate in predicates) and (o.iri or not iris))) for r in rules]
+    parents = {o.parent for r in kept for o in r.objects}
+    return [r for r in kept if r.objects or r.name in parents]
 
 
 def is_relation(rule: Rule) -> bool:
     """A table of two columns that states one IRI of each subject."""
+    if not rule.plain():
+        return False
     single = len(rule.objects) == 1 and rule.objects[0].iri and rule.objects[0].constant is None
     ends = rule.subject.endswith("}") and rule.subject.count("{") == 1
     return single and ends and (rule.objects[0].template is None or (rule.objects[0].template.endswith("}") and rule.objects[0].template.count("{") == 1)) and len(rule.columns()) == 2
@@ -95,19 +207,48 @@ class Build:
 
 def dedupe(triples: DataFrame) -> DataFrame:
     """Set semantics over a triple's identity; of several rules that state it, the first by name stays as its source."""
-    return triples.groupBy(*IDENTITY).agg(F.min("src").alias("src"))
+    return triples.groupBy(*identity(triples.columns)).agg(F.min("src").alias("src"))
+
+
+def _union(parts: list[DataFrame], graphs: bool) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=graphs), parts)
+
+
+def _joins(rules: list[Rule], known: dict[str, Rule], table_of: Callable[[str], DataFrame], graphs: bool) -> list[DataFrame]:
+    return [join_triples(r, o, table_of(r.source), known[o.parent], table_of(known[o.parent].source), graphs) for r in rules for o in needs_join(r, known)]
+
+
+def _parents(rules: list[Rule], known: dict[str, Rule]) -> list[tuple[Rule, str]]:
+    """The columns that conditions read of parents."""
+    return [(known[o.parent], b) for r in rules for o in r.objects if o.parent is not None for _, b in o.joins]
 
 
 def build_csv(spark: SparkSession, rules: list[Rule], base: str, strict: bool = False) -> Build:
-    """Run rules over CSV files below ``base``. Missing files raise if ``strict``, else they are listed in the result."""
-    there = {s: exists(spark, f"{base}/{s}") for s in dict.fromkeys(r.source for r in rules)}
+    """Run rules over files below ``base``: CSV tables, and JSON documents (one a line, or a file each below a folder named ``*.docs``).
+
+    Missing files raise if ``strict``, else they are listed in the result. Each source is read by one scan for all its rules;
+    objects of other rows' subjects are joined beside.
+    """
+    known, graphs = {r.name: r for r in rules}, quads(rules)
+    sources = {r.source: r.formulation for r in rules}
+    there = {s: exists(spark, f"{base}/{s}") for s in sources}
     missing = sorted(s for s, ok in there.items() if not ok)
     if missing and strict:
         raise MissingSource(", ".join(missing))
-    present = [r for r in rules if there[r.source]]
+    present = [r for r in rules if there[r.source] and all(there[known[o.parent].source] for o in r.objects if o.parent)]
+    lost = [r for r in rules if there[r.source] and r not in present]
+    present += [replace(r, objects=tuple(o for o in r.objects if not o.parent or there[known[o.parent].source])) for r in lost]
     names = defaultdict(list)
     for r in present:
         names[r.source].append(r)
+
+    def table_of(source: str) -> DataFrame:
+        own = [r for r in present if r.source == source]
+        if sources[source] == "json":
+            read = spark.read.schema(shape(own, [x for x in _parents(present, known) if x[0].source == source]))
+            return read.option("mode", "FAILFAST").option("multiLine", source.endswith(".docs")).json(f"{base}/{source}")
+        return read_csv(spark, f"{base}/{source}", header(spark, f"{base}/{source}"))
+
     # A relation is fused if it is one file, of a unique name, no other rule reads it, and its columns are subject, then object.
     last = defaultdict(int)
     for s in names:
@@ -116,25 +257,30 @@ def build_csv(spark: SparkSession, rules: list[Rule], base: str, strict: bool =
     parts = [fuse_relations(spark, base, fused)] if fused else []
     done = {r.name for r in fused}
     for source, own in names.items():
-        own = [r for r in own if r.name not in done]
+        own = [r for r in own if r.name not in done and r.objects]
         if own:
-            parts.append(generate(read_csv(spark, f"{base}/{source}", header(spark, f"{base}/{source}")), own))
+            parts.append(generate(table_of(source), own, known, graphs))
+    parts += _joins(present, known, table_of, graphs)
     if not parts:
-        from ..functions.terms import TRIPLE
-
         return Build(spark.createDataFrame([], TRIPLE), missing)
-    return Build(reduce(DataFrame.unionByName, parts), missing)
+    return Build(_union(parts, graphs), missing)
 
 
 def build_tables(rules: list[Rule], tables: dict[str, DataFrame]) -> Build:
-    """Run rules over DataFrames by name: one scan a table."""
+    """Run rules over DataFrames by name: one scan a table, and joins of tables for objects of other rows' subjects.
+
+    Rules of nested documents read columns as the documents' top (``fields.parsed`` makes such a table of JSON text).
+    """
+    known, graphs = {r.name: r for r in rules}, quads(rules)
     by = defaultdict(list)
     for r in rules:
         by[r.source].append(r)
-    parts = [generate(tables[s], own) for s, own in by.items() if s in tables]
+    there = [replace(r, objects=tuple(o for o in r.objects if not o.parent or known[o.parent].source in tables)) for r in rules if r.source in tables]
+    parts = [generate(tables[s], [r for r in there if r.source == s], known, graphs) for s in by if s in tables and any(r.objects for r in by[s])]
+    parts += _joins(there, known, tables.__getitem__, graphs)
     if not parts:
         raise MissingSource(", ".join(sorted(by)) or "no rules")
-    return Build(reduce(DataFrame.unionByName, parts), sorted(s for s in by if s not in tables))
+    return Build(_union(parts, graphs), sorted(s for s in by if s not in tables))
 
 
 def store(triples: DataFrame, path: str) -> None:

@@ -14,10 +14,11 @@ from .functions import values
 from .functions.terms import RDF_TYPE, XSD, local_name, typed
 from .operators import analytics, graph, reasoning
 from .plans import patterns
-from .plans.compiler import build_tables, dedupe, prune, store
-from .sources.ntriples import diff, line, read_ntriples
+from .plans.compiler import build_csv, build_tables, dedupe, prune, store
+from .plans.fields import parsed
+from .sources.ntriples import diff, line, read_nquads, read_ntriples, write_ntriples
 from .sources.ontology import read_ontology
-from .sources.rules import ObjectMap, Rule, constant, link, literal
+from .sources.rules import ObjectMap, Rule, constant, link, literal, read_rules
 from .sources.shared import fresh, write_text
 from .sources.tables import first_listed as first_listed_of
 from .sources.tables import read_listed
@@ -802,3 +803,136 @@ def counts_by_first_listed(spark: SparkSession, d: str) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Build the whole graph, then count its classes with what their trees imply."""
     return class_histogram(spark, d)
+
+
+# Rules beyond flat tables: nested documents, joins, graphs, functions.
+
+PREFIXES = """@prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix rml: <http://semweb.mmlab.be/ns/rml#> . @prefix ql: <http://semweb.mmlab.be/ns/ql#> .
+@prefix fnml: <http://semweb.mmlab.be/ns/fnml#> . @prefix fno: <https://w3id.org/function/ontology#> . @prefix grel: <http://users.ugent.be/~bjdmeest/function/grel.ttl#> .
+@prefix idlab: <http://example.com/idlab/function/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix o: <http://example.org/ontology#> . @base <http://example.org/map> .
+"""
+
+
+def mapping(name: str, source: str, subject: str, *pairs: str, kind: str = "CSV", more: str = "") -> str:
+    """A rule as a mapping file has it."""
+    objects = "".join(f" ; rr:predicateObjectMap [ {p} ]" for p in pairs)
+    return f'<#{name}> a rr:TriplesMap ; rml:logicalSource [ rml:source "{source}" ; rml:referenceFormulation ql:{kind} {more} ] ; rr:subjectMap [ {subject} ]{objects} .\n'
+
+
+def _at(path: str) -> str:
+    return f'rr:template "{DATA}{path}"'
+
+
+def _map(predicate: str, term: str) -> str:
+    return f"rr:predicate o:{predicate} ; rr:objectMap [ {term} ]"
+
+
+NESTED = PREFIXES + "".join([
+    mapping("doc", "docs.json", _at("customer/{id}"), _map("customerName", 'rml:reference "who.name"'), _map("ordered", 'rml:reference "orders[*].status"'), kind="JSONPath"),
+    mapping("order", "docs.json", _at("order/{key}"), _map("totalPrice", 'rml:reference "total" ; rr:datatype xsd:decimal'), _map("orderedBy", _at("customer/{$.id}")), kind="JSONPath", more='; rml:iterator "$.orders[*]"'),
+    mapping("line", "docs.json", _at("line/{key}"), _map("ofPart", _at("part/{part}")), _map("quantity", 'rml:reference "qty" ; rr:datatype xsd:integer'), kind="JSONPath", more='; rml:iterator "$.orders[*].lines[*]"'),
+])
+_LINE_KEY = "CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)"
+#: Lines' and orders' keys repeat, and a graph is a set; lines of orders that no customer has aren't in any document.
+NESTED_SQL = f"""
+SELECT DISTINCT s, p, o, o_datatype FROM (
+  SELECT {iri('customer', 'c_custkey')} AS s, '{ONT}customerName' AS p, c_name AS o, '{XSD}string' AS o_datatype FROM customer
+  UNION ALL SELECT {iri('customer', 'o_custkey')}, '{ONT}ordered', o_orderstatus, '{XSD}string' FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT {iri('order', 'o_orderkey')}, '{ONT}totalPrice', CAST(CAST(o_totalprice * 100 AS BIGINT) AS VARCHAR), '{XSD}decimal' FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT {iri('order', 'o_orderkey')}, '{ONT}orderedBy', {iri('customer', 'o_custkey')}, NULL FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT '{DATA}line/' || {_LINE_KEY}, '{ONT}ofPart', {iri('part', 'l_partkey')}, NULL FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT '{DATA}line/' || {_LINE_KEY}, '{ONT}quantity', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), '{XSD}integer' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer)
+)"""
+
+
+def _documents(spark: SparkSession, d: str) -> str:
+    """A file of nested documents: customers with their orders, and these with their lines."""
+    t, base = trade.tables(spark, d, ["customer", "orders", "lineitem"]), fresh(spark, "nested")
+    text = lambda *cs: F.concat_ws("-", *[F.col(c).cast("string") for c in cs])
+    lines = t["lineitem"].select("l_orderkey", F.struct(text("l_orderkey", "l_linenumber").alias("key"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("bigint").alias("qty")).alias("x")).groupBy("l_orderkey").agg(F.collect_list("x").alias("lines"))
+    orders = t["orders"].join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = orders.groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("total"), "lines")).alias("orders"))
+    docs = t["customer"].join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("name")).alias("who"), "orders", F.lit("unread").alias("more"))
+    docs.write.json(f"{base}/docs.json")
+    return base
+
+
+@query(NESTED_SQL)
+def nested_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Three iterators over documents of three levels, in one scan; the schema comes from the rules."""
+    return build_csv(spark, read_rules(NESTED), _documents(spark, d)).graph().select("s", "p", "o", "o_datatype")
+
+
+@query(f"SELECT {iri('event', 'event_id')} AS s, '{ONT}k' AS p, json_extract_string(props, '$.k') AS o FROM events")
+def json_column(spark: SparkSession, d: str) -> DataFrame:
+    """Rules over JSON texts in a column, put beside a key of their row."""
+    rules = read_rules(PREFIXES + mapping("props", "events", _at("event/{id}"), _map("k", 'rml:reference "props.k" ; rr:datatype xsd:integer'), kind="JSONPath"))
+    events = spark.read.parquet(f"{d}/events.parquet")
+    whole = events.select(F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "props": '), F.col("props"), F.lit("}")).alias("doc"))
+    return build_tables(rules, {"events": parsed(whole, "doc", rules)}).triples.select("s", "p", "o")
+
+
+JOINED = PREFIXES + "".join([
+    mapping("order", "orders", _at("order/{o_orderkey}"), _map("buyer", "rr:parentTriplesMap <#buyer> ; rr:joinCondition [ rr:child \"o_custkey\" ; rr:parent \"c_custkey\" ]"), _map("named", "rr:parentTriplesMap <#named> ; rr:joinCondition [ rr:child \"o_custkey\" ; rr:parent \"c_custkey\" ]"), _map("state", "rr:parentTriplesMap <#state> ; rr:joinCondition [ rr:child \"o_orderstatus\" ; rr:parent \"o_orderstatus\" ]")),
+    mapping("state", "orders", _at("state/{o_orderstatus}"), _map("code", 'rml:reference "o_orderstatus"')),
+    mapping("buyer", "customer", _at("customer/{c_custkey}") + " ; rr:class o:Customer"),
+    mapping("named", "customer", _at("who/{c_name}")),
+])
+
+
+@query(f"""SELECT {iri('order', 'o_orderkey')} AS s, '{ONT}buyer' AS p, {iri('customer', 'o_custkey')} AS o FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+UNION SELECT {iri('order', 'o_orderkey')}, '{ONT}named', '{DATA}who/' || replace(c_name, '#', '%23') FROM orders JOIN customer ON o_custkey = c_custkey
+UNION SELECT {iri('order', 'o_orderkey')}, '{ONT}state', '{DATA}state/' || o_orderstatus FROM orders
+UNION SELECT DISTINCT '{DATA}state/' || o_orderstatus, '{ONT}code', o_orderstatus FROM orders
+UNION SELECT {iri('customer', 'c_custkey')}, '{RDF_TYPE}', '{ONT}Customer' FROM customer""")
+def rules_that_join(spark: SparkSession, d: str) -> DataFrame:
+    """Objects that are other rules' subjects: by a join, by a semi join, and of the row itself."""
+    return build_tables(read_rules(JOINED), trade.tables(spark, d, ["orders", "customer"])).graph().select("s", "p", "o")
+
+
+GRAPHS = PREFIXES + "".join([
+    mapping("customer", "customer", _at("customer/{c_custkey}") + f" ; rr:graphMap [ {_at('segment/{c_mktsegment}')} ] ; rr:graph <{DATA}all>", _map("customerName", 'rml:reference "c_name"'), _map("inNation", _at("nation/{c_nationkey}")) + f" ; rr:graph <{DATA}places>"),
+    mapping("nation", "nation", _at("nation/{n_nationkey}"), _map("nationName", 'rml:reference "n_name"'), _map("inRegion", _at("region/{n_regionkey}")) + " ; rr:graph rr:defaultGraph ; rr:graph <" + DATA + "places>"),
+])
+_GRAPHS_SQL = f"""q AS (
+  SELECT {iri('customer', 'c_custkey')} AS s, p, o, o_kind, g FROM (SELECT c_custkey, unnest([{{'p': '{ONT}customerName', 'o': c_name, 'o_kind': 'literal', 'g': ['{DATA}segment/' || c_mktsegment, '{DATA}all']}}, {{'p': '{ONT}inNation', 'o': {iri('nation', 'c_nationkey')}, 'o_kind': 'iri', 'g': ['{DATA}segment/' || c_mktsegment, '{DATA}all', '{DATA}places']}}]) AS t FROM customer) c, (SELECT 1), LATERAL (SELECT t.p AS p, t.o AS o, t.o_kind AS o_kind, unnest(t.g) AS g)
+  UNION ALL SELECT {iri('nation', 'n_nationkey')}, '{ONT}nationName', n_name, 'literal', NULL FROM nation
+  UNION ALL SELECT {iri('nation', 'n_nationkey')}, '{ONT}inRegion', {iri('region', 'n_regionkey')}, 'iri', unnest([NULL, '{DATA}places']) FROM nation)"""
+
+
+@query(f"WITH {_GRAPHS_SQL} SELECT DISTINCT s, p, o, o_kind, g FROM q")
+def named_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """Quads of constant and computed graphs, written as N-Quads and read again."""
+    path = fresh(spark, "quads")
+    write_ntriples(build_tables(read_rules(GRAPHS), trade.tables(spark, d, ["customer", "nation"])).graph(), path)
+    return read_nquads(spark, path).select("s", "p", "o", "o_kind", "g")
+
+
+@query(f"WITH {_GRAPHS_SQL}, d AS (SELECT DISTINCT s, p, o, g FROM q) SELECT coalesce(g, 'default') AS g, p, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY ALL")
+def graph_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """A triple is counted once in each graph that holds it."""
+    quads_ = build_tables(read_rules(GRAPHS), trade.tables(spark, d, ["customer", "nation"])).graph()
+    return quads_.groupBy(F.coalesce("g", F.lit("default")).alias("g"), "p").agg(F.count("*").alias("n"))
+
+
+def _function(name: str, **arguments: str) -> str:
+    given = "".join(f" ; rr:predicateObjectMap [ rr:predicate {'idlab' if k in ('str', 'otherStr', 'delimiter', 'strBoolean') else 'grel'}:{k} ; rr:objectMap [ {v} ] ]" for k, v in arguments.items())
+    return f"fnml:functionValue [ rr:predicateObjectMap [ rr:predicate fno:executes ; rr:objectMap [ rr:constant {name} ] ]{given} ]"
+
+
+_LOWER = _function("grel:toLowerCase", valueParameter=_function("grel:string_replace", valueParameter='rml:reference "p_brand"', p_string_find='rr:constant "Brand#"', p_string_replace='rr:constant "b-"'))
+CALLED = PREFIXES + mapping(
+    "part", "part", _function("idlab:concat", str=f'rr:constant "{DATA}"', otherStr=_LOWER, delimiter='rr:constant "brand/"'),
+    _map("typeName", _function("grel:toTitlecase", valueParameter=_function("grel:toLowerCase", valueParameter='rml:reference "p_type"'))),
+    _map("price", _function("grel:math_round", p_dec_n=_function("grel:math_max", p_dec_n='rml:reference "p_retailprice"', p_dec_n2='rr:constant "950.5"')) + " ; rr:datatype xsd:integer"),
+    _map("large", _function("grel:controls_if", bool_b=_function("grel:string_contains", valueParameter='rml:reference "p_type"', string_sub='rr:constant "LARGE"'), any_true='rr:constant "yes"', any_false='rr:constant "no"')),
+)
+
+
+@query(f"""SELECT DISTINCT '{DATA}brand/' || lower(replace(p_brand, 'Brand#', 'b-')) AS s, p, o FROM (
+  SELECT p_brand, '{ONT}typeName' AS p, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS o FROM part
+  UNION ALL SELECT p_brand, '{ONT}price', CAST(CAST(round(greatest(CAST(p_retailprice AS DECIMAL(20,4)), 950.5), 0) AS BIGINT) AS VARCHAR) FROM part
+  UNION ALL SELECT p_brand, '{ONT}large', CASE WHEN contains(p_type, 'LARGE') THEN 'yes' ELSE 'no' END FROM part)""")
+def rule_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Nested functions in subjects and objects, as built-in expressions."""
+    return build_tables(read_rules(CALLED), trade.tables(spark, d, ["part"])).graph().select("s", "p", "o")
