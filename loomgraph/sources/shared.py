@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where tables that this process has settled lie.
+#: What this process has made in the shared folder and not removed, oldest first; and where settled tables lie.
+MADE: dict[str, None] = {}
 SETTLED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -26,8 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has yet. ``release`` removes what comes to lie there."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE[path] = None
+    return path
 
 
 def settle(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
@@ -62,13 +67,28 @@ def is_file(spark: SparkSession, path: str) -> bool:
 def remove(spark: SparkSession, path: str) -> None:
     files, at = _at(spark, path)
     files.delete(at, True)
+    MADE.pop(path, None)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all settled tables of this session; results that still read them must have been written before."""
-    for path in list(SETTLED.values()):
-        remove(spark, path)
-    SETTLED.clear()
+def release(spark: SparkSession, keep: Iterable[DataFrame] = (), since: int = 0) -> None:
+    """Remove what this process has made in the shared folder, but for the first ``since`` of it and the settled tables to ``keep``.
+
+    Results are plans that read these tables, also where Python has forgotten them: write a result before what it reads goes.
+    """
+    kept = {SETTLED[df] for df in keep}
+    for path in list(MADE)[since:]:
+        if path not in kept:
+            remove(spark, path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """What is made in the shared folder within goes at the end, but for settled tables that are put into the list given."""
+    since, keep = len(MADE), []
+    try:
+        yield keep
+    finally:
+        release(spark, keep, since)
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:

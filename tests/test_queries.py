@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from loomgraph import queries as Q
+from loomgraph.sources.shared import passing, release, settle, shared_folder
 
 TABLES = "region nation customer supplier part orders lineitem events pages".split()
 
@@ -32,14 +33,42 @@ def rows(names, data):
     return sorted(tuple(plain(r[i]) for i in order) for r in data)
 
 
+def there(spark):
+    folder = shared_folder(spark).removeprefix("file://")
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_query_equals_sql(spark, sf_dir, con, name):
+    release(spark)
+    before = there(spark)
     got = Q.QUERIES[name](spark, sf_dir)
     want = con.execute(Q.SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
     found = rows(got.columns, got.collect())
     assert found == rows(names, want.fetchall()) and found
+    release(spark)
+    assert there(spark) <= before
+
+
+def test_what_passes_goes_and_what_is_kept_stays(spark):
+    release(spark)
+    old = there(spark)
+    left_over = lambda: there(spark) - old
+    before = settle(spark.range(3).toDF("a"))
+    with passing(spark) as kept:
+        settle(spark.range(4).toDF("a"))
+        last = settle(spark.range(5).toDF("a"))
+        kept.append(last)
+    assert (before.count(), last.count(), len(left_over())) == (3, 5, 2)
+    with pytest.raises(RuntimeError), passing(spark):
+        settle(spark.range(2).toDF("a"))
+        raise RuntimeError
+    after = settle(last.filter("a > 1"), last)
+    assert after.count() == 3 and len(left_over()) == 2
+    release(spark)
+    assert not left_over()
 
 
 def test_patterns_read_the_columns_they_use(spark, sf_dir):
