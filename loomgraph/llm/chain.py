@@ -55,8 +55,8 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, chain: Chain, pairs: boo
         later = local[at] * back[at]
         before = later @ move.T
         if pairs:
-            joint = ahead[at - 1][:, :, None] * move[None] * later[:, None, :]
-            expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            whole = np.einsum("ij,ij->i", ahead[at - 1], before)  # of each sequence: over all pairs
+            expected += move * ((ahead[at - 1] / whole[:, None]).T @ later)
         back[at - 1] = before / before.sum(axis=1, keepdims=True)
     both = ahead * back
     return both / np.maximum(both.sum(axis=1, keepdims=True), 1e-30), expected

@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,15 +15,20 @@ from pyspark.sql import functions as F
 from .chain import Chain, emissions, posteriors, train
 from .common import over_batches
 
-#: Bounds of the labelled sample the model is fitted on: rows of each language, characters in all, and languages (the commonest).
+#: Bounds of the labelled sample the model is fitted on: rows of each language, and characters in all. Beyond MANY languages
+#: characters get fewer in proportion, as a word's work grows with the square of them.
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 8_000_000
-SAMPLE_LANGS = 1_000
+MANY = 64
+#: Languages that a model may tell apart; with more labels than that the column holds something else, and learning raises.
+MOST_LANGS = 4096
 #: Characters that a sampled text should be allowed at least; with many languages fewer rows of each are taken instead.
 EXCERPT = 1_000
 #: Buckets of hashed features, and how many of a language's commonest words its lexicon holds.
 BUCKETS = 1 << 17
 LEXICON = 400
+#: Weights of a model at most, about: with very many languages there are fewer buckets.
+CELLS = 1 << 24
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Letters of a word at most; longer runs are taken for codes when a text is judged.
 LONGEST = 20
@@ -92,7 +98,12 @@ def _bucket(kind: int, *codes: np.ndarray) -> np.ndarray:
     return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def features(w: Words, lexicon: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def buckets_for(langs: int) -> int:
+    """A power of two."""
+    return min(BUCKETS, 1 << max(6, (CELLS // max(1, langs)).bit_length() - 1))
+
+
+def features(w: Words, lexicon: np.ndarray, flags: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Flat feature ids and their count by word: all n-grams of 1 to 3 letters with the word's edges, affixes of 2 to 4
     letters, the word itself, and which lexicons hold it."""
     c, last = w.codes, w.first + w.length - 1
@@ -116,7 +127,7 @@ def features(w: Words, lexicon: np.ndarray, flags: np.ndarray) -> tuple[np.ndarr
         flat[spread + k] = g
     for k, g in enumerate(own):
         flat[starts + 3 * w.length + k] = g
-    return flat, counts
+    return flat & (buckets - 1), counts
 
 
 #: A text is in no known language if words that fit none hold more than this share of its letters.
@@ -139,7 +150,7 @@ class Background:
         if not len(w.first):
             return np.zeros(0)
         chars = np.flatnonzero(w.codes != 0)
-        each = self.logs[_bucket(3, w.codes[chars - 1], w.codes[chars], w.codes[chars + 1])]
+        each = self.logs[_bucket(3, w.codes[chars - 1], w.codes[chars], w.codes[chars + 1]) & (len(self.logs) - 1)]
         return (np.add.reduceat(each, np.cumsum(w.length) - w.length, axis=0) / w.length[:, None]).max(axis=1)
 
     def strange(self, w: Words, scores: np.ndarray, texts: int) -> np.ndarray:
@@ -153,15 +164,16 @@ class Background:
 def _background(labelled: list[tuple[str, str]], langs: list[str]) -> Background:
     """Trigrams are counted on three of four texts; the fourth says how words of known text score: the bound lies a standard
     deviation below the score that one word in a thousand doesn't reach."""
-    logs = np.empty((BUCKETS, len(langs)), np.float32)
+    buckets = buckets_for(len(langs))
+    logs = np.empty((buckets, len(langs)), np.float32)
     held = []
     for k, lang in enumerate(langs):
         own = [t for t, x in labelled if x == lang]
         held += own[3::4]
         w = words_of([t for i, t in enumerate(own) if i % 4 != 3])
         chars = np.flatnonzero(w.codes != 0)
-        counts = np.bincount(_bucket(3, w.codes[chars - 1], w.codes[chars], w.codes[chars + 1]), minlength=BUCKETS)
-        logs[:, k] = np.log((counts + 0.1) / (counts.sum() + 0.1 * BUCKETS))
+        counts = np.bincount(_bucket(3, w.codes[chars - 1], w.codes[chars], w.codes[chars + 1]) & (buckets - 1), minlength=buckets)
+        logs[:, k] = np.log((counts + 0.1) / (counts.sum() + 0.1 * buckets))
     out = Background(logs)
     scores = out.scores(words_of(held or [t for t, _ in labelled]))
     if len(scores):
@@ -179,14 +191,16 @@ class Model:
 
 
 def _lexicons(labelled: list[tuple[str, str]], langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each language's commonest words, and a bit for each language that has the word among them."""
+    """Hashes of each language's commonest words, and a number for the set of languages that have the word among them: a bit
+    for each, or the hash of the bits where they don't fit."""
     flags: dict[int, int] = {}
     for k, lang in enumerate(langs):
         found, n = np.unique(words_of([t for t, x in labelled if x == lang]).hashes, return_counts=True)
         for h in found[np.argsort(-n, kind="stable")[:LEXICON]].tolist():
             flags[h] = flags.get(h, 0) | 1 << k
     order = sorted(flags)
-    return np.array(order, dtype=np.uint64), np.array([flags[h] for h in order], dtype=np.int64)
+    number = lambda bits: bits if bits < 1 << 63 else xxhash.xxh64_intdigest(bits.to_bytes(-(-len(langs) // 8), "little")) >> 1
+    return np.array(order, dtype=np.uint64), np.array([number(flags[h]) for h in order], dtype=np.int64)
 
 
 def fit(labelled: list[tuple[str, str]], seed: int = 11) -> Model:
@@ -208,10 +222,10 @@ def fit(labelled: list[tuple[str, str]], seed: int = 11) -> Model:
             w = words_of([p[0] for p in parts])
             n_words = np.bincount(w.text, minlength=len(parts))
             at = np.cumsum([len(seq) for seq in batch]) - [len(seq) for seq in batch]
-            flat, counts = features(w, lexicon, flags)
+            flat, counts = features(w, lexicon, flags, buckets_for(len(langs)))
             data.append((flat.astype(np.int32), counts, np.add.reduceat(n_words, at), np.array([p[1] for p in parts])[w.text]))
             batch = []
-    return Model(langs, train(data, BUCKETS, len(langs)), lexicon, flags, _background(labelled, langs))
+    return Model(langs, train(data, buckets_for(len(langs)), len(langs)), lexicon, flags, _background(labelled, langs))
 
 
 def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
@@ -221,7 +235,7 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float], lis
     # Score each distinct word once.
     _, one, back = np.unique(w.hashes, return_index=True, return_inverse=True)
     distinct = w.picked(one)
-    scores = emissions(model.chain, *features(distinct, model.lexicon, model.flags))[back]
+    scores = emissions(model.chain, *features(distinct, model.lexicon, model.flags, len(model.chain.emit)))[back]
     fit_ = model.background.scores(distinct)[back]
     _, lengths = np.unique(w.line, return_counts=True)
     likely, _ = posteriors(scores, lengths, model.chain)
@@ -238,17 +252,20 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, langs: int = SAMPLE_LANGS) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """A bounded sample of labelled rows that are not held out: at most ``rows`` of each language, those of the smallest hashes.
 
     A first look counts each language's rows; the second takes the smallest hashes of id and text, in their order. A text
     longer than a fair share of ``chars`` is learned from by its beginning, so languages of long texts have rows as well.
-    With very many languages there are fewer rows of each.
+    With very many languages there are fewer rows of each; more than MOST_LANGS raise.
     """
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
     if not counts:
         return []
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} different languages are labelled")
+    chars = chars * MANY // max(MANY, len(counts))
     rows = max(1, min(rows, chars // (EXCERPT * len(counts))))
     most = max(1, chars // (rows * len(counts)))
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * rows / n))]), F.col("lang"))

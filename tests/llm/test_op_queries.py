@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from loomgraph.llm import queries
+from loomgraph.sources.shared import MADE, release
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -65,6 +66,12 @@ def secret(t):
 
 @pytest.mark.parametrize("name", list(COLUMNS))
 def test_queries_return_whole_tables(spark, sf_dir, name):
+    whole_table(spark, sf_dir, name)
+    release(spark)
+    assert not MADE
+
+
+def whole_table(spark, sf_dir, name):
     df = queries.queries()[name](spark, sf_dir).cache()
     assert set(COLUMNS[name].split()) <= set(df.columns)
     table, key = {"op3_html_consensus": ("pages", "page_id"), "op12_vector_codes": ("embeddings", "vec_id"), "op13_nearest": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
