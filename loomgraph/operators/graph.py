@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE
+from ..plans.paths import Seen
 from ..sources.shared import settle
 
 
@@ -66,28 +65,24 @@ def connected_components(edges: DataFrame, most: int = 200) -> DataFrame:
     return found.union(alone)
 
 
-def _reached(edges: DataFrame, first: DataFrame, most: int, source: str) -> list[DataFrame]:
-    """Settled rounds of new pairs (``source``, node, hops) along ``edges`` (a, b), from ``first`` until nothing is new.
+def _reached(edges: DataFrame, first: DataFrame, most: int, source: str) -> tuple[DataFrame, int]:
+    """Pairs (``source``, node, hops) along ``edges`` (a, b), from ``first`` until nothing is new, and the number of rounds.
 
-    Each round joins the last round's pairs alone, and leaves out what any round has: one plan of as many tables as
-    rounds, whose own plans are cut.
+    Each round joins the last round's pairs alone, and leaves out what earlier rounds have, which are put together now and then.
     """
-    rounds = [settle(first)]
+    seen = Seen(first, [source, "node"])
     onward = edges.select(F.col("a").alias("node"), F.col("b").alias("_next"))
     for hop in range(1, most + 1):
-        step = rounds[-1].join(onward, "node").select(source, F.col("_next").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
-        known = reduce(DataFrame.union, [r.select(source, "node") for r in rounds])
-        new = settle(step.join(known, [source, "node"], "left_anti"))
-        if new.isEmpty():
-            return rounds
-        rounds.append(new)
-    return rounds
+        step = seen.last.join(onward, "node").select(source, F.col("_next").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
+        if not seen.add(step):
+            return seen.all(), hop
+    return seen.all(), most + 1
 
 
 def k_hop(edges: DataFrame, start: DataFrame, k: int) -> DataFrame:
     """``start, node, hops``: nodes within ``k`` directed steps of ``start`` (node), at their fewest steps."""
     first = start.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"))
-    return reduce(DataFrame.union, _reached(edges, first, k, "start"))
+    return _reached(edges, first, k, "start")[0]
 
 
 def lineage(edges: DataFrame, most: int = 10_000) -> DataFrame:
@@ -98,10 +93,10 @@ def lineage(edges: DataFrame, most: int = 10_000) -> DataFrame:
     """
     pairs = settle(edges.select("a", "b").distinct())
     first = pairs.select(F.col("a").alias("source"), F.col("b").alias("node"), F.lit(1).alias("hops"))
-    rounds = _reached(pairs, first, most, "source")
-    if len(rounds) > most:
+    found, rounds = _reached(pairs, first, most, "source")
+    if rounds > most:
         raise RuntimeError(f"the lineage is deeper than {most} steps")
-    return reduce(DataFrame.union, rounds).select(F.col("source").alias("node"), F.col("node").alias("ancestor"), F.col("hops").alias("steps"))
+    return found.select(F.col("source").alias("node"), F.col("node").alias("ancestor"), F.col("hops").alias("steps"))
 
 
 def category_rollup(triples: DataFrame, predicate: str) -> DataFrame:

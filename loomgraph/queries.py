@@ -13,7 +13,7 @@ from . import trade
 from .functions import values
 from .functions.terms import RDF_TYPE, XSD, local_name, typed
 from .operators import analytics, graph, reasoning
-from .plans import patterns
+from .plans import paths, patterns
 from .plans.compiler import build_csv, build_tables, dedupe, prune, store
 from .plans.fields import parsed
 from .sources.ntriples import diff, line, read_nquads, read_ntriples, write_ntriples
@@ -936,3 +936,42 @@ CALLED = PREFIXES + mapping(
 def rule_functions(spark: SparkSession, d: str) -> DataFrame:
     """Nested functions in subjects and objects, as built-in expressions."""
     return build_tables(read_rules(CALLED), trade.tables(spark, d, ["part"])).graph().select("s", "p", "o")
+
+
+# Regular paths.
+
+#: An order's next one of the same customer, by date; two orders of the same day follow by key.
+_NEXT_SQL = "nxt AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders)"
+
+
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of orders with the link ``next`` beside those of the rules."""
+    orders = trade.tables(spark, d, ["orders"])["orders"]
+    follows = orders.select("o_orderkey", F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("next"))
+    rules = [*prune([BY_NAME["orders"], BY_NAME["customer"]], {ONT + "orderedBy", ONT + "inNation"}), Rule("next", "follows", DATA + "order/{o_orderkey}", (link(ONT + "next", DATA + "order/{next}"),))]
+    return build_tables(rules, trade.tables(spark, d, ["orders", "customer"]) | {"follows": follows}).graph()
+
+
+@query(f"""WITH RECURSIVE {_NEXT_SQL}, two AS (SELECT x.a, y.b FROM nxt x JOIN nxt y ON x.b = y.a WHERE y.b IS NOT NULL), far AS (SELECT a, b FROM two UNION SELECT far.a, two.b FROM far JOIN two ON far.b = two.a)
+SELECT {iri('order', 'a')} AS start, {iri('order', 'b')} AS node FROM far UNION SELECT {iri('customer', 'o_custkey')}, {iri('order', 'o_orderkey')} FROM orders""")
+def regular_path(spark: SparkSession, d: str) -> DataFrame:
+    """``(next/next)+ | ^orderedBy`` between all nodes."""
+    return paths.reach(_ordered(spark, d), paths.alt(paths.plus(paths.seq(ONT + "next", ONT + "next")), paths.inverse(ONT + "orderedBy")))
+
+
+@query(f"""SELECT DISTINCT {iri('customer', 'x.c_custkey')} AS start, node FROM customer x, LATERAL (
+  SELECT {iri('customer', 'y.c_custkey')} AS node FROM customer y WHERE y.c_nationkey = x.c_nationkey
+  UNION ALL SELECT {iri('order', 'o_orderkey')} FROM customer y JOIN orders ON o_custkey = y.c_custkey WHERE y.c_nationkey = x.c_nationkey) t WHERE x.c_custkey % 50 = 0""")
+def regular_path_on_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """``(inNation/^inNation)*/(^orderedBy)?`` from some customers: every way but the shortest runs in circles."""
+    starts = trade.tables(spark, d, ["customer"])["customer"].filter("c_custkey % 50 = 0").select(F.concat(F.lit(DATA + "customer/"), F.col("c_custkey").cast("string")).alias("node"))
+    same = paths.star(paths.seq(ONT + "inNation", paths.inverse(ONT + "inNation")))
+    return paths.reach(_ordered(spark, d), paths.seq(same, paths.optional(paths.inverse(ONT + "orderedBy"))), starts)
+
+
+@query(f"""WITH RECURSIVE {_NEXT_SQL}, back AS (SELECT o_orderkey AS b, o_orderkey AS a FROM orders WHERE o_orderkey % 100 = 7 UNION SELECT back.b, nxt.a FROM back JOIN nxt ON nxt.b = back.a)
+SELECT DISTINCT {iri('customer', 'o_custkey')} AS start, {iri('order', 'b')} AS node FROM back JOIN orders ON o_orderkey = back.a""")
+def regular_path_to_ends(spark: SparkSession, d: str) -> DataFrame:
+    """``^orderedBy/next*`` to some orders, walked from these."""
+    ends = trade.tables(spark, d, ["orders"])["orders"].filter("o_orderkey % 100 = 7").select(F.concat(F.lit(DATA + "order/"), F.col("o_orderkey").cast("string")).alias("node"))
+    return paths.reach(_ordered(spark, d), paths.seq(paths.inverse(ONT + "orderedBy"), paths.star(ONT + "next")), ends=ends)
