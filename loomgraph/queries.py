@@ -13,16 +13,17 @@ from . import trade
 from .functions import values
 from .functions.terms import RDF_TYPE, XSD, local_name, typed
 from .operators import analytics, graph, reasoning
+from .operators.maintained import MaintainedTypes
 from .plans import paths, patterns
 from .plans.compiler import build_csv, build_tables, dedupe, prune, store
 from .plans.fields import parsed
 from .sources.ntriples import diff, line, read_nquads, read_ntriples, write_ntriples
-from .sources.ontology import read_ontology
+from .sources.ontology import Ontology, graph_ontology, read_ontology, used_terms
 from .sources.rules import ObjectMap, Rule, constant, link, literal, read_rules
 from .sources.shared import fresh, write_text
 from .sources.tables import first_listed as first_listed_of
 from .sources.tables import read_listed
-from .trade import BY_NAME, CLASS_EDGES, DATA, LITERAL_RANGES, ONT, SIDES, TERMS, frame
+from .trade import BY_NAME, CLASS_EDGES, DATA, LABEL, LITERAL_RANGES, ONT, SIDES, TERMS, frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -220,9 +221,33 @@ def reciprocal_consistency(spark: SparkSession, d: str) -> DataFrame:
 # Closure and entailment.
 
 
-@query(f"WITH RECURSIVE {CLOSED_SQL} SELECT sub, super, depth FROM closed")
+#: Classes that tables name: brands below the types of their parts, types below Part, segments below Customer, nations below their regions.
+_OWL_CLASS, _SUB = "http://www.w3.org/2002/07/owl#Class", "http://www.w3.org/2000/01/rdf-schema#subClassOf"
+CLASS_RULES = [
+    Rule("brand_class", "part", ONT + "{p_brand}", (constant(RDF_TYPE, _OWL_CLASS), link(_SUB, ONT + "type/{p_type}"))),
+    Rule("type_class", "part", ONT + "type/{p_type}", (constant(RDF_TYPE, _OWL_CLASS), constant(_SUB, ONT + "Part"), literal(LABEL, "p_type", XSD + "string"))),
+    Rule("segment_class", "customer", ONT + "{c_mktsegment}", (constant(RDF_TYPE, _OWL_CLASS), constant(_SUB, ONT + "Customer"), literal(LABEL, "c_mktsegment", XSD + "string"))),
+    Rule("nation_class", "nation", ONT + "nation/{n_nationkey}", (constant(RDF_TYPE, _OWL_CLASS), link(_SUB, ONT + "region/{n_regionkey}"), literal(LABEL, "n_name", XSD + "string"))),
+    Rule("region_class", "region", ONT + "region/{r_regionkey}", (constant(RDF_TYPE, _OWL_CLASS), constant(_SUB, ONT + "Place"), literal("http://www.w3.org/2000/01/rdf-schema#comment", "r_name", XSD + "string"))),
+]
+_BRAND_IRI, _TYPE_IRI = f"'{ONT}' || replace(p_brand, '#', '%23')", f"'{ONT}type/' || replace(p_type, ' ', '%20')"
+_CLASS_EDGES_SQL = f"""edges(sub, super) AS (SELECT DISTINCT {_BRAND_IRI}, {_TYPE_IRI} FROM part UNION SELECT DISTINCT {_TYPE_IRI}, '{ONT}Part' FROM part UNION SELECT DISTINCT '{ONT}' || c_mktsegment, '{ONT}Customer' FROM customer
+  UNION SELECT '{ONT}nation/' || CAST(n_nationkey AS VARCHAR), '{ONT}region/' || CAST(n_regionkey AS VARCHAR) FROM nation UNION SELECT '{ONT}region/' || CAST(r_regionkey AS VARCHAR), '{ONT}Place' FROM region)"""
+_UP_SQL = f"{_CLASS_EDGES_SQL}, far AS (SELECT sub, super, 1 AS depth FROM edges UNION SELECT f.sub, e.super, f.depth + 1 FROM far f JOIN edges e ON f.super = e.sub)"
+
+
+def stated_classes(spark: SparkSession, d: str) -> Ontology:
+    """The ontology that the tables' own classes make."""
+    return graph_ontology(kg_of(spark, d, CLASS_RULES))
+
+
+def kg_of(spark: SparkSession, d: str, rules: list[Rule]) -> DataFrame:
+    return dedupe(bag(spark, d, rules=rules))
+
+
+@query(f"WITH RECURSIVE {_UP_SQL} SELECT sub, super, min(depth) AS depth FROM far GROUP BY sub, super")
 def subclass_closure(spark: SparkSession, d: str) -> DataFrame:
-    return closed(spark)
+    return reasoning.closure(stated_classes(spark, d).class_edges)
 
 
 ENTAILED = "ent AS (SELECT DISTINCT s, class FROM (SELECT s, o AS class FROM g WHERE p = '" + RDF_TYPE + "' UNION ALL SELECT g.s, c.super FROM g JOIN closed c ON g.o = c.sub WHERE g.p = '" + RDF_TYPE + "'))"
@@ -335,15 +360,18 @@ def unmapped_properties(spark: SparkSession, d: str) -> DataFrame:
     return reasoning.unmapped_properties(terms(spark), kg(spark, d, "region", "nation", "customer"))
 
 
-@query(f"WITH {TERMS_SQL} SELECT iri, note FROM terms, (VALUES ('label'), ('comment')) n(note) WHERE NOT (kind = 'class' AND note = 'label')")
+_CLASS_NOTES_SQL = f"SELECT DISTINCT {_TYPE_IRI} AS iri, 'label' AS note FROM part UNION SELECT DISTINCT '{ONT}' || c_mktsegment, 'label' FROM customer UNION SELECT '{ONT}nation/' || CAST(n_nationkey AS VARCHAR), 'label' FROM nation UNION SELECT '{ONT}region/' || CAST(r_regionkey AS VARCHAR), 'comment' FROM region"
+
+
+@query(f"WITH {_CLASS_EDGES_SQL}, wanted AS (SELECT DISTINCT sub AS iri, note FROM edges, (VALUES ('label'), ('comment')) n(note)) SELECT iri, note FROM wanted EXCEPT ({_CLASS_NOTES_SQL})")
 def annotation_completeness(spark: SparkSession, d: str) -> DataFrame:
-    notes = terms(spark).filter("kind = 'class'").select("iri", F.lit("label").alias("note"))
-    return reasoning.missing_notes(terms(spark), notes, ["label", "comment"])
+    own = stated_classes(spark, d)
+    return reasoning.missing_notes(own.terms, own.notes.withColumn("note", local_name(F.col("note"))), ["label", "comment"])
 
 
-@query(f"WITH {TERMS_SQL} SELECT kind, CAST(count(*) AS BIGINT) AS n FROM terms GROUP BY kind")
+@query(g(*BY_NAME) + f"SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT o AS iri, 'class' AS kind FROM g WHERE p = '{RDF_TYPE}' UNION ALL SELECT p, CASE WHEN bool_or(o_kind = 'iri') THEN 'object_property' ELSE 'datatype_property' END FROM g WHERE p <> '{RDF_TYPE}' GROUP BY p) GROUP BY kind")
 def schema_counts(spark: SparkSession, d: str) -> DataFrame:
-    return terms(spark).groupBy("kind").agg(F.count("*").alias("n"))
+    return used_terms(bag(spark, d, *BY_NAME)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 # Metrics.
@@ -442,9 +470,13 @@ def category_rollup(spark: SparkSession, d: str) -> DataFrame:
     return graph.category_rollup(built.triples, ONT + "hasCustomerType")
 
 
-@query(f"WITH RECURSIVE {CLOSED_SQL} SELECT sub AS node, super AS ancestor, depth AS steps FROM closed")
+_DERIVED_SQL = f"e AS (SELECT {iri('order', 'o_orderkey')} AS a, {iri('customer', 'o_custkey')} AS b FROM orders UNION ALL SELECT {iri('customer', 'c_custkey')}, {iri('nation', 'c_nationkey')} FROM customer UNION ALL SELECT {iri('nation', 'n_nationkey')}, {iri('region', 'n_regionkey')} FROM nation)"
+
+
+@query(f"WITH RECURSIVE {_DERIVED_SQL}, far AS (SELECT a AS node, b AS ancestor, 1 AS steps FROM e UNION ALL SELECT far.node, e.b, far.steps + 1 FROM far JOIN e ON far.ancestor = e.a) SELECT node, ancestor, steps FROM far")
 def lineage(spark: SparkSession, d: str) -> DataFrame:
-    return graph.lineage(frame(spark, CLASS_EDGES, "a string, b string", [0, 1]))
+    edges = graph.links(kg(spark, d, "orders", "customer", "nation", iris=True))
+    return graph.lineage(edges.select(F.col("s").alias("a"), F.col("o").alias("b")))
 
 
 # Patterns. SQL answers them from the tables themselves.
@@ -775,18 +807,21 @@ def read_ntriples_escapes(spark: SparkSession, d: str) -> DataFrame:
     return read_ntriples(spark, path).select("s", "p", "o", "o_kind", "o_lang")
 
 
-ONTOLOGY = "@prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n" + "".join(f"<{ONT}{a}> a owl:Class ; rdfs:subClassOf <{ONT}{b}> .\n" for a, b in CLASS_EDGES) + "".join(f"<{ONT}{p}> a owl:ObjectProperty ; rdfs:{side} <{ONT}{c}> .\n" for p, side, k, c in SIDES if p == "inRegion")
-
-
-@query(f"SELECT 'subclass' AS what, sub AS a, super AS b FROM ({_values(CLASS_EDGES, [0, 1])}) e(sub, super) UNION ALL SELECT side, property, class FROM ({_values([s for s in SIDES if s[0] == 'inRegion'], [0, 3])}) s(property, side, choice, class)")
+@query(f"SELECT 'subclass' AS what, '{ONT}nation/' || CAST(n_nationkey AS VARCHAR) AS a, '{ONT}region/' || CAST(n_regionkey AS VARCHAR) AS b FROM nation UNION ALL SELECT 'domain', '{ONT}seat' || CAST(n_nationkey AS VARCHAR), '{ONT}nation/' || CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT 'note', '{ONT}nation/' || CAST(n_nationkey AS VARCHAR), n_name FROM nation")
 def ontology_source(spark: SparkSession, d: str) -> DataFrame:
-    """An ontology file, read back as tables."""
+    """A Turtle file of the nations' classes, read back as tables. Nations are few, and such files are made on the driver."""
     from .sources.shared import read_text
 
+    nations = trade.tables(spark, d, ["nation"])["nation"].collect()
+    text = "@prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n"
+    for n in nations:
+        cls = f"<{ONT}nation/{n['n_nationkey']}>"
+        text += f'{cls} a owl:Class ; rdfs:subClassOf <{ONT}region/{n["n_regionkey"]}> ; rdfs:label "{n["n_name"]}" .\n<{ONT}seat{n["n_nationkey"]}> a owl:ObjectProperty ; rdfs:domain {cls} .\n'
     path = f"{fresh(spark, 'ontology')}/o.ttl"
-    write_text(spark, path, ONTOLOGY)
+    write_text(spark, path, text)
     onto = read_ontology(spark, read_text(spark, path))
-    return onto.class_edges.select(F.lit("subclass").alias("what"), F.col("sub").alias("a"), F.col("super").alias("b")).union(onto.sides.select("side", "property", "class"))
+    edges = onto.class_edges.select(F.lit("subclass").alias("what"), F.col("sub").alias("a"), F.col("super").alias("b"))
+    return edges.union(onto.sides.select("side", "property", "class")).union(onto.notes.select(F.lit("note"), "iri", "text"))
 
 
 @query("SELECT first AS name, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_nationkey, min_by(c_mktsegment, c_custkey) AS first FROM customer GROUP BY c_nationkey) GROUP BY first")
@@ -975,3 +1010,30 @@ def regular_path_to_ends(spark: SparkSession, d: str) -> DataFrame:
     """``^orderedBy/next*`` to some orders, walked from these."""
     ends = trade.tables(spark, d, ["orders"])["orders"].filter("o_orderkey % 100 = 7").select(F.concat(F.lit(DATA + "order/"), F.col("o_orderkey").cast("string")).alias("node"))
     return paths.reach(_ordered(spark, d), paths.seq(paths.inverse(ONT + "orderedBy"), paths.star(ONT + "next")), ends=ends)
+
+
+# Entailed classes through changes.
+
+_CUSTOMER_IRI = iri("customer", "c_custkey")
+#: At first all customers have their segment's and nation's class. Then every third one of a segment loses that, suppliers get their
+#: nations', the first region is no place any more, and one segment becomes a kind of place.
+_CHANGED_SQL = f"""{_CLASS_EDGES_SQL.replace('edges(', 'all_edges(')}, edges AS (SELECT sub, super FROM all_edges WHERE sub <> '{ONT}region/0' UNION SELECT '{ONT}BUILDING', '{ONT}Place'),
+up AS (SELECT sub, super FROM edges UNION SELECT u.sub, e.super FROM up u JOIN edges e ON u.super = e.sub),
+stated AS (SELECT {_CUSTOMER_IRI} AS s, '{ONT}' || c_mktsegment AS class FROM customer WHERE c_mktsegment <> 'MACHINERY' OR c_custkey % 3 <> 0 UNION SELECT {_CUSTOMER_IRI}, '{ONT}nation/' || CAST(c_nationkey AS VARCHAR) FROM customer UNION SELECT {iri('supplier', 's_suppkey')}, '{ONT}nation/' || CAST(s_nationkey AS VARCHAR) FROM supplier)"""
+
+
+def _types(spark: SparkSession, d: str, *rules: Rule) -> DataFrame:
+    return bag(spark, d, rules=list(rules)).select("s", F.col("o").alias("class"))
+
+
+@query(f"WITH RECURSIVE {_CHANGED_SQL} SELECT s, class FROM stated UNION SELECT s, super FROM stated JOIN up ON class = sub")
+def entailment_under_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Types and class edges come and go; each change moves its own consequences."""
+    customer, supplier = DATA + "customer/{c_custkey}", DATA + "supplier/{s_suppkey}"
+    segment, nation = Rule("t", "customer", customer, (link(RDF_TYPE, ONT + "{c_mktsegment}"),)), Rule("t", "customer", customer, (link(RDF_TYPE, ONT + "nation/{c_nationkey}"),))
+    own = MaintainedTypes.create(spark, fresh(spark, "kept"), _types(spark, d, segment, nation), stated_classes(spark, d).class_edges)
+    key = F.regexp_extract("s", "[0-9]+$", 0).cast("bigint")
+    own.change(removed=_types(spark, d, segment).filter((F.col("class") == ONT + "MACHINERY") & (key % 3 == 0)))
+    own.change(added=_types(spark, d, Rule("t", "supplier", supplier, (link(RDF_TYPE, ONT + "nation/{s_nationkey}"),))), edges_removed=frame(spark, [("region/0", "Place")], "sub string, super string", [0, 1]))
+    own.change(edges_added=frame(spark, [("BUILDING", "Place")], "sub string, super string", [0, 1]))
+    return own.current()
