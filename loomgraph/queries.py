@@ -10,19 +10,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import trade
-from .functions import values
+from .functions import values, variants
 from .functions.terms import RDF_TYPE, XSD, local_name, typed
-from .operators import analytics, graph, reasoning
+from .operators import analytics, blanks, graph, reasoning, sketches
 from .operators.maintained import MaintainedTypes
 from .plans import paths, patterns
 from .plans.compiler import build_csv, build_tables, dedupe, prune, store
 from .plans.fields import parsed
+from .sources.linesource import scan_lines
 from .sources.ntriples import diff, line, read_nquads, read_ntriples, write_ntriples
 from .sources.ontology import Ontology, graph_ontology, read_ontology, used_terms
 from .sources.rules import ObjectMap, Rule, constant, link, literal, read_rules
 from .sources.shared import fresh, write_text
 from .sources.tables import first_listed as first_listed_of
 from .sources.tables import read_listed
+from .streaming.entities import entity_changes, interval_join
 from .trade import BY_NAME, CLASS_EDGES, DATA, LABEL, LITERAL_RANGES, ONT, SIDES, TERMS, frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1037,3 +1039,90 @@ def entailment_under_changes(spark: SparkSession, d: str) -> DataFrame:
     own.change(added=_types(spark, d, Rule("t", "supplier", supplier, (link(RDF_TYPE, ONT + "nation/{s_nationkey}"),))), edges_removed=frame(spark, [("region/0", "Place")], "sub string, super string", [0, 1]))
     own.change(edges_added=frame(spark, [("BUILDING", "Place")], "sub string, super string", [0, 1]))
     return own.current()
+
+
+# A data source, streams, sketches, blank nodes, variants.
+
+
+@query(f"SELECT {iri('supplier', 's_suppkey')} AS s, '{ONT}balance' AS p, CAST(s_acctbal AS VARCHAR) AS o, '{XSD}decimal' AS o_datatype FROM supplier UNION ALL SELECT {iri('customer', 'c_custkey')}, '{ONT}balance', CAST(c_acctbal AS VARCHAR), '{XSD}decimal' FROM customer")
+def ntriples_source(spark: SparkSession, d: str) -> DataFrame:
+    """One predicate's lines of a file, through the data source that takes others apart no further than their bytes."""
+    path = fresh(spark, "lines")
+    write_ntriples(kg(spark, d, "supplier", "customer", "nation"), path)
+    return scan_lines(spark, path, split=1 << 18).filter(F.col("p") == ONT + "balance").select("s", "p", "o", "o_datatype")
+
+
+def _streamed(spark: SparkSession, table: DataFrame, base: str) -> DataFrame:
+    """A stream of a table's rows, sent twice, in files that follow no order."""
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(_stream_input(spark, table, base))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _written(stream: DataFrame, base: str) -> DataFrame:
+    """All that a stream over finite input adds."""
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('millisecond', ts) DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def entity_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The newest event of each user, as the sum of a stream's additions and retractions."""
+    base = fresh(spark, "entities")
+    changes = _written(entity_changes(_streamed(spark, _events(spark, d), base), "user_id", "ts", "event_id", late="30 days"), base)
+    return changes.groupBy("event_id", "user_id", "event_type").agg(F.sum("d").alias("d")).filter("d > 0").drop("d")
+
+
+_PAIRED_SQL = "SELECT c.event_id AS click, p.event_id AS purchase FROM events c JOIN events p ON c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'"
+
+
+@query(_PAIRED_SQL)
+def stream_interval_join(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks and the purchases of the same user within an hour, of two streams; rows that are sent twice join once."""
+    base, events = fresh(spark, "pairs"), _events(spark, d).select("event_id", "user_id", "ts", "event_type")
+    sides = [_streamed(spark, events.filter(F.col("event_type") == kind).drop("event_type"), f"{base}/{kind}").withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["event_id"]) for kind in ("click", "purchase")]
+    joined = interval_join(*sides, ["user_id"], "ts", "ts", "1 HOUR", None, None)
+    return _written(joined.select(F.col("event_id").alias("click"), F.col("event_id_right").alias("purchase")), base)
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, TRUE AS distinct_fits, TRUE AS median_fits FROM events GROUP BY event_type")
+def sketches_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Daily states of event types, stored, merged over days, and held against exact figures: users within 5 %, the median within 2 % of ranks."""
+    path, events = fresh(spark, "states"), _events(spark, d)
+    sketches.add_states(sketches.sketch_states(events.withColumn("day", F.to_date("ts")), ["day", "event_type"], "user_id", "value"), path)
+    found = sketches.estimates(sketches.merged(spark.read.parquet(path), ["event_type"]), [0.5]).select("event_type", "n", "n_distinct", F.col("quantiles")[0].alias("median"))
+    exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    ranks = events.join(F.broadcast(found), "event_type").groupBy("event_type").agg(F.avg(F.when(F.col("value") <= F.col("median"), 1.0).otherwise(0.0)).alias("share"))
+    joined = found.join(exact, "event_type").join(ranks, "event_type")
+    return joined.select("event_type", "n", (F.abs(F.col("n_distinct") - F.col("users")) <= 0.05 * F.col("users")).alias("distinct_fits"), (F.abs(F.col("share") - 0.5) <= 0.02).alias("median_fits"))
+
+
+@query(f"""SELECT '{ONT}priority' AS p, o_orderpriority AS o, 'right' AS side, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 50 = 0 GROUP BY o_orderpriority
+UNION ALL SELECT '{ONT}priority', 'none', 'left', CAST(count(*) AS BIGINT) FROM orders WHERE o_orderkey % 50 = 0""")
+def diff_of_blank_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as blank nodes hung on their customers, called otherwise on either side; every fiftieth has lost its priority on one.
+
+    Orders are told apart by their total and date; those that stay as they were differ by nothing.
+    """
+    orders = trade.tables(spark, d, ["orders"])["orders"]
+    none = F.lit(None).cast("string")
+
+    def side(name: str, priority) -> DataFrame:
+        node = F.concat(F.lit(f"_:{name}"), F.xxhash64("o_orderkey", F.lit(name)).cast("string").substr(2, 30))
+        triple = lambda s, p, o, kind: F.struct(s.alias("s"), F.lit(ONT + p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang"))
+        customer = F.concat(F.lit(DATA + "customer/"), F.col("o_custkey").cast("string"))
+        return orders.select(F.inline(F.array(triple(customer, "ordered", node, "blank"), triple(node, "priority", priority, "literal"), triple(node, "total", F.col("o_totalprice").cast("string"), "literal"), triple(node, "key", F.col("o_orderkey").cast("string"), "literal"))))
+
+    lost = F.when(F.col("o_orderkey") % 50 == 0, "none").otherwise(F.col("o_orderpriority"))
+    found = blanks.diff_graphs(side("a", lost), side("b", F.col("o_orderpriority")))
+    return found.filter(F.col("p") == ONT + "priority").groupBy("p", "o", "side").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, CAST(count(*) FILTER (CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50) AS BIGINT) AS high FROM events GROUP BY event_type")
+def variant_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Properties parsed once, laid out as a column beside the rest, stored, and read again by that column alone."""
+    path = fresh(spark, "variants")
+    variants.shredded(variants.parsed_once(_events(spark, d).select("event_type", "props"), "props"), "props", {"k": ("$.k", "bigint")}).write.parquet(path)
+    return spark.read.parquet(path).groupBy("event_type").agg(F.sum("k").alias("total"), F.count_if(F.col("k") >= 50).alias("high"))
