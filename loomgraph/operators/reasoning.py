@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.terms import RDF_TYPE, valid_lexical
 from ..sources.shared import settle
 
-DIMENSION_ROWS = 100_000
+DIMENSION_ROWS, DIMENSION_BYTES = 100_000, 32 << 20
 
 
-def dimension(table: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
-    """Mark an ontology table for broadcast if it has at most ``rows`` rows; beyond, Spark shuffles the join."""
-    return F.broadcast(table) if table.count() <= rows else table
+def dimension(table: DataFrame, rows: int = DIMENSION_ROWS, size: int = DIMENSION_BYTES) -> DataFrame:
+    """Mark an ontology table for broadcast if it has at most ``rows`` rows and about ``size`` bytes; beyond, Spark shuffles the join."""
+    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns])))
+    n, held = table.agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(table) if n <= rows and (held or 0) <= size else table
 
 
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:

@@ -7,7 +7,7 @@ each variable, without the mark, and one row for each match, as a bag.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,16 +56,24 @@ def _star(triples: DataFrame, subject: str, patterns: list[Pattern]) -> DataFram
     return out.select(subject[1:], *[p[2][1:] for p in open_])
 
 
-def match(triples: DataFrame, patterns: Iterable[Pattern]) -> DataFrame:
+def hubs(triples: DataFrame, most: int = 10_000) -> set[str]:
+    """Predicates by which some subject has more than ``most`` objects: one pass to make over a stored graph, for ``match``."""
+    counted = triples.groupBy("p", "s").agg(F.count("*").alias("n")).groupBy("p").agg(F.max("n").alias("n"))
+    return {r["p"] for r in counted.filter(F.col("n") > most).select("p").collect()}
+
+
+def match(triples: DataFrame, patterns: Iterable[Pattern], many: Collection[str] = ()) -> DataFrame:
     """All matches of a set of patterns.
 
-    Patterns around a subject with distinct object variables are one star; other patterns stand alone. Parts are joined
-    on what they share, those with more constants first, and never without a shared variable.
+    Patterns around a subject with distinct object variables are one star; other patterns stand alone. So do those of predicates
+    in ``many`` (see ``hubs``): a star gathers a subject's objects in one row, which a subject with very many can't be, while
+    a join's skewed keys are split. Parts are joined on what they share, those with more constants first, and never without a
+    shared variable.
     """
     stars, parts = defaultdict(list), []
     for p in patterns:
         own = {x[2] for x in stars[p[0]]}
-        if _var(p[0]) and not _var(p[1]) and p[2] != p[0] and (not _var(p[2]) or p[2] not in own):
+        if _var(p[0]) and not _var(p[1]) and p[1] not in many and p[2] != p[0] and (not _var(p[2]) or p[2] not in own):
             stars[p[0]].append(p)
         else:
             parts.append((_single(triples, p), [p]))
