@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import over_batches, settle, small
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 ID = re.compile(r"""\b(?:id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PIECE = re.compile(r"[a-z]+", re.I)
@@ -22,12 +22,17 @@ PIECE = re.compile(r"[a-z]+", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr img math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace mpadded mphantom mfenced menclose mmultiscripts mtable mtr mtd semantics".split())
 CONTAINERS = frozenset("body main article section div td center".split())
-APART = frozenset("nav header footer aside form noscript menu dialog fieldset head".split())
+APART = frozenset("nav header footer aside noscript menu dialog fieldset head".split())
 #: Elements without text of the article; those that swallow the rest of a page where their end is missing come first.
 SWALLOW = frozenset("script style textarea title".split())
 RAW = SWALLOW | frozenset("noscript template svg iframe object select button canvas audio video annotation".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar side aside nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer bottom related recommended recommendations share sharing social newsletter subscribe subscription signup login form search widget widgets toolbar pagination pager tags".split())
-READERS = frozenset("comment comments disqus reply replies respond".split())
+READERS = frozenset("comment comments commentlist commentary disqus reply replies respond discussion discussions guestbook".split())
+#: Names that say advert or service wherever in a name they stand.
+ADVERTS = frozenset("ads advert adverts advertisement advertising adsbygoogle adsense sponsored".split())
+#: What stands before such a name, or after it, without making it another thing; a name of other words (binary-search) may well be
+#: an article's own, and is judged by what it holds.
+PLACES = frozenset("site page main top left right bottom upper lower global primary secondary post article blog entry content text body box bar block wrapper wrap container inner outer area section div form list item items link links widget module panel region group row col column fixed sticky mobile desktop user social google fb facebook twitter email mail sub the".split())
 FIRST_NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent notice sidebar nav navbar menu comment comments disqus share sharing social related newsletter".split())
 #: Elements that are text whatever their class is called.
 TEXTUAL = frozenset("body html article main blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 dl dt dd".split())
@@ -37,16 +42,19 @@ MAJORITY = 0.5
 #: What a container beside the article must hold to count as part of it: characters of a block with an end of a sentence,
 #: and where a host has few pages to vote, a share of the article's text.
 PROSE, SHARE, FEW = 60, 0.05, 3
+ENDED = re.compile(r"[.!?\u2026\u3002]")
 #: Characters of a container within the article whose repetition on most pages of a host tells that it is none of it.
 REPEATED = 24
 
 
 def names_of(rest: str) -> tuple[list[str], str]:
-    """The class names of a tag, and what its classes, id or role say: "" for nothing, "layout" or "readers" for no part of an article."""
+    """The class names of a tag, and what its classes, id or role say: "" for nothing, "layout" or "readers" for no part of an article,
+    "perhaps" for a layout's name among other words."""
     if "=" not in rest:
         return [], ""
     got = CLASS.search(rest)
     classes = (got[1] or got[2] or got[3] or "").split() if got else []
+    perhaps = ""
     other = ID.search(rest)
     for name in [*classes, (other[1] or other[2] or other[3] or "") if other else ""]:
         words = [p.lower() for p in PIECE.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name))]
@@ -54,9 +62,13 @@ def names_of(rest: str) -> tuple[list[str], str]:
         if words and not {"has", "with", "no"} & set(words):
             if words[-1] in READERS or words[0] in READERS & FIRST_NAMES:
                 return classes, "readers"
-            if words[-1] in NAMES or words[0] in FIRST_NAMES:
+            if ADVERTS & set(words) or words in (["site", "info"], ["colophon"]):
                 return classes, "layout"
-    return classes, ""
+            if words[-1] in NAMES or words[0] in FIRST_NAMES:
+                if words[0] in FIRST_NAMES or set(words) <= NAMES | PLACES:
+                    return classes, "layout"
+                perhaps = "perhaps"
+    return classes, perhaps
 
 
 def step_of(tag: str, classes: list[str]) -> str:
@@ -132,6 +144,8 @@ class Page:
             at = m.end()
             tag = m["tag"]
             if tag is None:
+                if m["cdata"]:
+                    text.append(m["cdata"])  # as it stands: references mean nothing there
                 continue
             tag, closed = tag.lower(), m["rest"].endswith("/")
             if tag in RAW:
@@ -165,7 +179,8 @@ class Page:
             if closed and tag not in CONTAINERS:
                 continue
             classes, says = names_of(m["rest"])
-            says = "" if tag in TEXTUAL else says
+            # A form may be a search box, or hold the whole page.
+            says = "" if tag in TEXTUAL else says or ("layout" if tag == "form" else "")
             _, above, apart = stack[-1]
             stack.append((tag, self._open(above, tag, classes, says) if tag in CONTAINERS or says else above, apart or tag in APART))
             opened[tag] += 1
@@ -173,16 +188,21 @@ class Page:
         flush()
 
     def _settle_names(self) -> None:
-        """Leave out blocks in named containers, but for those that hold most of the page's text."""
+        """Leave out blocks in named containers, but for those that hold most of the page's text; those that are only perhaps no part
+        of the article stay if they hold prose of their own."""
         if not self.says:
             return
-        total, held = 0, Counter()
-        for text, node, _ in self.blocks:
+        total, held, prose = 0, Counter(), set()
+        for text, node, linked in self.blocks:
             total += len(text)
             held[self.named[node]] += len(text)
+            if len(text) >= PROSE and 3 * linked <= len(text) and ENDED.search(text):
+                prose.add(self.named[node])
         gone = set()
         for n in sorted(self.says, reverse=True):  # inner ones first
-            if self.says[n] == "readers" or held[n] < MAJORITY * total:
+            if self.says[n] == "perhaps" and n in prose:
+                held[self.named[self.parent[n]]] += held[n]
+            elif self.says[n] == "readers" or held[n] < MAJORITY * total:
                 gone.add(n)
             else:
                 held[self.named[self.parent[n]]] += held[n]
@@ -306,7 +326,7 @@ def votes_of(page: Page) -> list[tuple[str, str, int, float]]:
         if inside[n]:
             if page.key[n] != key_of(root) and page.tag[n] in ("div", "section") and size >= REPEATED:
                 votes.append(("within", "", mark_of(page, n, parts), 0.0))
-        elif not marked and 3 * linked <= size and any(len(t) >= PROSE and re.search(r"[.!?\u2026\u3002]", t) for t, _ in parts):
+        elif not marked and 3 * linked <= size and any(len(t) >= PROSE and ENDED.search(t) for t, _ in parts):
             votes.append(("beside", page.path(n), mark_of(page, n, parts), float(size >= SHARE * total)))
     return votes
 
