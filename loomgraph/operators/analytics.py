@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _seconds(c: str, kind: T.DataType) -> Column:
+    """A time as seconds; of a local time (without a zone) those of its own clock, so that none come out of order where clocks change."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    return F.col(c).cast("timestamp" if isinstance(kind, T.DateType) else kind).cast("long")
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str, width: int | None = None) -> DataFrame:
@@ -19,7 +27,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_
     rows = left.select(F.col(by).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.struct(*names).alias("_row"))
     marks = right.select(F.col(by).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_o"), F.col(value).alias("_v"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
     keys = ["_k"] if width is None else ["_k", "_b"]
-    cut = lambda df: df if width is None else df.withColumn("_b", F.floor(F.col("_t").cast("long") / width))
+    cut = lambda df: df if width is None else df.withColumn("_b", F.floor(_seconds("_t", df.schema["_t"].dataType) / width))
     stream, marks = cut(rows.union(marks)), cut(marks)
     last = F.last("_v", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_t", "_o", F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
     found = stream.withColumn("asof_value", last).filter("_o = 1")

@@ -640,7 +640,7 @@ def cube(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT e.event_id, e.user_id, p.value AS asof_value FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts WHERE e.event_type = 'click'")
 def asof_join(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
-    return analytics.asof_join(e.filter("event_type = 'click'").select("event_id", "user_id", "ts"), e.filter("event_type = 'purchase'"), "user_id", "ts", "ts", "value").select("event_id", "user_id", "asof_value")
+    return analytics.asof_join(e.filter("event_type = 'click'").select("event_id", "user_id", "ts"), e.filter("event_type = 'purchase'"), "user_id", "ts", "ts", "value", width=7 * 86_400).select("event_id", "user_id", "asof_value")
 
 
 @query("SELECT p_partkey, lo, CAST(p_size AS INTEGER) AS p_size FROM part JOIN (SELECT n_nationkey AS lo, n_nationkey + 7 AS hi FROM nation) ON p_size >= lo AND p_size < hi")
@@ -828,11 +828,10 @@ def ontology_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT first AS name, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_nationkey, min_by(c_mktsegment, c_custkey) AS first FROM customer GROUP BY c_nationkey) GROUP BY first")
 def counts_by_first_listed(spark: SparkSession, d: str) -> DataFrame:
-    """Of each nation the segment that a file lists first; nations counted by it."""
+    """Of each nation the segment that a listing has first; nations counted by it. The listing is written by as many tasks as it takes."""
     path = fresh(spark, "listed") + "/customer.csv"
     customer = trade.tables(spark, d, ["customer"])["customer"].select("c_nationkey", "c_mktsegment", "c_custkey")
-    # One file, as its rows' order counts: a range sort in as many tasks as it takes, put together by the last.
-    customer.sort("c_custkey").select("c_nationkey", "c_mktsegment").coalesce(1).write.option("header", True).csv(path)
+    customer.repartitionByRange(8, "c_custkey").sortWithinPartitions("c_custkey").select("c_nationkey", "c_mktsegment").write.option("header", True).csv(path)
     rows = read_listed(spark, path, ["c_nationkey", "c_mktsegment"])
     return first_listed_of(rows, "c_nationkey", "c_mktsegment").groupBy(F.col("c_mktsegment").alias("name")).agg(F.count("*").alias("n"))
 

@@ -118,11 +118,14 @@ def header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_listed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """One CSV file's rows with ``listed``, their order in the file: graphs are sets, so what depends on order is settled before.
+    """CSV rows with ``listed``, their order: graphs are sets, so what depends on order is settled before.
 
-    Ids grow along a file, in and between the parts that Spark cuts it into.
+    Rows are in the order of their file, and files of a folder in that of their names, as a sorted table is written. Within a file ids
+    grow along it, in and between the parts that Spark cuts it into.
     """
-    return read_csv(spark, path, columns).withColumn("listed", F.monotonically_increasing_id())
+    rows = read_csv(spark, path, columns, cut=1 << 62)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.withColumn("listed", place)
 
 
 def first_listed(rows: DataFrame, key: str, value: str) -> DataFrame:

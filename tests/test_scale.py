@@ -58,3 +58,22 @@ def test_dimensions_are_broadcast_by_rows_and_bytes(spark):
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "broadcast" in df._jdf.queryExecution().logical().toString().lower()
     assert hinted(reasoning.dimension(small)) and not hinted(reasoning.dimension(small, rows=5)) and not hinted(reasoning.dimension(small, size=500))
     assert reasoning.dimension(small.filter(F.lit(False))).count() == 0
+
+
+def test_appended_graphs_grow_by_levels_and_batches_read_their_part(spark, tmp_path):
+    from loomgraph.functions.terms import IDENTITY
+    from loomgraph.sources.rules import Rule, literal
+    from loomgraph.streaming.incremental import _levels, append_new, stream_triples
+
+    rules = [Rule("r", "t", "http://d/{id}", (literal("n", "name", "http://www.w3.org/2001/XMLSchema#string"),))]
+    path, source = str(tmp_path / "g"), str(tmp_path / "in")
+    for k in range(5):
+        spark.createDataFrame([(i, f"x{i % 3}") for i in range(k * 150, k * 150 + 300)], "id long, name string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long, name string").parquet(source)
+        append_new(stream_triples(stream, rules), path, str(tmp_path / "c"), buckets=2, size=3000).awaitTermination()
+    stored = spark.read.parquet(path)
+    assert stored.count() == 900 == stored.select(*IDENTITY).distinct().count()
+    levels, now = _levels(spark, path, 2, 3000)
+    assert len(levels) >= 2 and now >= levels[-1]
+    assert stored.select("level", "bucket").distinct().count() > 2 * len(levels) - 2
+    assert _levels(spark, str(tmp_path / "none"), 2, 3000) == ([], 0)
