@@ -22,6 +22,9 @@ SIDE, HIDDEN = 2, 24
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 #: Rounds of training over all positions; words of a step, words that steps are drawn from at a time, and pieces of the weights.
 ROUNDS, STEP, SHUFFLED, PIECES = 1, 8192, 1 << 16, 16
+#: AdaGrad's sums at first. Gradients are means over a step, so those of one word's weights are tiny, and sums must begin below their
+#: squares: else no word's vector moves in one round, and the network learns little but how common words are.
+FIRST_SUMS = {"near": 1e-9}
 #: Words that one copy of the network learns from, about: the corpus is dealt out to copies by its rows' hashes, whatever its
 #: partitions, and copies are added up a FAN at a time.
 COPY_WORDS, FAN = 2_000_000, 32
@@ -159,7 +162,7 @@ class Network:
         """One step of AdaGrad on the tokens at ``at``; rows of ``near`` share a step size each."""
         w, tame = self.w, self._tame()
         if not self.sums:
-            self.sums = {k: np.full(v.shape[:2] if k == "near" else v.shape, 1e-3, np.float32) for k, v in w.items()}
+            self.sums = {k: np.full(v.shape[:2] if k == "near" else v.shape, FIRST_SUMS.get(k, 1e-7), np.float32) for k, v in w.items()}
         order, found, begin = self._grouped(tokens[at] // CLASSES)
         at = at[order]
         h, n = self.hidden(tokens, at), np.float32(len(at))
