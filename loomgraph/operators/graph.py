@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import RDF_TYPE
+from ..functions.terms import RDF_TYPE, identity
 from ..plans.paths import Seen
 from ..sources.shared import settle
 
@@ -129,3 +129,26 @@ def best_match(matches: DataFrame) -> DataFrame:
     """``iri, match, external_iri``: for each node its strongest match, of equals the first by IRI."""
     rank = F.array_position(F.array(*[F.lit(m) for m in MATCHES]), F.col("match"))
     return matches.groupBy("iri").agg(F.min(F.struct(rank.alias("rank"), "external_iri", "match")).alias("best")).select("iri", "best.match", "best.external_iri")
+
+
+def merge_aligned(triples: DataFrame, same: str, prefer: str | None = None) -> DataFrame:
+    """The graph with nodes that ``same`` (a predicate of equality, in either direction and over any number of steps) joins as one.
+
+    Each group goes by its smallest name, of those below ``prefer`` if there are any; links of ``same`` go, triples that become equal
+    are one, and ``src`` is the smallest of theirs. Only nodes of a group look for a name: of all others triples stay where they are.
+    Groups come from ``connected_components``, so that long chains and large groups are no task's own.
+    """
+    links_ = triples.filter((F.col("p") == same) & (F.col("o_kind") != "literal")).select(F.col("s").alias("a"), F.col("o").alias("b"))
+    found = settle(connected_components(links_))
+    own = F.lit(True) if prefer is None else F.col("node").startswith(prefer)
+    # What is preferred comes first, then the smallest.
+    first = found.groupBy("component").agg(F.min(F.struct((~own).alias("other"), "node"))["node"].alias("name"))
+    names = settle(found.join(first, "component").filter("node <> name").select("node", "name"))
+    out = triples.filter((F.col("p") != same) | (F.col("o_kind") == "literal"))
+    for c in ("s", "o"):
+        # Literals are no nodes; they don't take part in the join, so that a common one is no hot key.
+        part = out if c == "s" else out.filter("o_kind <> 'literal'")
+        rest = None if c == "s" else out.filter("o_kind = 'literal'")
+        named = part.join(names.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("name", c)).drop("name").select(triples.columns)
+        out = named if rest is None else named.unionByName(rest)
+    return out.groupBy(*identity(triples.columns)).agg(F.min("src").alias("src"))

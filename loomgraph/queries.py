@@ -1125,3 +1125,24 @@ def variant_properties(spark: SparkSession, d: str) -> DataFrame:
     path = fresh(spark, "variants")
     variants.shredded(variants.parsed_once(_events(spark, d).select("event_type", "props"), "props"), "props", {"k": ("$.k", "bigint")}).write.parquet(path)
     return spark.read.parquet(path).groupBy("event_type").agg(F.sum("k").alias("total"), F.count_if(F.col("k") >= 50).alias("high"))
+
+
+#: A supplier and the customer of the same key are the same, and so are customers whose keys differ by 1000.
+_SAME = "http://www.w3.org/2002/07/owl#sameAs"
+
+
+@query(f"""WITH g AS ({sql_triples('customer', 'supplier')}),
+best AS (SELECT c_custkey % 1000 AS k, min({iri('customer', 'c_custkey')}) AS name FROM customer GROUP BY 1),
+member AS (SELECT {iri('customer', 'c_custkey')} AS node, c_custkey % 1000 AS k FROM customer UNION ALL SELECT {iri('supplier', 's_suppkey')}, s_suppkey % 1000 FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer)),
+name AS (SELECT node, name FROM member JOIN best USING (k))
+SELECT DISTINCT coalesce(n.name, s) AS s, p, coalesce(m.name, o) AS o, o_kind FROM g LEFT JOIN name n ON n.node = g.s LEFT JOIN name m ON m.node = g.o AND g.o_kind = 'iri'""")
+def aligned_nodes_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers that are stated to be the same, over chains of statements, as one node each."""
+    t = trade.tables(spark, d, ["customer", "supplier"])
+    keys = t["customer"].select(F.col("c_custkey").alias("key"))
+    node = lambda kind, c: F.concat(F.lit(f"{DATA}{kind}/"), c.cast("string"))
+    chain = keys.join(keys.select((F.col("key") + 1000).alias("key"), F.col("key").alias("before")), "key").select(node("customer", F.col("before")).alias("s"), node("customer", F.col("key")).alias("o"))
+    pairs = t["supplier"].join(keys, F.col("s_suppkey") == F.col("key")).select(node("supplier", F.col("key")).alias("s"), node("customer", F.col("key")).alias("o"))
+    none = F.lit(None).cast("string")
+    said = chain.union(pairs).select("s", F.lit(_SAME).alias("p"), "o", F.lit("iri").alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang"), F.lit("same").alias("src"))
+    return graph.merge_aligned(kg(spark, d, "customer", "supplier").unionByName(said), _SAME, DATA + "customer/").select("s", "p", "o", "o_kind")

@@ -144,3 +144,12 @@ def test_a_change_that_stops_half_way_counts_for_nothing(spark, monkeypatch):
     assert {tuple(r) for r in own.current().collect()} == {("a", "x"), ("a", "y")}
     own.change(added=one("c", "x"))
     assert {r[0] for r in own.instances("y").collect()} == {"a", "c"}
+
+
+def test_aligned_nodes_become_one(spark):
+    rows = [("b", "same", "a"), ("x/1", "same", "b"), ("c", "same", "x/1"), ("b", "p", "v"), ("a", "p", "v"), ("c", "q", "b"), ("d", "q", "c"), ("e", "same", "e"), ("e", "p", "e")]
+    df = spark.createDataFrame([(s, p, o, "literal" if o == "v" else "iri", None, None, f"r{i}") for i, (s, p, o) in enumerate(rows)] + [("b", "p", "a", "literal", None, None, "l"), ("b", "same", "z", "literal", None, None, "l")], TRIPLES + ", o_datatype string, o_lang string, src string")
+    got = lambda prefer: {tuple(r) for r in graph.merge_aligned(df, "same", prefer).select("s", "p", "o", "src").collect()}
+    assert got("x/") == {("x/1", "p", "v", "r3"), ("x/1", "q", "x/1", "r5"), ("d", "q", "x/1", "r6"), ("e", "p", "e", "r8"), ("x/1", "p", "a", "l"), ("x/1", "same", "z", "l")}
+    assert {r[0] for r in got(None)} == {"a", "d", "e"}
+    assert graph.merge_aligned(df.limit(0), "same").count() == 0
