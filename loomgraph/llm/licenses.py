@@ -165,6 +165,7 @@ def find_licenses(docs: DataFrame) -> DataFrame:
     ``hits`` has (license, at, gain, changed) by place: where its passage starts in code points, the share of the passage's
     compressed size that the template saved, and the words that differ (0: exact wording). ``licenses`` lists the names,
     sorted, once each. Null and empty texts have none; texts without a cue word never leave Spark's filter for Python.
+    Texts of any length are read around every cue. Repeated rows each have a row, ids may be null or repeat, and an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -396,7 +396,9 @@ def valid(kind: str, value: str) -> bool:
 def find_personal(docs: DataFrame) -> DataFrame:
     """``doc_id, base, spans`` for each row of ``docs`` (doc_id, text): arrays of (start, end, kind) in code points.
 
-    ``base`` holds the fixed patterns' spans, ``spans`` these and the chain's. Null texts are empty and have none.
+    ``base`` holds the fixed patterns' spans, ``spans`` these and the chain's. Null and empty texts
+    have none; texts of any length are read whole, in runs of lines. Repeated rows are each read, and have the same spans; ids may be null
+    or repeat. An empty table gives no rows.
     """
     chain = docs.sparkSession.sparkContext.broadcast(model())
 

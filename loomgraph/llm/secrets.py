@@ -350,7 +350,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """``doc_id, base, spans`` for each row of ``docs`` (doc_id, text): arrays of (start, end, kind, probability) in code points.
 
     Null texts are empty and hold none. Base spans stay whatever the network says; it gives them a probability, and adds
-    candidates above their kind's threshold that touch no base span. Repeated rows are scanned one by one.
+    candidates above their kind's threshold that touch no base span. Texts of any length are scanned whole. Repeated rows are scanned
+    one by one, ids may be null or repeat, and an empty table gives no rows.
     """
     net = docs.sparkSession.sparkContext.broadcast(model())
 
