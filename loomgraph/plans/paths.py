@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import settle
 
 #: Rounds that are kept apart before they are put together into one table.
-APART = 8
+APART = 16
 
 
 @dataclass(frozen=True)
