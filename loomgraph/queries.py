@@ -550,7 +550,7 @@ def stats_by_group(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_partkey AS part, CAST(round(sum(CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2))) * 10000 / sum(CAST(l_quantity AS DECIMAL(18,2)))) AS BIGINT) AS weighted FROM lineitem GROUP BY l_partkey")
 def weighted_mixture(spark: SparkSession, d: str) -> DataFrame:
     q, x = F.col("l_quantity").cast("decimal(18,2)"), F.col("l_discount").cast("decimal(18,2)")
-    mean = F.sum(q * x).cast("double") * 10000 / F.sum(q).cast("double")
+    mean = (F.sum(q * x) * 10000).cast("double") / F.sum(q).cast("double")
     return trade.tables(spark, d, ["lineitem"])["lineitem"].groupBy(F.col("l_partkey").alias("part")).agg(F.round(mean).cast("long").alias("weighted"))
 
 
