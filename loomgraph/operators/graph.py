@@ -27,12 +27,12 @@ def entities(triples: DataFrame) -> DataFrame:
 
 def isolated(triples: DataFrame) -> DataFrame:
     """``node``: entities without a link."""
-    return entities(triples).join(degree(triples), "node", "left_anti")
+    return entities(triples).join(degree(triples).hint("merge"), "node", "left_anti")
 
 
 def connectivity(triples: DataFrame) -> DataFrame:
     """``entities, unlinked, ratio``: the share of entities with a link, over one join."""
-    flagged = entities(triples).join(degree(triples), "node", "left")
+    flagged = entities(triples).join(degree(triples).hint("merge"), "node", "left")
     counted = flagged.agg(F.count("*").alias("entities"), F.count_if(F.col("degree").isNull()).alias("unlinked"))
     return counted.select("entities", "unlinked", F.try_divide(F.col("entities") - F.col("unlinked"), F.col("entities")).alias("ratio"))
 

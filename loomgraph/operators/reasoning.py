@@ -97,9 +97,13 @@ def check_literals(triples: DataFrame, sides: DataFrame) -> DataFrame:
 
 
 def dangling(triples: DataFrame, prefix: str) -> DataFrame:
-    """Links to nodes below ``prefix`` that have no type: their table isn't there, or lacks them."""
+    """Links to nodes below ``prefix`` that have no type: their table isn't there, or lacks them.
+
+    Nodes are as many as rows, and the size of what a row gives can't be told from its file's: both sides are shuffled, none is broadcast.
+    """
     links = triples.filter((F.col("o_kind") == "iri") & F.col("o").startswith(prefix) & (F.col("p") != RDF_TYPE))
-    return links.join(asserted(triples).select(F.col("s").alias("known")).distinct(), F.col("o") == F.col("known"), "left_anti").select("s", "p", "o")
+    known = asserted(triples).select(F.col("s").alias("known")).distinct().hint("merge")
+    return links.join(known, F.col("o") == F.col("known"), "left_anti").select("s", "p", "o")
 
 
 def disjoint_violations(triples: DataFrame, disjoint: DataFrame, closed: DataFrame) -> DataFrame:
