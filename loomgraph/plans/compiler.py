@@ -41,7 +41,10 @@ def _triple(rule: Rule, o: ObjectMap, s: Column, value: Column, g: Column | None
     return F.struct(*parts, *([g.alias("g")] if g is not None else []))
 
 
-def _made(rule: Rule, row: Table, graphs: bool, known: dict[str, Rule]) -> tuple[list[Column], list[Column]]:
+Maker = Callable[[Rule, ObjectMap, Column, Column, Column | None], Column]
+
+
+def _made(rule: Rule, row: Table, graphs: bool, known: dict[str, Rule], make: Maker = _triple) -> tuple[list[Column], list[Column]]:
     """The triples of one rule at one place: single ones, and arrays of those that a list gives. Objects that need a join aren't among them."""
     single, lists = [], []
     s = row.text(rule.about)
@@ -52,9 +55,9 @@ def _made(rule: Rule, row: Table, graphs: bool, known: dict[str, Rule]) -> tuple
         for subject, g in _in_graphs(s, (*rule.graphs, *o.graphs), row):
             named = g if graphs else None
             if row.several(value):
-                lists.append(F.transform(row.all(value), lambda x: _triple(rule, o, subject, x, named)))  # noqa: B023  called at once
+                lists.append(F.transform(row.all(value), lambda x: make(rule, o, subject, x, named)))  # noqa: B023  called at once
             else:
-                single.append(_triple(rule, o, subject, row.text(value), named))
+                single.append(make(rule, o, subject, row.text(value), named))
     return single, lists
 
 
@@ -63,17 +66,17 @@ def _together(single: list[Column], lists: list[Column], kind: str) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.array().cast(kind)
 
 
-def triples_of(rules: list[Rule], schema: T.StructType, known: dict[str, Rule] | None = None, graphs: bool | None = None) -> Column:
-    """All triples that the rules make of a row, as one array. ``known`` has the rules that objects name as parents."""
+def triples_of(rules: list[Rule], schema: T.StructType, known: dict[str, Rule] | None = None, graphs: bool | None = None, make: Maker = _triple, kind: str | None = None) -> Column:
+    """All triples that the rules make of a row, as one array of type ``kind``. ``known`` has the rules that objects name as parents."""
     known = known or {r.name: r for r in rules}
     graphs = quads(rules) if graphs is None else graphs
-    kind = _kind(graphs)
+    kind = kind or _kind(graphs)
     single, lists = [], []
     for r in rules:
         if r.formulation == "json":
-            lists.append(fields(r, schema).over(lambda row, r=r: _together(*_made(r, row, graphs, known), kind), kind))
+            lists.append(fields(r, schema).over(lambda row, r=r: _together(*_made(r, row, graphs, known, make), kind), kind))
         else:
-            more = _made(r, fields(r, schema), graphs, known)
+            more = _made(r, fields(r, schema), graphs, known, make)
             single, lists = single + more[0], lists + more[1]
     return _together(single, lists, kind)
 
@@ -87,6 +90,70 @@ def generate(table: DataFrame, rules: list[Rule], known: dict[str, Rule] | None
     return rows.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
 
 
+# Set semantics of rows' triples, before these are written out.
+
+
+class Coded:
+    """Triples by number: what rules fix of them (predicate, kind, datatype, source) is one number, and only subjects and objects are text.
+
+    A graph is made by one shuffle of rows by subject, each with all its triples of that subject: a tenth of what the triples take, and
+    no task gathers them before. Rows that are equal in all that rules read meet once beforehand, so that a table that says a thing many
+    times is no hot key. Nested documents, whose parts overlap, are taken apart first.
+    """
+
+    def __init__(self, rules: list[Rule], known: dict[str, Rule], graphs: bool):
+        self.known, self.graphs, self.nested = known, graphs, any(r.formulation == "json" for r in rules)
+        self.sources = sorted({r.name for r in rules})
+        fixed = [(o.predicate, "iri" if o.iri else "literal", None if o.iri else o.datatype, r.name) for r in rules for o in r.objects]
+        self.codes = {x: i for i, x in enumerate(dict.fromkeys(fixed))}
+        self.kinds = list(dict.fromkeys(x[:3] for x in self.codes))
+        self.own = ["o", *(["g"] if graphs else [])]
+        self.type = f"struct<c:int,{','.join(f'{c}:string' for c in self.own)}>"
+
+    def _one(self, rule: Rule, o: ObjectMap, s: Column, value: Column, g: Column | None) -> Column:
+        code = self.codes[o.predicate, "iri" if o.iri else "literal", None if o.iri else o.datatype, rule.name]
+        # The subject is null as well where a graph has no name.
+        shown = value if g is None else F.when(s.isNotNull(), value)
+        return F.struct(*([s.alias("s")] if self.nested else []), F.lit(code).alias("c"), shown.alias("o"), *([g.alias("g")] if g is not None else []))
+
+    def rows(self, table: DataFrame, rules: list[Rule]) -> DataFrame:
+        """``s, made`` of a flat table: a row for each subject that a row names, with its triples. Of nested documents ``s, c, o``."""
+        if self.nested:
+            return table.select(F.inline(triples_of(rules, table.schema, self.known, self.graphs, self._one, f"array<{self.type.replace('<', '<s:string,')}>")))
+        table, by = _once(table, rules, self.known), defaultdict(list)
+        for r in rules:
+            by[r.about].append(r)
+        parts = [F.struct(fields(own[0], table.schema).text(about).alias("s"), triples_of(own, table.schema, self.known, self.graphs, self._one, f"array<{self.type}>").alias("made")) for about, own in by.items()]
+        made = table.select(parts[0].alias("x")).select("x.*") if len(parts) == 1 else table.select(F.inline(F.array(*parts)))
+        return made.filter(F.col("s").isNotNull())
+
+    def graph(self, parts: list[DataFrame]) -> DataFrame:
+        """The triples, each once, with the first by name of the rules that state it."""
+        whole = reduce(DataFrame.union, parts)
+        if not self.nested:
+            # The number is given, so that adaptive execution, which sees packed rows, doesn't put parts together whose triples are many times as large.
+            whole = whole.repartition(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s").select("s", F.inline("made"))
+        of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("c") + 1)
+        coded = whole.filter(F.col("s").isNotNull() & F.col("o").isNotNull()).select("s", of([self.kinds.index(x[:3]) for x in self.codes]).alias("k"), *self.own, of([self.sources.index(x[3]) for x in self.codes]).alias("r"))
+        once = coded.groupBy("s", "k", *self.own).agg(F.min("r").alias("r"))
+        name = lambda i: F.element_at(F.array(*[F.lit(x[i]).cast("string") for x in self.kinds]), F.col("k") + 1)
+        columns = {"p": name(0), "o_kind": name(1), "o_datatype": name(2), "o_lang": F.lit(None).cast("string"), "src": F.element_at(F.array(*[F.lit(n) for n in self.sources]), F.col("r") + 1)}
+        return once.select(*[columns[c].alias(c) if c in columns else c for c in [*identity(self.own), "src"]])
+
+
+def _once(table: DataFrame, rules: list[Rule], known: dict[str, Rule]) -> DataFrame:
+    """What rules read of a table, equal rows once. Negative zeros, which grouping takes for zeros, stay apart by a column of their own."""
+    read = [c for r in rules for c in r.columns()] + [c for r in rules for o in r.objects if o.parent is not None for c in known[o.parent].columns()]
+    names = [c for c in dict.fromkeys(read) if c in table.columns]
+    kinds = {c: table.schema[c].dataType for c in names}
+    if not names or any(isinstance(k, (T.MapType, T.VariantType, T.ArrayType, T.StructType)) for k in kinds.values()):
+        return table
+    real = {c: f"{c}_below" for c, k in kinds.items() if isinstance(k, (T.DoubleType, T.FloatType))}
+    below = [((F.col(f"`{c}`") == 0) & (F.col(f"`{c}`").cast("string") == "-0.0")).alias(b) for c, b in real.items()]
+    once = table.select(*[F.col(f"`{c}`") for c in names], *below).distinct()
+    return once.select(*[F.when(F.col(f"`{real[c]}`"), F.lit(-0.0).cast(kinds[c])).otherwise(F.col(f"`{c}`")).alias(c) if c in real else F.col(f"`{c}`") for c in names])
+
+
 # Objects that are other rules' subjects.
 
 
@@ -199,10 +266,11 @@ class Build:
 
     triples: DataFrame
     missing: list[str] = field(default_factory=list)
+    once: DataFrame | None = None
 
     def graph(self) -> DataFrame:
-        """The graph: each triple once, whichever rules state it. One shuffle for all rules together."""
-        return dedupe(self.triples)
+        """The graph: each triple once, whichever rules state it. One shuffle for all rules together, of rows where no rule joins others'."""
+        return dedupe(self.triples) if self.once is None else self.once
 
 
 def dedupe(triples: DataFrame) -> DataFrame:
@@ -223,6 +291,18 @@ def _parents(rules: list[Rule], known: dict[str, Rule]) -> list[tuple[Rule, str]
     return [(known[o.parent], b) for r in rules for o in r.objects if o.parent is not None for _, b in o.joins]
 
 
+def _coded(rules: list[Rule], known: dict[str, Rule], table_of: Callable[[str], DataFrame], graphs: bool) -> DataFrame | None:
+    """The graph of rules by number, if none needs a join."""
+    by = defaultdict(list)
+    for r in rules:
+        if r.objects:
+            by[r.source].append(r)
+    if not by or any(needs_join(r, known) for r in rules):
+        return None
+    coded = Coded([r for own in by.values() for r in own], known, graphs)
+    return coded.graph([coded.rows(table_of(source), own) for source, own in by.items()])
+
+
 def build_csv(spark: SparkSession, rules: list[Rule], base: str, strict: bool = False) -> Build:
     """Run rules over files below ``base``: CSV tables, and JSON documents (one a line, or a file each below a folder named ``*.docs``).
 
@@ -263,7 +343,7 @@ def build_csv(spark: SparkSession, rules: list[Rule], base: str, strict: bool =
     parts += _joins(present, known, table_of, graphs)
     if not parts:
         return Build(spark.createDataFrame([], TRIPLE), missing)
-    return Build(_union(parts, graphs), missing)
+    return Build(_union(parts, graphs), missing, None if fused else _coded(present, known, table_of, graphs))
 
 
 def build_tables(rules: list[Rule], tables: dict[str, DataFrame]) -> Build:
@@ -280,7 +360,7 @@ def build_tables(rules: list[Rule], tables: dict[str, DataFrame]) -> Build:
     parts += _joins(there, known, tables.__getitem__, graphs)
     if not parts:
         raise MissingSource(", ".join(sorted(by)) or "no rules")
-    return Build(_union(parts, graphs), sorted(s for s in by if s not in tables))
+    return Build(_union(parts, graphs), sorted(s for s in by if s not in tables), _coded(there, known, tables.__getitem__, graphs))
 
 
 def store(triples: DataFrame, path: str) -> None:

@@ -15,7 +15,7 @@ from .functions.terms import RDF_TYPE, XSD, local_name, typed
 from .operators import analytics, blanks, graph, reasoning, sketches
 from .operators.maintained import MaintainedTypes
 from .plans import paths, patterns
-from .plans.compiler import build_csv, build_tables, dedupe, prune, store
+from .plans.compiler import Build, build_csv, build_tables, prune, store
 from .plans.fields import parsed
 from .sources.linesource import scan_lines
 from .sources.ntriples import diff, line, read_nquads, read_ntriples, write_ntriples
@@ -91,15 +91,19 @@ def g(*names: str) -> str:
     return f"WITH g AS ({sql_triples(*names)}) "
 
 
-def bag(spark: SparkSession, d: str, *names: str, rules: list[Rule] | None = None) -> DataFrame:
+def built(spark: SparkSession, d: str, *names: str, rules: list[Rule] | None = None) -> Build:
     own = rules or [BY_NAME[n] for n in names]
-    return build_tables(own, trade.tables(spark, d, list(dict.fromkeys(r.source for r in own)))).triples
+    return build_tables(own, trade.tables(spark, d, list(dict.fromkeys(r.source for r in own))))
+
+
+def bag(spark: SparkSession, d: str, *names: str, rules: list[Rule] | None = None) -> DataFrame:
+    return built(spark, d, *names, rules=rules).triples
 
 
 def kg(spark: SparkSession, d: str, *names: str, only: list[str] | None = None, iris: bool = False) -> DataFrame:
     """The graph of some rules; ``only`` and ``iris`` name what the query uses of it."""
     wanted = None if only is None else {p if ":" in p else ONT + p for p in only}
-    return dedupe(bag(spark, d, rules=prune([BY_NAME[n] for n in names], wanted, iris)))
+    return built(spark, d, rules=prune([BY_NAME[n] for n in names], wanted, iris)).graph()
 
 
 def single(source: str, subject: str, o: ObjectMap) -> list[Rule]:
@@ -189,8 +193,8 @@ def union_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT (SELECT CAST(count(*) AS BIGINT) FROM ({sql_triples('customer', 'customer_types', distinct=False)})) AS raw, (SELECT CAST(count(*) AS BIGINT) FROM ({sql_triples('customer', 'customer_types')})) AS kept")
 def global_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    grouped = bag(spark, d, "customer", "customer_types").groupBy("s", "p", "o", "o_kind", "o_datatype", "o_lang").agg(F.count("*").alias("n"))
-    return grouped.agg(F.sum("n").alias("raw"), F.count("*").alias("kept"))
+    own = built(spark, d, "customer", "customer_types")
+    return own.triples.agg(F.count("*").alias("raw")).crossJoin(own.graph().agg(F.count("*").alias("kept")))
 
 
 @query(f"SELECT '<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'iri' THEN '<' || o || '>' ELSE '\"' || replace(replace(o, '\\', '\\\\'), '\"', '\\\"') || '\"' || CASE WHEN o_datatype = '{XSD}string' THEN '' ELSE '^^<' || o_datatype || '>' END END || ' .' AS line FROM ({sql_triples('supplier', 'part', 'nation')})")
@@ -200,7 +204,7 @@ def ntriples_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH l AS ({sql_triples('customer', 'nation')}), r AS ({sql_triples('customer', 'customer_types')}) SELECT s, p, o, 'left' AS side FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT s, p, o, 'right' FROM (SELECT * FROM r EXCEPT SELECT * FROM l)")
 def graph_diff(spark: SparkSession, d: str) -> DataFrame:
-    return diff(bag(spark, d, "customer", "nation"), bag(spark, d, "customer", "customer_types")).select("s", "p", "o", "side")
+    return diff(built(spark, d, "customer", "nation").graph(), built(spark, d, "customer", "customer_types").graph()).select("s", "p", "o", "side")
 
 
 @query("SELECT p, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT o) AS BIGINT) AS targets FROM (" + sql_triples(*BY_NAME) + f") WHERE o_kind = 'iri' AND p <> '{RDF_TYPE}' GROUP BY p")
@@ -244,7 +248,7 @@ def stated_classes(spark: SparkSession, d: str) -> Ontology:
 
 
 def kg_of(spark: SparkSession, d: str, rules: list[Rule]) -> DataFrame:
-    return dedupe(bag(spark, d, rules=rules))
+    return built(spark, d, rules=rules).graph()
 
 
 @query(f"WITH RECURSIVE {_UP_SQL} SELECT sub, super, min(depth) AS depth FROM far GROUP BY sub, super")
