@@ -7,9 +7,10 @@ what the last round found, and that end as no pair of node and state is searched
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
@@ -132,6 +133,39 @@ class Seen:
         return True
 
 
+def _stepped(last: DataFrame, edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """One step on. The automaton has few rows, so that its join is a look-up; the links are met by node and step."""
+    open_ = last.join(moves, "state").select("start", F.col("node").alias("a"), "step", "next")
+    return open_.join(edges, ["a", "step"]).select("start", F.col("b").alias("node"), F.col("next").alias("state")).distinct()
+
+
+def _search(first: DataFrame, edges: DataFrame, moves: DataFrame, most: int, keep: Callable[[DataFrame], DataFrame] = lambda step: step) -> Seen:
+    """All ``start, node, state`` that are reached from the first ones, by steps of which ``keep`` may leave some out."""
+    seen = Seen(first, ["start", "node", "state"])
+    for _ in range(most):
+        if not seen.add(keep(_stepped(seen.last, edges, moves))):
+            return seen
+    if seen.last.isEmpty():
+        return seen
+    raise RuntimeError("the paths did not end after the rounds that they may take")
+
+
+def _place() -> Column:
+    return F.concat_ws(" ", "state", "node")
+
+
+def _mains(first: DataFrame) -> DataFrame:
+    """``start, main``: of the places that a start's first step leads to, the one that most starts come to, if it isn't this start's alone."""
+    many = first.groupBy("node", "state").agg(F.count("*").alias("n")).filter("n > 1")
+    return first.join(many, ["node", "state"]).groupBy("start").agg(F.max(F.struct("n", _place().alias("main")))["main"].alias("main"))
+
+
+def _others(pairs: DataFrame, mains: DataFrame, shared: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs that their start's main place doesn't give already."""
+    known = shared.select(F.col("start").alias("main"), *keys).distinct()
+    return pairs.join(mains, "start", "left").join(known, ["main", *keys], "left_anti").select(*pairs.columns)
+
+
 def reach(triples: DataFrame, pattern: Pattern, starts: DataFrame | None = None, ends: DataFrame | None = None, most: int = 10_000) -> DataFrame:
     """``start, node``: pairs of nodes that a way of the pattern joins, each once.
 
@@ -145,23 +179,29 @@ def reach(triples: DataFrame, pattern: Pattern, starts: DataFrame | None = None,
         return back.select(F.col("node").alias("start"), F.col("start").alias("node"))
     spark = triples.sparkSession
     edges, moves = settle(edges_of(triples, path)), _moves(spark, path)
-    state = F.lit(0).alias("state")
     if starts is not None:
         begun = starts.select("node").filter("node is not null").distinct()
     else:
         begun = edges.join(moves.filter("state = 0"), "step", "left_semi").select(F.col("a").alias("node")).distinct()
-    seen = Seen(begun.select(F.col("node").alias("start"), "node", state), ["start", "node", "state"])
-    for _ in range(most):
-        # The automaton has few rows, so that its join is a look-up; the links are met by node and step.
-        open_ = seen.last.join(moves, "state").select("start", F.col("node").alias("a"), "step", "next")
-        step = open_.join(edges, ["a", "step"]).select("start", F.col("b").alias("node"), F.col("next").alias("state")).distinct()
-        if not seen.add(step):
-            break
-    else:
-        raise RuntimeError(f"the paths did not end after {most} rounds")
-    found = seen.all().filter(F.col("state").isin(sorted(path.last))).select("start", "node")
+    begun = settle(begun.select(F.col("node").alias("start"), "node", F.lit(0).alias("state")))
+    own = None
     if path.empty:
         own = starts.select("node").filter("node is not null") if starts is not None else triples.filter("o_kind <> 'literal'").select(F.explode(F.array("s", "o")).alias("node")).union(triples.select("s"))
-        found = found.union(own.select(F.col("node").alias("start"), "node"))
-    out = found.distinct()
-    return out if ends is None else out.join(ends.select("node"), "node", "left_semi").select("start", "node")
+        own = own.select(F.col("node").alias("start"), "node")
+    ended = F.col("state").isin(sorted(path.last))
+    # What is reached from a place that several starts come to is searched once for all of them.
+    first = settle(_stepped(begun, edges, moves))
+    mains = settle(_mains(first))
+    shared = None
+    if not mains.isEmpty():
+        places = first.select(_place().alias("start"), "node", "state").join(mains.select(F.col("main").alias("start")), "start", "left_semi").distinct()
+        shared = _search(places, edges, moves, most - 1).all()
+        first = _others(first, mains, shared, ["node", "state"])
+    alone = _search(first, edges, moves, most - 1, lambda step: step if shared is None else _others(step, mains, shared, ["node", "state"])).all()
+    found = alone.filter(ended).select("start", "node")
+    found = (found if own is None else found.union(own)).distinct()
+    if shared is not None:
+        # Each start has one main place, and this each node once: nothing is to be told apart among these pairs, which are most of all.
+        whole = settle(shared.filter(ended).select("start", "node").distinct())
+        found = _others(found, mains, whole, ["node"]).union(mains.join(whole.withColumnRenamed("start", "main"), "main").select("start", "node"))
+    return found if ends is None else found.join(ends.select("node"), "node", "left_semi").select("start", "node")
