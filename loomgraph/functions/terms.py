@@ -37,15 +37,23 @@ def iri_safe(value: Column) -> Column:
 
 
 def plain_number(number: Column) -> Column:
-    """A double's text, with all digits that it takes to read it back and without an exponent; whole numbers end in .0."""
-    text = number.cast("string")
-    part = lambda k: F.regexp_extract(text, r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$", k)
-    digits, power = F.concat(part(2), F.when(part(3) == "0", "").otherwise(part(3))), part(4).try_cast("int")
-    whole = power + 1 - F.length(digits)
-    up = F.when(whole >= 0, F.concat(digits, F.repeat(F.lit("0"), whole), F.lit(".0"))).otherwise(F.concat(digits.substr(F.lit(1), power + 1), F.lit("."), digits.substr(power + 2, F.length(digits))))
-    down = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    """A double's text, with all digits that it takes to read it back and without an exponent; whole numbers end in .0.
+
+    Numbers with an exponent are written out within a lambda, which is called and not compiled into the code around it: with that
+    a rule of one number made methods of more than the 8,000 bytes that the JVM compiles at most.
+    """
+
+    def written(text: Column) -> Column:
+        part = lambda k: F.regexp_extract(text, r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$", k)
+        digits, power = F.concat(part(2), F.when(part(3) == "0", "").otherwise(part(3))), part(4).try_cast("int")
+        whole = power + 1 - F.length(digits)
+        up = F.when(whole >= 0, F.concat(digits, F.repeat(F.lit("0"), whole), F.lit(".0"))).otherwise(F.concat(digits.substr(F.lit(1), power + 1), F.lit("."), digits.substr(power + 2, F.length(digits))))
+        down = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        return F.concat(part(1), F.when(power >= 0, up).otherwise(down))
+
     # Hardly a number has an exponent; the others take the first branch. Infinity and NaN have no capital E.
-    return F.when(~text.contains("E"), text).otherwise(F.concat(part(1), F.when(power >= 0, up).otherwise(down)))
+    text = number.cast("string")
+    return F.when(~text.contains("E"), text).otherwise(F.transform(F.array(text), written)[0])
 
 
 def lexical(c: Column, kind: T.DataType) -> Column:

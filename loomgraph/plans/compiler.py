@@ -86,7 +86,8 @@ def generate(table: DataFrame, rules: list[Rule], known: dict[str, Rule] | None
 
     Objects that are null give no triple; neither do subjects. With named graphs there is a column ``g``.
     """
-    rows = table.select(F.inline(triples_of(rules, table.schema, known, graphs)))
+    # Arrays are made by a projection, whose code is cut into methods that the JVM compiles, and then taken apart.
+    rows = table.select(triples_of(rules, table.schema, known, graphs).alias("made")).select(F.inline_outer("made"))
     return rows.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
 
 
@@ -123,16 +124,17 @@ class Coded:
         table, by = _once(table, rules, self.known), defaultdict(list)
         for r in rules:
             by[r.about].append(r)
-        parts = [F.struct(fields(own[0], table.schema).text(about).alias("s"), triples_of(own, table.schema, self.known, self.graphs, self._one, f"array<{self.type}>").alias("made")) for about, own in by.items()]
-        made = table.select(parts[0].alias("x")).select("x.*") if len(parts) == 1 else table.select(F.inline(F.array(*parts)))
+        parts = [[fields(own[0], table.schema).text(about).alias("s"), triples_of(own, table.schema, self.known, self.graphs, self._one, f"array<{self.type}>").alias("made")] for about, own in by.items()]
+        made = table.select(*parts[0]) if len(parts) == 1 else table.select(F.array(*[F.struct(*x) for x in parts]).alias("x")).select(F.inline_outer("x"))
         return made.filter(F.col("s").isNotNull())
 
     def graph(self, parts: list[DataFrame]) -> DataFrame:
         """The triples, each once, with the first by name of the rules that state it."""
         whole = reduce(DataFrame.union, parts)
         if not self.nested:
+            # Empty arrays give a row without an object, which goes below; else Spark would look at each array's size, and make it for that, in the scan.
             # The number is given, so that adaptive execution, which sees packed rows, doesn't put parts together whose triples are many times as large.
-            whole = whole.repartition(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s").select("s", F.inline("made"))
+            whole = whole.repartition(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s").select("s", F.inline_outer("made"))
         of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("c") + 1)
         coded = whole.filter(F.col("s").isNotNull() & F.col("o").isNotNull()).select("s", of([self.kinds.index(x[:3]) for x in self.codes]).alias("k"), *self.own, of([self.sources.index(x[3]) for x in self.codes]).alias("r"))
         once = coded.groupBy("s", "k", *self.own).agg(F.min("r").alias("r"))
