@@ -7,13 +7,14 @@ what the last round found, and that end as no pair of node and state is searched
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import settle
+from ..sources.shared import fresh, settle
 
 #: Rounds that are kept apart before they are put together into one table.
 APART = 16
@@ -150,6 +151,45 @@ def _search(first: DataFrame, edges: DataFrame, moves: DataFrame, most: int, kee
     raise RuntimeError("the paths did not end after the rounds that they may take")
 
 
+#: First places from which a walk may go on, for one start, where places are reached by one way each.
+BRANCHES = 2
+
+
+def _one_way(edges: DataFrame, moves: DataFrame, first: DataFrame) -> bool:
+    """Whether every place (node and state) that leads on is come to from one place at most, and no start begins by more than ``BRANCHES``
+    such places. Then no walk meets another of its start's but in places that lead nowhere, or along a stretch that the other began with."""
+    inner = edges.join(moves.filter("state <> 0"), "step")
+    onward = inner.select(F.col("a").alias("node"), "state").distinct()
+    into = inner.groupBy(F.col("b").alias("node"), F.col("next").alias("state")).agg(F.count("*").alias("n")).filter("n > 1")
+    if not into.join(onward, ["node", "state"], "left_semi").isEmpty():
+        return False
+    begun = first.join(onward, ["node", "state"], "left_semi").groupBy("start").agg(F.count("*").alias("n"))
+    return begun.filter(F.col("n") > BRANCHES).isEmpty()
+
+
+def _walks(first: DataFrame, edges: DataFrame, moves: DataFrame, most: int) -> DataFrame:
+    """All ``start, node, state`` of walks where ``_one_way`` holds; some may come twice. Nodes are numbers.
+
+    A walk can only come back to the place that it began with, which it carries, so that no round looks at what others found. Links lie
+    in buckets by what they are joined on, and only the last round's ends are shuffled.
+    """
+    spark = edges.sparkSession
+    base, name, n = fresh(spark, "walks"), f"loomgraph_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "start long, node long, state int, began long, began_state int"
+    first.select("start", "node", "state", F.col("node").alias("began"), F.col("state").alias("began_state")).write.parquet(f"{base}/0")
+    edges.repartition(n, "a", "step").write.bucketBy(n, "a", "step").option("path", fresh(spark, "links")).saveAsTable(name)
+    try:
+        for k in range(1, most + 1):
+            open_ = spark.read.schema(schema).parquet(f"{base}/{k - 1}").join(moves, "state").withColumnRenamed("node", "a").drop("state")
+            onward = open_.join(spark.table(name), ["a", "step"]).select("start", F.col("b").alias("node"), F.col("next").alias("state"), "began", "began_state")
+            onward.filter((F.col("node") != F.col("began")) | (F.col("state") != F.col("began_state"))).write.parquet(f"{base}/{k}")
+            if spark.read.schema(schema).parquet(f"{base}/{k}").isEmpty():
+                return spark.read.schema(schema).parquet(*[f"{base}/{i}" for i in range(k)]).select("start", "node", "state")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+    raise RuntimeError("the paths did not end after the rounds that they may take")
+
+
 def _place() -> Column:
     return F.concat_ws(" ", "state", "node")
 
@@ -183,12 +223,26 @@ def reach(triples: DataFrame, pattern: Pattern, starts: DataFrame | None = None,
         begun = starts.select("node").filter("node is not null").distinct()
     else:
         begun = edges.join(moves.filter("state = 0"), "step", "left_semi").select(F.col("a").alias("node")).distinct()
-    begun = settle(begun.select(F.col("node").alias("start"), "node", F.lit(0).alias("state")))
     own = None
     if path.empty:
         own = starts.select("node").filter("node is not null") if starts is not None else triples.filter("o_kind <> 'literal'").select(F.explode(F.array("s", "o")).alias("node")).union(triples.select("s"))
         own = own.select(F.col("node").alias("start"), "node")
     ended = F.col("state").isin(sorted(path.last))
+    # Nodes are numbers while they are searched.
+    nodes = settle(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    number = lambda c, to: nodes.select(F.col("node").alias(c), F.col("id").alias(to))
+    coded = settle(edges.join(number("a", "x"), "a").join(number("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "step"))
+    zero = begun.join(nodes, "node").select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("state"))
+    opening = settle(_stepped(zero, coded, moves))
+    if _one_way(coded, moves, opening):
+        pairs = _walks(opening, coded, moves, most).filter(ended).select("start", "node").distinct()
+        named = lambda c: nodes.select(F.col("id").alias(c), F.col("node").alias(f"_{c}"))
+        found = pairs.join(named("node"), "node").join(named("start"), "start").select(F.col("_start").alias("start"), F.col("_node").alias("node"))
+        if own is not None:
+            # Starts that are given reach themselves all; among all nodes, literals that a first step leaves backwards don't.
+            found = found.filter("start <> node").union(own.distinct()) if starts is not None else found.union(own).distinct()
+        return found if ends is None else found.join(ends.select("node"), "node", "left_semi").select("start", "node")
+    begun = settle(begun.select(F.col("node").alias("start"), "node", F.lit(0).alias("state")))
     # What is reached from a place that several starts come to is searched once for all of them.
     first = settle(_stepped(begun, edges, moves))
     mains = settle(_mains(first))
