@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +17,12 @@ from .common import settle
 K = 20
 #: Distinct vectors of a shard, about; queries that one task searches a shard for, about.
 SHARD, CHUNK = 8192, 16384
+#: Shards of that size; with more vectors shards grow along with their number, up to this many times.
+FEW, GROWN = 16, 8
 #: Links of a node above the ground level and on it; nodes that a search keeps while a graph is built, and afterwards.
 M, GROUND, BUILD, SEARCH = 16, 32, 64, 320
+#: Nodes that a search of one of many shards keeps at least.
+LEAST = 96
 #: Nodes opened at a time in a search, and searches that run side by side.
 OPEN, SIDE = 4, 512
 
@@ -172,10 +177,26 @@ def build(points: np.ndarray, seed: int = 7, links: int = M, ground: int = GROUN
     return graph
 
 
-def search(graph: Graph, queries: np.ndarray, width: int = SEARCH) -> np.ndarray:
-    """Nodes near each query, nearest first (-1: none). A graph of few nodes is read whole."""
+def shards_of(vectors: int, shard: int = SHARD) -> int:
+    """How many shards vectors are dealt to: of ``shard`` each while they are few, then both their number and their size grow."""
+    units = max(1, -(-vectors // shard))
+    return units if units <= FEW else max(math.ceil(math.sqrt(FEW * units)), -(-units // GROWN))
+
+
+def width_in(shards: int, grown: float = 1.0, width: int = SEARCH) -> int:
+    """Nodes that a search of one of ``shards`` keeps, where ``width`` find a query's nearest in a single one.
+
+    Vectors are dealt by hash, so a shard has its part of the nearest only, and the first few of a search are found by fewer nodes:
+    searches of all shards together cost a query less than in proportion to their number. Shards ``grown`` to
+    several times their size need more.
+    """
+    return max(min(width, LEAST), min(width, round(width * math.sqrt(max(1.0, grown) / shards))))
+
+
+def search(graph: Graph, queries: np.ndarray, width: int = SEARCH, whole: int | None = None) -> np.ndarray:
+    """Nodes near each query, nearest first (-1: none). A graph of at most ``whole`` nodes (if not given: ``width``) is read whole."""
     n = len(graph.points)
-    if n <= width:
+    if n <= max(width, whole or 0):
         return np.broadcast_to(np.arange(n), (len(queries), n))
     return np.concatenate([beam(graph.points, graph.links[0], q, _descend(graph, q, 0), width)[0] for q in (queries[i : i + SIDE] for i in range(0, len(queries), SIDE))])
 
@@ -210,7 +231,7 @@ def _build_shard(k: int):
     return make
 
 
-def _search_shard(k: int, beam_width: int):
+def _search_shard(k: int, beam_width: int, whole: int):
     schema = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def found(key: tuple, index: pa.Table, queries: pa.Table) -> pa.Table:
@@ -229,7 +250,7 @@ def _search_shard(k: int, beam_width: int):
         for i in range(0, len(own), SIDE):
             q = own[i : i + SIDE]
             lifted_q = np.concatenate([q / size[i : i + SIDE, None], np.zeros((len(q), 1))], axis=1).astype(np.float32)
-            near = search(graph, lifted_q, max(beam_width, 2 * k))
+            near = search(graph, lifted_q, max(beam_width, 2 * k), whole)
             at, place = np.nonzero(near >= 0)
             node = near[at, place]
             score = scores(q[at], vectors[node])
@@ -265,17 +286,18 @@ def _clean(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return table.filter(F.col(vec_id).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(vec_id).cast("bigint").alias("id"), F.transform(x, lambda c: c.cast("double") + F.lit(0.0)).alias("v"))
 
 
-def index(rows: DataFrame, k: int = K, shard: int = SHARD) -> tuple[DataFrame, int]:
-    """A settled row for each shard of ``rows`` (id, v), and the number of shards that vectors are dealt to by hash.
+def index(rows: DataFrame, k: int = K, shard: int = SHARD) -> tuple[DataFrame, int, float]:
+    """A settled row for each shard of ``rows`` (id, v), the number of shards that vectors are dealt to by hash, and how many times ``shard`` they hold.
 
     Equal vectors are one node, with their ``k + 1`` smallest ids: of equally near rows no others can be among the nearest
     ``k``. They are cut to these before the shuffle, so that a vector with very many rows is no task of its own.
     """
     first = rows.withColumn("_n", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("_n") <= k + 1)
     nodes = settle(first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    shards = max(1, -(-nodes.count() // shard))
+    n = nodes.count()
+    shards = shards_of(n, shard)
     dealt = nodes.select(F.size("v").cast("int").alias("width"), F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "v", "ids")
-    return settle(dealt.groupBy("width", "shard").applyInArrow(_build_shard(k), "width int, shard int, arrays array<binary>")), shards
+    return settle(dealt.groupBy("width", "shard").applyInArrow(_build_shard(k), "width int, shard int, arrays array<binary>")), shards, n / (shards * shard)
 
 
 def nearest(table: DataFrame, queries: DataFrame | None = None, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, shard: int = SHARD, chunk: int = CHUNK, width: int = SEARCH) -> DataFrame:
@@ -283,7 +305,7 @@ def nearest(table: DataFrame, queries: DataFrame | None = None, vec_id: str = "v
     ``queries`` (rows of ``table``; those whose id is divisible by 20 if not given), nearest first, ties by smaller id.
 
     Vectors are dealt to shards of a bounded size by hash; each shard's graph is built by one task. A task searches one shard for
-    one chunk of queries, and a window merges what shards found. Rows with a null id, or whose vector is null, empty, zero or holds
+    one chunk of queries, and a window merges what shards found. ``width`` holds for a single shard; searches of more keep fewer nodes each (``width_in``). Rows with a null id, or whose vector is null, empty, zero or holds
     null or non-finite components, take no part; vectors are compared with those of the same length. A query's own row is no candidate,
     other rows of the same id or vector are; repeated query rows have results each. Ids are whole numbers. Shards of at most ``width``
     vectors are read whole, so that small tables have exact results; an empty table has none.
@@ -291,11 +313,11 @@ def nearest(table: DataFrame, queries: DataFrame | None = None, vec_id: str = "v
     rows = _clean(table, vec_id, vector)
     asked = _clean(queries, vec_id, vector) if queries is not None else rows.filter(F.col("id") % 20 == 0)
     asked = settle(asked.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("query_id"), F.size("v").cast("int").alias("width"), "v"))
-    graphs, shards = index(rows, k, shard)
+    graphs, shards, grown = index(rows, k, shard)
     chunks = max(1, -(-asked.count() // chunk))
     left = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     right = asked.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     keys = ["width", "shard", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search_shard(k, width), "row long, query_id long, vec_id long, score double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search_shard(k, width_in(shards, grown, width), width), "row long, query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

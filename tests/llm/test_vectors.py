@@ -127,3 +127,29 @@ def test_graph_levels_and_degrees():
         near = links[links >= 0]
         assert (graph.level[near] >= k).all()
         assert all(len(set(r[r >= 0])) == (r >= 0).sum() and i not in r for i, r in enumerate(links))
+
+
+def test_searches_of_many_shards_keep_fewer_nodes_each(monkeypatch):
+    """A query's work grew in proportion to the number of shards, so that all queries' grew with the square of the vectors."""
+    rng = np.random.default_rng(9)
+    points, queries = neighbours.lifted(rng.normal(0, 1, (6000, 24))), rng.normal(0, 1, (40, 24))
+    lifted = np.concatenate([queries / np.linalg.norm(queries, axis=1)[:, None], np.zeros((40, 1))], axis=1).astype(np.float32)
+    gaps = []
+    monkeypatch.setattr(neighbours, "_apart", lambda p, q, nodes, real=neighbours._apart: gaps.append((nodes >= 0).sum()) or real(p, q, nodes))
+
+    def work(shards):
+        parts = [np.arange(i, 1500 * shards, shards) for i in range(shards)]
+        graphs = [neighbours.build(points[own]) for own in parts]
+        gaps.clear()
+        near = [own[neighbours.search(g, lifted, neighbours.width_in(shards, width=160))] for own, g in zip(parts, graphs)]
+        best = np.argsort(-(lifted @ points[: 1500 * shards].T), axis=1)[:, :20]
+        return sum(gaps), np.mean([np.isin(b, np.concatenate([x[i] for x in near])).mean() for i, b in enumerate(best)])
+
+    (one, _), (four, recall) = work(1), work(4)
+    assert four < 3.5 * one and recall >= 0.95
+
+
+def test_shards_grow_in_number_and_size():
+    made = [neighbours.shards_of(n * neighbours.SHARD) for n in (0, 1, 16, 64, 6400, 10**6)]
+    assert made == [1, 1, 16, 32, 800, 125_000]
+    assert neighbours.width_in(1) == neighbours.SEARCH and neighbours.width_in(10**6) == neighbours.LEAST and neighbours.width_in(10, 100.0) == neighbours.SEARCH
