@@ -18,6 +18,9 @@ from ..sources.shared import exists, is_file
 from ..sources.tables import MissingSource, header, read_csv
 from .fields import Table, fields, shape
 
+#: Files that a task keeps open while it writes a graph by predicate.
+WRITERS, OPEN = "spark.sql.maxConcurrentOutputFileWriters", 16
+
 
 def quads(rules: list[Rule]) -> bool:
     """Whether rules name graphs."""
@@ -366,5 +369,14 @@ def build_tables(rules: list[Rule], tables: dict[str, DataFrame]) -> Build:
 
 
 def store(triples: DataFrame, path: str) -> None:
-    """Keep a graph as Parquet by predicate, so that a pattern with a predicate reads its folder alone. Rebalancing cuts hot predicates."""
-    triples.hint("rebalance", "p").write.mode("overwrite").partitionBy("p").parquet(path)
+    """Keep a graph as Parquet by predicate, so that a pattern with a predicate reads its folder alone. Rebalancing cuts hot predicates.
+
+    A task then has few predicates: it keeps their files open side by side, and sorts its rows by predicate only where they are more than OPEN.
+    """
+    conf = triples.sparkSession.conf
+    before = conf.get(WRITERS)
+    conf.set(WRITERS, str(OPEN))
+    try:
+        triples.hint("rebalance", "p").write.mode("overwrite").partitionBy("p").parquet(path)
+    finally:
+        conf.set(WRITERS, before)
