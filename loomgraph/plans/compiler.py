@@ -120,6 +120,11 @@ class Coded:
         shown = value if g is None else F.when(s.isNotNull(), value)
         return F.struct(*([s.alias("s")] if self.nested else []), F.lit(code).alias("c"), shown.alias("o"), *([g.alias("g")] if g is not None else []))
 
+    def codes_of(self, predicate: str) -> list[int] | None:
+        """The numbers of a predicate's triples, whose objects alone tell these apart; None where kinds or graphs do as well."""
+        own = {x: i for x, i in self.codes.items() if x[0] == predicate}
+        return None if self.graphs or len({x[:3] for x in own}) > 1 else list(own.values())
+
     def rows(self, table: DataFrame, rules: list[Rule]) -> DataFrame:
         """``s, made`` of a flat table: a row for each subject that a row names, with its triples. Of nested documents ``s, c, o``."""
         if self.nested:
@@ -136,8 +141,7 @@ class Coded:
         whole = reduce(DataFrame.union, parts)
         if not self.nested:
             # Empty arrays give a row without an object, which goes below; else Spark would look at each array's size, and make it for that, in the scan.
-            # The number is given, so that adaptive execution, which sees packed rows, doesn't put parts together whose triples are many times as large.
-            whole = whole.repartition(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s").select("s", F.inline_outer("made"))
+            whole = Rows(self, parts).shuffled().select("s", F.inline_outer("made"))
         of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("c") + 1)
         coded = whole.filter(F.col("s").isNotNull() & F.col("o").isNotNull()).select("s", of([self.kinds.index(x[:3]) for x in self.codes]).alias("k"), *self.own, of([self.sources.index(x[3]) for x in self.codes]).alias("r"))
         once = coded.groupBy("s", "k", *self.own).agg(F.min("r").alias("r"))
@@ -146,6 +150,20 @@ class Coded:
         return once.select(*[columns[c].alias(c) if c in columns else c for c in [*identity(self.own), "src"]])
 
 
+@dataclass
+class Rows:
+    """Rows of flat tables with their triples by subject."""
+
+    coded: Coded
+    parts: list[DataFrame]
+
+    def shuffled(self) -> DataFrame:
+        """``s, made`` by subject."""
+        whole = reduce(DataFrame.union, self.parts)
+        # The number is given, so that adaptive execution, which sees packed rows, doesn't put parts together whose triples are many times as large.
+        return whole.repartition(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s")
+
+
 def _once(table: DataFrame, rules: list[Rule], known: dict[str, Rule]) -> DataFrame:
     """What rules read of a table, equal rows once. Negative zeros, which grouping takes for zeros, stay apart by a column of their own."""
     read = [c for r in rules for c in r.columns()] + [c for r in rules for o in r.objects if o.parent is not None for c in known[o.parent].columns()]
@@ -272,6 +290,7 @@ class Build:
     triples: DataFrame
     missing: list[str] = field(default_factory=list)
     once: DataFrame | None = None
+    rows: Rows | None = None
 
     def graph(self) -> DataFrame:
         """The graph: each triple once, whichever rules state it. One shuffle for all rules together, of rows where no rule joins others'."""
@@ -296,16 +315,17 @@ def _parents(rules: list[Rule], known: dict[str, Rule]) -> list[tuple[Rule, str]
     return [(known[o.parent], b) for r in rules for o in r.objects if o.parent is not None for _, b in o.joins]
 
 
-def _coded(rules: list[Rule], known: dict[str, Rule], table_of: Callable[[str], DataFrame], graphs: bool) -> DataFrame | None:
-    """The graph of rules by number, if none needs a join."""
+def _coded(rules: list[Rule], known: dict[str, Rule], table_of: Callable[[str], DataFrame], graphs: bool) -> tuple[DataFrame | None, Rows | None]:
+    """The graph of rules by number, if none needs a join, and the rows that it is made of, if tables are flat."""
     by = defaultdict(list)
     for r in rules:
         if r.objects:
             by[r.source].append(r)
     if not by or any(needs_join(r, known) for r in rules):
-        return None
+        return None, None
     coded = Coded([r for own in by.values() for r in own], known, graphs)
-    return coded.graph([coded.rows(table_of(source), own) for source, own in by.items()])
+    parts = [coded.rows(table_of(source), own) for source, own in by.items()]
+    return coded.graph(parts), None if coded.nested else Rows(coded, parts)
 
 
 def build_csv(spark: SparkSession, rules: list[Rule], base: str, strict: bool = False) -> Build:
@@ -348,7 +368,7 @@ def build_csv(spark: SparkSession, rules: list[Rule], base: str, strict: bool =
     parts += _joins(present, known, table_of, graphs)
     if not parts:
         return Build(spark.createDataFrame([], TRIPLE), missing)
-    return Build(_union(parts, graphs), missing, None if fused else _coded(present, known, table_of, graphs))
+    return Build(_union(parts, graphs), missing, *((None, None) if fused else _coded(present, known, table_of, graphs)))
 
 
 def build_tables(rules: list[Rule], tables: dict[str, DataFrame]) -> Build:
@@ -365,7 +385,7 @@ def build_tables(rules: list[Rule], tables: dict[str, DataFrame]) -> Build:
     parts += _joins(there, known, tables.__getitem__, graphs)
     if not parts:
         raise MissingSource(", ".join(sorted(by)) or "no rules")
-    return Build(_union(parts, graphs), sorted(s for s in by if s not in tables), _coded(there, known, tables.__getitem__, graphs))
+    return Build(_union(parts, graphs), sorted(s for s in by if s not in tables), *_coded(there, known, tables.__getitem__, graphs))
 
 
 def store(triples: DataFrame, path: str) -> None:

@@ -7,15 +7,18 @@ each variable, without the mark, and one row for each match, as a bag.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Collection, Iterable
+from collections.abc import Callable, Collection, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE
+from .compiler import Build
 
 Pattern = tuple[str, str, str]
+#: A graph, or what builds the part of it that has some predicates.
+Graph = DataFrame | Callable[[list[str]], Build]
 
 
 def _var(term: str) -> bool:
@@ -62,9 +65,52 @@ def hubs(triples: DataFrame, most: int = 10_000) -> set[str]:
     return {r["p"] for r in counted.filter(F.col("n") > most).select("p").collect()}
 
 
-def match(triples: DataFrame, patterns: Iterable[Pattern], many: Collection[str] = ()) -> DataFrame:
+def _star_of_rows(built: Build, subject: str, patterns: list[Pattern]) -> DataFrame | None:
+    """The same of rows that hold triples by subject, if rules leave one kind of object to each predicate: rows are put together, and
+    an object that several state is counted once, with no grouping of triples before. A number in front decides nearly all comparisons
+    of the sort that lists are gathered by, which names with one beginning don't."""
+    rows = built.rows
+    codes = {p[1]: rows.coded.codes_of(p[1]) for p in patterns} if rows is not None else {}
+    if rows is None or any(_var(p[2]) and codes[p[1]] is None for p in patterns):
+        return None
+    # A predicate that no rule states has no codes, and no match.
+    of = lambda p: F.array_distinct(F.transform(F.filter("_m", lambda x: x["c"].isin(codes[p[1]] or []) & x["o"].isNotNull()), lambda x: x["o"]))
+    out = rows.shuffled().groupBy(F.xxhash64("s").alias("_h"), "s").agg(F.flatten(F.collect_list("made")).alias("_m"))
+    for p in patterns:
+        if not _var(p[2]):
+            every = [i for i, x in enumerate(rows.coded.codes) if x[0] == p[1]]
+            out = out.filter(F.exists("_m", lambda x: x["c"].isin(every) & (x["o"] == p[2])))  # noqa: B023  called at once
+    open_ = [p for p in patterns if _var(p[2])]
+    lists = out.select(F.col("s").alias(subject[1:]), *[of(p).alias(f"_v{i}") for i, p in enumerate(open_)])
+    # An inner explode has Spark look at arrays' sizes before, and make them for that once more.
+    for i, p in enumerate(open_):
+        lists = lists.withColumn(p[2][1:], F.explode_outer(f"_v{i}"))
+    return lists.select(subject[1:], *[p[2][1:] for p in open_]).dropna()
+
+
+def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two parts that agree. Files are small where triples aren't, so that by Spark's estimate one would be broadcast: they are
+    merged, in the order of a number, which decides nearly all comparisons where names that begin alike don't."""
+    on = sorted(set(left.columns) & set(right.columns))
+    left, right = (x.withColumn("_h", F.xxhash64(*on)) for x in (left, right))
+    return left.join(right.hint("merge"), ["_h", *on]).drop("_h")
+
+
+def _part(triples: Graph, patterns: list[Pattern]) -> DataFrame:
+    """One pattern, or several around a subject, over the graph that they look at."""
+    looked = triples if isinstance(triples, DataFrame) else triples(sorted({p[1] for p in patterns}))
+    if len(patterns) > 1:
+        found = None if isinstance(looked, DataFrame) else _star_of_rows(looked, patterns[0][0], patterns)
+        return found if found is not None else _star(looked if isinstance(looked, DataFrame) else looked.graph(), patterns[0][0], patterns)
+    return _single(looked, patterns[0]) if isinstance(looked, DataFrame) else _single(looked.graph(), patterns[0])
+
+
+def match(triples: Graph, patterns: Iterable[Pattern], many: Collection[str] = ()) -> DataFrame:
     """All matches of a set of patterns.
 
+    ``triples`` may be a function that builds the graph of some predicates (of rules: ``prune`` them); then each part below makes and
+    shuffles what it looks at alone, where it would else look through the whole graph. No predicate may be a variable then.
+
     Patterns around a subject with distinct object variables are one star; other patterns stand alone. So do those of predicates
     in ``many`` (see ``hubs``): a star gathers a subject's objects in one row, which a subject with very many can't be, while
     a join's skewed keys are split. Parts are joined on what they share, those with more constants first, and never without a
@@ -76,10 +122,10 @@ def match(triples: DataFrame, patterns: Iterable[Pattern], many: Collection[str]
         if _var(p[0]) and not _var(p[1]) and p[1] not in many and p[2] != p[0] and (not _var(p[2]) or p[2] not in own):
             stars[p[0]].append(p)
         else:
-            parts.append((_single(triples, p), [p]))
-    for subject, own in stars.items():
+            parts.append((_part(triples, [p]), [p]))
+    for own in stars.values():
         if own:
-            parts.append((_single(triples, own[0]) if len(own) == 1 else _star(triples, subject, own), own))
+            parts.append((_part(triples, own), own))
     weight = lambda part: -sum(not _var(t) for p in part[1] for t in (p[0], p[2]))
     parts.sort(key=weight)
     done, rest = parts[0][0], parts[1:]
@@ -88,7 +134,7 @@ def match(triples: DataFrame, patterns: Iterable[Pattern], many: Collection[str]
         if near is None:
             raise ValueError("the patterns fall apart: no variable joins " + ", ".join(done.columns) + " and the rest")
         rest.remove(near)
-        done = done.join(near[0], sorted(set(done.columns) & set(near[0].columns)))
+        done = done.join(near[0], sorted(set(done.columns) & set(near[0].columns))) if isinstance(triples, DataFrame) else _joined(done, near[0])
     return done
 
 

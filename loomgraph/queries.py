@@ -102,8 +102,12 @@ def bag(spark: SparkSession, d: str, *names: str, rules: list[Rule] | None = Non
 
 def kg(spark: SparkSession, d: str, *names: str, only: list[str] | None = None, iris: bool = False) -> DataFrame:
     """The graph of some rules; ``only`` and ``iris`` name what the query uses of it."""
+    return part_of(spark, d, *names, only=only, iris=iris).graph()
+
+
+def part_of(spark: SparkSession, d: str, *names: str, only: list[str] | None = None, iris: bool = False) -> Build:
     wanted = None if only is None else {p if ":" in p else ONT + p for p in only}
-    return built(spark, d, rules=prune([BY_NAME[n] for n in names], wanted, iris)).graph()
+    return built(spark, d, rules=prune([BY_NAME[n] for n in names], wanted, iris))
 
 
 def single(source: str, subject: str, o: ObjectMap) -> list[Rule]:
@@ -507,7 +511,7 @@ LINE = iri("line", "l_orderkey || '-' || l_linenumber")
 
 @query(f"SELECT x.l, x.o, y.p, y.brand, z.q, x.y FROM (SELECT DISTINCT {LINE} AS l, {iri('order', 'l_orderkey')} AS o, CAST(year(o_orderdate) AS VARCHAR) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x JOIN (SELECT DISTINCT {LINE} AS l, {iri('part', 'l_partkey')} AS p, p_brand AS brand FROM lineitem JOIN part ON l_partkey = p_partkey) y ON x.l = y.l JOIN (SELECT DISTINCT {LINE} AS l, {MONEY.format('l_quantity')} AS q FROM lineitem) z ON x.l = z.l")
 def bgp_snowflake(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.match(kg(spark, d, "lineitem", "orders", "part", only=["ofOrder", "ofPart", "quantity", "orderYear", "brand"]), [("?l", ONT + "ofOrder", "?o"), ("?l", ONT + "ofPart", "?p"), ("?l", ONT + "quantity", "?q"), ("?o", ONT + "orderYear", "?y"), ("?p", ONT + "brand", "?brand")])
+    return patterns.match(lambda only: part_of(spark, d, "lineitem", "orders", "part", only=only), [("?l", ONT + "ofOrder", "?o"), ("?l", ONT + "ofPart", "?p"), ("?l", ONT + "quantity", "?q"), ("?o", ONT + "orderYear", "?y"), ("?p", ONT + "brand", "?brand")])
 
 
 @query(f"SELECT {iri('customer', 'c_custkey')} AS c, c_name AS name, CASE WHEN o_orderkey IS NULL THEN NULL ELSE {iri('order', 'o_orderkey')} END AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
