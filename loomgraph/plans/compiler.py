@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Callable
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.terms import TRIPLE, identity
 from ..sources.rules import RR, Call, ObjectMap, Rule, UnsupportedRule, Value
-from ..sources.shared import exists, is_file
+from ..sources.shared import exists, file_size, is_file
 from ..sources.tables import MissingSource, header, read_csv
 from .fields import Table, fields, shape
 
@@ -139,7 +140,10 @@ class Coded:
     def graph(self, parts: list[DataFrame]) -> DataFrame:
         """The triples, each once, with the first by name of the rules that state it."""
         whole = reduce(DataFrame.union, parts)
-        if not self.nested:
+        if self.nested and (n := partitions(whole)) > int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            # Of large documents, triples are dealt out as they are: to gather them first would take the shuffle's own number of parts.
+            whole = whole.repartition(n, "s")
+        elif not self.nested:
             # Empty arrays give a row without an object, which goes below; else Spark would look at each array's size, and make it for that, in the scan.
             whole = Rows(self, parts).shuffled().select("s", F.inline_outer("made"))
         of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("c") + 1)
@@ -150,6 +154,20 @@ class Coded:
         return once.select(*[columns[c].alias(c) if c in columns else c for c in [*identity(self.own), "src"]])
 
 
+#: Bytes of files whose triples a task may gather, of columns packed together and of text; and the most partitions to be asked for.
+PACKED, PLAIN, MOST = 4 << 20, 8 << 20, 1 << 16
+
+
+def partitions(df: DataFrame) -> int:
+    """How many parts a graph made of ``df`` is gathered in: as many as the session has for shuffles, and more where the files read are
+    larger, so that a task's share doesn't grow with the input."""
+    spark, paths = df.sparkSession, df.inputFiles()
+    # Of very many files some tell how large they are: this is a number of parts, and all are read.
+    some = paths[:: max(1, len(paths) // 1000)]
+    size = sum(file_size(spark, path) / (PACKED if path.endswith((".parquet", ".orc")) else PLAIN) for path in some)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST, math.ceil(size * len(paths) / max(1, len(some)))))
+
+
 @dataclass
 class Rows:
     """Rows of flat tables with their triples by subject."""
@@ -161,7 +179,7 @@ class Rows:
         """``s, made`` by subject."""
         whole = reduce(DataFrame.union, self.parts)
         # The number is given, so that adaptive execution, which sees packed rows, doesn't put parts together whose triples are many times as large.
-        return whole.repartition(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s")
+        return whole.repartition(partitions(whole), "s")
 
 
 def _once(table: DataFrame, rules: list[Rule], known: dict[str, Rule]) -> DataFrame:

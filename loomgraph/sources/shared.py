@@ -64,6 +64,14 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return files.getFileStatus(at).isFile()
 
 
+def file_size(spark: SparkSession, path: str) -> int:
+    """A file's bytes, by the URI that Spark gives it."""
+    from urllib.parse import unquote
+
+    files, at = _at(spark, unquote(path))
+    return files.getFileStatus(at).getLen()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, at = _at(spark, path)
     files.delete(at, True)
