@@ -73,7 +73,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     # Equal halves meet at 33 keys and are taken at the exact one alone.
     met = (own("a") != own("b")) | (own("a") == F.col("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return left.join(right, "key").filter((F.col("a") < F.col("b")) & met & near).select("a", "b").distinct()
+    # Spark takes a ball for as large as its fingerprint, and would broadcast 66 times what it reckons with.
+    return left.join(right.hint("merge"), "key").filter((F.col("a") < F.col("b")) & met & near).select("a", "b").distinct()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
