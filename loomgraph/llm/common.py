@@ -40,8 +40,9 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BY
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a settled table for broadcast if it ``is_small``; otherwise leave the join to Spark."""
-    return F.broadcast(df) if is_small(df, rows, size) else df
+    """Mark a settled table for broadcast if it ``is_small``; otherwise for a shuffled join, as Spark's estimate from files may be too low
+    for either side."""
+    return F.broadcast(df) if is_small(df, rows, size) else df.hint("merge")
 
 
 def spare(df: DataFrame, name: str) -> str:
