@@ -143,11 +143,11 @@ def _stepped(last: DataFrame, edges: DataFrame, moves: DataFrame) -> DataFrame:
 def _search(first: DataFrame, edges: DataFrame, moves: DataFrame, most: int, keep: Callable[[DataFrame], DataFrame] = lambda step: step) -> Seen:
     """All ``start, node, state`` that are reached from the first ones, by steps of which ``keep`` may leave some out."""
     seen = Seen(first, ["start", "node", "state"])
+    if seen.last.isEmpty():
+        return seen
     for _ in range(most):
         if not seen.add(keep(_stepped(seen.last, edges, moves))):
             return seen
-    if seen.last.isEmpty():
-        return seen
     raise RuntimeError("the paths did not end after the rounds that they may take")
 
 
@@ -190,22 +190,45 @@ def _walks(first: DataFrame, edges: DataFrame, moves: DataFrame, most: int) -> D
     raise RuntimeError("the paths did not end after the rounds that they may take")
 
 
-def _place() -> Column:
-    return F.concat_ws(" ", "state", "node")
+def _place(states: int) -> Column:
+    """The number of a node and a state."""
+    return F.col("node") * states + F.col("state")
 
 
-def _mains(first: DataFrame) -> DataFrame:
+def _mains(first: DataFrame, states: int) -> DataFrame:
     """``start, main``: of the places that a start's first step leads to, the one that most starts come to, if it isn't this start's alone."""
     many = first.groupBy("node", "state").agg(F.count("*").alias("n")).filter("n > 1")
-    return first.join(many, ["node", "state"]).groupBy("start").agg(F.max(F.struct("n", _place().alias("main")))["main"].alias("main"))
+    return first.join(many, ["node", "state"]).groupBy("start").agg(F.max(F.struct("n", _place(states).alias("main")))["main"].alias("main"))
 
 
 def _others(pairs: DataFrame, mains: DataFrame, shared: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs that their start's main place doesn't give already."""
-    known = shared.select(F.col("start").alias("main"), *keys).distinct()
+    known = shared.select(F.col("start").alias("main"), *keys)
     return pairs.join(mains, "start", "left").join(known, ["main", *keys], "left_anti").select(*pairs.columns)
 
 
+#: Pairs of starts and nodes that are made in one group, and in about one task; the most tasks to be asked for, and starts in about one list.
+GROUP, TASK, MOST_PARTS, LIST = 1 << 22, 1 << 24, 1 << 16, 1 << 10
+
+
+def _product(starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """``start, node``: each of ``starts`` (main, start) with each of ``ends`` (main, node) of the same main place.
+
+    The rows made may be many more than those read, and a place may have any number of either: a place's nodes are dealt to groups, each
+    of which has all its starts and makes about ``GROUP`` rows, and groups to as many tasks as the rows made ask for. Starts come in lists,
+    as a list's rows are made faster than a join's.
+    """
+    count = lambda df, n: df.groupBy("main").agg(F.count("*").cast("double").alias(n))
+    sizes = settle(count(starts, "n").join(count(ends, "m"), "main").select("main", (F.col("n") * F.col("m")).alias("made"), F.least(F.col("m"), F.ceil(F.col("n") * F.col("m") / GROUP)).cast("int").alias("groups"), F.ceil(F.col("n") / LIST).cast("int").alias("lists")))
+    made = sizes.agg(F.sum("made")).first()[0] or 0.0
+    parts = max(int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, int(made / TASK) + 1))
+    left = ends.join(sizes, "main").select("main", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("group"), "node").repartition(parts, "main", "group")
+    lists = starts.join(sizes, "main").groupBy("main", "groups", F.pmod(F.xxhash64("start"), F.col("lists")).alias("list")).agg(F.collect_list("start").alias("starts"))
+    right = lists.select("main", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "starts").repartition(parts, "main", "group")
+    # By Spark's estimate neither side is large, and one would be broadcast whole.
+    return left.join(right.hint("merge"), ["main", "group"]).select(F.explode("starts").alias("start"), "node")
+
+
 def reach(triples: DataFrame, pattern: Pattern, starts: DataFrame | None = None, ends: DataFrame | None = None, most: int = 10_000) -> DataFrame:
     """``start, node``: pairs of nodes that a way of the pattern joins, each once.
 
@@ -234,28 +257,36 @@ def reach(triples: DataFrame, pattern: Pattern, starts: DataFrame | None = None,
     coded = settle(edges.join(number("a", "x"), "a").join(number("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "step"))
     zero = begun.join(nodes, "node").select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("state"))
     opening = settle(_stepped(zero, coded, moves))
+    named = lambda c: nodes.select(F.col("id").alias(c), F.col("node").alias(f"_{c}"))
+    names = lambda pairs: pairs.join(named("node"), "node").join(named("start"), "start").select(F.col("_start").alias("start"), F.col("_node").alias("node"))
     if _one_way(coded, moves, opening):
-        pairs = _walks(opening, coded, moves, most).filter(ended).select("start", "node").distinct()
-        named = lambda c: nodes.select(F.col("id").alias(c), F.col("node").alias(f"_{c}"))
-        found = pairs.join(named("node"), "node").join(named("start"), "start").select(F.col("_start").alias("start"), F.col("_node").alias("node"))
+        found = names(_walks(opening, coded, moves, most).filter(ended).select("start", "node").distinct())
         if own is not None:
             # Starts that are given reach themselves all; among all nodes, literals that a first step leaves backwards don't.
             found = found.filter("start <> node").union(own.distinct()) if starts is not None else found.union(own).distinct()
         return found if ends is None else found.join(ends.select("node"), "node", "left_semi").select("start", "node")
-    begun = settle(begun.select(F.col("node").alias("start"), "node", F.lit(0).alias("state")))
     # What is reached from a place that several starts come to is searched once for all of them.
-    first = settle(_stepped(begun, edges, moves))
-    mains = settle(_mains(first))
+    first, states = opening, len(path.steps) + 1
+    mains = settle(_mains(first, states))
     shared = None
     if not mains.isEmpty():
-        places = first.select(_place().alias("start"), "node", "state").join(mains.select(F.col("main").alias("start")), "start", "left_semi").distinct()
-        shared = _search(places, edges, moves, most - 1).all()
+        places = first.select(_place(states).alias("start"), "node", "state").join(mains.select(F.col("main").alias("start")), "start", "left_semi").distinct()
+        shared = _search(places, coded, moves, most - 1).all()
         first = _others(first, mains, shared, ["node", "state"])
-    alone = _search(first, edges, moves, most - 1, lambda step: step if shared is None else _others(step, mains, shared, ["node", "state"])).all()
-    found = alone.filter(ended).select("start", "node")
-    found = (found if own is None else found.union(own)).distinct()
+    alone = _search(first, coded, moves, most - 1, lambda step: step if shared is None else _others(step, mains, shared, ["node", "state"])).all()
+    pairs = alone.filter(ended).select("start", "node")
+    if own is not None:
+        pairs = pairs.union(own.select("node").join(nodes, "node").select(F.col("id").alias("start"), F.col("id").alias("node")))
+    pairs = pairs.distinct()
+    found = None
     if shared is not None:
         # Each start has one main place, and this each node once: nothing is to be told apart among these pairs, which are most of all.
         whole = settle(shared.filter(ended).select("start", "node").distinct())
-        found = _others(found, mains, whole, ["node"]).union(mains.join(whole.withColumnRenamed("start", "main"), "main").select("start", "node"))
+        pairs = _others(pairs, mains, whole, ["node"])
+        met = settle(whole.withColumnRenamed("start", "main").join(named("node"), "node").select("main", F.col("_node").alias("node")))
+        found = _product(settle(mains.join(named("start"), "start").select("main", F.col("_start").alias("start"))), met)
+    found = names(pairs) if found is None else names(pairs).union(found)
+    if own is not None:
+        # Nodes that no step leaves or enters have no number.
+        found = found.union(own.distinct().join(nodes, "node", "left_anti").select("start", "node"))
     return found if ends is None else found.join(ends.select("node"), "node", "left_semi").select("start", "node")

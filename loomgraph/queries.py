@@ -988,6 +988,11 @@ def rule_functions(spark: SparkSession, d: str) -> DataFrame:
 _NEXT_SQL = "nxt AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders)"
 
 
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """The links of orders to customers, and of these to nations."""
+    return build_tables(prune([BY_NAME["orders"], BY_NAME["customer"]], {ONT + "orderedBy", ONT + "inNation"}), trade.tables(spark, d, ["orders", "customer"])).graph()
+
+
 def _ordered(spark: SparkSession, d: str) -> DataFrame:
     """The graph of orders with the link ``next`` beside those of the rules."""
     orders = trade.tables(spark, d, ["orders"])["orders"]
@@ -1010,7 +1015,7 @@ def regular_path_on_cycles(spark: SparkSession, d: str) -> DataFrame:
     """``(inNation/^inNation)*/(^orderedBy)?`` from some customers: every way but the shortest runs in circles."""
     starts = trade.tables(spark, d, ["customer"])["customer"].filter("c_custkey % 50 = 0").select(F.concat(F.lit(DATA + "customer/"), F.col("c_custkey").cast("string")).alias("node"))
     same = paths.star(paths.seq(ONT + "inNation", paths.inverse(ONT + "inNation")))
-    return paths.reach(_ordered(spark, d), paths.seq(same, paths.optional(paths.inverse(ONT + "orderedBy"))), starts)
+    return paths.reach(_placed(spark, d), paths.seq(same, paths.optional(paths.inverse(ONT + "orderedBy"))), starts)
 
 
 @query(f"""WITH RECURSIVE {_NEXT_SQL}, back AS (SELECT o_orderkey AS b, o_orderkey AS a FROM orders WHERE o_orderkey % 100 = 7 UNION SELECT back.b, nxt.a FROM back JOIN nxt ON nxt.b = back.a)
